@@ -59,20 +59,25 @@ def c4(spark, sf_dir):
                    {"value": 2, "share": 6})
 
 
-_BOX_SQL = """
-WITH b AS (SELECT l_returnflag, CAST(l_extendedprice AS DOUBLE) AS y FROM lineitem
-           WHERE l_returnflag IS NOT NULL AND l_extendedprice IS NOT NULL),
-q AS (SELECT l_returnflag, count(y) AS n, avg(y) AS mean, quantile_cont(y, 0.25) AS q1,
-             quantile_cont(y, 0.5) AS median, quantile_cont(y, 0.75) AS q3 FROM b GROUP BY l_returnflag),
+def box_sql(src: str, x: str, y: str, digits: int | None = 4) -> str:
+    def rnd(e):
+        return f"round({e}, {digits})" if digits is not None else e
+    return f"""
+WITH b AS (SELECT {x}, CAST({y} AS DOUBLE) AS y FROM {src} WHERE {x} IS NOT NULL AND {y} IS NOT NULL),
+q AS (SELECT {x}, count(y) AS n, avg(y) AS mean, quantile_cont(y, 0.25) AS q1,
+             quantile_cont(y, 0.5) AS median, quantile_cont(y, 0.75) AS q3 FROM b GROUP BY {x}),
 f AS (SELECT *, q1 - 1.5 * (q3 - q1) AS lower_fence, q3 + 1.5 * (q3 - q1) AS upper_fence FROM q),
-w AS (SELECT b.l_returnflag, min(CASE WHEN y >= lower_fence THEN y END) AS whisker_low,
+w AS (SELECT b.{x}, min(CASE WHEN y >= lower_fence THEN y END) AS whisker_low,
              max(CASE WHEN y <= upper_fence THEN y END) AS whisker_high,
              count(*) FILTER (WHERE y < lower_fence OR y > upper_fence) AS outliers
-      FROM b JOIN f ON b.l_returnflag = f.l_returnflag GROUP BY b.l_returnflag)
-SELECT f.l_returnflag, n, round(mean, 4) AS mean, round(q1, 4) AS q1, round(median, 4) AS median,
-       round(q3, 4) AS q3, round(lower_fence, 4) AS lower_fence, round(upper_fence, 4) AS upper_fence,
+      FROM b JOIN f ON b.{x} = f.{x} GROUP BY b.{x})
+SELECT f.{x}, n, {rnd('mean')} AS mean, {rnd('q1')} AS q1, {rnd('median')} AS median,
+       {rnd('q3')} AS q3, {rnd('lower_fence')} AS lower_fence, {rnd('upper_fence')} AS upper_fence,
        whisker_low, whisker_high, outliers
-FROM f JOIN w ON f.l_returnflag = w.l_returnflag"""
+FROM f JOIN w ON f.{x} = w.{x}"""
+
+
+_BOX_SQL = box_sql("lineitem", "l_returnflag", "l_extendedprice")
 
 
 @register("C5_box", _BOX_SQL)
@@ -86,14 +91,16 @@ def c6(spark, sf_dir):
     return rounded(CH.heatmap(passengers(spark, sf_dir).drop("passenger_id")), {"r": 6})
 
 
-def violin_sql(src: str, x: str, y: str, grid: int = 50) -> str:
+def violin_sql(src: str, x: str, y: str, grid: int = 50, digits: bool = True) -> str:
+    def rnd(e, d):
+        return f"round({e}, {d})" if digits else e
     sums = ", ".join(
         f"sum(exp(-0.5 * pow((grid_lo + {float(i)} * grid_step - y) / bandwidth, 2))) AS k{i}"
         for i in range(grid))
     points = "\nUNION ALL\n".join(
-        f"SELECT {x}, n, round(bandwidth, 9) AS bandwidth, round(q1, 6) AS q1, round(median, 6) AS median, "
-        f"round(q3, 6) AS q3, {i} AS point, round(grid_lo + {float(i)} * grid_step, 6) AS y_value, "
-        f"round(k{i} / (n * bandwidth * {CH.SQRT_2PI!r}), 9) AS density FROM full_"
+        f"SELECT {x}, n, {rnd('bandwidth', 9)} AS bandwidth, {rnd('q1', 6)} AS q1, {rnd('median', 6)} AS median, "
+        f"{rnd('q3', 6)} AS q3, {i} AS point, {rnd(f'grid_lo + {float(i)} * grid_step', 6)} AS y_value, "
+        f"{rnd(f'k{i} / (n * bandwidth * {CH.SQRT_2PI!r})', 9)} AS density FROM full_"
         for i in range(grid))
     return f"""
 WITH b AS (SELECT {x}, CAST({y} AS DOUBLE) AS y FROM {src} WHERE {x} IS NOT NULL AND {y} IS NOT NULL),

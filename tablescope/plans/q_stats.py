@@ -25,14 +25,15 @@ def _self_sql(a: str) -> str:
     return f"CASE WHEN count({a}) >= 2 AND stddev_pop(CAST({a} AS DOUBLE)) > 0 THEN 1.0 END"
 
 
-def corr_matrix_sql(src: str, cols) -> str:
+def corr_matrix_sql(src: str, cols, digits: int | None = 6) -> str:
     parts = []
     for i, a in enumerate(cols):
         for j, b in enumerate(cols):
             lo, hi = (a, b) if i <= j else (b, a)
             expr = _self_sql(a) if i == j else _pair_sql(lo, hi)
+            r = f"round({expr}, {digits})" if digits is not None else expr
             parts.append(f"SELECT '{a}' AS a, '{b}' AS b, {i} AS pos_a, {j} AS pos_b, "
-                         f"round({expr}, 6) AS r FROM {src}")
+                         f"{r} AS r FROM {src}")
     return "\nUNION ALL\n".join(parts)
 
 
@@ -97,12 +98,15 @@ def s5_rows(spark, sf_dir):
     return ST.outlier_rows(table(spark, sf_dir, "orders"), "o_totalprice")
 
 
-def hist_sql(src: str, col: str, bins: int, extra_select: str = "", extra_group: str = "") -> str:
+def hist_sql(src: str, col: str, bins: int, extra_select: str = "", extra_group: str = "",
+             digits: int | None = 6) -> str:
     v = f"CAST({col} AS DOUBLE)"
     w = f"((r.hi - r.lo) / {float(bins)})"
     b = (f"CASE WHEN r.hi = r.lo THEN 0 ELSE least(CAST(floor(({v} - r.lo) / {w}) AS INTEGER), {bins - 1}) END")
-    return (f"SELECT {extra_select}bin, round(lo + bin * ((hi - lo) / {float(bins)}), 6) AS bin_lo, "
-            f"round(lo + (bin + 1) * ((hi - lo) / {float(bins)}), 6) AS bin_hi, count(*) AS count FROM "
+    def rnd(e):
+        return f"round({e}, {digits})" if digits is not None else e
+    return (f"SELECT {extra_select}bin, {rnd(f'lo + bin * ((hi - lo) / {float(bins)})')} AS bin_lo, "
+            f"{rnd(f'lo + (bin + 1) * ((hi - lo) / {float(bins)})')} AS bin_hi, count(*) AS count FROM "
             f"(SELECT {extra_select}{b} AS bin, r.lo, r.hi FROM {src}, "
             f"(SELECT min({v}) AS lo, max({v}) AS hi FROM {src}) AS r WHERE {col} IS NOT NULL) "
             f"GROUP BY {extra_group}bin, lo, hi")

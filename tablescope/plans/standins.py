@@ -86,3 +86,14 @@ FROM lineitem l
 JOIN orders o ON l.l_orderkey = o.o_orderkey
 JOIN customer c ON o.o_custkey = c.c_custkey
 """
+
+# The default cleaning pipeline over PASSENGER_SQL (fills first, then derived columns).
+CLEAN_PASSENGER_SQL = f"""
+WITH p0 AS ({PASSENGER_SQL}),
+m AS (SELECT quantile_cont(age, 0.5) AS ma, quantile_cont(fare, 0.5) AS mf FROM p0),
+mo AS (SELECT embarked AS me FROM p0 WHERE embarked IS NOT NULL GROUP BY embarked ORDER BY count(*) DESC, embarked LIMIT 1),
+f AS (SELECT passenger_id, survived, pclass, sex, coalesce(age, (SELECT ma FROM m)) AS age, sibsp, parch,
+             coalesce(fare, (SELECT mf FROM m)) AS fare, coalesce(embarked, (SELECT me FROM mo)) AS embarked, class
+      FROM p0)
+SELECT *, sibsp + parch + 1 AS family_size FROM f
+"""
