@@ -25,7 +25,8 @@ def pair_corr(a: str, b: str) -> Column:
     both = F.col(f"`{a}`").isNotNull() & F.col(f"`{b}`").isNotNull()
     x, y = F.when(both, _d(a)), F.when(both, _d(b))
     r = F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
-    return F.least(F.greatest(r, F.lit(-1.0)), F.lit(1.0))
+    # greatest/least skip nulls, so the clip must not see an undefined r
+    return F.when(r.isNotNull(), F.least(F.greatest(r, F.lit(-1.0)), F.lit(1.0)))
 
 
 def _self_corr(c: str) -> Column:

@@ -18,7 +18,7 @@ def _pair_sql(a: str, b: str) -> str:
     both = f"{a} IS NOT NULL AND {b} IS NOT NULL"
     x, y = f"CASE WHEN {both} THEN CAST({a} AS DOUBLE) END", f"CASE WHEN {both} THEN CAST({b} AS DOUBLE) END"
     r = f"covar_pop({x}, {y}) / nullif(stddev_pop({x}) * stddev_pop({y}), 0)"
-    return f"least(greatest({r}, -1.0), 1.0)"
+    return f"CASE WHEN {r} IS NOT NULL THEN least(greatest({r}, -1.0), 1.0) END"
 
 
 def _self_sql(a: str) -> str:
