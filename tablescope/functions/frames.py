@@ -25,3 +25,47 @@ def long_from_row(row_df: DataFrame, items: Sequence[dict[str, Column]]) -> Data
     keys = list(items[0].keys())
     structs = [F.struct(*[item[k].alias(k) for k in keys]) for item in items]
     return row_df.select(F.inline(F.array(*structs)))
+
+
+# Spark compiles an aggregate into one generated method only while its buffer stays under
+# spark.sql.codegen.maxFields (100 by default); past that it falls back to an interpreted
+# path that is several times slower. Wide profiles are therefore cut into chunks.
+MAX_BUFFER_FIELDS = 90
+
+
+def wide_agg(df: DataFrame, exprs: dict[str, Column], fields: dict[str, int] | int = 1,
+             max_fields: int = MAX_BUFFER_FIELDS, dtype: str = "double") -> DataFrame:
+    """A one-row frame holding every aggregate of ``exprs``.
+
+    ``fields`` gives the aggregate-buffer width of each expression (or one width for all).
+    When everything fits one chunk this is a plain aggregate (original types kept).
+    Otherwise each chunk is its own aggregate branch of a UNION ALL (its own scan, pruned to
+    the columns it reads, compiled on its own, all branches running in parallel), emitting
+    its values as one array; a tiny final aggregate puts the chunks side by side. Values of
+    a chunked result come back as ``dtype``. (Scalar subqueries would not do: Spark merges
+    scalar subqueries over the same table back into one aggregate.)
+    """
+    names = list(exprs)
+    width = (lambda n: fields) if isinstance(fields, int) else (lambda n: fields.get(n, 1))
+    chunks, current, used = [], [], 0
+    for n in names:
+        w = width(n)
+        if current and used + w > max_fields:
+            chunks.append(current)
+            current, used = [], 0
+        current.append(n)
+        used += w
+    if current:
+        chunks.append(current)
+    if len(chunks) == 1:
+        return df.agg(*[exprs[n].alias(n) for n in names])
+    parts = [df.agg(F.lit(c).alias("__chunk"),
+                    F.array(*[exprs[n].cast(dtype) for n in chunk]).alias("__v"))
+             for c, chunk in enumerate(chunks)]
+    union = parts[0]
+    for p in parts[1:]:
+        union = union.unionByName(p)
+    side = union.agg(*[F.max(F.when(F.col("__chunk") == c, F.col("__v"))).alias(f"__c{c}")
+                       for c in range(len(chunks))])
+    return side.select(*[F.col(f"__c{c}")[i].alias(n)
+                         for c, chunk in enumerate(chunks) for i, n in enumerate(chunk)])

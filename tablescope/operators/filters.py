@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tablescope.functions.frames import long_from_row
+from tablescope.functions.frames import long_from_row, wide_agg
 from tablescope.functions.roles import categorical_columns, numeric_columns
 
 
@@ -38,9 +38,9 @@ def filter_domains_numeric(df: DataFrame, cols: Sequence[str] | None = None) ->
     The slider bounds are floor/ceil, so no value falls outside them.
     """
     cols = list(cols) if cols is not None else numeric_columns(df)
-    row = df.agg(*[e for i, c in enumerate(cols) for e in (
-        F.min(F.col(f"`{c}`")).cast("double").alias(f"lo{i}"),
-        F.max(F.col(f"`{c}`")).cast("double").alias(f"hi{i}"))])
+    row = wide_agg(df, {k: v for i, c in enumerate(cols) for k, v in (
+        (f"lo{i}", F.min(F.col(f"`{c}`")).cast("double")),
+        (f"hi{i}", F.max(F.col(f"`{c}`")).cast("double")))}, 1)
     items = [{"column": F.lit(c), "position": F.lit(i), "min": F.col(f"lo{i}"),
               "max": F.col(f"hi{i}"), "slider_min": F.floor(F.col(f"lo{i}")),
               "slider_max": F.ceil(F.col(f"hi{i}"))} for i, c in enumerate(cols)]

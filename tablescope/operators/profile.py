@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from tablescope.functions.frames import long_from_row
+from tablescope.functions.frames import long_from_row, wide_agg
 from tablescope.functions.values import round_half_even
 from tablescope.functions.quantiles import quantile
 from tablescope.functions.roles import numeric_columns
@@ -51,8 +51,9 @@ def table_metrics(df: DataFrame) -> DataFrame:
 def missing_profile(df: DataFrame, only_missing: bool = False) -> DataFrame:
     """(column, position, missing_count, missing_pct) sorted by percent, then position."""
     cols = df.columns
-    row = df.agg(F.count(F.lit(1)).alias("__n"),
-                 *[F.count_if(F.col(f"`{c}`").isNull()).alias(f"m{i}") for i, c in enumerate(cols)])
+    row = wide_agg(df, {"__n": F.count(F.lit(1)),
+                        **{f"m{i}": F.count_if(F.col(f"`{c}`").isNull()) for i, c in enumerate(cols)}},
+                   dtype="bigint")
     items = [{"column": F.lit(c), "position": F.lit(i), "missing_count": F.col(f"m{i}"),
               "missing_pct": F.try_divide(F.col(f"m{i}") * 100.0, F.col("__n"))}
              for i, c in enumerate(cols)]
@@ -128,8 +129,9 @@ def cardinality(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
 def explore(df: DataFrame) -> DataFrame:
     """Shape and per-column info: (position, column, dtype, non_null, rows)."""
     cols = df.columns
-    row = df.agg(F.count(F.lit(1)).alias("__n"),
-                 *[F.count(F.col(f"`{c}`")).alias(f"c{i}") for i, c in enumerate(cols)])
+    row = wide_agg(df, {"__n": F.count(F.lit(1)),
+                        **{f"c{i}": F.count(F.col(f"`{c}`")) for i, c in enumerate(cols)}},
+                   dtype="bigint")
     items = [{"position": F.lit(i), "column": F.lit(c),
               "dtype": F.lit(df.schema[c].dataType.simpleString()),
               "non_null": F.col(f"c{i}"), "rows": F.col("__n")}

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablescope.functions.frames import long_from_row
+from tablescope.functions.frames import long_from_row, wide_agg
 from tablescope.functions.quantiles import quantile, scalar_stats
 from tablescope.functions.roles import numeric_columns
 
@@ -36,18 +36,18 @@ def _self_corr(c: str) -> Column:
 def corr_matrix(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     """Full matrix in long form (a, b, pos_a, pos_b, r), one aggregate for all pairs.
 
-    Fewer than 2 numeric columns is refused. Each pair needs 3 aggregate buffers, so very
-    wide inputs (hundreds of columns) should be cut to the columns of interest first.
+    Fewer than 2 numeric columns is refused. A pair carries 10 buffer fields, so the pairs are
+    split into chunks that stay inside whole-stage code generation (see ``wide_agg``).
     """
     cols = list(cols) if cols is not None else numeric_columns(df)
     if len(cols) < 2:
         raise ValueError("Not enough numeric columns for correlation analysis")
-    exprs = []
+    exprs, fields = {}, {}
     for i, a in enumerate(cols):
-        exprs.append(_self_corr(a).alias(f"r{i}_{i}"))
+        exprs[f"r{i}_{i}"], fields[f"r{i}_{i}"] = _self_corr(a), 4
         for j in range(i + 1, len(cols)):
-            exprs.append(pair_corr(a, cols[j]).alias(f"r{i}_{j}"))
-    row = df.agg(*exprs)
+            exprs[f"r{i}_{j}"], fields[f"r{i}_{j}"] = pair_corr(a, cols[j]), 10
+    row = wide_agg(df, exprs, fields)
     items = [{"a": F.lit(a), "b": F.lit(b), "pos_a": F.lit(i), "pos_b": F.lit(j),
               "r": F.col(f"r{min(i, j)}_{max(i, j)}")}
              for i, a in enumerate(cols) for j, b in enumerate(cols)]
@@ -74,7 +74,7 @@ def target_correlation(df: DataFrame, target: str | None = None,
     feats = [c for c in cols if c != target]
     if not feats:
         raise ValueError("Not enough numeric columns for feature importance analysis")
-    row = df.agg(*[pair_corr(c, target).alias(f"r{i}") for i, c in enumerate(feats)])
+    row = wide_agg(df, {f"r{i}": pair_corr(c, target) for i, c in enumerate(feats)}, 10)
     items = [{"feature": F.lit(c), "position": F.lit(i), "target": F.lit(target),
               "correlation": F.abs(F.col(f"r{i}"))} for i, c in enumerate(feats)]
     return long_from_row(row, items).orderBy(F.col("correlation").desc_nulls_last(), "position")

@@ -151,8 +151,16 @@ def run_template(df: DataFrame, name: str, key: Sequence[str] = ()) -> dict[str,
     return {s.get("title", s["type"]): chart_data(df, s, key) for _, s in usable_specs(df, name)}
 
 
-def template_long(df: DataFrame, name: str, key: Sequence[str] = ()) -> DataFrame:
-    parts = [chart_long(df, s, i, key) for i, s in usable_specs(df, name)]
+def template_long(df: DataFrame, name: str, key: Sequence[str] = (),
+                  materialize_input: bool = True) -> DataFrame:
+    """All charts of a template as one long table. With several charts the input is written
+    once to the shared folder (``materialize``) so each chart scans it instead of re-running
+    its lineage."""
+    specs = usable_specs(df, name)
+    if materialize_input and len(specs) > 1:
+        from tablescope.session import materialize
+        df = materialize(df, f"template-{name}")
+    parts = [chart_long(df, s, i, key) for i, s in specs]
     if not parts:
         raise ValueError(f"no chart of template {name} fits this table")
     out = parts[0]

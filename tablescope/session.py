@@ -65,3 +65,16 @@ def env_int(name: str, default: int) -> int:
         return int(os.environ.get(name, default))
     except ValueError:
         return default
+
+
+def materialize(df, name: str):
+    """Write ``df`` as Parquet under the shared checkpoint folder and read it back.
+
+    Used when several jobs read one expensive derived table (joins, fills): they then scan
+    a columnar copy instead of re-running its lineage, and the copy survives lost
+    executors (unlike a cache or a local checkpoint).
+    """
+    spark = df.sparkSession
+    path = shared_dir(spark, name)
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
