@@ -29,6 +29,14 @@ from tablescope.session import checkpoint_root
 _INTEGRAL = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
 
 
+def _spread(df: DataFrame) -> DataFrame:
+    """Iterative fits pass over their input many times: when it has fewer partitions than
+    the cluster has cores (a few large files), spread the narrow projection once. On
+    inputs that already have enough splits this is a no-op (no shuffle)."""
+    want = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(want) if df.rdd.getNumPartitions() < want else df
+
+
 def choose_target(df: DataFrame, cols: Sequence[str] | None = None, exclude=()) -> DataFrame:
     """(target, rule, n_distinct): the first numeric column with exactly 2 distinct values,
     else the last numeric column."""
@@ -75,7 +83,7 @@ def forest_importance(df: DataFrame, target: str | None = None, cols: Sequence[s
     else:
         n_distinct = cardinality(df, [target]).first()["n_distinct"]
     feats = [c for c in nums if c != target]
-    data = _prepare(df, feats, target).persist(StorageLevel.MEMORY_AND_DISK)
+    data = _spread(_prepare(df, feats, target)).persist(StorageLevel.MEMORY_AND_DISK)
     checkpoint_root(spark)
     try:
         stages = [VectorAssembler(inputCols=feats, outputCol="__features", handleInvalid="keep")]
@@ -108,7 +116,7 @@ def clusters(df: DataFrame, cols: Sequence[str] | None = None, k: int = 3, seed:
     if len(cols) < 2:
         raise ValueError("Not enough numeric columns for clustering analysis")
     data = fill_mean(df.select(*key, *cols), cols)
-    fit_input = data.persist(StorageLevel.MEMORY_AND_DISK)
+    fit_input = _spread(data).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         pipe = Pipeline(stages=[
             VectorAssembler(inputCols=cols, outputCol="__raw"),
@@ -136,7 +144,11 @@ def _pca_fit(df: DataFrame, k: int, cols, key, min_rows: int):
         VectorAssembler(inputCols=cols, outputCol="__raw"),
         StandardScaler(inputCol="__raw", outputCol="__scaled", withMean=True, withStd=True),
         PCA(k=k, inputCol="__scaled", outputCol="__pcs")])
-    model = pipe.fit(data)
+    fit_input = _spread(data).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        model = pipe.fit(fit_input)
+    finally:
+        fit_input.unpersist()
     pc = model.stages[-1].pc.toArray()               # d x k loadings
     signs = []
     for j in range(pc.shape[1]):
@@ -180,7 +192,7 @@ def forest_metrics(df: DataFrame, target: str, key: Sequence[str], cols: Sequenc
     nums = list(cols) if cols is not None else numeric_columns(df, exclude=key)
     feats = [c for c in nums if c != target]
     bucket = F.pmod(F.xxhash64(*[F.col(c) for c in key]), F.lit(100))
-    data = _prepare(df.withColumn("__bucket", bucket), [*feats, "__bucket"], target) \
+    data = _spread(_prepare(df.withColumn("__bucket", bucket), [*feats, "__bucket"], target)) \
         .persist(StorageLevel.MEMORY_AND_DISK)
     checkpoint_root(spark)
     try:

@@ -96,27 +96,38 @@ def describe(df: DataFrame, cols: Sequence[str] | None = None, decimals: int | N
     return long_from_row(row, items).orderBy("stat_order").drop("stat_order")
 
 
+_INTEGRAL = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
+
+
 def _distinct_key(df: DataFrame, c: str):
+    """A typed key per value: integral -> bigint, float/double -> double (-0.0 folded into
+    0.0), anything else -> text. Exact, and no number is formatted as text."""
     v = F.col(f"`{c}`")
     dtype = df.schema[c].dataType
+    none_l, none_d, none_s = F.lit(None).cast("bigint"), F.lit(None).cast("double"), F.lit(None).cast("string")
+    if isinstance(dtype, _INTEGRAL):
+        return F.struct(v.cast("bigint").alias("l"), none_d.alias("d"), none_s.alias("s"))
     if isinstance(dtype, (T.FloatType, T.DoubleType)):
-        v = F.when(v == 0, F.lit(0.0)).otherwise(v)      # -0.0 and 0.0 are one value
-    return v.cast("string")
+        d = v.cast("double")
+        return F.struct(none_l.alias("l"), F.when(d == 0, F.lit(0.0)).otherwise(d).alias("d"),
+                        none_s.alias("s"))
+    return F.struct(none_l.alias("l"), none_d.alias("d"), v.cast("string").alias("s"))
 
 
 def cardinality(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     """(column, position, n_distinct) over non-null values.
 
-    The columns are unpivoted to (position, value) and de-duplicated with one grouped
-    aggregate, so the cost does not multiply with the column count the way several
-    ``count(DISTINCT)`` in one aggregate do (Expand copies every row per column).
+    The columns are unpivoted to (position, typed value) and de-duplicated with one grouped
+    aggregate (combined map-side), so the cost does not multiply with the column count the
+    way several ``count(DISTINCT)`` in one aggregate do (Expand copies every row per column).
     """
     cols = list(cols) if cols is not None else numeric_columns(df)
     spark = df.sparkSession
     pairs = df.select(F.inline(F.array(*[
-        F.struct(F.lit(i).alias("position"), _distinct_key(df, c).alias("value"))
+        F.struct(F.lit(i).alias("position"), F.col(f"`{c}`").isNull().alias("missing"),
+                 _distinct_key(df, c).alias("value"))
         for i, c in enumerate(cols)])))
-    counts = (pairs.where(F.col("value").isNotNull())
+    counts = (pairs.where(~F.col("missing"))
               .select("position", "value").distinct()
               .groupBy("position").agg(F.count(F.lit(1)).alias("n_distinct")))
     domain = spark.createDataFrame([(i, c) for i, c in enumerate(cols)],
