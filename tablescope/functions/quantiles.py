@@ -1,5 +1,8 @@
 """Quantiles and scalar statistics that travel inside the plan.
 
+Most operators take the exact, memory-bounded ``grouped_quantiles``; the aggregate-column
+form ``quantile`` below is kept for places where one aggregate expression is needed.
+
 ``scalar_stats`` wraps a one-row aggregate as a scalar subquery: Spark runs it once
 (partial + final aggregate), and the value is used like a literal in the outer plan. No
 cross join and no driver round trip.
@@ -48,3 +51,125 @@ def mode_of(df: DataFrame, col: str) -> Column:
     counts = df.where(F.col(col).isNotNull()).groupBy(col).count()
     best = counts.agg(F.min(F.struct((-F.col("count")).alias("k"), F.col(col).alias("v"))).alias("m"))
     return best.scalar().getField("v")
+
+
+# ---------------------------------------------------------------------------------------
+# Exact quantiles with bounded memory
+# ---------------------------------------------------------------------------------------
+
+BRACKET_ACCURACY = 100_000
+METHODS = ("bounded", "percentile", "approx")
+
+
+def grouped_quantiles(df: DataFrame, value: str, probs, by=(), method: str = "bounded",
+                      names=None, extra: Mapping | None = None,
+                      accuracy: int = BRACKET_ACCURACY) -> DataFrame:
+    """Quantiles of ``value`` per group: columns *by, n, <names...>, <extra...>.
+
+    Linear interpolation between the order statistics at floor and ceil of (n-1)p, the same
+    numbers as Spark ``percentile``, pandas ``quantile`` and DuckDB ``quantile_cont``.
+    Rows with a null value are ignored; rows with a null group key are dropped.
+    ``extra`` adds aggregates of the value column (name -> function of a Column) to pass 1.
+
+    method="bounded" (default) is exact with memory independent of the group size:
+
+    1. one grouped aggregate: n, ``extra``, and a fixed-size sketch (``percentile_approx``,
+       rank error 1/accuracy) read at p -/+ 3/accuracy, which brackets the ranks needed;
+    2. the bracket joined back (one row per group: AQE broadcasts it when small); one
+       grouped aggregate counts the values below the bracket and equal to its ends, and
+       collects only the values strictly inside it - about 8n/accuracy per group, or the
+       whole group when it has fewer than accuracy/2 rows;
+    3. the order statistics are read off those counts and the sorted inside values.
+
+    A hot group is reduced map-side in both passes. If a bracket ever missed its ranks the
+    query fails loudly instead of returning a wrong number.
+    method="percentile" uses Spark's exact ``percentile`` (one entry per distinct value of a
+    group); method="approx" uses ``percentile_approx``.
+    """
+    probs = [float(p) for p in probs]
+    names = list(names) if names is not None else [f"q{i}" for i in range(len(probs))]
+    extra = dict(extra or {})
+    by = list(by)
+    v = F.col("__v")
+    base = df.select(*[F.col(f"`{b}`") for b in by], F.col(f"`{value}`").cast("double").alias("__v")) \
+        .where(v.isNotNull())
+    if by:
+        base = base.where(F.greatest(*[F.col(f"`{b}`").isNull() for b in by], F.lit(False)) == F.lit(False))
+    extras = [fn(v).alias(n) for n, fn in extra.items()]
+    if method in ("percentile", "approx"):
+        q = F.percentile(v, F.array(*[F.lit(p) for p in probs])) if method == "percentile" else \
+            F.percentile_approx(v, F.array(*[F.lit(p) for p in probs]), accuracy)
+        agg = (base.groupBy(*by) if by else base.groupBy()).agg(
+            F.count(v).alias("n"), q.cast("array<double>").alias("__q"), *extras)
+        return agg.select(*by, "n", *[F.col("__q")[i].alias(n) for i, n in enumerate(names)],
+                          *extra.keys())
+    if method != "bounded":
+        raise ValueError(f"method must be one of {METHODS}")
+
+    m = len(probs)
+    delta = 3.0 / accuracy
+    small = accuracy // 2
+    edges = [max(0.0, p - delta) for p in probs] + [min(1.0, p + delta) for p in probs]
+    grouped = base.groupBy(*by) if by else base.groupBy()
+    st = grouped.agg(F.count(v).alias("n"),
+                     F.percentile_approx(v, F.array(*[F.lit(e) for e in edges]), accuracy).alias("__a"),
+                     *extras)
+    n = F.col("n")
+    bound_cols = []
+    for i in range(m):
+        bound_cols.append(F.when(n < small, F.lit(float("-inf"))).otherwise(F.col("__a")[i]).alias(f"__lo{i}"))
+        bound_cols.append(F.when(n < small, F.lit(float("inf"))).otherwise(F.col("__a")[m + i]).alias(f"__hi{i}"))
+    bounds = st.select(*by, "n", *extra.keys(), *bound_cols)
+    bound_names = ["n", *extra.keys(), *[f"__{s}{i}" for i in range(m) for s in ("lo", "hi")]]
+    if by:
+        joined = base.join(bounds, by)
+    else:
+        packed = bounds.select(F.struct(*bound_names).alias("s")).scalar()
+        joined = base.select("__v", *[packed.getField(c).alias(c) for c in bound_names])
+    aggs = [F.max(c).alias(c) for c in bound_names]
+    for i in range(m):
+        lo, hi = F.col(f"__lo{i}"), F.col(f"__hi{i}")
+        aggs += [F.count_if(v < lo).alias(f"__b{i}"), F.count_if(v == lo).alias(f"__el{i}"),
+                 F.count_if((v == hi) & (hi != lo)).alias(f"__eh{i}"),
+                 F.array_sort(F.collect_list(F.when((v > lo) & (v < hi), v))).alias(f"__in{i}")]
+    r = (joined.groupBy(*by) if by else joined.groupBy()).agg(*aggs)
+
+    outs = []
+    for i, p in enumerate(probs):
+        lo, hi = F.col(f"__lo{i}"), F.col(f"__hi{i}")
+        below, eq_lo, eq_hi, inside = F.col(f"__b{i}"), F.col(f"__el{i}"), F.col(f"__eh{i}"), F.col(f"__in{i}")
+
+        def at(rank, lo=lo, hi=hi, below=below, eq_lo=eq_lo, inside=inside):
+            t = rank - below
+            return (F.when(t < eq_lo, lo)
+                    .when(t < eq_lo + F.size(inside), F.element_at(inside, (t - eq_lo + 1).cast("int")))
+                    .otherwise(hi))
+
+        pos = (n - 1).cast("double") * F.lit(p)
+        k, k2 = F.floor(pos), F.ceil(pos)
+        a, b = at(k), at(k2)
+        interp = F.when((k == k2) | (a == b), a).otherwise((k2 - pos) * a + (pos - k) * b)
+        covered = (k >= below) & (k2 < below + eq_lo + F.size(inside) + eq_hi)
+        outs.append(F.when(n == 0, F.lit(None).cast("double"))
+                    .when(covered, interp)
+                    .otherwise(F.raise_error(F.lit("quantile bracket missed its rank")).cast("double"))
+                    .alias(names[i]))
+    return r.select(*by, "n", *outs, *extra.keys())
+
+
+def column_quantiles(df: DataFrame, cols, probs, method: str = "bounded", extra=None) -> DataFrame:
+    """Quantiles of several columns in one pass each step: the columns are unpivoted to
+    (column position, value) and grouped by position. Columns: __pos, n, q0.., extra..."""
+    long = df.select(F.inline(F.array(*[
+        F.struct(F.lit(i).alias("__pos"), F.col(f"`{c}`").cast("double").alias("__val"))
+        for i, c in enumerate(cols)])))
+    return grouped_quantiles(long, "__val", probs, by=["__pos"], method=method, extra=extra)
+
+
+def quantile_scalars(df: DataFrame, cols, probs, method: str = "bounded") -> dict[str, list[Column]]:
+    """{column: [quantile per prob]} as fields of one scalar subquery (no join, no collect)."""
+    q = column_quantiles(df, cols, probs, method)
+    names = [f"q{j}" for j in range(len(probs))]
+    packed = q.agg(F.struct(*[F.max(F.when(F.col("__pos") == i, F.col(nm))).alias(f"c{i}_{nm}")
+                              for i in range(len(cols)) for nm in names]).alias("s")).scalar()
+    return {c: [packed.getField(f"c{i}_{nm}") for nm in names] for i, c in enumerate(cols)}

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tablescope.functions.frames import long_from_row
-from tablescope.functions.quantiles import quantile, scalar_stats
+from tablescope.functions.quantiles import grouped_quantiles, scalar_stats
 from tablescope.functions.roles import is_numeric, numeric_columns
 from tablescope.operators.stats import bin_index, corr_matrix
 
@@ -83,7 +83,7 @@ def pie(df: DataFrame, x: str, y: str | None = None) -> DataFrame:
         "share", F.try_divide(F.col("value").cast("double"), total))
 
 
-def box(df: DataFrame, x: str, y: str, color: str | None = None, exact: bool = True) -> DataFrame:
+def box(df: DataFrame, x: str, y: str, color: str | None = None, method: str = "bounded") -> DataFrame:
     """Per group: n, mean, q1, median, q3, fences, whiskers (furthest points inside the
     fences) and the outlier count. Quartiles interpolate linearly, as the IQR outlier panel.
 
@@ -92,11 +92,9 @@ def box(df: DataFrame, x: str, y: str, color: str | None = None, exact: bool = T
     """
     keys = _keys(x, color)
     base = _present(df, [*keys, y]).select(*[_c(k) for k in keys], _c(y).cast("double").alias("__y"))
-    q = (base.groupBy(*keys)
-         .agg(F.count("__y").alias("n"), F.avg("__y").alias("mean"),
-              quantile("__y", [0.25, 0.5, 0.75], exact).alias("__q"))
-         .select(*keys, "n", "mean", F.col("__q")[0].alias("q1"), F.col("__q")[1].alias("median"),
-                 F.col("__q")[2].alias("q3"))
+    q = (grouped_quantiles(base, "__y", [0.25, 0.5, 0.75], by=keys, method=method,
+                           names=["q1", "median", "q3"], extra={"mean": F.avg})
+         .select(*keys, "n", "mean", "q1", "median", "q3")
          .withColumn("lower_fence", F.col("q1") - 1.5 * (F.col("q3") - F.col("q1")))
          .withColumn("upper_fence", F.col("q3") + 1.5 * (F.col("q3") - F.col("q1"))))
     y_ = F.col("__y")
@@ -122,7 +120,7 @@ SQRT_2PI = math.sqrt(2.0 * math.pi)
 
 
 def violin(df: DataFrame, x: str, y: str, color: str | None = None, grid: int = 50,
-           exact: bool = True) -> DataFrame:
+           method: str = "bounded") -> DataFrame:
     """Gaussian kernel density of y per group on ``grid`` points, plus the box numbers.
 
     Bandwidth (Silverman): 1.059 * min(sample std, IQR / 1.349) * n^(-1/5); when that is 0
@@ -132,12 +130,10 @@ def violin(df: DataFrame, x: str, y: str, color: str | None = None, grid: int =
     """
     keys = _keys(x, color)
     base = _present(df, [*keys, y]).select(*[_c(k) for k in keys], _c(y).cast("double").alias("__y"))
-    st = (base.groupBy(*keys)
-          .agg(F.count("__y").alias("n"), F.stddev_samp("__y").alias("std"),
-               F.min("__y").alias("y_min"), F.max("__y").alias("y_max"),
-               quantile("__y", [0.25, 0.5, 0.75], exact).alias("__q"))
-          .select(*keys, "n", "std", "y_min", "y_max", F.col("__q")[0].alias("q1"),
-                  F.col("__q")[1].alias("median"), F.col("__q")[2].alias("q3")))
+    st = (grouped_quantiles(base, "__y", [0.25, 0.5, 0.75], by=keys, method=method,
+                            names=["q1", "median", "q3"],
+                            extra={"std": F.stddev_samp, "y_min": F.min, "y_max": F.max})
+          .select(*keys, "n", "std", "y_min", "y_max", "q1", "median", "q3"))
     raw_bw = F.lit(1.059) * F.least(F.col("std"), (F.col("q3") - F.col("q1")) / F.lit(1.349)) \
         * F.pow(F.col("n").cast("double"), F.lit(-0.2))
     bw = F.when(raw_bw > 0, raw_bw).when(F.col("std") > 0, F.col("std")).otherwise(F.lit(1.0))

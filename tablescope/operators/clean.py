@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablescope.functions.binning import cut
-from tablescope.functions.quantiles import mode_of, quantile, scalar_stats
+from tablescope.functions.quantiles import mode_of, quantile_scalars, scalar_stats
 from tablescope.functions.text import title_case
 from tablescope.functions.values import map_values
 
@@ -23,12 +23,13 @@ AGE_DECADE_BINS = tuple(range(0, 90, 10))
 SURVIVAL_LABELS = {0: "Did Not Survive", 1: "Survived"}
 
 
-def fill_median(df: DataFrame, cols: Sequence[str], exact: bool = True) -> DataFrame:
-    """Nulls -> the column's median; all medians come from one scalar subquery."""
+def fill_median(df: DataFrame, cols: Sequence[str], method: str = "bounded") -> DataFrame:
+    """Nulls -> the column's exact median (see ``grouped_quantiles``); all medians come from
+    one scalar subquery."""
     if not cols:
         return df
-    med = scalar_stats(df, {c: quantile(c, 0.5, exact) for c in cols})
-    return df.withColumns({c: F.coalesce(F.col(c), med[c]) for c in cols})
+    med = quantile_scalars(df, list(cols), [0.5], method)
+    return df.withColumns({c: F.coalesce(F.col(c), med[c][0]) for c in cols})
 
 
 def fill_mean(df: DataFrame, cols: Sequence[str]) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablescope.functions.values import round_half_even
-from tablescope.functions.quantiles import quantile, scalar_stats
+from tablescope.functions.quantiles import grouped_quantiles, scalar_stats
 from tablescope.functions.values import map_values
 
 # Labels of a 0/1 outcome.
@@ -18,7 +18,6 @@ _STATS = {
     "mean": lambda v: F.avg(v),
     "count": lambda v: F.count(v),
     "std": lambda v: F.stddev_samp(v),
-    "median": lambda v: quantile(v, 0.5),
     "sum": lambda v: F.sum(v),
     "min": lambda v: F.min(v),
     "max": lambda v: F.max(v),
@@ -80,14 +79,21 @@ def numeric_by_group(df: DataFrame, by: str, value: str,
                      stats: Sequence[str] = ("mean", "count", "std"),
                      decimals: int | None = 2, labels: Sequence[str] | None = None) -> DataFrame:
     """Named statistics of ``value`` per group (``<value>_<stat>``), rounded half-even."""
-    v = F.col(value).cast("double")
-    exprs = []
-    for s in stats:
-        e = _STATS[s](v if s != "count" else F.col(value))
-        if s not in ("count",) and decimals is not None:
-            e = round_half_even(e, decimals)
-        exprs.append(e.alias(f"{value}_{s}"))
-    agg = df.where(F.col(by).isNotNull()).groupBy(by).agg(*exprs)
+    base = df.where(F.col(by).isNotNull())
+
+    def fmt(e, s):
+        return round_half_even(e, decimals) if s != "count" and decimals is not None else e
+
+    if "median" in stats:
+        # exact medians with bounded memory; the other statistics ride along in pass 1
+        q = grouped_quantiles(base, value, [0.5], by=[by], names=["__median"],
+                              extra={f"__{s}": _STATS[s] for s in stats if s != "median"})
+        agg = q.select(by, *[fmt(F.col("__median") if s == "median" else F.col(f"__{s}"), s)
+                             .alias(f"{value}_{s}") for s in stats])
+    else:
+        v = F.col(value).cast("double")
+        agg = base.groupBy(by).agg(*[fmt(_STATS[s](v if s != "count" else F.col(value)), s)
+                                     .alias(f"{value}_{s}") for s in stats])
     if labels is None:
         return agg.orderBy(by)
     zero = [f"{value}_count"] if "count" in stats else []

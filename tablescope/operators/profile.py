@@ -15,7 +15,7 @@ from pyspark.sql.window import Window
 
 from tablescope.functions.frames import long_from_row, wide_agg
 from tablescope.functions.values import round_half_even
-from tablescope.functions.quantiles import quantile
+from tablescope.functions.quantiles import quantile_scalars
 from tablescope.functions.roles import numeric_columns
 from tablescope.functions.text import truncate_text
 
@@ -67,7 +67,7 @@ DESCRIBE_STATS = ("count", "mean", "std", "min", "25%", "50%", "75%", "max")
 
 
 def describe(df: DataFrame, cols: Sequence[str] | None = None, decimals: int | None = 2,
-             exact: bool = True) -> DataFrame:
+             method: str = "bounded") -> DataFrame:
     """count, mean, sample std, min, quartiles (linear interpolation), max per numeric column.
 
     One row per statistic (column ``stat``) and one column per numeric input column.
@@ -80,12 +80,13 @@ def describe(df: DataFrame, cols: Sequence[str] | None = None, decimals: int | N
         x = F.col(f"`{c}`").cast("double")
         aggs += [F.count(x).cast("double").alias(f"count{i}"), F.avg(x).alias(f"mean{i}"),
                  F.stddev_samp(x).alias(f"std{i}"), F.min(x).alias(f"min{i}"),
-                 F.max(x).alias(f"max{i}"), quantile(x, [0.25, 0.5, 0.75], exact).alias(f"q{i}")]
+                 F.max(x).alias(f"max{i}")]
     row = df.agg(*aggs)
+    qs = quantile_scalars(df, cols, [0.25, 0.5, 0.75], method)
     pick = {"count": lambda i: F.col(f"count{i}"), "mean": lambda i: F.col(f"mean{i}"),
             "std": lambda i: F.col(f"std{i}"), "min": lambda i: F.col(f"min{i}"),
-            "25%": lambda i: F.col(f"q{i}")[0], "50%": lambda i: F.col(f"q{i}")[1],
-            "75%": lambda i: F.col(f"q{i}")[2], "max": lambda i: F.col(f"max{i}")}
+            "25%": lambda i: qs[cols[i]][0], "50%": lambda i: qs[cols[i]][1],
+            "75%": lambda i: qs[cols[i]][2], "max": lambda i: F.col(f"max{i}")}
 
     def fmt(e):
         return round_half_even(e, decimals) if decimals is not None else e

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablescope.functions.frames import long_from_row, wide_agg
-from tablescope.functions.quantiles import quantile, scalar_stats
+from tablescope.functions.quantiles import quantile_scalars, scalar_stats
 from tablescope.functions.roles import numeric_columns
 
 
@@ -80,16 +80,16 @@ def target_correlation(df: DataFrame, target: str | None = None,
     return long_from_row(row, items).orderBy(F.col("correlation").desc_nulls_last(), "position")
 
 
-def _fences(df: DataFrame, col: str, k: float, exact: bool):
-    q = scalar_stats(df, {"q1": quantile(col, 0.25, exact), "q3": quantile(col, 0.75, exact)})
-    iqr = q["q3"] - q["q1"]
-    return q["q1"], q["q3"], iqr, q["q1"] - F.lit(k) * iqr, q["q3"] + F.lit(k) * iqr
+def _fences(df: DataFrame, col: str, k: float, method: str):
+    q1, q3 = quantile_scalars(df, [col], [0.25, 0.75], method)[col]
+    iqr = q3 - q1
+    return q1, q3, iqr, q1 - F.lit(k) * iqr, q3 + F.lit(k) * iqr
 
 
-def outliers(df: DataFrame, col: str | None = None, k: float = 1.5, exact: bool = True) -> DataFrame:
+def outliers(df: DataFrame, col: str | None = None, k: float = 1.5, method: str = "bounded") -> DataFrame:
     """IQR rule on one column (default: the first numeric): strict < Q1-k*IQR or > Q3+k*IQR."""
     col = col or numeric_columns(df, 1)[0]
-    q1, q3, iqr, lo, hi = _fences(df, col, k, exact)
+    q1, q3, iqr, lo, hi = _fences(df, col, k, method)
     v = _d(col)
     counts = df.agg(F.count(v).alias("total_count"),
                     F.count_if((v < lo) | (v > hi)).alias("outlier_count"))
@@ -100,10 +100,10 @@ def outliers(df: DataFrame, col: str | None = None, k: float = 1.5, exact: bool
                          .alias("outlier_pct"))
 
 
-def outlier_rows(df: DataFrame, col: str | None = None, k: float = 1.5, exact: bool = True) -> DataFrame:
+def outlier_rows(df: DataFrame, col: str | None = None, k: float = 1.5, method: str = "bounded") -> DataFrame:
     """The rows outside the fences (a filter with the fences as scalar subqueries)."""
     col = col or numeric_columns(df, 1)[0]
-    _, _, _, lo, hi = _fences(df, col, k, exact)
+    _, _, _, lo, hi = _fences(df, col, k, method)
     v = _d(col)
     return df.where((v < lo) | (v > hi))
 
