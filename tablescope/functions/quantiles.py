@@ -63,7 +63,7 @@ METHODS = ("bounded", "percentile", "approx")
 
 def grouped_quantiles(df: DataFrame, value: str, probs, by=(), method: str = "bounded",
                       names=None, extra: Mapping | None = None,
-                      accuracy: int = BRACKET_ACCURACY) -> DataFrame:
+                      accuracy: int = BRACKET_ACCURACY, max_groups: int | None = None) -> DataFrame:
     """Quantiles of ``value`` per group: columns *by, n, <names...>, <extra...>.
 
     Linear interpolation between the order statistics at floor and ceil of (n-1)p, the same
@@ -82,7 +82,9 @@ def grouped_quantiles(df: DataFrame, value: str, probs, by=(), method: str = "bo
     3. the order statistics are read off those counts and the sorted inside values.
 
     A hot group is reduced map-side in both passes. If a bracket ever missed its ranks the
-    query fails loudly instead of returning a wrong number.
+    query fails loudly instead of returning a wrong number. ``max_groups`` states a proven
+    bound on the number of groups (e.g. the number of profiled columns): the bracket table is
+    then broadcast explicitly; otherwise AQE decides from its measured size.
     method="percentile" uses Spark's exact ``percentile`` (one entry per distinct value of a
     group); method="approx" uses ``percentile_approx``.
     """
@@ -122,7 +124,8 @@ def grouped_quantiles(df: DataFrame, value: str, probs, by=(), method: str = "bo
     bounds = st.select(*by, "n", *extra.keys(), *bound_cols)
     bound_names = ["n", *extra.keys(), *[f"__{s}{i}" for i in range(m) for s in ("lo", "hi")]]
     if by:
-        joined = base.join(bounds, by)
+        small_side = F.broadcast(bounds) if max_groups is not None and max_groups <= 100_000 else bounds
+        joined = base.join(small_side, by)
     else:
         packed = bounds.select(F.struct(*bound_names).alias("s")).scalar()
         joined = base.select("__v", *[packed.getField(c).alias(c) for c in bound_names])
@@ -163,7 +166,8 @@ def column_quantiles(df: DataFrame, cols, probs, method: str = "bounded", extra=
     long = df.select(F.inline(F.array(*[
         F.struct(F.lit(i).alias("__pos"), F.col(f"`{c}`").cast("double").alias("__val"))
         for i, c in enumerate(cols)])))
-    return grouped_quantiles(long, "__val", probs, by=["__pos"], method=method, extra=extra)
+    return grouped_quantiles(long, "__val", probs, by=["__pos"], method=method, extra=extra,
+                             max_groups=len(cols))
 
 
 def quantile_scalars(df: DataFrame, cols, probs, method: str = "bounded") -> dict[str, list[Column]]:
