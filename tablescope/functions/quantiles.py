@@ -84,9 +84,8 @@ def grouped_quantiles(df: DataFrame, value: str, probs, by=(), method: str = "bo
     A hot group is reduced map-side in both passes. If a bracket ever missed its ranks the
     query fails loudly instead of returning a wrong number. ``max_groups`` states a proven
     bound on the number of groups (e.g. the number of profiled columns): the bracket table is
-    then broadcast explicitly; otherwise AQE decides from its measured size.
-    method="percentile" uses Spark's exact ``percentile`` (one entry per distinct value of a
-    group); method="approx" uses ``percentile_approx``.
+    then broadcast directly; otherwise it is checkpointed and counted first, and broadcast only
+    when that count is small (``session.checked_small_side``).
     """
     probs = [float(p) for p in probs]
     names = list(names) if names is not None else [f"q{i}" for i in range(len(probs))]
@@ -124,7 +123,11 @@ def grouped_quantiles(df: DataFrame, value: str, probs, by=(), method: str = "bo
     bounds = st.select(*by, "n", *extra.keys(), *bound_cols)
     bound_names = ["n", *extra.keys(), *[f"__{s}{i}" for i in range(m) for s in ("lo", "hi")]]
     if by:
-        small_side = F.broadcast(bounds) if max_groups is not None and max_groups <= 100_000 else bounds
+        if max_groups is not None and max_groups <= 100_000:
+            small_side = F.broadcast(bounds)
+        else:
+            from tablescope.session import checked_small_side
+            small_side, _ = checked_small_side(bounds)
         joined = base.join(small_side, by)
     else:
         packed = bounds.select(F.struct(*bound_names).alias("s")).scalar()

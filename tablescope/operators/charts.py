@@ -17,6 +17,7 @@ from tablescope.functions.frames import long_from_row
 from tablescope.functions.quantiles import grouped_quantiles, scalar_stats
 from tablescope.functions.roles import is_numeric, numeric_columns
 from tablescope.operators.stats import bin_index, corr_matrix
+from tablescope.session import checked_small_side
 
 
 def _c(name: str) -> Column:
@@ -88,7 +89,7 @@ def box(df: DataFrame, x: str, y: str, color: str | None = None, method: str = "
     fences) and the outlier count. Quartiles interpolate linearly, as the IQR outlier panel.
 
     Pass 1 aggregates quartiles per group; pass 2 joins the per-group fences back (one row
-    per group: AQE broadcasts it once it has measured it) and aggregates the whiskers.
+    per group, checkpointed and counted, broadcast when small) and aggregates the whiskers.
     """
     keys = _keys(x, color)
     base = _present(df, [*keys, y]).select(*[_c(k) for k in keys], _c(y).cast("double").alias("__y"))
@@ -98,7 +99,8 @@ def box(df: DataFrame, x: str, y: str, color: str | None = None, method: str = "
          .withColumn("lower_fence", F.col("q1") - 1.5 * (F.col("q3") - F.col("q1")))
          .withColumn("upper_fence", F.col("q3") + 1.5 * (F.col("q3") - F.col("q1"))))
     y_ = F.col("__y")
-    whiskers = (base.join(q.select(*keys, "lower_fence", "upper_fence"), keys)
+    fences, _ = checked_small_side(q.select(*keys, "lower_fence", "upper_fence"))
+    whiskers = (base.join(fences, keys)
                 .groupBy(*keys)
                 .agg(F.min(F.when(y_ >= F.col("lower_fence"), y_)).alias("whisker_low"),
                      F.max(F.when(y_ <= F.col("upper_fence"), y_)).alias("whisker_high"),
@@ -141,7 +143,8 @@ def violin(df: DataFrame, x: str, y: str, color: str | None = None, grid: int =
     st = st.withColumn("grid_lo", F.col("y_min") - 2 * F.col("bandwidth")) \
            .withColumn("grid_step", (F.col("y_max") - F.col("y_min") + 4 * F.col("bandwidth"))
                        / F.lit(float(grid - 1)))
-    joined = base.join(st.select(*keys, "bandwidth", "grid_lo", "grid_step"), keys)
+    grid_side, _ = checked_small_side(st.select(*keys, "bandwidth", "grid_lo", "grid_step"))
+    joined = base.join(grid_side, keys)
     y_ = F.col("__y")
     sums = [F.sum(F.exp(F.lit(-0.5) * F.pow((F.col("grid_lo") + F.lit(float(i)) * F.col("grid_step") - y_)
                                            / F.col("bandwidth"), 2))).alias(f"k{i}")

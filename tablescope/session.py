@@ -78,3 +78,22 @@ def materialize(df, name: str):
     path = shared_dir(spark, name)
     df.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
+
+
+BROADCAST_MAX_ROWS = 1_000_000
+
+
+def checked_small_side(small, max_rows: int = BROADCAST_MAX_ROWS):
+    """Make a per-group side table (one row per group) safe to join.
+
+    The table is checkpointed (reliable, in the shared checkpoint folder: lineage is cut and
+    it survives lost executors) and its rows are counted. Within ``max_rows`` it is marked for
+    broadcast, so the large side is never shuffled for the join; beyond that it is returned
+    as it is and the join shuffles both sides (AQE splits skewed partitions).
+    Returns (table, broadcast?).
+    """
+    from pyspark.sql import functions as F
+    checkpoint_root(small.sparkSession)
+    table = small.checkpoint(eager=True)
+    rows = table.count()
+    return (F.broadcast(table), True) if rows <= max_rows else (table, False)
