@@ -177,3 +177,9 @@ def c12(spark, sf_dir):
     o = table(spark, sf_dir, "orders").withColumn("yr", F.year("o_orderdate"))
     return rounded(CH.area(o, "yr", "o_totalprice", "o_orderpriority"),
                    {"value": 2, "stack_top": 2, "stack_base": 2})
+
+
+@register("C5_box_events", box_sql("events", "event_type", "value"))
+def c5_events(spark, sf_dir):
+    out = CH.box(table(spark, sf_dir, "events"), "event_type", "value")
+    return rounded(out, {c: 4 for c in ("mean", "q1", "median", "q3", "lower_fence", "upper_fence")})

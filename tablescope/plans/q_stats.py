@@ -118,3 +118,40 @@ def hist_sql(src: str, col: str, bins: int, extra_select: str = "", extra_group:
 def s6(spark, sf_dir):
     return rounded(ST.distributions(table(spark, sf_dir, "lineitem"), bins=20, n=4),
                    {"bin_lo": 6, "bin_hi": 6})
+
+
+def _fences_sql(table_name: str, col: str) -> str:
+    return f"""q AS (SELECT quantile_cont({col}, 0.25) AS q1, quantile_cont({col}, 0.75) AS q3 FROM {table_name}),
+f AS (SELECT q1, q3, q3 - q1 AS iqr, q1 - 1.5 * (q3 - q1) AS lo, q3 + 1.5 * (q3 - q1) AS hi FROM q)"""
+
+
+def _outliers_sql(table_name: str, col: str) -> str:
+    return f"""
+WITH {_fences_sql(table_name, col)}
+SELECT '{col}' AS "column", round(q1, 4) AS q1, round(q3, 4) AS q3, round(iqr, 4) AS iqr,
+       round(lo, 4) AS lower_bound, round(hi, 4) AS upper_bound,
+       (SELECT count(*) FROM {table_name}, f WHERE {col} < f.lo OR {col} > f.hi) AS outlier_count,
+       (SELECT count({col}) FROM {table_name}) AS total_count,
+       round((SELECT count(*) FROM {table_name}, f WHERE {col} < f.lo OR {col} > f.hi) * 100.0
+             / (SELECT count({col}) FROM {table_name}), 6) AS outlier_pct
+FROM f"""
+
+
+_OUT_ROUND = {"q1": 4, "q3": 4, "iqr": 4, "lower_bound": 4, "upper_bound": 4, "outlier_pct": 6}
+
+
+@register("S5_outliers_events_value", _outliers_sql("events", "value"))
+def s5_events(spark, sf_dir):
+    return rounded(ST.outliers(table(spark, sf_dir, "events"), "value"), _OUT_ROUND)
+
+
+@register("S5_outlier_rows_events_value", f"""
+WITH {_fences_sql("events", "value")}
+SELECT e.* FROM events e, f WHERE e.value < f.lo OR e.value > f.hi""")
+def s5_events_rows(spark, sf_dir):
+    return ST.outlier_rows(table(spark, sf_dir, "events"), "value")
+
+
+@register("S5_outliers_documents_n_chars", _outliers_sql("documents", "n_chars"))
+def s5_docs(spark, sf_dir):
+    return rounded(ST.outliers(table(spark, sf_dir, "documents"), "n_chars"), _OUT_ROUND)
