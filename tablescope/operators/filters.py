@@ -27,7 +27,7 @@ def filter_domains_categorical(df: DataFrame, cols: Sequence[str] | None = None,
         for i, c in enumerate(cols)])))
     distinct = pairs.where(F.col("value").isNotNull()).select("position", "column", "value").distinct()
     w = Window.partitionBy("position").orderBy("value")
-    return (distinct.withColumn("value_rank", F.row_number().over(w))
+    return (distinct.withColumn("value_rank", F.row_number().over(w).cast("bigint"))
             .where(F.col("value_rank") <= limit)
             .select("column", "position", "value", "value_rank"))
 

@@ -177,5 +177,5 @@ def sample_series(df: DataFrame, order_by, n: int = 20, col: str | None = None)
     col = col or numeric_columns(df, 1, exclude=())[0]
     top = df.select(*keys, F.col(f"`{col}`").alias("value")).orderBy(*keys).limit(n)
     w = Window.orderBy(*keys)
-    return top.select((F.row_number().over(w) - 1).alias("position"),
+    return top.select((F.row_number().over(w) - 1).cast("bigint").alias("position"),
                       F.lit(col).alias("column"), "value")

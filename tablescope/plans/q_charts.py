@@ -171,7 +171,7 @@ def c11(spark, sf_dir):
 SELECT yr, o_orderpriority, round(value, 2) AS value,
        round(sum(value) OVER (PARTITION BY yr ORDER BY o_orderpriority ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 2) AS stack_top,
        round(sum(value) OVER (PARTITION BY yr ORDER BY o_orderpriority ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - value, 2) AS stack_base
-FROM (SELECT year(o_orderdate) AS yr, o_orderpriority, sum(o_totalprice) AS value FROM orders
+FROM (SELECT CAST(year(o_orderdate) AS INTEGER) AS yr, o_orderpriority, sum(o_totalprice) AS value FROM orders
       WHERE year(o_orderdate) IS NOT NULL AND o_orderpriority IS NOT NULL GROUP BY 1, 2)""")
 def c12(spark, sf_dir):
     o = table(spark, sf_dir, "orders").withColumn("yr", F.year("o_orderdate"))

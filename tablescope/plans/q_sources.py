@@ -13,7 +13,7 @@ from tablescope.sources import tables as S
 from tablescope.sources.json_records import parse_json_column
 
 
-@register("L1_csv_scan", "SELECT c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment FROM customer")
+@register("L1_csv_scan", "SELECT c_custkey, c_name, CAST(c_nationkey AS BIGINT) AS c_nationkey, c_acctbal, c_mktsegment FROM customer")
 def l1(spark, sf_dir):
     """customer -> CSV in the shared folder -> read back with NA words and type decisions."""
     path = shared_dir(spark, "l1-customer-csv")
@@ -21,7 +21,7 @@ def l1(spark, sf_dir):
     return S.read_table(spark, path, fmt="csv")
 
 
-@register("L6_csv_sink", "SELECT s_suppkey, s_name, s_nationkey, s_acctbal FROM supplier")
+@register("L6_csv_sink", "SELECT s_suppkey, s_name, CAST(s_nationkey AS BIGINT) AS s_nationkey, s_acctbal FROM supplier")
 def l6(spark, sf_dir):
     """supplier written as CSV (header, no index column) and read back."""
     path = shared_dir(spark, "l6-supplier-csv")
