@@ -31,4 +31,4 @@ def rounded(df: DataFrame, decimals: dict[str, int]) -> DataFrame:
 
 
 # The modules below fill QUERIES / ORACLES when imported.
-from tablescope.plans import q_sources, q_clean, q_profile, q_groups, q_stats, q_charts, q_templates, q_learn, q_stream  # noqa: E402,F401
+from tablescope.plans import q_sources, q_clean, q_profile, q_groups, q_stats, q_charts, q_templates, q_learn, q_stream, q_more  # noqa: E402,F401
