@@ -54,13 +54,24 @@ def add_bins(df: DataFrame, col: str, edges, labels=None, right: bool = True,
     return df.withColumn(name or f"{col}_bin", cut(col, edges, labels, right))
 
 
-def clean(df: DataFrame, fill: bool = True, derive: bool = True) -> DataFrame:
+def clean(df: DataFrame, fill: bool = True, derive: bool = True,
+          reuse_input: str | None = None) -> DataFrame:
     """The default pipeline; each step runs only when its input columns are present.
 
     Fills come first (median age and fare, mode of embarked), then the derived columns
     age_group, fare_category, family_size, family_category, survival_status, gender.
+    The fills read the input three times (median sketch, median bracket, mode) before the
+    final projection. When the input is an expensive plan (joins), ``reuse_input="cache"``
+    persists it (MEMORY_AND_DISK; lost blocks are recomputed from lineage) and
+    ``reuse_input="write"`` writes it once as Parquet to the shared folder (lineage cut).
     """
     cols = set(df.columns)
+    if fill and reuse_input == "cache":
+        from pyspark import StorageLevel
+        df = df.persist(StorageLevel.MEMORY_AND_DISK)
+    elif fill and reuse_input == "write":
+        from tablescope.session import materialize
+        df = materialize(df, "clean-input")
     out = df
     if fill:
         out = fill_median(out, [c for c in ("age", "fare") if c in cols])

@@ -123,7 +123,7 @@ SELECT passenger_id, survived, pclass, sex, age, sibsp, parch, round(fare, 6) AS
        upper(sex[1]) || lower(sex[2:]) AS gender
 FROM f""")
 def p9(spark, sf_dir):
-    return rounded(C.clean(passengers(spark, sf_dir, full=True)), {"fare": 6})
+    return rounded(C.clean(passengers(spark, sf_dir, full=True), reuse_input="cache"), {"fare": 6})
 
 
 @register("P10_round", """

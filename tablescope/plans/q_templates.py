@@ -56,7 +56,7 @@ def _template_sql(name):
 
 def _template_query(name):
     def run(spark, sf_dir):
-        df = C.clean(passengers(spark, sf_dir, full=True), derive=False)
+        df = C.clean(passengers(spark, sf_dir, full=True), derive=False, reuse_input="cache")
         df = df.withColumn("family_size", df["sibsp"] + df["parch"] + 1)
         return rounded(template_long(df, name, key=KEY), {"value": 6})
     run.__name__ = f"t1_{name}"
