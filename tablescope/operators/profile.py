@@ -75,13 +75,14 @@ def describe(df: DataFrame, cols: Sequence[str] | None = None, decimals: int | N
     cols = list(cols) if cols is not None else numeric_columns(df)
     if not cols:
         raise ValueError("no numeric columns to describe")
-    aggs = []
+    aggs, widths = {}, {}
     for i, c in enumerate(cols):
         x = F.col(f"`{c}`").cast("double")
-        aggs += [F.count(x).cast("double").alias(f"count{i}"), F.avg(x).alias(f"mean{i}"),
-                 F.stddev_samp(x).alias(f"std{i}"), F.min(x).alias(f"min{i}"),
-                 F.max(x).alias(f"max{i}")]
-    row = df.agg(*aggs)
+        for name, expr, width in ((f"count{i}", F.count(x).cast("double"), 1), (f"mean{i}", F.avg(x), 2),
+                                  (f"std{i}", F.stddev_samp(x), 3), (f"min{i}", F.min(x), 1),
+                                  (f"max{i}", F.max(x), 1)):
+            aggs[name], widths[name] = expr, width
+    row = wide_agg(df, aggs, widths)
     qs = quantile_scalars(df, cols, [0.25, 0.5, 0.75], method)
     pick = {"count": lambda i: F.col(f"count{i}"), "mean": lambda i: F.col(f"mean{i}"),
             "std": lambda i: F.col(f"std{i}"), "min": lambda i: F.col(f"min{i}"),

@@ -63,3 +63,17 @@ def test_keyed_scatter_sample_is_repeatable(spark):
     assert ids_a == sorted(r["id"] for r in b.collect())
     assert 500 < len(ids_a) < 2000            # about max_points rows, chosen by key hash
     assert CH.scatter(df, "x", "y").count() == 10000
+
+
+def test_wide_table_profiles_match_pandas(spark):
+    """20 columns: describe and 190 correlation pairs run as chunked aggregates."""
+    from tablescope.operators import profile as PR
+    from tablescope.operators import stats as ST
+    df = spark.range(1500).select(*[(F.sin(F.col("id") * (k + 1)) * (k + 1)).alias(f"c{k}") for k in range(20)])
+    pdf = df.toPandas()
+    d = PR.describe(df, decimals=None).toPandas().set_index("stat")
+    ref = pdf.describe()
+    assert np.nanmax(np.abs(d[ref.columns].values - ref.values)) < 1e-9
+    pc = pdf.corr()
+    for r in ST.corr_matrix(df).collect():
+        assert r["r"] == pytest.approx(pc.loc[r["a"], r["b"]], abs=1e-12)
