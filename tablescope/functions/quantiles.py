@@ -60,6 +60,9 @@ def mode_of(df: DataFrame, col: str) -> Column:
 
 BRACKET_ACCURACY = None          # None: chosen from the largest group (see grouped_quantiles)
 MIN_ACCURACY, MAX_ACCURACY = 1_000, 10_000_000
+# Up to this many rows in the largest group Spark's one-pass exact ``percentile`` is used:
+# its per-group buffer holds at most that many (value, count) entries.
+PERCENTILE_MAX_ROWS = 1_000_000
 METHODS = ("bounded", "percentile", "approx")
 
 
@@ -84,7 +87,8 @@ def grouped_quantiles(df: DataFrame, value: str, probs, by=(), method: str = "bo
     3. the order statistics are read off those counts and the sorted inside values.
 
     With ``accuracy=None`` a grouped count (one bounded row back) first finds the largest
-    group n_max, and accuracy = sqrt(8 n_max) balances the sketch (~accuracy entries) against
+    group n_max. Up to ``PERCENTILE_MAX_ROWS`` the one-pass ``percentile`` is provably small
+    and is used; above it accuracy = sqrt(8 n_max) balances the sketch (~accuracy entries) against
     the collected bracket (~8 n / accuracy values): about 1.3 million each for a group of
     2e11 rows, a few thousand for a million rows.
     A hot group is reduced map-side in all passes. If a bracket ever missed its ranks the
@@ -117,6 +121,8 @@ def grouped_quantiles(df: DataFrame, value: str, probs, by=(), method: str = "bo
     if accuracy is None:
         counts = base.groupBy(*by).agg(F.count(F.lit(1)).alias("c")) if by else base.agg(F.count(F.lit(1)).alias("c"))
         n_max = counts.agg(F.max("c")).first()[0] or 0
+        if n_max <= PERCENTILE_MAX_ROWS:
+            return grouped_quantiles(df, value, probs, by, "percentile", names, extra)
         accuracy = int(min(max(math.isqrt(8 * n_max) + 1, MIN_ACCURACY), MAX_ACCURACY))
     delta = 3.0 / accuracy
     small = accuracy // 2
