@@ -83,11 +83,15 @@ def forest_importance(df: DataFrame, target: str | None = None, cols: Sequence[s
     else:
         n_distinct = cardinality(df, [target]).first()["n_distinct"]
     feats = [c for c in nums if c != target]
-    data = _spread(_prepare(df, feats, target)).persist(StorageLevel.MEMORY_AND_DISK)
+    classify = _is_classification(df, target, n_distinct, max_classes)
+    prepared = _prepare(df, feats, target)
+    if not classify:
+        prepared = prepared.withColumn(target, F.col(target).cast("double"))
+    data = _spread(prepared).persist(StorageLevel.MEMORY_AND_DISK)
     checkpoint_root(spark)
     try:
         stages = [VectorAssembler(inputCols=feats, outputCol="__features", handleInvalid="keep")]
-        if _is_classification(df, target, n_distinct, max_classes):
+        if classify:
             stages += [StringIndexer(inputCol=target, outputCol="__label", stringOrderType="alphabetAsc"),
                        RandomForestClassifier(featuresCol="__features", labelCol="__label", numTrees=num_trees,
                                               maxDepth=max_depth, seed=seed, cacheNodeIds=True,
@@ -96,9 +100,7 @@ def forest_importance(df: DataFrame, target: str | None = None, cols: Sequence[s
             stages += [RandomForestRegressor(featuresCol="__features", labelCol=target, numTrees=num_trees,
                                              maxDepth=max_depth, seed=seed, cacheNodeIds=True,
                                              checkpointInterval=10)]
-        model = Pipeline(stages=stages).fit(data.withColumn(target, F.col(target).cast("double"))
-                                            if not _is_classification(df, target, n_distinct, max_classes)
-                                            else data)
+        model = Pipeline(stages=stages).fit(data)
     finally:
         data.unpersist()
     imp = model.stages[-1].featureImportances.toArray().tolist()
