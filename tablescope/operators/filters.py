@@ -12,26 +12,53 @@ from tablescope.functions.frames import long_from_row, wide_agg
 from tablescope.functions.roles import categorical_columns, numeric_columns
 
 
-def filter_domains_categorical(df: DataFrame, cols: Sequence[str] | None = None,
-                               limit: int = 20) -> DataFrame:
-    """(column, position, value, value_rank): up to ``limit`` distinct non-null values per column.
+# Above this many distinct values (HyperLogLog estimate) a column takes the rank-first route.
+HIGH_CARDINALITY = 10_000
 
-    Spark has no row order, so the smallest values are listed (not the first seen). Values are
-    de-duplicated by a map-side combined aggregate, and the ``row_number() <= limit`` filter
-    lets Spark insert a per-partition group limit before the second shuffle.
-    """
-    cols = list(cols) if cols is not None else categorical_columns(df)
+
+def _domain_rows(df: DataFrame, indexed: list[tuple[int, str]], limit: int, rank_first: bool) -> DataFrame:
     pairs = df.select(F.inline(F.array(*[
         F.struct(F.lit(i).alias("position"), F.lit(c).alias("column"),
                  F.col(f"`{c}`").cast("string").alias("value"))
-        for i, c in enumerate(cols)])))
-    distinct = pairs.where(F.col("value").isNotNull()).select("position", "column", "value").distinct()
+        for i, c in indexed]))).where(F.col("value").isNotNull())
     w = Window.partitionBy("position").orderBy("value")
+    if rank_first:
+        # many distinct values: dense_rank <= limit lets Spark cut every task down to its
+        # `limit` smallest values before the shuffle; duplicates of those are few
+        pairs = pairs.withColumn("__dr", F.dense_rank().over(w)).where(F.col("__dr") <= limit).drop("__dr")
+    # few distinct values: the map-side de-duplication collapses the rows first
+    distinct = pairs.select("position", "column", "value").distinct()
     return (distinct.withColumn("value_rank", F.row_number().over(w).cast("bigint"))
             .where(F.col("value_rank") <= limit)
             .select("column", "position", "value", "value_rank"))
 
 
+def filter_domains_categorical(df: DataFrame, cols: Sequence[str] | None = None,
+                               limit: int = 20, high_cardinality: int | None = HIGH_CARDINALITY) -> DataFrame:
+    """(column, position, value, value_rank): up to ``limit`` distinct non-null values per column.
+
+    Spark has no row order, so the smallest values are listed (not the first seen). Columns
+    with few distinct values are de-duplicated map-side, then limited. Columns with many
+    (one ``approx_count_distinct`` pass decides, one bounded row back) are limited first with
+    ``dense_rank() <= limit``, which Spark applies inside each task before the shuffle, so a
+    column of long unique texts does not ship every value. ``high_cardinality=None`` skips
+    the estimate and uses the de-duplicating route for all columns.
+    """
+    cols = list(cols) if cols is not None else categorical_columns(df)
+    indexed = list(enumerate(cols))
+    if high_cardinality is None or not cols:
+        return _domain_rows(df, indexed, limit, rank_first=False)
+    est = df.agg(*[F.approx_count_distinct(F.col(f"`{c}`")).alias(f"d{i}") for i, c in indexed]).first()
+    many = [(i, c) for i, c in indexed if est[f"d{i}"] > high_cardinality]
+    few = [(i, c) for i, c in indexed if est[f"d{i}"] <= high_cardinality]
+    parts = ([_domain_rows(df, few, limit, rank_first=False)] if few else []) + \
+            ([_domain_rows(df, many, limit, rank_first=True)] if many else [])
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
 def filter_domains_numeric(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     """(column, position, min, max, slider_min, slider_max); all-null columns get no row.
 
