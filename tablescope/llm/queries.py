@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import sys
 from collections.abc import Callable
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablescope.llm import decontaminate, quality
+from tablescope.llm import decontaminate, packing, quality, shard
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -24,6 +22,29 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def tokenizer_path() -> str:
+    import public_tokenizers
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+@query
+def op1_hierarchical_packing(spark, sf_dir):
+    pieces = packing.pack(_table(spark, sf_dir, "documents"), tokenizer_path())
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens",
+                         "sequence_id", "offset", "tier", "step_group")
+
+
+@query
+def op3_histogram_sharding(spark, sf_dir):
+    body = F.coalesce(F.col("text"), F.lit(""))
+    docs = _table(spark, sf_dir, "documents").select(
+        "doc_id", (F.octet_length(body) + 1).cast("long").alias("size"),
+        F.crc32(body.cast("binary")).alias("text_crc32"), F.xxhash64(body).alias("text_key"))
+    return shard.shard(docs, size="size", key="text_key").select(
+        "row.doc_id", "row.size", "row.text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
+        F.lit(None).cast("int").alias("grown_shard"))
+
+
 @query
 def op6_quality_classifier(spark, sf_dir):
     docs = _table(spark, sf_dir, "documents")
