@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablescope.llm import decontaminate, packing, quality, shard
+from tablescope.llm import decontaminate, packing, quality, shard, substring
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -54,6 +54,12 @@ def op6_quality_classifier(spark, sf_dir):
                          "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+@query
+def op7_substring_dedup(spark, sf_dir):
+    found = substring.remove_repeats(_table(spark, sf_dir, "documents"))
+    return found.select("row.doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
 @query
 def op10_benchmark_decontamination(spark, sf_dir):
     found = decontaminate.mark(_table(spark, sf_dir, "documents").select("doc_id", "text"),
