@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablescope.llm import decontaminate, packing, quality, shard, substring
+from tablescope.llm import decontaminate, near_text, packing, quality, shard, substring
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -45,6 +45,12 @@ def op3_histogram_sharding(spark, sf_dir):
         F.lit(None).cast("int").alias("grown_shard"))
 
 
+@query
+def op5_minhash_near_dedup(spark, sf_dir):
+    found = near_text.near_duplicates(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "class_id", "component_id", "kept")
+
+
 @query
 def op6_quality_classifier(spark, sf_dir):
     docs = _table(spark, sf_dir, "documents")
