@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablescope.llm import decontaminate, near_text, packing, quality, shard, substring
+from tablescope.llm import decontaminate, lines, near_text, near_vectors, packing, quality, shard, substring
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -34,6 +34,11 @@ def op1_hierarchical_packing(spark, sf_dir):
                          "sequence_id", "offset", "tier", "step_group")
 
 
+@query
+def op2_embedding_near_dedup(spark, sf_dir):
+    return near_vectors.near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
 @query
 def op3_histogram_sharding(spark, sf_dir):
     body = F.coalesce(F.col("text"), F.lit(""))
@@ -66,6 +71,12 @@ def op7_substring_dedup(spark, sf_dir):
     return found.select("row.doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
+@query
+def op8_line_dedup(spark, sf_dir):
+    found = lines.remove_common_lines(_table(spark, sf_dir, "documents"))
+    return found.select("row.doc_id", "n_lines", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
 @query
 def op10_benchmark_decontamination(spark, sf_dir):
     found = decontaminate.mark(_table(spark, sf_dir, "documents").select("doc_id", "text"),
