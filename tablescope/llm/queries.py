@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablescope.llm import decontaminate, lines, near_text, near_vectors, packing, quality, shard, substring
+from tablescope.llm import decontaminate, lines, near_text, near_vectors, packing, preference, quality, shard, substring, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -50,6 +50,12 @@ def op3_histogram_sharding(spark, sf_dir):
         F.lit(None).cast("int").alias("grown_shard"))
 
 
+@query
+def op4_seekable_warc(spark, sf_dir):
+    folder, index = warc.write_archives(_table(spark, sf_dir, "pages"))
+    return warc.read_archives(folder, index).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 @query
 def op5_minhash_near_dedup(spark, sf_dir):
     found = near_text.near_duplicates(_table(spark, sf_dir, "documents"))
@@ -77,6 +83,16 @@ def op8_line_dedup(spark, sf_dir):
     return found.select("row.doc_id", "n_lines", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
+@query
+def op9_preference_formatting(spark, sf_dir):
+    chosen, rejected = preference.last_reply_swapped(_table(spark, sf_dir, "conversations"))
+    out = preference.format_pairs(chosen, rejected)
+
+    def ranges(c):
+        return F.array_join(F.transform(c, lambda x: F.concat(x["s"].cast("string"), F.lit("-"), x["e"].cast("string"))), ",").alias(c)
+    return out.select("pair_id", "n_common", "prompt", "chosen", "rejected", ranges("chosen_mask"), ranges("rejected_mask"))
+
+
 @query
 def op10_benchmark_decontamination(spark, sf_dir):
     found = decontaminate.mark(_table(spark, sf_dir, "documents").select("doc_id", "text"),
