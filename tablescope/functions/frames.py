@@ -8,6 +8,26 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def col_of(name: str) -> Column:
+    """The column of exactly this name, dots, blanks and back-ticks included."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+SALTS = 16
+
+
+def join_by_group(rows: DataFrame, side: DataFrame, keys: Sequence[str], spread: Column) -> DataFrame:
+    """Inner join of rows with a per-group side table that no hot group sends to one task.
+
+    Rows are salted by a hash of ``spread`` into ``SALTS`` parts and the side table, which has few
+    rows per group, is repeated for each. A following aggregate on the keys gets its own exchange
+    after map-side combining. Spark still broadcasts the side when it measures it small.
+    """
+    salted = side.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return (rows.withColumn("__salt", F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int"))
+            .join(salted, [*keys, "__salt"]).drop("__salt"))
+
+
 def one_row(df: DataFrame, exprs: dict[str, Column]) -> DataFrame:
     """A single global aggregate, one column per named expression."""
     return df.agg(*[e.alias(n) for n, e in exprs.items()])

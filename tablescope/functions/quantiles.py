@@ -1,46 +1,31 @@
-"""Quantiles and scalar statistics that travel inside the plan.
-
-Most operators take the exact, memory-bounded ``grouped_quantiles``; the aggregate-column
-form ``quantile`` below is kept for places where one aggregate expression is needed.
+"""Exact quantiles by histogram narrowing, and scalar statistics that travel inside the plan.
 
 ``scalar_stats`` wraps a one-row aggregate as a scalar subquery: Spark runs it once
 (partial + final aggregate), and the value is used like a literal in the outer plan. No
 cross join and no driver round trip.
 
-``percentile`` is exact and interpolates linearly (as pandas and DuckDB ``quantile_cont``).
-Its buffer holds one (value, count) entry per distinct value of the group, which is small
-for rounded money, counts and codes. For high-cardinality doubles pass ``exact=False`` to
-use ``percentile_approx`` (fixed-size sketch, rank error 1/accuracy).
+``grouped_quantiles`` is the one quantile method, whatever the number of rows. It runs jobs while
+the plan is built: it writes the keys and the value once, then narrows.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-APPROX_ACCURACY = 100_000
-
+from tablescope.functions.frames import col_of, join_by_group
+from tablescope.session import materialize
 
-def quantile(col, p: float | Sequence[float], exact: bool = True,
-             accuracy: int = APPROX_ACCURACY) -> Column:
-    c = (F.col(col) if isinstance(col, str) else col).cast("double")
-    if isinstance(p, (list, tuple)):
-        probs = F.array(*[F.lit(float(x)) for x in p])
-    else:
-        probs = F.lit(float(p))
-    if exact:
-        return F.percentile(c, probs)
-    return F.percentile_approx(c, probs, accuracy).cast("double") if not isinstance(p, (list, tuple)) \
-        else F.percentile_approx(c, probs, accuracy)
+BINS = 4096
 
 
 def scalar_stats(df: DataFrame, exprs: Mapping[str, Column]) -> dict[str, Column]:
     """One global aggregate over ``df`` as a scalar subquery; returns a column per name."""
-    packed = df.agg(F.struct(*[e.alias(n) for n, e in exprs.items()]).alias("s")).scalar()
-    return {n: packed.getField(n) for n in exprs}
+    names = list(exprs)
+    packed = df.agg(F.struct(*[exprs[n].alias(f"s{i}") for i, n in enumerate(names)]).alias("s")).scalar()
+    return {n: packed.getField(f"s{i}") for i, n in enumerate(names)}
 
 
 def mode_of(df: DataFrame, col: str) -> Column:
@@ -49,149 +34,98 @@ def mode_of(df: DataFrame, col: str) -> Column:
     Counted with a grouped aggregate (map-side combined), then reduced with ``min`` over
     (-count, value): no per-group buffer holds more than one entry.
     """
-    counts = df.where(F.col(col).isNotNull()).groupBy(col).count()
-    best = counts.agg(F.min(F.struct((-F.col("count")).alias("k"), F.col(col).alias("v"))).alias("m"))
+    counts = df.select(col_of(col).alias("v")).where("v is not null").groupBy("v").count()
+    best = counts.agg(F.min(F.struct((-F.col("count")).alias("k"), "v")).alias("m"))
     return best.scalar().getField("v")
 
 
-# ---------------------------------------------------------------------------------------
-# Exact quantiles with bounded memory
-# ---------------------------------------------------------------------------------------
-
-BRACKET_ACCURACY = None          # None: chosen from the largest group (see grouped_quantiles)
-MIN_ACCURACY, MAX_ACCURACY = 1_000, 10_000_000
-# Up to this many rows in the largest group Spark's one-pass exact ``percentile`` is used:
-# its per-group buffer holds at most that many (value, count) entries.
-PERCENTILE_MAX_ROWS = 1_000_000
-METHODS = ("bounded", "percentile", "approx")
+def _bin(v: Column, lo: Column, hi: Column) -> Column:
+    """Equal-width bin of lo..hi; the ends always fall into different bins. Halved, so the
+    width of the widest range of doubles is still finite."""
+    top = 1.7976931348623157e308
+    a, b = F.greatest(lo, F.lit(-top)) / 2, F.least(hi, F.lit(top)) / 2
+    share = F.try_divide(F.greatest(F.least(v, F.lit(top)), F.lit(-top)) / 2 - a, b - a)
+    inside = F.least(F.floor(share * BINS), F.lit(BINS - 1)).cast("int")
+    return F.when(v == lo, F.lit(0)).when(v == hi, F.lit(BINS - 1)).otherwise(F.coalesce(inside, F.lit(0)))
 
 
-def grouped_quantiles(df: DataFrame, value: str, probs, by=(), method: str = "bounded",
-                      names=None, extra: Mapping | None = None,
-                      accuracy: int | None = BRACKET_ACCURACY, max_groups: int | None = None) -> DataFrame:
+def grouped_quantiles(df: DataFrame, value: str, probs, by=(), names=None, extra: Mapping | None = None) -> DataFrame:
     """Quantiles of ``value`` per group: columns *by, n, <names...>, <extra...>.
 
     Linear interpolation between the order statistics at floor and ceil of (n-1)p, the same
     numbers as Spark ``percentile``, pandas ``quantile`` and DuckDB ``quantile_cont``.
-    Rows with a null value are ignored; rows with a null group key are dropped.
-    ``extra`` adds aggregates of the value column (name -> function of a Column) to pass 1.
-
-    method="bounded" (default) is exact with memory independent of the group size:
-
-    1. one grouped aggregate: n, ``extra``, and a fixed-size sketch (``percentile_approx``,
-       rank error 1/accuracy) read at p -/+ 3/accuracy, which brackets the ranks needed;
-    2. the bracket joined back (one row per group: AQE broadcasts it when small); one
-       grouped aggregate counts the values below the bracket and equal to its ends, and
-       collects only the values strictly inside it - about 8n/accuracy per group, or the
-       whole group when it has fewer than accuracy/2 rows;
-    3. the order statistics are read off those counts and the sorted inside values.
-
-    With ``accuracy=None`` a grouped count (one bounded row back) first finds the largest
-    group n_max. Up to ``PERCENTILE_MAX_ROWS`` the one-pass ``percentile`` is provably small
-    and is used; above it accuracy = sqrt(8 n_max) balances the sketch (~accuracy entries) against
-    the collected bracket (~8 n / accuracy values): about 1.3 million each for a group of
-    2e11 rows, a few thousand for a million rows.
-    A hot group is reduced map-side in all passes. If a bracket ever missed its ranks the
-    query fails loudly instead of returning a wrong number. ``max_groups`` states a proven
-    bound on the number of groups (e.g. the number of profiled columns): the bracket table is
-    then broadcast directly; otherwise it is checkpointed and counted first, and broadcast only
-    when that count is small (``session.checked_small_side``).
+    Null and NaN values are ignored; rows with a null group key are dropped. ``extra`` adds
+    aggregates of the value column (name -> function of a Column).
+
+    One method for every size: a grouped aggregate gives n, minimum and maximum; then every
+    needed rank narrows its range. A pass counts the rows of each (group, range, bin) with at most
+    ``BINS`` bins a range, keeps the bin that holds the rank with its exact minimum and
+    maximum, and repeats inside it until that bin has one value. Counts are combined
+    map-side and shuffled on (group, range, bin), so a hot group is never one task, no
+    task holds more than bins, and nothing is collected. After the first pass only rows
+    inside a kept bin are read again. The number of passes follows the values (two to
+    four as a rule), not the rows.
     """
     probs = [float(p) for p in probs]
     names = list(names) if names is not None else [f"q{i}" for i in range(len(probs))]
     extra = dict(extra or {})
     by = list(by)
+    keys = [f"__k{i}" for i in range(len(by))] or ["__all"]
     v = F.col("__v")
-    base = df.select(*[F.col(f"`{b}`") for b in by], F.col(f"`{value}`").cast("double").alias("__v")) \
-        .where(v.isNotNull())
-    if by:
-        base = base.where(F.greatest(*[F.col(f"`{b}`").isNull() for b in by], F.lit(False)) == F.lit(False))
-    extras = [fn(v).alias(n) for n, fn in extra.items()]
-    if method in ("percentile", "approx"):
-        q = F.percentile(v, F.array(*[F.lit(p) for p in probs])) if method == "percentile" else \
-            F.percentile_approx(v, F.array(*[F.lit(p) for p in probs]), accuracy or APPROX_ACCURACY)
-        agg = (base.groupBy(*by) if by else base.groupBy()).agg(
-            F.count(v).alias("n"), q.cast("array<double>").alias("__q"), *extras)
-        return agg.select(*by, "n", *[F.col("__q")[i].alias(n) for i, n in enumerate(names)],
-                          *extra.keys())
-    if method != "bounded":
-        raise ValueError(f"method must be one of {METHODS}")
-
-    m = len(probs)
-    if accuracy is None:
-        counts = base.groupBy(*by).agg(F.count(F.lit(1)).alias("c")) if by else base.agg(F.count(F.lit(1)).alias("c"))
-        n_max = counts.agg(F.max("c")).first()[0] or 0
-        if n_max <= PERCENTILE_MAX_ROWS:
-            return grouped_quantiles(df, value, probs, by, "percentile", names, extra)
-        accuracy = int(min(max(math.isqrt(8 * n_max) + 1, MIN_ACCURACY), MAX_ACCURACY))
-    delta = 3.0 / accuracy
-    small = accuracy // 2
-    edges = [max(0.0, p - delta) for p in probs] + [min(1.0, p + delta) for p in probs]
-    grouped = base.groupBy(*by) if by else base.groupBy()
-    st = grouped.agg(F.count(v).alias("n"),
-                     F.percentile_approx(v, F.array(*[F.lit(e) for e in edges]), accuracy).alias("__a"),
-                     *extras)
-    n = F.col("n")
-    bound_cols = []
-    for i in range(m):
-        bound_cols.append(F.when(n < small, F.lit(float("-inf"))).otherwise(F.col("__a")[i]).alias(f"__lo{i}"))
-        bound_cols.append(F.when(n < small, F.lit(float("inf"))).otherwise(F.col("__a")[m + i]).alias(f"__hi{i}"))
-    bounds = st.select(*by, "n", *extra.keys(), *bound_cols)
-    bound_names = ["n", *extra.keys(), *[f"__{s}{i}" for i in range(m) for s in ("lo", "hi")]]
-    if by:
-        if max_groups is not None and max_groups <= 100_000:
-            small_side = F.broadcast(bounds)
-        else:
-            from tablescope.session import checked_small_side
-            small_side, _ = checked_small_side(bounds)
-        joined = base.join(small_side, by)
-    else:
-        packed = bounds.select(F.struct(*bound_names).alias("s")).scalar()
-        joined = base.select("__v", *[packed.getField(c).alias(c) for c in bound_names])
-    aggs = [F.max(c).alias(c) for c in bound_names]
-    for i in range(m):
-        lo, hi = F.col(f"__lo{i}"), F.col(f"__hi{i}")
-        aggs += [F.count_if(v < lo).alias(f"__b{i}"), F.count_if(v == lo).alias(f"__el{i}"),
-                 F.count_if((v == hi) & (hi != lo)).alias(f"__eh{i}"),
-                 F.array_sort(F.collect_list(F.when((v > lo) & (v < hi), v))).alias(f"__in{i}")]
-    r = (joined.groupBy(*by) if by else joined.groupBy()).agg(*aggs)
-
+    parts = [col_of(b).alias(k) for b, k in zip(by, keys)] or [F.lit(0).alias("__all")]
+    rows = df.select(*parts, col_of(value).cast("double").alias("__v")).where(v.isNotNull() & ~F.isnan(v)).dropna(subset=keys)
+    rows = materialize(rows, "quantile-input")
+
+    extras = [fn(v).alias(f"__x{i}") for i, fn in enumerate(extra.values())]
+    stats = materialize(rows.groupBy(*keys).agg(F.count(v).alias("n"), F.min(v).alias("lo"), F.max(v).alias("hi"), *extras),
+                        "quantile-groups")
+    at = [(F.col("n") - 1).cast("double") * F.lit(p) for p in probs]
+    ranks = F.array_distinct(F.array(*[r for a in at for r in (F.floor(a), F.ceil(a))]))
+    state = stats.select(*keys, F.explode(ranks).alias("rank"), "lo", "hi", F.lit(0).cast("long").alias("before"))
+    done, first = state.where("lo = hi"), True
+    open_ = materialize(state.where("lo < hi"), "quantile-ranks")
+    while not open_.isEmpty():
+        spans = open_.select(*keys, "lo", "hi", "before").distinct()
+        inside = join_by_group(rows, spans, keys, v).where((v >= F.col("lo")) & (v <= F.col("hi")))
+        if not first:
+            rows = materialize(inside.select(*keys, "__v"), "quantile-rows")
+            inside = join_by_group(rows, spans, keys, v).where((v >= F.col("lo")) & (v <= F.col("hi")))
+        bins = (inside.groupBy(*keys, "lo", "hi", _bin(v, F.col("lo"), F.col("hi")).alias("bin"))
+                .agg(F.count(v).alias("c"), F.min(v).alias("mn"), F.max(v).alias("mx")))
+        order = Window.partitionBy(*keys, "lo", "hi").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
+        bins = bins.withColumn("through", F.sum("c").over(order))
+        step = (open_.join(bins, [*keys, "lo", "hi"])
+                .where((F.col("rank") < F.col("before") + F.col("through"))
+                       & (F.col("rank") >= F.col("before") + F.col("through") - F.col("c")))
+                .select(*keys, "rank", F.col("mn").alias("lo"), F.col("mx").alias("hi"),
+                        (F.col("before") + F.col("through") - F.col("c")).alias("before")))
+        step = materialize(step, "quantile-ranks")
+        done = done.unionByName(step.where("lo = hi"))
+        open_, first = step.where("lo < hi"), False
+    # at most two ranks per probability and group
+    values = done.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("rank", "lo"))).alias("at"))
+    found = stats.join(values, keys)
     outs = []
-    for i, p in enumerate(probs):
-        lo, hi = F.col(f"__lo{i}"), F.col(f"__hi{i}")
-        below, eq_lo, eq_hi, inside = F.col(f"__b{i}"), F.col(f"__el{i}"), F.col(f"__eh{i}"), F.col(f"__in{i}")
-
-        def at(rank, lo=lo, hi=hi, below=below, eq_lo=eq_lo, inside=inside):
-            t = rank - below
-            return (F.when(t < eq_lo, lo)
-                    .when(t < eq_lo + F.size(inside), F.element_at(inside, (t - eq_lo + 1).cast("int")))
-                    .otherwise(hi))
-
-        pos = (n - 1).cast("double") * F.lit(p)
-        k, k2 = F.floor(pos), F.ceil(pos)
-        a, b = at(k), at(k2)
-        interp = F.when((k == k2) | (a == b), a).otherwise((k2 - pos) * a + (pos - k) * b)
-        covered = (k >= below) & (k2 < below + eq_lo + F.size(inside) + eq_hi)
-        outs.append(F.when(n == 0, F.lit(None).cast("double"))
-                    .when(covered, interp)
-                    .otherwise(F.raise_error(F.lit("quantile bracket missed its rank")).cast("double"))
-                    .alias(names[i]))
-    return r.select(*by, "n", *outs, *extra.keys())
-
-
-def column_quantiles(df: DataFrame, cols, probs, method: str = "bounded", extra=None) -> DataFrame:
-    """Quantiles of several columns in one pass each step: the columns are unpivoted to
+    for a, name in zip(at, names):
+        k, k2 = F.floor(a), F.ceil(a)
+        x, y = F.element_at("at", k), F.element_at("at", k2)
+        outs.append(F.when((k == k2) | (x == y), x).otherwise((k2 - a) * x + (a - k) * y).alias(name))
+    return found.select(*[F.col(k).alias(b) for b, k in zip(by, keys)], "n", *outs,
+                        *[F.col(f"__x{i}").alias(n) for i, n in enumerate(extra)])
+
+
+def column_quantiles(df: DataFrame, cols, probs, extra=None) -> DataFrame:
+    """Quantiles of several columns, all narrowed in the same passes: the columns are unpivoted to
     (column position, value) and grouped by position. Columns: __pos, n, q0.., extra..."""
     long = df.select(F.inline(F.array(*[
-        F.struct(F.lit(i).alias("__pos"), F.col(f"`{c}`").cast("double").alias("__val"))
+        F.struct(F.lit(i).alias("__pos"), col_of(c).cast("double").alias("__val"))
         for i, c in enumerate(cols)])))
-    return grouped_quantiles(long, "__val", probs, by=["__pos"], method=method, extra=extra,
-                             max_groups=len(cols))
+    return grouped_quantiles(long, "__val", probs, by=["__pos"], extra=extra)
 
 
-def quantile_scalars(df: DataFrame, cols, probs, method: str = "bounded") -> dict[str, list[Column]]:
+def quantile_scalars(df: DataFrame, cols, probs) -> dict[str, list[Column]]:
     """{column: [quantile per prob]} as fields of one scalar subquery (no join, no collect)."""
-    q = column_quantiles(df, cols, probs, method)
+    q = column_quantiles(df, cols, probs)
     names = [f"q{j}" for j in range(len(probs))]
     packed = q.agg(F.struct(*[F.max(F.when(F.col("__pos") == i, F.col(nm))).alias(f"c{i}_{nm}")
                               for i in range(len(cols)) for nm in names]).alias("s")).scalar()

@@ -13,15 +13,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tablescope.functions.frames import long_from_row
+from tablescope.functions.frames import col_of as _c, join_by_group, long_from_row
 from tablescope.functions.quantiles import grouped_quantiles, scalar_stats
 from tablescope.functions.roles import is_numeric, numeric_columns
 from tablescope.operators.stats import bin_index, corr_matrix
-from tablescope.session import checked_small_side
-
-
-def _c(name: str) -> Column:
-    return F.col(f"`{name}`")
 
 
 def _keys(x: str, color: str | None) -> list[str]:
@@ -40,23 +35,14 @@ def bar(df: DataFrame, x: str, y: str | None = None, color: str | None = None) -
     keys = _keys(x, color)
     base = _present(df, keys)
     agg = F.sum(_c(y)).alias("value") if y else F.count(F.lit(1)).alias("value")
-    return base.groupBy(*keys).agg(agg)
+    return base.groupBy(*[_c(k) for k in keys]).agg(agg)
 
 
 def scatter(df: DataFrame, x: str, y: str, color: str | None = None, size: str | None = None,
-            extra: Sequence[str] = (), key: Sequence[str] = (), max_points: int | None = None) -> DataFrame:
-    """Scatter rows (x, y present). ``max_points`` keeps a keyed, repeatable sample of about
-    that many rows: pmod(xxhash64(key), m) = 0 with m = ceil(rows / max_points), where the row
-    count is a scalar subquery. Without it every row is returned."""
-    cols = list(dict.fromkeys([*key, x, y, *( [color] if color else []), *([size] if size else []), *extra]))
-    base = _present(df, [x, y]).select(*[_c(c) for c in cols])
-    if not max_points:
-        return base
-    if not key:
-        raise ValueError("max_points needs a key to sample by")
-    n = scalar_stats(base, {"n": F.count(F.lit(1))})["n"]
-    m = F.greatest(F.ceil(n / F.lit(float(max_points))), F.lit(1))
-    return base.where(F.pmod(F.xxhash64(*[_c(k) for k in key]), m) == 0)
+            extra: Sequence[str] = (), key: Sequence[str] = ()) -> DataFrame:
+    """Scatter rows (x, y present): key, x, y, color, size and hover columns of every row."""
+    cols = list(dict.fromkeys([*key, x, y, *([color] if color else []), *([size] if size else []), *extra]))
+    return _present(df, [x, y]).select(*[_c(c) for c in cols])
 
 
 def histogram(df: DataFrame, x: str, bins: int = 20, color: str | None = None) -> DataFrame:
@@ -67,11 +53,11 @@ def histogram(df: DataFrame, x: str, bins: int = 20, color: str | None = None) -
     v = _c(x).cast("double")
     rng = scalar_stats(df, {"lo": F.min(v), "hi": F.max(v)})
     keys = [color] if color else []
-    base = df.where(v.isNotNull()).select(*[_c(k) for k in keys],
+    base = _present(df.where(v.isNotNull()), keys).select(*[_c(k) for k in keys],
                                           bin_index(v, rng["lo"], rng["hi"], bins).alias("bin"))
-    counts = base.groupBy(*keys, "bin").count()
+    counts = base.groupBy(*[_c(k) for k in keys], "bin").count()
     width = (rng["hi"] - rng["lo"]) / F.lit(float(bins))
-    return counts.select(*keys, "bin", (rng["lo"] + F.col("bin") * width).alias("bin_lo"),
+    return counts.select(*[_c(k) for k in keys], "bin", (rng["lo"] + F.col("bin") * width).alias("bin_lo"),
                          (rng["lo"] + (F.col("bin") + 1) * width).alias("bin_hi"), "count")
 
 
@@ -80,28 +66,27 @@ def pie(df: DataFrame, x: str, y: str | None = None) -> DataFrame:
     base = _present(df, [x])
     measure = F.sum(_c(y)) if y else F.count(F.lit(1))
     total = scalar_stats(base, {"t": measure.cast("double")})["t"]
-    return base.groupBy(x).agg(measure.alias("value")).withColumn(
+    return base.groupBy(_c(x)).agg(measure.alias("value")).withColumn(
         "share", F.try_divide(F.col("value").cast("double"), total))
 
 
-def box(df: DataFrame, x: str, y: str, color: str | None = None, method: str = "bounded") -> DataFrame:
+def box(df: DataFrame, x: str, y: str, color: str | None = None) -> DataFrame:
     """Per group: n, mean, q1, median, q3, fences, whiskers (furthest points inside the
     fences) and the outlier count. Quartiles interpolate linearly, as the IQR outlier panel.
 
-    Pass 1 aggregates quartiles per group; pass 2 joins the per-group fences back (one row
-    per group, checkpointed and counted, broadcast when small) and aggregates the whiskers.
+    The quartiles come from written group tables; one more scan joins the fences to the rows,
+    salted, and aggregates the whiskers.
     """
     keys = _keys(x, color)
     base = _present(df, [*keys, y]).select(*[_c(k) for k in keys], _c(y).cast("double").alias("__y"))
-    q = (grouped_quantiles(base, "__y", [0.25, 0.5, 0.75], by=keys, method=method,
-                           names=["q1", "median", "q3"], extra={"mean": F.avg})
-         .select(*keys, "n", "mean", "q1", "median", "q3")
+    q = grouped_quantiles(base, "__y", [0.25, 0.5, 0.75], by=keys, names=["q1", "median", "q3"], extra={"mean": F.avg})
+    quoted = [_c(k) for k in keys]
+    q = (q.select(*quoted, "n", "mean", "q1", "median", "q3")
          .withColumn("lower_fence", F.col("q1") - 1.5 * (F.col("q3") - F.col("q1")))
          .withColumn("upper_fence", F.col("q3") + 1.5 * (F.col("q3") - F.col("q1"))))
     y_ = F.col("__y")
-    fences, _ = checked_small_side(q.select(*keys, "lower_fence", "upper_fence"))
-    whiskers = (base.join(fences, keys)
-                .groupBy(*keys)
+    whiskers = (join_by_group(base, q.select(*quoted, "lower_fence", "upper_fence"), keys, y_)
+                .groupBy(*quoted)
                 .agg(F.min(F.when(y_ >= F.col("lower_fence"), y_)).alias("whisker_low"),
                      F.max(F.when(y_ <= F.col("upper_fence"), y_)).alias("whisker_high"),
                      F.count_if((y_ < F.col("lower_fence")) | (y_ > F.col("upper_fence")))
@@ -121,21 +106,21 @@ def heatmap(df: DataFrame, x: str | None = None, y: str | None = None) -> DataFr
 SQRT_2PI = math.sqrt(2.0 * math.pi)
 
 
-def violin(df: DataFrame, x: str, y: str, color: str | None = None, grid: int = 50,
-           method: str = "bounded") -> DataFrame:
+def violin(df: DataFrame, x: str, y: str, color: str | None = None, grid: int = 50) -> DataFrame:
     """Gaussian kernel density of y per group on ``grid`` points, plus the box numbers.
 
     Bandwidth (Silverman): 1.059 * min(sample std, IQR / 1.349) * n^(-1/5); when that is 0
     the sample std is used, and 1.0 when that is 0 too. The grid spans [min - 2 bw, max + 2 bw].
-    The densities are ``grid`` sums in one grouped aggregate (partial per task), so the cost
-    is rows x grid arithmetic with no row explosion and no join beyond the per-group stats.
+    Equal values are counted first, so the ``grid`` weighted exponentials are computed per
+    different value and group, not per row: rounded money or counts cost little however
+    many rows there are; a column of unique doubles costs rows x grid.
     """
     keys = _keys(x, color)
-    base = _present(df, [*keys, y]).select(*[_c(k) for k in keys], _c(y).cast("double").alias("__y"))
-    st = (grouped_quantiles(base, "__y", [0.25, 0.5, 0.75], by=keys, method=method,
-                            names=["q1", "median", "q3"],
-                            extra={"std": F.stddev_samp, "y_min": F.min, "y_max": F.max})
-          .select(*keys, "n", "std", "y_min", "y_max", "q1", "median", "q3"))
+    quoted = [_c(k) for k in keys]
+    base = _present(df, [*keys, y]).select(*quoted, _c(y).cast("double").alias("__y"))
+    st = grouped_quantiles(base, "__y", [0.25, 0.5, 0.75], by=keys, names=["q1", "median", "q3"],
+                           extra={"std": F.stddev_samp, "y_min": F.min, "y_max": F.max})
+    st = st.select(*quoted, "n", "std", "y_min", "y_max", "q1", "median", "q3")
     raw_bw = F.lit(1.059) * F.least(F.col("std"), (F.col("q3") - F.col("q1")) / F.lit(1.349)) \
         * F.pow(F.col("n").cast("double"), F.lit(-0.2))
     bw = F.when(raw_bw > 0, raw_bw).when(F.col("std") > 0, F.col("std")).otherwise(F.lit(1.0))
@@ -143,32 +128,36 @@ def violin(df: DataFrame, x: str, y: str, color: str | None = None, grid: int =
     st = st.withColumn("grid_lo", F.col("y_min") - 2 * F.col("bandwidth")) \
            .withColumn("grid_step", (F.col("y_max") - F.col("y_min") + 4 * F.col("bandwidth"))
                        / F.lit(float(grid - 1)))
-    grid_side, _ = checked_small_side(st.select(*keys, "bandwidth", "grid_lo", "grid_step"))
-    joined = base.join(grid_side, keys)
+    counted = base.groupBy(*quoted, "__y").agg(F.count(F.lit(1)).cast("double").alias("__w"))
     y_ = F.col("__y")
-    sums = [F.sum(F.exp(F.lit(-0.5) * F.pow((F.col("grid_lo") + F.lit(float(i)) * F.col("grid_step") - y_)
+    joined = join_by_group(counted, st.select(*quoted, "bandwidth", "grid_lo", "grid_step"), keys, y_)
+    sums = [F.sum(F.col("__w") * F.exp(F.lit(-0.5) * F.pow((F.col("grid_lo") + F.lit(float(i)) * F.col("grid_step") - y_)
                                            / F.col("bandwidth"), 2))).alias(f"k{i}")
             for i in range(grid)]
-    dens = joined.groupBy(*keys).agg(*sums)
+    dens = joined.groupBy(*quoted).agg(*sums)
     full = dens.join(st, keys)
     items = [{"point": F.lit(i),
               "y_value": F.col("grid_lo") + F.lit(float(i)) * F.col("grid_step"),
               "density": F.col(f"k{i}") / (F.col("n") * F.col("bandwidth") * F.lit(SQRT_2PI))}
              for i in range(grid)]
     structs = [F.struct(*[v.alias(k) for k, v in it.items()]) for it in items]
-    return full.select(*keys, "n", "bandwidth", "q1", "median", "q3",
+    return full.select(*quoted, "n", "bandwidth", "q1", "median", "q3",
                        F.inline(F.array(*structs)))
 
 
-def line(df: DataFrame, x: str, y: str, color: str | None = None, agg: str | None = None) -> DataFrame:
-    """Points of y against x (per color), sorted; ``agg='mean'|'sum'|...`` aggregates per x first."""
+def line(df: DataFrame, x: str, y: str, color: str | None = None, agg: str | None = None,
+         key: Sequence[str] = ()) -> DataFrame:
+    """Points of y against x (per color), sorted; ``agg='mean'|'sum'|...`` aggregates per x first.
+
+    Raw points are sorted by color, x, ``key`` and y: with a row key the range sort splits even
+    when few different (color, x) pairs hold all rows."""
     keys = _keys(x, color)
-    base = _present(df, [x, y])
-    order = ([color] if color else []) + [x]
+    base = _present(df, [*keys, y])
+    order = [_c(c) for c in ([color] if color else []) + [x]]
     if agg is None:
-        return base.select(*[_c(k) for k in keys], _c(y)).orderBy(*order)
+        return base.select(*[_c(k) for k in [*key, *keys]], _c(y)).orderBy(*order, *[_c(k) for k in key], _c(y))
     fn = {"mean": F.avg, "sum": F.sum, "count": F.count, "min": F.min, "max": F.max}[agg]
-    return base.groupBy(*keys).agg(fn(_c(y)).alias(y)).orderBy(*order)
+    return base.groupBy(*[_c(k) for k in keys]).agg(fn(_c(y)).alias(y)).orderBy(*order)
 
 
 def _path_nodes(df: DataFrame, path: Sequence[str], measure: Column, name: str) -> DataFrame:
@@ -223,7 +212,7 @@ def area(df: DataFrame, x: str, y: str, color: str | None = None) -> DataFrame:
     over the base table.
     """
     keys = _keys(x, color)
-    agg = _present(df, [x]).groupBy(*keys).agg(F.sum(_c(y)).alias("value"))
+    agg = _present(df, keys).groupBy(*[_c(k) for k in keys]).agg(F.sum(_c(y)).alias("value"))
     if not color:
         return agg.withColumn("stack_top", F.col("value")).withColumn("stack_base", F.lit(0.0))
     w = Window.partitionBy(_c(x)).orderBy(_c(color)).rowsBetween(Window.unboundedPreceding, 0)

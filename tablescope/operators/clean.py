@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablescope.functions.binning import cut
+from tablescope.functions.frames import col_of
 from tablescope.functions.quantiles import mode_of, quantile_scalars, scalar_stats
 from tablescope.functions.text import title_case
 from tablescope.functions.values import map_values
@@ -23,30 +24,30 @@ AGE_DECADE_BINS = tuple(range(0, 90, 10))
 SURVIVAL_LABELS = {0: "Did Not Survive", 1: "Survived"}
 
 
-def fill_median(df: DataFrame, cols: Sequence[str], method: str = "bounded") -> DataFrame:
+def fill_median(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Nulls -> the column's exact median (see ``grouped_quantiles``); all medians come from
-    one scalar subquery."""
+    one scalar subquery over written group tables (jobs run while the plan is built)."""
     if not cols:
         return df
-    med = quantile_scalars(df, list(cols), [0.5], method)
-    return df.withColumns({c: F.coalesce(F.col(c), med[c][0]) for c in cols})
+    med = quantile_scalars(df, list(cols), [0.5])
+    return df.withColumns({c: F.coalesce(col_of(c), med[c][0]) for c in cols})
 
 
 def fill_mean(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     if not cols:
         return df
-    mean = scalar_stats(df, {c: F.avg(F.col(c)) for c in cols})
-    return df.withColumns({c: F.coalesce(F.col(c), mean[c]) for c in cols})
+    mean = scalar_stats(df, {c: F.avg(col_of(c)) for c in cols})
+    return df.withColumns({c: F.coalesce(col_of(c), mean[c]) for c in cols})
 
 
 def fill_mode(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Nulls -> the most frequent value, smallest on ties."""
-    return df.withColumns({c: F.coalesce(F.col(c), mode_of(df, c)) for c in cols}) if cols else df
+    return df.withColumns({c: F.coalesce(col_of(c), mode_of(df, c)) for c in cols}) if cols else df
 
 
 def family_size(df: DataFrame, a: str = "sibsp", b: str = "parch",
                 name: str = "family_size") -> DataFrame:
-    return df.withColumn(name, F.col(a) + F.col(b) + F.lit(1))
+    return df.withColumn(name, col_of(a) + col_of(b) + F.lit(1))
 
 
 def add_bins(df: DataFrame, col: str, edges, labels=None, right: bool = True,
@@ -54,31 +55,30 @@ def add_bins(df: DataFrame, col: str, edges, labels=None, right: bool = True,
     return df.withColumn(name or f"{col}_bin", cut(col, edges, labels, right))
 
 
-def clean(df: DataFrame, fill: bool = True, derive: bool = True,
-          reuse_input: str | None = None) -> DataFrame:
+# What each derived column is made from.
+_SOURCES = {"age_group": ("age",), "fare_category": ("fare",), "family_size": ("sibsp", "parch"),
+            "family_category": ("sibsp", "parch"), "survival_status": ("survived",), "gender": ("sex",)}
+
+
+def clean(df: DataFrame, fill: bool = True, derive: bool = True, outputs: Sequence[str] | None = None) -> DataFrame:
     """The default pipeline; each step runs only when its input columns are present.
 
     Fills come first (median age and fare, mode of embarked), then the derived columns
     age_group, fare_category, family_size, family_category, survival_status, gender.
-    The fills read the input three times (median sketch, median bracket, mode) before the
-    final projection. When the input is an expensive plan (joins), ``reuse_input="cache"``
-    persists it (MEMORY_AND_DISK; lost blocks are recomputed from lineage) and
-    ``reuse_input="write"`` writes it once as Parquet to the shared folder (lineage cut).
+    With ``outputs`` only those columns are made and returned, and only the fills they need run:
+    a median costs passes over the data even when its column is dropped later. An expensive input
+    (joins) is best written once by the caller (``session.materialize``).
     """
     cols = set(df.columns)
-    if fill and reuse_input == "cache":
-        from pyspark import StorageLevel
-        df = df.persist(StorageLevel.MEMORY_AND_DISK)
-    elif fill and reuse_input == "write":
-        from tablescope.session import materialize
-        df = materialize(df, "clean-input")
+    wanted = set(outputs) if outputs is not None else cols | set(_SOURCES)
+    used = wanted | {c for w in wanted for c in _SOURCES.get(w, ())}
     out = df
     if fill:
-        out = fill_median(out, [c for c in ("age", "fare") if c in cols])
-        if "embarked" in cols:
+        out = fill_median(out, [c for c in ("age", "fare") if c in cols and c in used])
+        if "embarked" in cols and "embarked" in used:
             out = fill_mode(out, ["embarked"])
     if not derive:
-        return out
+        return out.select(*[col_of(c) for c in outputs]) if outputs is not None else out
     new = {}
     if "age" in cols:
         new["age_group"] = cut("age", AGE_BINS, AGE_LABELS)
@@ -92,4 +92,6 @@ def clean(df: DataFrame, fill: bool = True, derive: bool = True,
         new["survival_status"] = map_values("survived", SURVIVAL_LABELS)
     if "sex" in cols:
         new["gender"] = title_case("sex")
-    return out.withColumns(new) if new else out
+    new = {c: v for c, v in new.items() if c in wanted}
+    out = out.withColumns(new) if new else out
+    return out.select(*[col_of(c) for c in outputs]) if outputs is not None else out

@@ -13,7 +13,7 @@ from pyspark import StorageLevel
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.clustering import KMeans
-from pyspark.ml.evaluation import BinaryClassificationEvaluator, MulticlassClassificationEvaluator
+from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import PCA, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import RandomForestRegressor
@@ -21,72 +21,79 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tablescope.functions.frames import col_of
+from tablescope.functions.quantiles import scalar_stats
 from tablescope.functions.roles import numeric_columns
 from tablescope.operators.clean import fill_mean, fill_mode
 from tablescope.operators.profile import cardinality
-from tablescope.session import checkpoint_root
+from tablescope.session import checkpoint_root, materialize
 
 _INTEGRAL = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
 
 
-def _spread(df: DataFrame) -> DataFrame:
-    """Iterative fits pass over their input many times: when it has fewer partitions than
-    the cluster has cores (a few large files), spread the narrow projection once. On
-    inputs that already have enough splits this is a no-op (no shuffle)."""
-    want = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(want) if df.rdd.getNumPartitions() < want else df
+# Iterative fits get a fixed number of partitions dealt by row hash, so the layout of the input and
+# the number of cores don't change the model. Raise it with the data.
+FIT_PARTITIONS = 64
+
+
+def _spread(df: DataFrame, partitions: int = FIT_PARTITIONS) -> DataFrame:
+    """Rows dealt by their hash to a fixed number of partitions and ordered inside each."""
+    key = F.xxhash64(*[col_of(c) for c in df.columns])
+    return df.withColumn("__h", key).repartition(partitions, "__h").sortWithinPartitions("__h").drop("__h")
 
 
 def choose_target(df: DataFrame, cols: Sequence[str] | None = None, exclude=()) -> DataFrame:
     """(target, rule, n_distinct): the first numeric column with exactly 2 distinct values,
-    else the last numeric column."""
+    else the last numeric column.
+
+    "Exactly 2" needs no distinct count: minimum and maximum differ and no value lies elsewhere
+    (two one-row aggregates). Distinct values are counted for the last column only.
+    """
     cols = list(cols) if cols is not None else numeric_columns(df, exclude=exclude)
-    card = cardinality(df, cols)
-    picked = card.agg(
-        F.min(F.when(F.col("n_distinct") == 2, F.struct("position", "column", "n_distinct"))).alias("b"),
-        F.max(F.struct("position", "column", "n_distinct")).alias("l"))
-    return picked.select(
-        F.coalesce(F.col("b.column"), F.col("l.column")).alias("target"),
-        F.when(F.col("b").isNotNull(), F.lit("first binary")).otherwise(F.lit("last numeric")).alias("rule"),
-        F.coalesce(F.col("b.n_distinct"), F.col("l.n_distinct")).alias("n_distinct"))
+    ends = scalar_stats(df, {f"{p}{i}": fn(col_of(c)) for i, c in enumerate(cols) for p, fn in (("lo", F.min), ("hi", F.max))})
+    between = scalar_stats(df, {f"n{i}": F.count_if((col_of(c) != ends[f"lo{i}"]) & (col_of(c) != ends[f"hi{i}"]))
+                                for i, c in enumerate(cols)})
+    binary = F.coalesce(*[F.when((ends[f"lo{i}"] < ends[f"hi{i}"]) & (between[f"n{i}"] == 0), F.lit(c)) for i, c in enumerate(cols)])
+    last = cardinality(df, cols[-1:]).select(F.col("n_distinct"), binary.alias("b"))
+    return last.select(F.coalesce("b", F.lit(cols[-1])).alias("target"),
+                       F.when(F.col("b").isNotNull(), "first binary").otherwise("last numeric").alias("rule"),
+                       F.when(F.col("b").isNotNull(), F.lit(2).cast("long")).otherwise(F.col("n_distinct")).alias("n_distinct"))
 
 
-def target_name(df: DataFrame, cols=None, exclude=()) -> tuple[str, int]:
-    row = choose_target(df, cols, exclude).first()
-    return row["target"], row["n_distinct"]
+def target_name(df: DataFrame, cols=None, exclude=()) -> str:
+    return choose_target(df, cols, exclude).first()["target"]
 
 
-def _is_classification(df: DataFrame, target: str, n_distinct: int, max_classes: int) -> bool:
-    dtype = df.schema[target].dataType
-    return isinstance(dtype, (_INTEGRAL, T.StringType, T.BooleanType)) and n_distinct <= max_classes
+def _is_classification(df: DataFrame, target: str) -> bool:
+    """By data type alone: whole numbers, text and booleans are classes."""
+    return isinstance(df.schema[target].dataType, (*_INTEGRAL, T.StringType, T.BooleanType))
 
 
 def _prepare(df: DataFrame, feats: Sequence[str], target: str) -> DataFrame:
-    data = fill_mode(fill_mean(df.select(*feats, target), list(feats)), [target])
-    return data.where(F.col(target).isNotNull())
+    data = fill_mode(fill_mean(df.select(*[col_of(c) for c in (*feats, target)]), list(feats)), [target])
+    return data.where(col_of(target).isNotNull())
 
 
 def forest_importance(df: DataFrame, target: str | None = None, cols: Sequence[str] | None = None,
                       exclude=(), num_trees: int = 100, max_depth: int = 5, seed: int = 42,
-                      max_classes: int = 32) -> DataFrame:
+                      max_bins: int = 32, min_leaf: int = 1) -> DataFrame:
     """(feature, importance, rank): random-forest importances, descending, summing to 1.
 
-    Features are mean-filled, the target mode-filled. A target with few integral values is
-    classified; a continuous one gets a regression forest.
+    Features are mean-filled, the target mode-filled. A whole-number, text or boolean target is
+    classified; a fractional one gets a regression forest. Depth, bins and leaf size are the
+    caller's: MLlib grows level by level, so its cost doubles with each level (at most 30).
     """
     spark = df.sparkSession
     nums = list(cols) if cols is not None else numeric_columns(df, exclude=exclude)
     if len(nums) < 2:
-        raise ValueError("Not enough numeric columns for prediction analysis")
+        raise ValueError("a forest needs at least two numeric columns")
     if target is None:
-        target, n_distinct = target_name(df, nums)
-    else:
-        n_distinct = cardinality(df, [target]).first()["n_distinct"]
+        target = target_name(df, nums)
     feats = [c for c in nums if c != target]
-    classify = _is_classification(df, target, n_distinct, max_classes)
+    classify = _is_classification(df, target)
     prepared = _prepare(df, feats, target)
     if not classify:
-        prepared = prepared.withColumn(target, F.col(target).cast("double"))
+        prepared = prepared.withColumn(target, col_of(target).cast("double"))
     data = _spread(prepared).persist(StorageLevel.MEMORY_AND_DISK)
     checkpoint_root(spark)
     try:
@@ -94,11 +101,13 @@ def forest_importance(df: DataFrame, target: str | None = None, cols: Sequence[s
         if classify:
             stages += [StringIndexer(inputCol=target, outputCol="__label", stringOrderType="alphabetAsc"),
                        RandomForestClassifier(featuresCol="__features", labelCol="__label", numTrees=num_trees,
-                                              maxDepth=max_depth, seed=seed, cacheNodeIds=True,
+                                              maxDepth=max_depth, maxBins=max_bins, minInstancesPerNode=min_leaf,
+                                              seed=seed, cacheNodeIds=True,
                                               checkpointInterval=10)]
         else:
             stages += [RandomForestRegressor(featuresCol="__features", labelCol=target, numTrees=num_trees,
-                                             maxDepth=max_depth, seed=seed, cacheNodeIds=True,
+                                             maxDepth=max_depth, maxBins=max_bins, minInstancesPerNode=min_leaf,
+                                             seed=seed, cacheNodeIds=True,
                                              checkpointInterval=10)]
         model = Pipeline(stages=stages).fit(data)
     finally:
@@ -110,13 +119,13 @@ def forest_importance(df: DataFrame, target: str | None = None, cols: Sequence[s
 
 
 def clusters(df: DataFrame, cols: Sequence[str] | None = None, k: int = 3, seed: int = 42,
-             key: Sequence[str] = (), max_iter: int = 20) -> DataFrame:
+             key: Sequence[str] = (), max_iter: int = 300) -> DataFrame:
     """Cluster id per row: k-means on the first two numeric columns, mean-filled and
     standardised. Ids are renumbered by the order of the cluster centres, so they do not
     depend on initialisation order."""
     cols = list(cols) if cols is not None else numeric_columns(df, 2, exclude=key)
     if len(cols) < 2:
-        raise ValueError("Not enough numeric columns for clustering analysis")
+        raise ValueError("k-means needs two numeric columns")
     data = fill_mean(df.select(*key, *cols), cols)
     fit_input = _spread(data).persist(StorageLevel.MEMORY_AND_DISK)
     try:
@@ -138,10 +147,10 @@ def clusters(df: DataFrame, cols: Sequence[str] | None = None, k: int = 3, seed:
 def _pca_fit(df: DataFrame, k: int, cols, key, min_rows: int):
     cols = list(cols) if cols is not None else numeric_columns(df, exclude=key)
     if len(cols) < 2:
-        raise ValueError("Need at least 2 numeric columns for PCA analysis")
+        raise ValueError("PCA needs two numeric columns")
     data = df.select(*key, *cols).dropna(subset=cols)
     if data.limit(min_rows).count() < min_rows:
-        raise ValueError("Not enough data points for PCA analysis")
+        raise ValueError(f"PCA needs {min_rows} rows without nulls")
     pipe = Pipeline(stages=[
         VectorAssembler(inputCols=cols, outputCol="__raw"),
         StandardScaler(inputCol="__raw", outputCol="__scaled", withMean=True, withStd=True),
@@ -189,30 +198,48 @@ def forest_metrics(df: DataFrame, target: str, key: Sequence[str], cols: Sequenc
                    train_pct: int = 80, num_trees: int = 100, max_depth: int = 5, seed: int = 42) -> DataFrame:
     """(metric, value) of a classification forest on a keyed split: a row is in the test
     set when pmod(xxhash64(key), 100) >= train_pct, so the split is repeatable and needs no
-    random sampling state."""
+    random sampling state.
+
+    Feature means come from the training split; rows without a label are not scored. A label that
+    only the test split holds counts as missed. One grouped count of (label, prediction) over
+    one pass of the forest gives accuracy, f1, weightedPrecision and weightedRecall (weights: the true
+    labels); with two labels areaUnderROC is added.
+    """
     spark = df.sparkSession
     nums = list(cols) if cols is not None else numeric_columns(df, exclude=key)
     feats = [c for c in nums if c != target]
-    bucket = F.pmod(F.xxhash64(*[F.col(c) for c in key]), F.lit(100))
-    data = _spread(_prepare(df.withColumn("__bucket", bucket), [*feats, "__bucket"], target)) \
-        .persist(StorageLevel.MEMORY_AND_DISK)
+    bucket = F.pmod(F.xxhash64(*[col_of(c) for c in key]), F.lit(100))
+    rows = df.select(*[col_of(c).cast("double").alias(f"f{i}") for i, c in enumerate(feats)],
+                     col_of(target).cast("string").alias("label"), bucket.alias("bucket")).where("label is not null")
+    names = [f"f{i}" for i in range(len(feats))]
+    train = rows.where(F.col("bucket") < train_pct)
+    mean = scalar_stats(train, {n: F.avg(n) for n in names})
+    data = materialize(_spread(rows.withColumns({n: F.coalesce(n, mean[n]) for n in names})), "forest-rows")
     checkpoint_root(spark)
-    try:
-        pipe = Pipeline(stages=[
-            VectorAssembler(inputCols=feats, outputCol="__features", handleInvalid="keep"),
-            StringIndexer(inputCol=target, outputCol="__label", stringOrderType="alphabetAsc"),
-            RandomForestClassifier(featuresCol="__features", labelCol="__label", numTrees=num_trees,
-                                   maxDepth=max_depth, seed=seed, cacheNodeIds=True, checkpointInterval=10)])
-        model = pipe.fit(data.where(F.col("__bucket") < train_pct))
-        pred = model.transform(data.where(F.col("__bucket") >= train_pct))
-        results = []
-        for m in ("accuracy", "f1", "weightedPrecision", "weightedRecall"):
-            ev = MulticlassClassificationEvaluator(labelCol="__label", predictionCol="prediction", metricName=m)
-            results.append((m, float(ev.evaluate(pred))))
-        if len(model.stages[1].labels) == 2:
-            ev = BinaryClassificationEvaluator(labelCol="__label", rawPredictionCol="rawPrediction",
-                                               metricName="areaUnderROC")
-            results.append(("areaUnderROC", float(ev.evaluate(pred))))
-    finally:
-        data.unpersist()
+    indexer = StringIndexer(inputCol="label", outputCol="index", stringOrderType="alphabetAsc").fit(data)
+    pipe = Pipeline(stages=[
+        VectorAssembler(inputCols=names, outputCol="features", handleInvalid="keep"), indexer,
+        RandomForestClassifier(featuresCol="features", labelCol="index", numTrees=num_trees,
+                               maxDepth=max_depth, seed=seed, cacheNodeIds=True, checkpointInterval=10)])
+    model = pipe.fit(data.where(F.col("bucket") < train_pct))
+    pred = materialize(model.transform(data.where(F.col("bucket") >= train_pct))
+                       .select("index", "prediction", vector_to_array("probability").alias("p")), "forest-scores")
+    # labels x labels counts: bounded by the number of classes
+    cells = {(r["index"], r["prediction"]): r["count"] for r in pred.groupBy("index", "prediction").count().collect()}
+    total = sum(cells.values())
+    true: dict[float, int] = {}
+    said: dict[float, int] = {}
+    for (t, p), n in cells.items():
+        true[t], said[p] = true.get(t, 0) + n, said.get(p, 0) + n
+    f1 = precision = recall = 0.0
+    for t, n in true.items():
+        hit = cells.get((t, t), 0)
+        pr, re = hit / said[t] if said.get(t) else 0.0, hit / n
+        precision, recall = precision + pr * n, recall + re * n
+        f1 += (2 * pr * re / (pr + re) if hit else 0.0) * n
+    results = [("accuracy", sum(n for (t, p), n in cells.items() if t == p) / total), ("f1", f1 / total),
+               ("weightedPrecision", precision / total), ("weightedRecall", recall / total)] if total else []
+    if total and len(indexer.labels) == 2:
+        ev = BinaryClassificationEvaluator(labelCol="index", rawPredictionCol="score", metricName="areaUnderROC")
+        results.append(("areaUnderROC", float(ev.evaluate(pred.select("index", F.col("p")[1].alias("score"))))))
     return spark.createDataFrame(results, "metric string, value double")

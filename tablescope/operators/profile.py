@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from tablescope.functions.frames import long_from_row, wide_agg
+from tablescope.functions.frames import col_of, long_from_row, wide_agg
 from tablescope.functions.values import round_half_even
 from tablescope.functions.quantiles import quantile_scalars
 from tablescope.functions.roles import numeric_columns
@@ -23,7 +23,7 @@ from tablescope.functions.text import truncate_text
 def _null_flags_sum(cols: Sequence[str]):
     expr = F.lit(0)
     for c in cols:
-        expr = expr + F.col(f"`{c}`").isNull().cast("int")
+        expr = expr + col_of(c).isNull().cast("int")
     return expr
 
 
@@ -34,7 +34,7 @@ def table_metrics(df: DataFrame) -> DataFrame:
     first = nums[0] if nums else None
     out = df.agg(
         F.count(F.lit(1)).alias("total_records"),
-        (F.avg(F.col(f"`{first}`").cast("double")) if first else F.lit(None).cast("double"))
+        (F.avg(col_of(first).cast("double")) if first else F.lit(None).cast("double"))
         .alias("first_numeric_avg"),
         F.sum(_null_flags_sum(cols)).cast("long").alias("missing_cells"),
     )
@@ -52,7 +52,7 @@ def missing_profile(df: DataFrame, only_missing: bool = False) -> DataFrame:
     """(column, position, missing_count, missing_pct) sorted by percent, then position."""
     cols = df.columns
     row = wide_agg(df, {"__n": F.count(F.lit(1)),
-                        **{f"m{i}": F.count_if(F.col(f"`{c}`").isNull()) for i, c in enumerate(cols)}},
+                        **{f"m{i}": F.count_if(col_of(c).isNull()) for i, c in enumerate(cols)}},
                    dtype="bigint")
     items = [{"column": F.lit(c), "position": F.lit(i), "missing_count": F.col(f"m{i}"),
               "missing_pct": F.try_divide(F.col(f"m{i}") * 100.0, F.col("__n"))}
@@ -66,8 +66,7 @@ def missing_profile(df: DataFrame, only_missing: bool = False) -> DataFrame:
 DESCRIBE_STATS = ("count", "mean", "std", "min", "25%", "50%", "75%", "max")
 
 
-def describe(df: DataFrame, cols: Sequence[str] | None = None, decimals: int | None = 2,
-             method: str = "bounded") -> DataFrame:
+def describe(df: DataFrame, cols: Sequence[str] | None = None, decimals: int | None = 2) -> DataFrame:
     """count, mean, sample std, min, quartiles (linear interpolation), max per numeric column.
 
     One row per statistic (column ``stat``) and one column per numeric input column.
@@ -77,13 +76,13 @@ def describe(df: DataFrame, cols: Sequence[str] | None = None, decimals: int | N
         raise ValueError("no numeric columns to describe")
     aggs, widths = {}, {}
     for i, c in enumerate(cols):
-        x = F.col(f"`{c}`").cast("double")
+        x = col_of(c).cast("double")
         for name, expr, width in ((f"count{i}", F.count(x).cast("double"), 1), (f"mean{i}", F.avg(x), 2),
                                   (f"std{i}", F.stddev_samp(x), 3), (f"min{i}", F.min(x), 1),
                                   (f"max{i}", F.max(x), 1)):
             aggs[name], widths[name] = expr, width
     row = wide_agg(df, aggs, widths)
-    qs = quantile_scalars(df, cols, [0.25, 0.5, 0.75], method)
+    qs = quantile_scalars(df, cols, [0.25, 0.5, 0.75])
     pick = {"count": lambda i: F.col(f"count{i}"), "mean": lambda i: F.col(f"mean{i}"),
             "std": lambda i: F.col(f"std{i}"), "min": lambda i: F.col(f"min{i}"),
             "25%": lambda i: qs[cols[i]][0], "50%": lambda i: qs[cols[i]][1],
@@ -104,7 +103,7 @@ _INTEGRAL = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
 def _distinct_key(df: DataFrame, c: str):
     """A typed key per value: integral -> bigint, float/double -> double (-0.0 folded into
     0.0), anything else -> text. Exact, and no number is formatted as text."""
-    v = F.col(f"`{c}`")
+    v = col_of(c)
     dtype = df.schema[c].dataType
     none_l, none_d, none_s = F.lit(None).cast("bigint"), F.lit(None).cast("double"), F.lit(None).cast("string")
     if isinstance(dtype, _INTEGRAL):
@@ -126,7 +125,7 @@ def cardinality(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     cols = list(cols) if cols is not None else numeric_columns(df)
     spark = df.sparkSession
     pairs = df.select(F.inline(F.array(*[
-        F.struct(F.lit(i).alias("position"), F.col(f"`{c}`").isNull().alias("missing"),
+        F.struct(F.lit(i).alias("position"), col_of(c).isNull().alias("missing"),
                  _distinct_key(df, c).alias("value"))
         for i, c in enumerate(cols)])))
     counts = (pairs.where(~F.col("missing"))
@@ -143,7 +142,7 @@ def explore(df: DataFrame) -> DataFrame:
     """Shape and per-column info: (position, column, dtype, non_null, rows)."""
     cols = df.columns
     row = wide_agg(df, {"__n": F.count(F.lit(1)),
-                        **{f"c{i}": F.count(F.col(f"`{c}`")) for i, c in enumerate(cols)}},
+                        **{f"c{i}": F.count(col_of(c)) for i, c in enumerate(cols)}},
                    dtype="bigint")
     items = [{"position": F.lit(i), "column": F.lit(c),
               "dtype": F.lit(df.schema[c].dataType.simpleString()),
@@ -165,7 +164,7 @@ def report_preview(df: DataFrame, order_by, n: int = 5, width: int = 50,
     """First ``n`` rows by the order key, every value as text cut to ``keep`` chars + '...'."""
     keys = _order_cols(order_by)
     top = df.orderBy(*keys).limit(n)
-    return top.select(*[truncate_text(F.col(f"`{c}`"), width, keep).alias(c) for c in df.columns])
+    return top.select(*[truncate_text(col_of(c), width, keep).alias(c) for c in df.columns])
 
 
 def sample_series(df: DataFrame, order_by, n: int = 20, col: str | None = None) -> DataFrame:
@@ -176,7 +175,7 @@ def sample_series(df: DataFrame, order_by, n: int = 20, col: str | None = None)
     """
     keys = _order_cols(order_by)
     col = col or numeric_columns(df, 1, exclude=())[0]
-    top = df.select(*keys, F.col(f"`{col}`").alias("value")).orderBy(*keys).limit(n)
+    top = df.select(*keys, col_of(col).alias("value")).orderBy(*keys).limit(n)
     w = Window.orderBy(*keys)
     return top.select((F.row_number().over(w) - 1).cast("bigint").alias("position"),
                       F.lit(col).alias("column"), "value")

@@ -4,54 +4,73 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablescope.functions.frames import long_from_row, wide_agg
+from tablescope.functions.frames import col_of
 from tablescope.functions.quantiles import quantile_scalars, scalar_stats
 from tablescope.functions.roles import numeric_columns
 
 
 def _d(c: str) -> Column:
-    return F.col(f"`{c}`").cast("double")
-
-
-def pair_corr(a: str, b: str) -> Column:
-    """Pearson r over the rows where both are present; null when either side is constant.
-
-    ``covar_pop / (stddev_pop * stddev_pop)`` under ``try_divide``: a bare ``corr`` raises a
-    division by zero under ANSI mode on a constant column. Clipped to [-1, 1].
+    return col_of(c).cast("double")
+
+
+def _cross_products(k: int):
+    """Per task: pairwise-complete counts and sums of every pair of columns, as k*k rows."""
+    def run(batches):
+        n, s, ss, xy = (np.zeros((k, k)) for _ in range(4))
+        for b in batches:
+            for at in range(0, b.num_rows, 4096):
+                x = np.column_stack([np.asarray(c.slice(at, 4096).to_numpy(zero_copy_only=False), dtype=np.float64) for c in b.columns])
+                there = ~np.isnan(x)
+                x[~there] = 0.0
+                m = there.astype(np.float64)
+                n += m.T @ m
+                s += x.T @ m               # s[i, j]: sum of column i where i and j are present
+                ss += (x * x).T @ m
+                xy += x.T @ x
+        i, j = np.divmod(np.arange(k * k), k)
+        yield pa.record_batch({"i": pa.array(i.astype(np.int32)), "j": pa.array(j.astype(np.int32)), "n": pa.array(n.ravel()),
+                               "si": pa.array(s.ravel()), "sj": pa.array(s.T.ravel()), "sii": pa.array(ss.ravel()),
+                               "sjj": pa.array(ss.T.ravel()), "sij": pa.array(xy.ravel())})
+    return run
+
+
+def pair_correlations(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """(i, j, r) for every ordered pair of columns: Pearson r over the rows where both are present;
+    null when either side is constant there. Clipped to [-1, 1]; NaN counts as missing.
+
+    Two scans whatever the number of columns: the column means (a one-row aggregate that the plan
+    uses as literals to centre the values), then masked cross-products per Arrow batch. A
+    task hands on k*k rows of sums, which the JVM adds up.
     """
-    both = F.col(f"`{a}`").isNotNull() & F.col(f"`{b}`").isNotNull()
-    x, y = F.when(both, _d(a)), F.when(both, _d(b))
-    r = F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
-    # greatest/least skip nulls, so the clip must not see an undefined r
-    return F.when(r.isNotNull(), F.least(F.greatest(r, F.lit(-1.0)), F.lit(1.0)))
-
-
-def _self_corr(c: str) -> Column:
-    return F.when((F.count(_d(c)) >= 2) & (F.stddev_pop(_d(c)) > 0), F.lit(1.0))
+    value = {c: F.when(~F.isnan(_d(c)), _d(c)) for c in cols}
+    mean = scalar_stats(df, {c: F.avg(value[c]) for c in cols})
+    centred = df.select(*[(value[c] - mean[c]).alias(f"c{i}") for i, c in enumerate(cols)])
+    sums = ["n", "si", "sj", "sii", "sjj", "sij"]
+    parts = centred.mapInArrow(_cross_products(len(cols)), "i int, j int, " + ", ".join(f"{c} double" for c in sums))
+    t = parts.groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in sums])
+    vi, vj = F.expr("sii - si * si / n"), F.expr("sjj - sj * sj / n")
+    # what rounding leaves of a constant column is no variance
+    flat = (vi <= F.col("sii") * 1e-13) | (vj <= F.col("sjj") * 1e-13) | (F.col("n") < 2)
+    r = F.when(F.col("i") == F.col("j"), F.lit(1.0)).otherwise(F.expr("sij - si * sj / n") / F.sqrt(vi * vj))
+    return t.where("n > 0").select("i", "j", F.when(~flat, F.least(F.greatest(r, F.lit(-1.0)), F.lit(1.0))).alias("r"))
 
 
 def corr_matrix(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
-    """Full matrix in long form (a, b, pos_a, pos_b, r), one aggregate for all pairs.
-
-    Fewer than 2 numeric columns is refused. A pair carries 10 buffer fields, so the pairs are
-    split into chunks that stay inside whole-stage code generation (see ``wide_agg``).
-    """
+    """Full matrix in long form (a, b, pos_a, pos_b, r); see ``pair_correlations``."""
     cols = list(cols) if cols is not None else numeric_columns(df)
     if len(cols) < 2:
-        raise ValueError("Not enough numeric columns for correlation analysis")
-    exprs, fields = {}, {}
-    for i, a in enumerate(cols):
-        exprs[f"r{i}_{i}"], fields[f"r{i}_{i}"] = _self_corr(a), 4
-        for j in range(i + 1, len(cols)):
-            exprs[f"r{i}_{j}"], fields[f"r{i}_{j}"] = pair_corr(a, cols[j]), 10
-    row = wide_agg(df, exprs, fields)
-    items = [{"a": F.lit(a), "b": F.lit(b), "pos_a": F.lit(i), "pos_b": F.lit(j),
-              "r": F.col(f"r{min(i, j)}_{max(i, j)}")}
-             for i, a in enumerate(cols) for j, b in enumerate(cols)]
-    return long_from_row(row, items)
+        raise ValueError("a correlation needs two numeric columns")
+    cells = df.sparkSession.range(len(cols) ** 2).select(
+        F.element_at(F.array(*[F.lit(c) for c in cols]), F.expr(f"cast(id div {len(cols)} as int) + 1")).alias("a"),
+        F.element_at(F.array(*[F.lit(c) for c in cols]), F.expr(f"cast(id % {len(cols)} as int) + 1")).alias("b"),
+        F.expr(f"cast(id div {len(cols)} as int)").alias("pos_a"), F.expr(f"cast(id % {len(cols)} as int)").alias("pos_b"))
+    r = pair_correlations(df, cols).select(F.col("i").alias("pos_a"), F.col("j").alias("pos_b"), "r")
+    return cells.join(r, ["pos_a", "pos_b"], "left").select("a", "b", "pos_a", "pos_b", "r")
 
 
 def corr_triangle(matrix: DataFrame) -> DataFrame:
@@ -73,23 +92,25 @@ def target_correlation(df: DataFrame, target: str | None = None,
     target = target or cols[-1]
     feats = [c for c in cols if c != target]
     if not feats:
-        raise ValueError("Not enough numeric columns for feature importance analysis")
-    row = wide_agg(df, {f"r{i}": pair_corr(c, target) for i, c in enumerate(feats)}, 10)
-    items = [{"feature": F.lit(c), "position": F.lit(i), "target": F.lit(target),
-              "correlation": F.abs(F.col(f"r{i}"))} for i, c in enumerate(feats)]
-    return long_from_row(row, items).orderBy(F.col("correlation").desc_nulls_last(), "position")
+        raise ValueError("a target correlation needs two numeric columns")
+    order = [*feats, target]
+    r = pair_correlations(df, order).where(F.col("j") == len(feats)).select(F.col("i").alias("position"), F.abs("r").alias("correlation"))
+    names = F.array(*[F.lit(c) for c in feats])
+    out = df.sparkSession.range(len(feats)).select(F.col("id").cast("int").alias("position")).join(r, "position", "left")
+    return out.select(F.element_at(names, F.col("position") + 1).alias("feature"), "position", F.lit(target).alias("target"),
+                      "correlation").orderBy(F.col("correlation").desc_nulls_last(), "position")
 
 
-def _fences(df: DataFrame, col: str, k: float, method: str):
-    q1, q3 = quantile_scalars(df, [col], [0.25, 0.75], method)[col]
+def _fences(df: DataFrame, col: str, k: float):
+    q1, q3 = quantile_scalars(df, [col], [0.25, 0.75])[col]
     iqr = q3 - q1
     return q1, q3, iqr, q1 - F.lit(k) * iqr, q3 + F.lit(k) * iqr
 
 
-def outliers(df: DataFrame, col: str | None = None, k: float = 1.5, method: str = "bounded") -> DataFrame:
+def outliers(df: DataFrame, col: str | None = None, k: float = 1.5) -> DataFrame:
     """IQR rule on one column (default: the first numeric): strict < Q1-k*IQR or > Q3+k*IQR."""
     col = col or numeric_columns(df, 1)[0]
-    q1, q3, iqr, lo, hi = _fences(df, col, k, method)
+    q1, q3, iqr, lo, hi = _fences(df, col, k)
     v = _d(col)
     counts = df.agg(F.count(v).alias("total_count"),
                     F.count_if((v < lo) | (v > hi)).alias("outlier_count"))
@@ -100,10 +121,10 @@ def outliers(df: DataFrame, col: str | None = None, k: float = 1.5, method: str
                          .alias("outlier_pct"))
 
 
-def outlier_rows(df: DataFrame, col: str | None = None, k: float = 1.5, method: str = "bounded") -> DataFrame:
+def outlier_rows(df: DataFrame, col: str | None = None, k: float = 1.5) -> DataFrame:
     """The rows outside the fences (a filter with the fences as scalar subqueries)."""
     col = col or numeric_columns(df, 1)[0]
-    _, _, _, lo, hi = _fences(df, col, k, method)
+    _, _, _, lo, hi = _fences(df, col, k)
     v = _d(col)
     return df.where((v < lo) | (v > hi))
 
@@ -126,7 +147,7 @@ def distributions(df: DataFrame, bins: int = 20, n: int = 4,
     """
     cols = list(cols) if cols is not None else numeric_columns(df, n)
     if not cols:
-        raise ValueError("No numeric columns found for distribution analysis")
+        raise ValueError("no numeric column to show")
     rng = scalar_stats(df, {f"{p}{i}": fn(_d(c)) for i, c in enumerate(cols)
                             for p, fn in (("lo", F.min), ("hi", F.max))})
     long = df.select(F.inline(F.array(*[

@@ -27,7 +27,7 @@ def _domain_sql(name: str, labels) -> str:
 
 def flagship(spark, sf_dir):
     """Outcome rate by age group on the cleaned passenger view, empty age groups listed."""
-    p = C.clean(passengers(spark, sf_dir))
+    p = C.clean(passengers(spark, sf_dir), outputs=["age_group", "survived"])
     return rounded(G.outcome_rate(p, "age_group", "survived", labels=C.AGE_LABELS), {"rate": 6})
 
 
@@ -125,7 +125,7 @@ def _age_bin_sql(col: str) -> str:
 
 
 def _fare_by_age_bin(spark, sf_dir):
-    p = C.clean(passengers(spark, sf_dir))
+    p = C.clean(passengers(spark, sf_dir), outputs=["age", "fare"])
     p = p.withColumn("age_bin", cut("age", C.AGE_DECADE_BINS, right=False))
     return G.numeric_by_group(p, "age_bin", "fare", ("mean", "count", "std"), decimals=2,
                               labels=_AGE_BIN_LABELS)

@@ -108,16 +108,16 @@ def f3_customer(spark, sf_dir):
     f"CAST(ceil(max({c})) AS BIGINT) AS slider_max FROM lineitem"
     for i, c in enumerate(_LI_NUM)))
 def f4(spark, sf_dir):
-    return FL.filter_domains_numeric(table(spark, sf_dir, "lineitem"))
+    return FL.filter_domains_numeric(table(spark, sf_dir, "lineitem")).drop("exact_min", "exact_max")
 
 
-_FILTERS = {"l_returnflag": ["R", "A"], "l_quantity": (10, 30), "l_linestatus": []}
+_FILTERS = {"l_returnflag": ["R", "A"], "l_quantity": FL.Range(10, 30), "l_linestatus": []}
 
 
 @register("F5_apply_filters", """
 SELECT * FROM lineitem WHERE l_returnflag IN ('R', 'A') AND l_quantity >= 10 AND l_quantity <= 30""")
 def f5(spark, sf_dir):
-    return FL.apply_filters(table(spark, sf_dir, "lineitem"), _FILTERS)
+    return table(spark, sf_dir, "lineitem", filters=_FILTERS)
 
 
 @register("F6_filter_status", """

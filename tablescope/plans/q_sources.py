@@ -37,6 +37,71 @@ def l3(spark, sf_dir):
     return parse_json_column(ev, "props")
 
 
+_TURNS_SQL = """SELECT conv_id, turn, role, text, CAST(turn AS DOUBLE) / 4 AS "at.share", conv_id + turn AS "at.sum" FROM conversations"""
+
+
+def _turns(spark, sf_dir):
+    """conversations with a nested object that holds a double and a whole number."""
+    return table(spark, sf_dir, "conversations").select(
+        F.struct("conv_id", "turn", "role", "text",
+                 F.struct((F.col("turn").cast("double") / 4).alias("share"), (F.col("conv_id") + F.col("turn")).alias("sum")).alias("at")).alias("r"))
+
+
+def _documents(spark, sf_dir, name, wrap):
+    """JSON documents of 100 conversations each, one a file, written and read back."""
+    path = shared_dir(spark, name) + ".json"
+    rows = _turns(spark, sf_dir).groupBy(F.expr("r.conv_id div 100").alias("g")).agg(F.collect_list("r").alias("rows"))
+    rows.select(wrap(F.to_json("rows"))).write.option("maxRecordsPerFile", 1).text(path)
+    return S.read_table(spark, path).select("conv_id", "turn", "role", "text", F.col("`at.share`"), F.col("`at.sum`"))
+
+
+@register("L3_json_lines", _TURNS_SQL)
+def l3_lines(spark, sf_dir):
+    """conversations as JSON lines with a nested object: every record comes back, flattened."""
+    path = shared_dir(spark, "l3-lines") + ".jsonl"
+    _turns(spark, sf_dir).select("r.*").write.json(path)
+    return S.read_table(spark, path).select("conv_id", "turn", "role", "text", F.col("`at.share`"), F.col("`at.sum`"))
+
+
+@register("L3_json_list", _TURNS_SQL)
+def l3_list(spark, sf_dir):
+    return _documents(spark, sf_dir, "l3-list", lambda j: j)
+
+
+@register("L3_json_data", _TURNS_SQL)
+def l3_data(spark, sf_dir):
+    return _documents(spark, sf_dir, "l3-data", lambda j: F.concat(F.lit('{"data": '), j, F.lit(', "n": 1}')))
+
+
+@register("L3_json_results", _TURNS_SQL)
+def l3_results(spark, sf_dir):
+    return _documents(spark, sf_dir, "l3-results", lambda j: F.concat(F.lit('{"count": 2, "results": '), j, F.lit("}")))
+
+
+@register("L1_csv_quotes", """
+SELECT doc_id, text, '"' || lang || '", "' || source || '"' AS quoted FROM documents""")
+def l1_quotes(spark, sf_dir):
+    """documents as CSV: line breaks, commas and doubled quotes inside fields survive the round trip."""
+    path = shared_dir(spark, "l1-documents-csv")
+    S.write_csv(table(spark, sf_dir, "documents").select(
+        "doc_id", "text", F.concat(F.lit('"'), "lang", F.lit('", "'), "source", F.lit('"')).alias("quoted")), path)
+    return S.read_table(spark, path, fmt="csv")
+
+
+@register("L7_nan", """
+SELECT l_orderkey, l_linenumber, l_quantity,
+       CASE WHEN l_partkey % 5 = 0 THEN NULL ELSE l_extendedprice END AS price
+FROM lineitem WHERE l_quantity BETWEEN 10 AND 30""")
+def l7_nan(spark, sf_dir):
+    """lineitem with NaN in a double column, written as Parquet and read with a filter on another:
+    the filter reaches the scan, NaN comes back as null."""
+    path = shared_dir(spark, "l7-nan") + ".parquet"
+    li = table(spark, sf_dir, "lineitem")
+    price = F.when(F.col("l_partkey") % 5 == 0, F.lit(float("nan"))).otherwise(F.col("l_extendedprice"))
+    li.select("l_orderkey", "l_linenumber", "l_quantity", price.alias("price")).write.parquet(path)
+    return S.read_table(spark, path, filters={"l_quantity": FL.Range(10, 30)})
+
+
 @register("L4_validate", """
 SELECT 'non_empty' AS "check", (SELECT count(*) FROM lineitem) > 0 AS ok,
        CASE WHEN (SELECT count(*) FROM lineitem) > 0 THEN 'table has rows' ELSE 'The uploaded file is empty' END AS detail

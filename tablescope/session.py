@@ -40,8 +40,9 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
 def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder the cluster names in ``spark.checkpoint.dir``.
 
-    The setting is read from the session. Only when it is unset (local tests) a folder of
-    our own is created and registered, so ``DataFrame.checkpoint`` works everywhere.
+    The setting is read from the session. Where it is unset, a session with a local master gets
+    a folder of its own, so ``DataFrame.checkpoint`` works in tests; on a cluster that is an error, as
+    executors could not see such a folder.
     """
     sc = spark.sparkContext
     root = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
@@ -49,6 +50,8 @@ def checkpoint_root(spark: SparkSession) -> str:
         current = sc.getCheckpointDir()
         if current:
             return current
+        if sc.master != "local" and not sc.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         root = tempfile.mkdtemp(prefix="tablescope-ckpt-")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(root)
@@ -67,33 +70,23 @@ def env_int(name: str, default: int) -> int:
         return default
 
 
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def materialize(df, name: str):
     """Write ``df`` as Parquet under the shared checkpoint folder and read it back.
 
     Used when several jobs read one expensive derived table (joins, fills): they then scan
     a columnar copy instead of re-running its lineage, and the copy survives lost
-    executors (unlike a cache or a local checkpoint).
+    executors (unlike a cache or a local checkpoint). The shuffle files of the write are
+    of no further use and are removed when it ends.
     """
     spark = df.sparkSession
     path = shared_dir(spark, name)
-    df.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
-
-
-BROADCAST_MAX_ROWS = 1_000_000
-
-
-def checked_small_side(small, max_rows: int = BROADCAST_MAX_ROWS):
-    """Make a per-group side table (one row per group) safe to join.
-
-    The table is checkpointed (reliable, in the shared checkpoint folder: lineage is cut and
-    it survives lost executors) and its rows are counted. Within ``max_rows`` it is marked for
-    broadcast, so the large side is never shuffled for the join; beyond that it is returned
-    as it is and the join shuffles both sides (AQE splits skewed partitions).
-    Returns (table, broadcast?).
-    """
-    from pyspark.sql import functions as F
-    checkpoint_root(small.sparkSession)
-    table = small.checkpoint(eager=True)
-    rows = table.count()
-    return (F.broadcast(table), True) if rows <= max_rows else (table, False)
+    before = spark.conf.get(SHUFFLE_CLEANUP, "false")
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        df.write.mode("overwrite").parquet(path)
+    finally:
+        spark.conf.set(SHUFFLE_CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)

@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tablescope.functions.frames import col_of
+
 
 def _leaves(dtype: T.StructType, prefix: list[str]):
     for f in dtype.fields:
@@ -23,7 +25,7 @@ def _leaves(dtype: T.StructType, prefix: list[str]):
 
 
 def _path_col(path: list[str]) -> Column:
-    c = F.col(f"`{path[0]}`")
+    c = col_of(path[0])
     for name in path[1:]:
         c = c.getField(name)
     return c
@@ -49,43 +51,57 @@ def parse_json_column(df: DataFrame, col: str, schema: str | None = None, sep: s
     """
     if schema is None:
         schema = _variant_schema_to_ddl(
-            df.select(F.schema_of_variant_agg(F.parse_json(F.col(col))).alias("s")).first()["s"])
-    parsed = df.withColumn(col, F.from_json(F.col(col), schema))
+            df.select(F.schema_of_variant_agg(F.parse_json(col_of(col))).alias("s")).first()["s"])
+    parsed = df.withColumn(col, F.from_json(col_of(col), schema))
     others = [c for c in (keep if keep is not None else df.columns) if c != col]
-    nested = [_path_col(p).alias(sep.join(p)) for p in _leaves(parsed.select(col).schema, [])]
-    return parsed.select(*[F.col(f"`{c}`") for c in others], *nested)
+    nested = [_path_col(p).alias(sep.join(p)) for p in _leaves(parsed.select(col_of(col)).schema, [])]
+    return parsed.select(*[col_of(c) for c in others], *nested)
 
 
 def _top_level_kind(spark: SparkSession, path: str) -> str:
-    first = (spark.read.text(path, wholetext=True)
-             .select(F.substring(F.ltrim(F.col("value")), 1, 1).alias("c"))
-             .groupBy("c").count().collect())
-    kinds = {r["c"] for r in first}
-    if kinds <= {"["}:
-        return "list"
-    if kinds <= {"{"}:
-        return "object"
-    raise ValueError("JSON payload must be a list or an object")
+    """"list" or "object", from the first non-blank line of one file (one kind per folder).
+
+    A file whose first line is a whole document and that goes on after it holds JSON lines, of
+    which document mode would return the first record only: that is refused.
+    """
+    lines = (spark.read.text(path).select(F.input_file_name().alias("file"), F.btrim("value", F.lit(" \t\r\ufeff")).alias("line"))
+             .where("line <> ''"))
+    first = lines.limit(1).collect()
+    if not first:
+        raise ValueError("JSON payload is empty")
+    text = first[0]["line"]
+    if text[0] not in "[{":
+        raise ValueError("JSON payload must be a list or an object")
+    whole = spark.range(1).select(F.try_parse_json(F.lit(text)).isNotNull().alias("w")).first()["w"]
+    if whole and len(lines.where(F.col("file") == first[0]["file"]).limit(2).collect()) > 1:
+        raise ValueError("the file holds several JSON documents: read it as JSON lines (fmt='jsonl')")
+    return "list" if text[0] == "[" else "object"
 
 
 def read_json_records(spark: SparkSession, path: str, multi_line: bool = True,
                       sep: str = ".", schema=None) -> DataFrame:
-    """Read JSON documents (multi_line=True) or JSON lines (multi_line=False) as flat rows."""
-    reader = spark.read.option("multiLine", multi_line)
-    if schema is not None:
-        reader = reader.schema(schema)
+    """Read JSON documents (multi_line=True) or JSON lines (multi_line=False) as flat rows.
+
+    Records that are not JSON are refused when they are read. ``schema`` is that of the records.
+    """
+    reader = spark.read.option("multiLine", multi_line).option("mode", "FAILFAST")
+    if not multi_line:
+        return flatten_structs(reader.schema(schema).json(path) if schema is not None else reader.json(path), sep)
+    if _top_level_kind(spark, path) == "list":
+        return flatten_structs(reader.schema(schema).json(path) if schema is not None else reader.json(path), sep)
     raw = reader.json(path)
-    if "_corrupt_record" in raw.columns and len(raw.columns) == 1:
-        raise ValueError("JSON payload must be a list or an object")
-    if multi_line and _top_level_kind(spark, path) == "object":
-        for key in ("data", "results"):
-            if key in raw.columns:
-                dtype = raw.schema[key].dataType
-                if isinstance(dtype, T.ArrayType) and isinstance(dtype.elementType, T.StructType):
-                    raw = raw.select(F.inline(F.col(key)))
-                elif isinstance(dtype, T.StructType):
-                    raw = raw.select(F.col(f"{key}.*"))
-                else:
-                    raw = raw.select(F.col(key))
-                break
-    return flatten_structs(raw, sep)
+    for key in ("data", "results"):
+        if key in raw.columns:
+            dtype = raw.schema[key].dataType
+            if isinstance(dtype, T.ArrayType) and isinstance(dtype.elementType, T.StructType):
+                raw = raw.select(F.inline(col_of(key)))
+            elif isinstance(dtype, T.StructType):
+                raw = raw.select(F.col(f"{key}.*"))
+            else:
+                raw = raw.select(col_of(key))
+            break
+    out = flatten_structs(raw, sep)
+    if schema is not None:
+        fields = schema.fields if isinstance(schema, T.StructType) else T._parse_datatype_string(schema).fields
+        out = out.select(*[(col_of(f.name) if f.name in out.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in fields])
+    return out

@@ -9,11 +9,14 @@ string. Pass ``schema=`` to skip that pass on large inputs.
 from __future__ import annotations
 
 import os
+from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tablescope.functions.frames import col_of
+
 # The text that pandas' CSV reader treats as missing by default.
 NA_WORDS = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan",
             "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a",
@@ -21,7 +24,12 @@ NA_WORDS = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan"
 
 _BOOL_WORDS = ("True", "False", "TRUE", "FALSE", "true", "false")
 
-_SUFFIX_FORMATS = {".csv": "csv", ".parquet": "parquet", ".json": "json", ".jsonl": "json"}
+_SUFFIX_FORMATS = {".csv": "csv", ".parquet": "parquet", ".json": "json", ".jsonl": "jsonl"}
+
+# What counts as a number in text; Spark's own cast also takes suffixes such as 1D or 2F.
+_WHOLE = r"^\s*[+-]?[0-9]+\s*$"
+_NUMBER = r"(?i)^\s*[+-]?(([0-9]+\.?[0-9]*|\.[0-9]+)(e[+-]?[0-9]+)?|inf|infinity)\s*$"
+_EXTRA = "__extra"
 
 
 def _format_of(path: str, fmt: str | None) -> str:
@@ -35,21 +43,21 @@ def _format_of(path: str, fmt: str | None) -> str:
 
 def normalize_nan(df: DataFrame) -> DataFrame:
     """NaN -> null in float and double columns, so 'missing' means one thing everywhere."""
-    fixes = {f.name: F.when(F.isnan(F.col(f.name)), F.lit(None)).otherwise(F.col(f.name))
+    fixes = {f.name: F.when(~F.isnan(col_of(f.name)), col_of(f.name))
              for f in df.schema.fields if isinstance(f.dataType, (T.FloatType, T.DoubleType))}
-    return df.withColumns(fixes) if fixes else df
+    return df.select(*[fixes.get(c, col_of(c)).alias(c) for c in df.columns]) if fixes else df
 
 
 def _csv_types(df: DataFrame) -> dict[str, T.DataType]:
     """Decide each text column's type in one pass (bounded 1-row result: 4 flags per column)."""
     exprs = []
     for i, c in enumerate(df.columns):
-        v = F.col(c)
+        v = col_of(c)
         present = v.isNotNull()
         exprs += [
             F.count_if(present).alias(f"n{i}"),
-            F.count_if(present & F.expr(f"try_cast(`{c}` AS BIGINT)").isNull()).alias(f"l{i}"),
-            F.count_if(present & F.expr(f"try_cast(`{c}` AS DOUBLE)").isNull()).alias(f"d{i}"),
+            F.count_if(present & ~(v.rlike(_WHOLE) & v.try_cast("bigint").isNotNull())).alias(f"l{i}"),
+            F.count_if(present & ~v.rlike(_NUMBER)).alias(f"d{i}"),
             F.count_if(present & ~v.isin(*_BOOL_WORDS)).alias(f"b{i}"),
         ]
     row = df.agg(*exprs).first()
@@ -69,45 +77,63 @@ def _csv_types(df: DataFrame) -> dict[str, T.DataType]:
 
 
 def _cast_text(c: str, dtype: T.DataType):
-    v = F.col(c)
+    v = col_of(c)
     if isinstance(dtype, T.BooleanType):
         return F.when(F.lower(v) == "true", F.lit(True)).when(F.lower(v) == "false", F.lit(False))
     if isinstance(dtype, T.StringType):
         return v
-    return F.expr(f"try_cast(`{c}` AS {dtype.simpleString()})")
+    if isinstance(dtype, (T.FloatType, T.DoubleType)):
+        return F.when(v.rlike(_NUMBER), v.try_cast(dtype))
+    return v.try_cast(dtype)
+
+
+def _read_csv(spark: SparkSession, path: str, schema, na_words, header: bool, multi_line: bool) -> DataFrame:
+    """CSV as pandas reads it: doubled quotes, line breaks inside quotes, NA words as null; short rows
+    are filled with nulls, longer rows and text that is not UTF-8 are refused when they are read."""
+    options = {"header": header, "encoding": "UTF-8", "escape": '"', "multiLine": multi_line, "inferSchema": False}
+    names = spark.read.options(**options).csv(path).columns
+    if not names:
+        return spark.createDataFrame([], T.StructType([]))
+    fields = None
+    if schema is not None:
+        fields = schema.fields if isinstance(schema, T.StructType) else T._parse_datatype_string(schema).fields
+        names = [f.name for f in fields]
+    raw = T.StructType([T.StructField(n, T.StringType()) for n in (*names, _EXTRA)])
+    text = spark.read.options(**options).schema(raw).csv(path)
+    broken = F.concat_ws("", *[col_of(n) for n in names]).contains("\ufffd")
+    sound = (F.when(F.col(_EXTRA).isNotNull(), F.raise_error(F.lit("CSV row with more fields than the header")).cast("boolean"))
+             .when(broken, F.raise_error(F.lit("CSV text is not UTF-8")).cast("boolean")).otherwise(F.lit(True)))
+    text = text.where(sound).select(*[(F.when(~col_of(n).isin(*na_words), col_of(n)) if na_words else col_of(n)).alias(n) for n in names])
+    types = {f.name: f.dataType for f in fields} if fields else _csv_types(text)
+    return text.select(*[_cast_text(c, t).alias(c) for c, t in types.items()])
 
 
 def read_table(spark: SparkSession, path: str, fmt: str | None = None,
                schema: T.StructType | str | None = None, na_words=NA_WORDS,
-               header: bool = True, multi_line: bool = True) -> DataFrame:
-    """Read a table, picking the format from the suffix unless ``fmt`` is given."""
+               header: bool = True, multi_line: bool = True, filters: Mapping[str, object] | None = None) -> DataFrame:
+    """Read a table, picking the format from the suffix unless ``fmt`` is given.
+
+    ``filters`` (as in ``operators.filters``) are applied to the raw scan first, where Parquet can use
+    them, and again after NaN became null; a filter on a float column that is written afterwards
+    can't reach the scan through that rule. ``multi_line=False`` lets Spark split large CSV files
+    that hold no line break inside quotes. ``.jsonl`` is read line by line; an empty CSV file is a
+    table without columns, which ``validate`` reports.
+    """
     kind = _format_of(path, fmt)
     if kind == "parquet":
         reader = spark.read.schema(schema) if schema is not None else spark.read
-        return normalize_nan(reader.parquet(path))
-    if kind == "json":
+        raw = reader.parquet(path)
+    elif kind in ("json", "jsonl"):
         from tablescope.sources.json_records import read_json_records
-        return normalize_nan(read_json_records(spark, path, multi_line=multi_line))
-    if kind != "csv":
+        raw = read_json_records(spark, path, multi_line=multi_line and kind == "json", schema=schema)
+    elif kind == "csv":
+        raw = _read_csv(spark, path, schema, na_words, header, multi_line)
+    else:
         raise ValueError(f"unsupported format: {kind}")
-    reader = spark.read.option("header", header).option("encoding", "UTF-8") \
-        .option("mode", "PERMISSIVE").option("nullValue", None)
-    if schema is not None:
-        # Typed read: NA words still count as missing.
-        text = reader.option("inferSchema", False).csv(path)
-        fields = schema.fields if isinstance(schema, T.StructType) else \
-            T._parse_datatype_string(schema).fields
-        names = [f.name for f in fields]
-        text = text.toDF(*names)
-        nulls = {n: F.when(F.col(n).isin(*na_words), F.lit(None)).otherwise(F.col(n)) for n in names}
-        text = text.withColumns(nulls)
-        return text.withColumns({f.name: _cast_text(f.name, f.dataType) for f in fields})
-    text = reader.option("inferSchema", False).csv(path)
-    if na_words:
-        text = text.withColumns({c: F.when(F.col(c).isin(*na_words), F.lit(None)).otherwise(F.col(c))
-                                 for c in text.columns})
-    types = _csv_types(text)
-    return text.withColumns({c: _cast_text(c, t) for c, t in types.items()})
+    if not filters:
+        return normalize_nan(raw)
+    from tablescope.operators.filters import apply_filters
+    return apply_filters(normalize_nan(apply_filters(raw, filters)), filters)
 
 
 def validate(df: DataFrame) -> DataFrame:
@@ -128,9 +154,9 @@ def validate(df: DataFrame) -> DataFrame:
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite", single_file: bool = False) -> str:
-    """CSV with a header row and no index column. Output stays partitioned unless asked."""
+    """CSV with a header row and no index column, in the dialect that ``read_table`` reads (doubled quotes). Output stays partitioned unless asked."""
     out = df.coalesce(1) if single_file else df
-    out.write.mode(mode).option("header", True).csv(path)
+    out.write.mode(mode).options(header=True, escape='"', encoding="UTF-8").csv(path)
     return path
 
 

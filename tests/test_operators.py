@@ -106,7 +106,7 @@ def test_value_counts_and_crosstab(people, pdf):
 
 
 def test_filters(people):
-    f = {"sex": ["male"], "age": (20, 40), "embarked": []}
+    f = {"sex": ["male"], "age": FL.Range(20, 40), "embarked": []}
     assert FL.apply_filters(people, f).count() == 2
     st_ = FL.filter_status(people, f).first()
     assert (st_["rows_before"], st_["rows_after"]) == (8, 2)

@@ -19,10 +19,9 @@ def skewed(spark):
         (F.col("id") % 4 == 0).cast("int").alias("y"))
 
 
-@pytest.mark.parametrize("accuracy", [200, 100_000])
-def test_bounded_quantiles_exact_on_hot_group(spark, skewed, accuracy):
+def test_quantiles_exact_on_hot_group(spark, skewed):
     probs = [0.0, 0.01, 0.25, 0.5, 0.9, 0.999, 1.0]
-    got = {r["g"]: r for r in grouped_quantiles(skewed, "v", probs, by=["g"], accuracy=accuracy).collect()}
+    got = {r["g"]: r for r in grouped_quantiles(skewed, "v", probs, by=["g"]).collect()}
     pdf = skewed.toPandas()
     for g in (0, 1, 50):
         vals = pdf.loc[pdf.g == g, "v"].to_numpy()
@@ -31,13 +30,55 @@ def test_bounded_quantiles_exact_on_hot_group(spark, skewed, accuracy):
         assert [got[g][f"q{i}"] for i in range(len(probs))] == pytest.approx(list(want), rel=1e-12, abs=1e-9)
 
 
-def test_bounded_equals_percentile(spark, skewed):
-    a = grouped_quantiles(skewed, "v", [0.25, 0.75], by=["g"], accuracy=300).orderBy("g").collect()
-    b = grouped_quantiles(skewed, "v", [0.25, 0.75], by=["g"], method="percentile").orderBy("g").collect()
-    assert len(a) == len(b)
-    for ra, rb in zip(a, b):
-        assert ra["g"] == rb["g"] and ra["n"] == rb["n"]
-        assert (ra["q0"], ra["q1"]) == pytest.approx((rb["q0"], rb["q1"]), rel=1e-12)
+def test_quantiles_equal_percentile(spark, skewed):
+    a = grouped_quantiles(skewed, "v", [0.25, 0.75], by=["g"]).orderBy("g").collect()
+    b = skewed.groupBy("g").agg(F.count("v").alias("n"), F.percentile("v", F.array(F.lit(0.25), F.lit(0.75))).alias("q")).orderBy("g").collect()
+    assert [(r.g, r.n) for r in a] == [(r.g, r.n) for r in b]
+    assert [x for r in a for x in (r.q0, r.q1)] == pytest.approx([x for r in b for x in r.q], rel=1e-12)
+
+
+def test_quantiles_of_wild_values(spark):
+    top = 1.7976931348623157e308
+    data = {"wide": [-top, -1.0, 0.0, 1e-300, 2e-300, 1.0, top], "inf": [float("-inf"), 1.0, 2.0, 3.0, float("inf")],
+            "same": [7.0] * 9, "one": [3.0], "nan": [float("nan"), 1.0, None, 2.0], "tiny": [5e-324 * i for i in range(20)],
+            "none": [None, float("nan")]}
+    df = spark.createDataFrame([(g, v) for g, vs in data.items() for v in vs] + [(None, 1.0)], "g string, v double")
+    probs = [0.0, 0.2, 0.5, 1.0]
+    got = {r.g: r for r in grouped_quantiles(df, "v", probs, by=["g"], extra={"top": F.max}).collect()}
+    assert set(got) == set(data) - {"none"}
+    for g, vs in data.items():
+        vs = [v for v in vs if v is not None and v == v]
+        if not vs or g == "inf":
+            continue
+        assert got[g].n == len(vs) and got[g].top == max(vs)
+        assert [got[g][f"q{i}"] for i in range(4)] == pytest.approx(list(np.quantile(np.array(vs, dtype=np.longdouble), probs).astype(float)), rel=1e-12)
+    assert (got["inf"].q0, got["inf"].q2, got["inf"].q3) == (float("-inf"), 2.0, float("inf"))
+    assert grouped_quantiles(df.limit(0), "v", probs).count() == 0
+
+
+def test_no_task_reads_a_hot_group(spark, tmp_path):
+    """A hot group of unique doubles: what a task reads after a shuffle is bins, not rows."""
+    import json
+    import subprocess
+    import sys
+    code = f"""
+import sys; sys.path.insert(0, {str(__import__('os').getcwd())!r})
+from pyspark.sql import functions as F
+from tablescope.session import get_session
+s = get_session("local[2]", 8, extra={{"spark.eventLog.enabled": "true", "spark.eventLog.dir": "file://{tmp_path}", "spark.eventLog.compress": "false", "spark.eventLog.rolling.enabled": "false"}})
+from tablescope.functions.quantiles import grouped_quantiles
+df = s.range(0, 400000, 1, 8).select(F.when(F.col("id") % 3 > 0, 0).otherwise(F.col("id") % 50).alias("g"), F.rand(1).alias("v"))
+grouped_quantiles(df, "v", [0.25, 0.5, 0.75], by=["g"]).collect()
+s.stop()
+"""
+    subprocess.run([sys.executable, "-c", code], check=True, timeout=200, capture_output=True)
+    most = 0
+    for log in tmp_path.iterdir():
+        for line in log.open():
+            e = json.loads(line)
+            if e["Event"] == "SparkListenerTaskEnd" and e.get("Task Metrics"):
+                most = max(most, e["Task Metrics"]["Shuffle Read Metrics"]["Total Records Read"])
+    assert most <= 50 * 4096                      # groups x bins; the hot group alone has 268,000 rows
 
 
 def test_group_rates_on_hot_key(spark, skewed):
@@ -55,16 +96,6 @@ def test_box_on_hot_key(spark, skewed):
     assert (got[0]["q1"], got[0]["median"], got[0]["q3"]) == pytest.approx((q1, med, q3))
 
 
-def test_keyed_scatter_sample_is_repeatable(spark):
-    df = spark.range(10000).select("id", (F.col("id") * 0.5).alias("x"), (F.col("id") % 7).alias("y"))
-    a = CH.scatter(df, "x", "y", key=["id"], max_points=1000)
-    b = CH.scatter(df, "x", "y", key=["id"], max_points=1000)
-    ids_a = sorted(r["id"] for r in a.collect())
-    assert ids_a == sorted(r["id"] for r in b.collect())
-    assert 500 < len(ids_a) < 2000            # about max_points rows, chosen by key hash
-    assert CH.scatter(df, "x", "y").count() == 10000
-
-
 def test_wide_table_profiles_match_pandas(spark):
     """20 columns: describe and 190 correlation pairs run as chunked aggregates."""
     from tablescope.operators import profile as PR
@@ -79,12 +110,17 @@ def test_wide_table_profiles_match_pandas(spark):
         assert r["r"] == pytest.approx(pc.loc[r["a"], r["b"]], abs=1e-12)
 
 
-def test_filter_domains_rank_first_route_matches(spark):
-    """Many-valued columns take the dense_rank-first route; the answer is the same."""
+def test_filter_domains_many_and_hot_values(spark):
+    """A many-valued column, a hot smallest value and a constant all take the one route."""
     from tablescope.operators import filters as FL
-    df = spark.range(5000).select((F.col("id") * 7919 % 5000).cast("string").alias("u"),
-                                  (F.col("id") % 3).cast("string").alias("few"))
-    fast = FL.filter_domains_categorical(df, high_cardinality=100).collect()
-    slow = FL.filter_domains_categorical(df, high_cardinality=None).collect()
-    assert sorted(map(tuple, fast)) == sorted(map(tuple, slow))
-    assert [r["value"] for r in fast if r["column"] == "u"] == sorted(str(i) for i in range(5000))[:20]
+    df = spark.range(60000).select((F.col("id") * 7919 % 5000).cast("string").alias("u"),
+                                   F.when(F.col("id") % 3 == 0, "0").otherwise((F.col("id") * 31 % 20000).cast("string")).alias("hot"),
+                                   (F.col("id") % 3).cast("string").alias("few"), F.lit("x").alias("same"))
+    got = FL.filter_domains_categorical(df).collect()
+    for c in df.columns:
+        want = sorted(r[0] for r in df.select(c).distinct().collect())[:20]
+        assert [r["value"] for r in sorted(got, key=lambda r: r["value_rank"]) if r["column"] == c] == want
+    big = spark.createDataFrame([(9007199254740993, 1.5)], "`a.b` long, c double")
+    row = FL.filter_domains_numeric(big, ["a.b"]).first()
+    assert (row["exact_max"], row["slider_max"]) == ("9007199254740993", 9007199254740993)
+    assert FL.apply_filters(df, {"few": ("0", "2")}).where("few = '1'").count() == 0
