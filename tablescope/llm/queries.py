@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablescope.llm import decontaminate, lines, near_text, near_vectors, packing, preference, quality, shard, substring, warc
+from tablescope.llm.oracle_sql import ORACLES  # noqa: F401  (read by the entry module)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
 
 
 def query(fn):
