@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablescope.functions.frames import col_of, join_by_group
-from tablescope.session import materialize
+from tablescope.session import discard, materialize
 
 BINS = 4096
 
@@ -88,7 +88,9 @@ def grouped_quantiles(df: DataFrame, value: str, probs, by=(), names=None, extra
         spans = open_.select(*keys, "lo", "hi", "before").distinct()
         inside = join_by_group(rows, spans, keys, v).where((v >= F.col("lo")) & (v <= F.col("hi")))
         if not first:
-            rows = materialize(inside.select(*keys, "__v"), "quantile-rows")
+            fewer = materialize(inside.select(*keys, "__v"), "quantile-rows")
+            discard(rows)
+            rows = fewer
             inside = join_by_group(rows, spans, keys, v).where((v >= F.col("lo")) & (v <= F.col("hi")))
         bins = (inside.groupBy(*keys, "lo", "hi", _bin(v, F.col("lo"), F.col("hi")).alias("bin"))
                 .agg(F.count(v).alias("c"), F.min(v).alias("mn"), F.max(v).alias("mx")))
@@ -102,6 +104,7 @@ def grouped_quantiles(df: DataFrame, value: str, probs, by=(), names=None, extra
         step = materialize(step, "quantile-ranks")
         done = done.unionByName(step.where("lo = hi"))
         open_, first = step.where("lo < hi"), False
+    discard(rows)
     # at most two ranks per probability and group
     values = done.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("rank", "lo"))).alias("at"))
     found = stats.join(values, keys)
