@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablescope.llm.text import iter_words, shingle_hash
-from tablescope.session import materialize
+from tablescope.session import discard, materialize
 
 K = 13
 SEED = 5
@@ -75,7 +75,11 @@ def _seeds(k: int, seed: int):
 
 
 def _edges(k: int, seed: int):
-    """The windows at flagged seeds: edge hash, its two nodes, document and first word."""
+    """The windows at flagged seeds: edge hash, its two nodes, document and first word.
+
+    Nodes need 32 bits only: two nodes with one hash count as a branch, which ends a path earlier
+    and leaves the words that go the same.
+    """
     def run(batches):
         for b in batches:
             flagged = b.column("at")
@@ -92,8 +96,8 @@ def _edges(k: int, seed: int):
                 row = w.doc[start]
                 yield pa.record_batch({
                     "edge": pa.array(shingle_hash(w.hash, start, k).view(np.int64)),
-                    "src": pa.array(shingle_hash(w.hash, start, k - 1).view(np.int64)),
-                    "dst": pa.array(shingle_hash(w.hash, start + 1, k - 1).view(np.int64)),
+                    "src": pa.array(shingle_hash(w.hash, start, k - 1).view(np.int64).astype(np.int32)),
+                    "dst": pa.array(shingle_hash(w.hash, start + 1, k - 1).view(np.int64).astype(np.int32)),
                     "doc": pa.array(doc[w.first + row]), "did": pa.array(did[w.first + row]),
                     "pos": pa.array((start - bounds[row]).astype(np.int32))})
     return run
@@ -136,10 +140,13 @@ def repeated_spans(src: DataFrame, k: int = K, seed: int = SEED) -> DataFrame:
     twice = sown.groupBy("seed").agg(F.min("doc").alias("a"), F.max("doc").alias("b")).filter("a < b").select("seed")
     flagged = materialize(sown.join(twice, "seed", "left_semi").groupBy("doc", "did").agg(F.collect_list("at").alias("at")),
                           "substring-flagged")
+    copied = materialize(texts.filter("doc < last").select("digest", F.col("doc").alias("first")), "substring-copied")
+    discard(texts)
 
     found = materialize(
         src.select("doc", "did", "text").join(flagged, ["doc", "did"])
-        .mapInArrow(_edges(k, seed), "edge long, src long, dst long, doc long, did long, pos int"), "substring-edges")
+        .mapInArrow(_edges(k, seed), "edge long, src int, dst int, doc long, did long, pos int"), "substring-edges")
+    discard(flagged)
     edges = (found.groupBy("edge").agg(F.min("doc").alias("first"), F.max("doc").alias("b"),
                                        F.min("src").alias("src"), F.min("dst").alias("dst"))
              .filter("first < b").select("edge", "first", "src", "dst"))
@@ -158,7 +165,8 @@ def repeated_spans(src: DataFrame, k: int = K, seed: int = SEED) -> DataFrame:
              .groupBy("doc", "did", "path").agg(F.min("pos").alias("s"), (F.max("pos") + k).alias("e"), F.first("first").alias("first"))
              .drop("path"))
 
-    copied = texts.filter("doc < last").select("digest", F.col("doc").alias("first"))
+    paths = materialize(paths, "substring-paths")
+    discard(found, edges)
     copies = (src.select("digest", "doc", "did").join(copied, "digest").filter("first < doc")
               .select("doc", "did", F.lit(0).alias("s"), F.lit((1 << 31) - 1).alias("e"), "first"))
     return paths.unionByName(copies)
