@@ -31,13 +31,10 @@ from tablescope.session import checkpoint_root, materialize
 _INTEGRAL = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
 
 
-# Iterative fits get a fixed number of partitions dealt by row hash, so the layout of the input and
-# the number of cores don't change the model. Raise it with the data.
-FIT_PARTITIONS = 64
-
-
-def _spread(df: DataFrame, partitions: int = FIT_PARTITIONS) -> DataFrame:
-    """Rows dealt by their hash to a fixed number of partitions and ordered inside each."""
+def _spread(df: DataFrame) -> DataFrame:
+    """Rows dealt by their hash to ``spark.sql.shuffle.partitions`` partitions and ordered inside
+    each: neither the layout of the input nor the number of cores changes the model."""
+    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     key = F.xxhash64(*[col_of(c) for c in df.columns])
     return df.withColumn("__h", key).repartition(partitions, "__h").sortWithinPartitions("__h").drop("__h")
 

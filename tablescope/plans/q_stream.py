@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tablescope.operators.profile import table_metrics
+from tablescope.operators.groups import outcome_rate
+from tablescope.operators.profile import missing_profile, table_metrics
 from tablescope.plans.catalog import table
 from tablescope.plans.registry import register, rounded
 from tablescope.session import shared_dir
@@ -54,3 +55,42 @@ FROM events HAVING count(*) > 0""")
 def r1_metrics(spark, sf_dir):
     out = _run(spark, sf_dir, table_metrics, "r1-metrics")
     return rounded(out, {"first_numeric_avg": 6, "missing_pct": 6})
+
+
+def _several_files(spark, sf_dir, parts=4):
+    """events as several files with nulls injected, streamed one file per trigger."""
+    ev = table(spark, sf_dir, "events").withColumn("value", F.when(F.col("event_id") % 9 > 0, F.col("value")))
+    ev = ev.withColumn("high", (F.col("value") > 10).cast("int"))
+    path = shared_dir(spark, "r1-events")
+    ev.repartition(parts, "event_id").write.parquet(path)
+    return file_stream(spark, path, spark.read.parquet(path).schema, max_files_per_trigger=1)
+
+
+def _run_over_batches(spark, sf_dir, build, name):
+    sink, ckpt = shared_dir(spark, f"{name}-sink"), shared_dir(spark, f"{name}-ckpt")
+    run_until_caught_up(refresh(_several_files(spark, sf_dir), build, sink, ckpt, available_now=True))
+    return latest(spark, sink)
+
+
+_EV = "(SELECT event_id, ts, user_id, event_type, CASE WHEN event_id % 9 > 0 THEN value END AS value, props FROM events)"
+
+
+@register("R1_refresh_missing", f"""
+WITH e AS (SELECT *, CAST(value > 10 AS INTEGER) AS high FROM {_EV})
+""" + "\nUNION ALL\n".join(
+    f"""SELECT '{c}' AS "column", CAST(count(*) - count({c}) AS BIGINT) AS missing_count,
+       round((count(*) - count({c})) * 100.0 / count(*), 6) AS missing_pct FROM e"""
+    for c in ("event_id", "ts", "user_id", "event_type", "value", "props", "high")))
+def r1_missing(spark, sf_dir):
+    """Missing counts per column, kept as state over one file per trigger."""
+    out = _run_over_batches(spark, sf_dir, missing_profile, "r1-missing")
+    return rounded(out.select("column", "missing_count", "missing_pct"), {"missing_pct": 6})
+
+
+@register("R1_refresh_outcome", f"""
+WITH e AS (SELECT *, CAST(value > 10 AS INTEGER) AS high FROM {_EV})
+SELECT event_type, count(high) AS total, CAST(sum(high) AS BIGINT) AS positives, round(avg(CAST(high AS DOUBLE)), 6) AS rate
+FROM e WHERE event_type IS NOT NULL GROUP BY event_type""")
+def r1_outcome(spark, sf_dir):
+    out = _run_over_batches(spark, sf_dir, lambda s: outcome_rate(s, "event_type", "high"), "r1-outcome")
+    return rounded(out, {"rate": 6})

@@ -1,10 +1,13 @@
 """Auto-refresh as a streaming job.
 
-A file stream feeds a summary (any aggregate built from the batch operators, e.g. table
-metrics or outcome rates) in complete mode. Each trigger writes the whole current summary
-with the batch id and a refresh time stamp to the sink folder (overwrite: the sink always
-holds one consistent snapshot). The checkpoint location lives in the shared folder, so a
-restarted driver or lost executor resumes from the last committed batch.
+A file stream feeds a summary in complete mode: any aggregate that Spark can keep as streaming
+state, e.g. ``outcome_rate``, ``missing_profile`` or ``table_metrics``; operators that run jobs while the
+plan is built (quantiles, box, violin, filter domains) can't. Each trigger writes the whole current
+summary to a folder of its own, ``batch_id=N``; readers take the highest one whose write is complete
+(``_SUCCESS``), so a reader or a crash in the middle of a write still finds the snapshot before. A
+batch that is run again after a crash replaces its own folder. The checkpoint
+location lies in the shared folder, so a restarted driver or lost executor resumes from the last
+committed batch.
 """
 
 from __future__ import annotations
@@ -38,9 +41,7 @@ def refresh(stream: DataFrame, build: Callable[[DataFrame], DataFrame], sink_pat
     summary = build(stream)
 
     def write_snapshot(batch: DataFrame, batch_id: int) -> None:
-        (batch.withColumn("batch_id", F.lit(batch_id))
-         .withColumn("refreshed_at", F.current_timestamp())
-         .write.mode("overwrite").parquet(sink_path))
+        batch.withColumn("refreshed_at", F.current_timestamp()).write.mode("overwrite").parquet(f"{sink_path}/batch_id={batch_id}")
 
     writer = (summary.writeStream.outputMode("complete").foreachBatch(write_snapshot)
               .option("checkpointLocation", checkpoint_path))
@@ -63,6 +64,12 @@ def run_until_caught_up(query: StreamingQuery, timeout_seconds: int = 600) -> No
 
 
 def latest(spark: SparkSession, sink_path: str, with_stamp: bool = False) -> DataFrame:
-    """The current snapshot; the batch id and time stamp are dropped unless asked for."""
-    snap = spark.read.parquet(sink_path)
+    """The newest complete snapshot; the batch id and time stamp are dropped unless asked for."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    fs = path(sink_path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    done = [int(f.getPath().getName().split("=")[1]) for f in fs.listStatus(path(sink_path))
+            if f.getPath().getName().startswith("batch_id=") and fs.exists(path(f.getPath(), "_SUCCESS"))]
+    if not done:
+        raise FileNotFoundError(f"no complete snapshot under {sink_path}")
+    snap = spark.read.parquet(f"{sink_path}/batch_id={max(done)}").withColumn("batch_id", F.lit(max(done)))
     return snap if with_stamp else snap.drop("batch_id", "refreshed_at")
