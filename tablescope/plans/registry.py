@@ -3,7 +3,8 @@
 ``QUERIES[name](spark, sf_dir) -> DataFrame``; ``ORACLES[name]`` is the SQL that DuckDB runs
 on the same tables. Every query reads the whole driver tables. Floating results are
 rounded the same way on both sides (money sums to 2 places, ratios and moments to 6).
-Queries without an SQL form (models, streams, file round trips) have no oracle entry.
+Model fits on the passenger view have no SQL form and no oracle entry; further model queries
+(closed forms, invariants, planted signals), streams and file round trips have one.
 """
 
 from __future__ import annotations

@@ -19,8 +19,6 @@ from tablescope.operators import charts as CH
 # The three dashboard templates (titles, chart types and columns).
 TEMPLATES = {
     "survival_analysis": {
-        "name": "Survival Analysis Dashboard",
-        "description": "Comprehensive survival analysis with demographic breakdowns",
         "charts": [
             {"type": "bar", "x": "pclass", "y": "survived", "title": "Survival by Class"},
             {"type": "pie", "x": "sex", "y": "survived", "title": "Survival by Gender"},
@@ -29,8 +27,6 @@ TEMPLATES = {
         ],
     },
     "demographic_overview": {
-        "name": "Demographic Overview",
-        "description": "Complete demographic analysis of the dataset",
         "charts": [
             {"type": "histogram", "x": "age", "title": "Age Distribution"},
             {"type": "bar", "x": "pclass", "title": "Passenger Class Distribution"},
@@ -40,8 +36,6 @@ TEMPLATES = {
         ],
     },
     "economic_analysis": {
-        "name": "Economic Analysis",
-        "description": "Economic factors and their impact on survival",
         "charts": [
             {"type": "scatter", "x": "fare", "y": "survived", "title": "Fare vs Survival"},
             {"type": "box", "x": "pclass", "y": "fare", "title": "Fare by Class"},
