@@ -8,8 +8,7 @@ and the offset of the record inside the frame, so one record costs one frame.
 Every task writes its own bundles, at most ``BUNDLE_BYTES`` of payload each, under a name with the
 task attempt in it; the index is written as Parquet by the job and names only the bundles of
 successful attempts. A lost executor costs its task; what a failed attempt left is not in the index
-and is never read. ``pyarrow.fs`` writes the bundles, Spark's ``binaryFile`` source
-reads them back.
+and is never read. ``pyarrow.fs`` writes the bundles and reads them back inside the tasks.
 
 Revisits: of records with equal payloads of at least ``min_revisit`` bytes the one with the largest id is the
 response, the others refer to it and hold no payload. Equality is SHA-1 plus length. The
@@ -195,13 +194,17 @@ def write_archives(pages: DataFrame, folder: str | None = None, frame_bytes: int
     folder = (folder or shared_dir(spark, "warc")).rstrip("/")
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/data")
     hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(hadoop)
-    uri = folder if "://" in folder else "file://" + folder.removeprefix("file:")
+    uri = file_uri(folder)
     index = with_revisits(pages, **columns).mapInArrow(_write(f"{uri}/data", frame_bytes, bundle_bytes), INDEX)
     index.write.mode("overwrite").parquet(f"{folder}/index")
     return folder, spark.read.parquet(f"{folder}/index")
 
 
-def _read():
+def file_uri(folder: str) -> str:
+    return folder if "://" in folder else "file://" + folder.removeprefix("file:")
+
+
+def _read(uri: str):
     names = [c.split()[0] for c in RECORDS.split(", ")]
     schema = pa.schema(list(zip(names, (pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.binary()), strict=True)))
 
@@ -210,10 +213,13 @@ def _read():
         return None if name == NO_ID else int(name)
 
     def run(batches):
+        from pyarrow import fs
+        files, root = fs.FileSystem.from_uri(uri)
         unzip = zstandard.ZstdDecompressor()
         for b in batches:
-            for content in b.column("content"):
-                bundle = content.as_py()
+            for name in b.column("bundle").to_pylist():
+                with files.open_input_file(f"{root}/{name}") as f:
+                    bundle = f.read()            # at most about BUNDLE_BYTES
                 for at, size, _ in read_seek_table(bundle):
                     rows = []
                     for _, _, head, body in parse_records(unzip.decompress(bundle[at:at + size])):
@@ -228,18 +234,17 @@ def _read():
 
 
 def read_archives(folder: str, index: DataFrame) -> DataFrame:
-    """Every record of the bundles that the index names, payloads checked against their digests."""
-    spark = index.sparkSession
-    named = index.select(F.col("bundle")).distinct()
-    files = (spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.zst").load(f"{folder}/data")
-             .withColumn("bundle", F.element_at(F.split("path", "/"), -1)))
-    return files.join(named, "bundle", "left_semi").select("content").mapInArrow(_read(), RECORDS)
+    """Every record of the bundles that the index names, payloads checked against their digests.
+
+    Only the bundle names are shuffled; each task opens its bundles itself.
+    """
+    return index.select("bundle").distinct().mapInArrow(_read(f"{file_uri(folder)}/data"), RECORDS)
 
 
 def read_one(folder: str, entry) -> bytes:
     """The record of one index row: seeks to its frame and decompresses that alone."""
     from pyarrow import fs
-    files, root = fs.FileSystem.from_uri(folder if "://" in folder else "file://" + folder.removeprefix("file:"))
+    files, root = fs.FileSystem.from_uri(file_uri(folder))
     with files.open_input_file(f"{root}/data/{entry['bundle']}") as f:
         f.seek(entry["frame_offset"])
         plain = zstandard.ZstdDecompressor().decompress(f.read(entry["frame_size"]))
