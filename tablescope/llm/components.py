@@ -16,28 +16,33 @@ from pyspark.sql import functions as F
 from tablescope.session import materialize
 
 
+def _mark(links: DataFrame) -> tuple:
+    """Row count and an order-free sum of row hashes: two equal tables have equal marks."""
+    hashed = F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))
+    return tuple(links.agg(F.count("*"), hashed).first())
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(id, component) of every id in ``edges`` (columns a, b long, not null): component is the
-    smallest id reachable. Self loops count as single nodes; an empty table gives no rows."""
-    links = materialize(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
+    smallest id reachable. Self loops count as single nodes; an empty table gives no rows.
+
+    A round keeps one row (u, smaller neighbour) per link, and (r, r) for the roots; it is the last one when
+    it changes nothing.
+    """
+    links = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
+    before = None
     while True:
-        # large star: every larger neighbour of u (and u) points at the smallest neighbour of u
+        # large star: every larger neighbour of u points at the smallest neighbour of u (or u)
         both = links.union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("v")).select("u", F.least("u", "v").alias("m"))
-        large = (both.join(least, "u").filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
-                 .union(links.filter("u = v")).distinct())
+        large = both.join(least, "u").filter("v >= u").select(F.col("v").alias("u"), F.least("u", "m").alias("v"))
         # small star: the smaller neighbours of u, and u, point at the smallest of them
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select("u", "v", "m")
-        after = materialize(small.select(F.col("v").alias("u"), F.col("m").alias("v"))
-                            .union(least.select("u", F.col("m").alias("v")))
-                            .filter("u >= v").distinct(), "links")
-        # Done when every node points at one smaller node that is itself a root.
-        nodes = after.filter("u > v")
-        many = nodes.groupBy("u").count().filter("count > 1").limit(1).count()
-        chained = 0 if many else nodes.join(nodes.select(F.col("u").alias("v")), "v", "left_semi").limit(1).count()
-        links = after
-        if not many and not chained:
+        small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")),
+                                                                F.struct("u", F.col("m").alias("v")))).alias("l")).select("l.*")
+        links = materialize(small.filter("u >= v").distinct(), "links")
+        mark = _mark(links)
+        if mark == before:
             break
-    roots = links.select(F.col("v").alias("id")).distinct().select("id", F.col("id").alias("component"))
-    return links.filter("u > v").select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(roots)
+        before = mark
+    return links.groupBy(F.col("u").alias("id")).agg(F.min("v").alias("component"))
