@@ -3,21 +3,30 @@
 A text is the sequence of its five-word shingles, each labelled with its occurrence number, so
 a sketch sees repetitions. One sketch is the ``PICK`` shingles with the smallest hashes, kept
 in text order: it agrees for two texts when the same shingles survive in the same order, which
-follows edit similarity rather than set overlap. Steps:
+follows edit similarity rather than set overlap. Two texts are near copies when their edit
+similarity, 1 - (word edits) / (words of the longer text), is at least ``threshold``. Steps:
 
 1. exact copies collapse by digest; one text of each class goes on;
-2. texts that share a sketch meet in a bucket. Every member is paired with the bucket's first
-   document only; verified pairs are links, and linked documents are one component;
-3. a second search pairs the members of a bucket that lie in different components (their
-   lengths permitting), so no link between different texts is lost, while a large group of
-   copies costs a star and not all its pairs;
-4. a pair is verified by aligning the two labelled shingle sequences inside a diagonal band:
-   the longest chain of matches, as a share of all shingles, is at least ``threshold``. The
-   band is as wide as that share allows, so it excludes no pair that would pass;
+2. texts that share a sketch meet in a bucket. A bucket elects a leader by hash, and every member
+   is compared with it: *linked* (similar enough), *near* (more than the allowed share of
+   edits, at most half of the longer text) or *far* (more than half);
+3. linked members are in the leader's component and leave the bucket. A far member can't be
+   similar to a linked one: word edits are a metric, so it is more than half minus a fifth away, lengths
+   within the threshold included (see ``far_share``). Near and far ones elect the next leader, until
+   all pairs of what is left are fewer than its rows, or ``ROUNDS`` times. Then the links so far
+   give components, and only what they leave apart is compared: near members with the linked
+   members of their star, and the members left over with each other. So a large group of copies
+   costs a few stars and not all its pairs, and no link between different components is lost;
+4. a pair is verified by aligning the two word sequences inside a diagonal band as wide as the
+   edits that the threshold allows, so the band excludes no pair that would pass; the distance is exact
+   up to there. The band is a bit vector, one column a step;
 5. connected components give the groups; the smallest id of a group is kept.
 
-With 12 sketches of 3 shingles a pair at similarity 0.8 is found with probability
-1 - (1 - 0.8^3)^12 = 0.9998.
+With 40 sketches of 3 shingles, a pair that shares a part J of its labelled shingles in order is
+met with probability 1 - (1 - J^3)^40: 1 - 10^-12 at 0.8, 0.9999 at 0.6, 0.995 at 0.5, 0.93 at 0.4.
+One changed word costs up to five shingles, so J = 0.5 is about one edit in 15 words, and J = 0.8
+(the library's rule for word shingles) one in 45. Pairs that are similar by edits but whose edits are
+spread so evenly that J is lower are found less often; links are exact in any case.
 
 Defined results: texts without words (null, empty) link with nothing; a text of fewer than
 five words has one shingle, all its words; a null id links with nothing and is kept; rows that share an id are one
@@ -26,8 +35,6 @@ document and share its group. Only id and text are read.
 
 from __future__ import annotations
 
-from bisect import bisect_left
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -38,9 +45,17 @@ from tablescope.llm.text import iter_words, mix, shingle_hash
 from tablescope.session import materialize
 
 SHINGLE = 5
-SKETCHES = 12
+SKETCHES = 40
 PICK = 3
 THRESHOLD = 0.8
+ROUNDS = 6
+# Let L be a leader, y linked to it and x with d(x, L) > far_share * max(|x|, |L|). At threshold 0.8: d(y, L) <=
+# 0.2 max(|y|, |L|) <= 0.25 |L|, and x ~ y would mean d(x, y) <= 0.2 max(|x|, |y|) <= 0.25 max(|x|, |L|);
+# together d(x, L) <= 0.5 max(|x|, |L|). For a threshold t the same sum is 2 (1 - t) / t.
+def far_share(threshold: float) -> float:
+    return 2 * (1 - threshold) / threshold
+
+
 _TOP = np.uint64(0xFFFFFFFFFFFFFFFF)
 _LABEL = np.uint64(0xA24BAED4963EE407)
 
@@ -95,24 +110,65 @@ def order_sketches(bounds: np.ndarray, value: np.ndarray, sketches: int, pick: i
     return out.view(np.int64)
 
 
-def aligned_share(a: np.ndarray, b: np.ndarray, threshold: float) -> float:
-    """Matches of the longest chain inside the band, as a share of all shingles of both texts."""
-    n, m = len(a), len(b)
-    if not n or not m or min(n, m) < threshold * max(n, m):
-        return 0.0
-    band = max(n, m) - int(np.ceil(threshold * (n + m) / (1 + threshold) - 1e-9))
-    _, i, j = np.intersect1d(a, b, assume_unique=True, return_indices=True)
-    near = np.abs(i - j) <= band
-    j = j[near][np.argsort(i[near])]
-    if len(j) and (np.diff(j) < 0).any():
-        tails: list[int] = []
-        for x in j.tolist():
-            at = bisect_left(tails, x)
-            tails[at:at + 1] = [x]
-        matched = len(tails)
-    else:
-        matched = len(j)
-    return matched / (n + m - matched)
+def edit_distance(a: list, b: list, most: int) -> int:
+    """Levenshtein distance of two sequences, or ``most + 1`` when it is larger.
+
+    Column by column over b, the cells |row - column| <= most as bits of two integers (vertical
+    steps +1 and -1); cells outside the band count as reached by plain insertions.
+    """
+    lo = 0
+    while lo < len(a) and lo < len(b) and a[lo] == b[lo]:
+        lo += 1
+    hi = 0
+    while hi < len(a) - lo and hi < len(b) - lo and a[-1 - hi] == b[-1 - hi]:
+        hi += 1
+    a, b = a[lo:len(a) - hi], b[lo:len(b) - hi]
+    m, n = len(a), len(b)
+    if abs(m - n) > most:
+        return most + 1
+    if not m or not n:
+        return max(m, n)
+    where: dict = {}
+    for i, x in enumerate(a):
+        where[x] = where.get(x, 0) | 1 << i
+    base, height = 0, min(m, most)               # rows base + 1 .. base + height
+    plus, minus, score = (1 << height) - 1, 0, height
+    for j, x in enumerate(b, 1):
+        if base + height < min(m, j + most):     # one more row at the lower end
+            plus |= 1 << height
+            height, score = height + 1, score + 1
+        if base + 1 < j - most:                  # the uppermost row leaves the band
+            plus, minus, base, height = plus >> 1, minus >> 1, base + 1, height - 1
+        full = (1 << height) - 1
+        eq = (where.get(x, 0) >> base & full) | minus
+        diagonal = (((eq & plus) + plus) ^ plus) | eq
+        right_up = minus | ~(diagonal | plus) & full
+        right_down = diagonal & plus & full
+        last = 1 << (height - 1)
+        if right_up & last:
+            score += 1
+        elif right_down & last:
+            score -= 1
+        right_up, right_down = (right_up << 1 | 1) & full, right_down << 1 & full
+        plus, minus = right_down | ~(diagonal | right_up) & full, right_up & diagonal & full
+    return min(score, most + 1)
+
+
+def compare(a: np.ndarray, b: np.ndarray, share: float) -> float:
+    """Word edits as a share of the longer text, when at most ``share``; else 2."""
+    longer = max(len(a), len(b))
+    if not len(a) or not len(b):
+        return 2.0
+    most = int(share * longer + 1e-9)
+    if longer - min(len(a), len(b)) > most:
+        return 2.0
+    # A text d edits away shares all but d of its words: a cheap test that loses nothing.
+    words, side = np.unique(np.concatenate((a, b)), return_inverse=True)
+    common = np.minimum(np.bincount(side[:len(a)], minlength=len(words)), np.bincount(side[len(a):], minlength=len(words))).sum()
+    if longer - common > most:
+        return 2.0
+    edits = edit_distance(side[:len(a)].tolist(), side[len(a):].tolist(), most)
+    return edits / longer if edits <= most else 2.0
 
 
 def _sketch(k: int, sketches: int, pick: int):
@@ -125,32 +181,79 @@ def _sketch(k: int, sketches: int, pick: int):
                 size = np.diff(bounds)
                 cut = (np.concatenate(([0], np.cumsum(size > 0))) * sketches).astype(np.int32)
                 yield pa.record_batch({
-                    "digest": b.column("digest")[rows], "doc": b.column("doc")[rows], "n": pa.array(size.astype(np.int32)),
+                    **{c: b.column(c)[rows] for c in ("digest", "did", "doc")}, "n": pa.array(np.diff(w.bounds()).astype(np.int32)),
                     "sketch": pa.ListArray.from_arrays(cut, pa.array(found[size > 0].ravel()))})
     return run
 
 
-def _verify(k: int, threshold: float):
+def _verify(threshold: float, share: float):
     def sequences(column):
         for w in iter_words(column):
-            bounds, value = labelled_shingles(w, k)
-            yield from (value[bounds[i]:bounds[i + 1]] for i in range(w.n_docs))
+            bounds = w.bounds()
+            yield from (w.hash[bounds[i]:bounds[i + 1]] for i in range(w.n_docs))
 
     def run(batches):
         for b in batches:
-            share = [aligned_share(x, y, threshold)
-                     for x, y in zip(sequences(b.column("text_a")), sequences(b.column("text_b")), strict=True)]
-            ok = pa.array(np.array(share) >= threshold - 1e-12)
-            yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), pa.array(share, pa.float64())],
-                                             ["a", "b", "share"]).filter(ok)
+            found = np.array([compare(x, y, share)
+                              for x, y in zip(sequences(b.column("text_a")), sequences(b.column("text_b")), strict=True)])
+            kind = np.where(found <= 1 - threshold + 1e-9, LINKED, np.where(found <= share, NEAR, FAR)).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), pa.array(kind)], ["a", "b", "kind"])
     return run
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, k: int, threshold: float) -> DataFrame:
-    """The pairs (a, b) whose texts are similar; ``texts`` holds (doc, text) of the class representatives."""
+LINKED, NEAR, FAR = 0, 1, 2
+
+
+def _compared(pairs: DataFrame, texts: DataFrame, threshold: float, share: float) -> DataFrame:
+    """(a, b, kind) of every pair; ``texts`` holds (doc, text) of the class representatives."""
     left = pairs.join(texts.select(F.col("doc").alias("a"), F.col("text").alias("text_a")), "a")
     both = left.join(texts.select(F.col("doc").alias("b"), F.col("text").alias("text_b")), "b")
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(_verify(k, threshold), "a long, b long, share double")
+    return both.select("a", "b", "text_a", "text_b").mapInArrow(_verify(threshold, share), "a long, b long, kind int")
+
+
+def bucket_links(members: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """(a, b): enough verified links to connect every pair of similar members of a bucket.
+
+    ``members`` has band, key, doc and n (words), one row per member of a bucket."""
+    spark = members.sparkSession
+    links = spark.createDataFrame([], "a long, b long")
+    stars = spark.createDataFrame([], "r int, band int, key long, doc long, n int, leader long, kind int")
+    rest = members
+    for r in range(ROUNDS):
+        sizes = rest.groupBy("band", "key").agg(F.count("*").alias("c"))
+        pairs, rows = sizes.agg(F.sum(F.expr("c * (c - 1) / 2")), F.sum("c")).first()
+        if (pairs or 0) <= (rows or 0):
+            break
+        # the smallest id first (an original as a rule), then by hash
+        rank = F.col("doc") if r == 0 else F.xxhash64(F.lit(r), "doc")
+        leader = (rest.groupBy("band", "key").agg(F.min(F.struct(rank.alias("h"), "doc")).alias("l"))
+                  .select("band", "key", F.col("l.doc").alias("leader")))
+        star = materialize(rest.join(leader, ["band", "key"]).filter("doc <> leader")
+                           .withColumns({"a": F.least("doc", "leader"), "b": F.greatest("doc", "leader")}), "near-star")
+        kinds = materialize(_compared(star.select("a", "b").distinct(), texts, threshold, far_share(threshold)), "near-kinds")
+        links = links.union(kinds.filter(F.col("kind") == LINKED).select("a", "b"))
+        star = materialize(star.join(kinds, ["a", "b"]).select(F.lit(r).alias("r"), *stars.columns[1:]), "near-star")
+        stars = stars.union(star)
+        rest = star.filter(F.col("kind") != LINKED).select("band", "key", "doc", "n")
+
+    # What is still to be compared: near members with linked ones, and the remaining members with each
+    # other, as far as the links found so far have not put them into one component.
+    group = materialize(components(links), "near-groups")
+
+    def placed(frame, doc, name):
+        own = group.select(F.col("id").alias(doc), F.col("component").alias(name))
+        return frame.join(own, doc, "left").withColumn(name, F.coalesce(name, doc))
+
+    near = placed(placed(stars.filter(F.col("kind") == NEAR), "doc", "g"), "leader", "lead").filter("g <> lead")
+    close = stars.filter(F.col("kind") == LINKED).select("r", "band", "key", F.col("doc").alias("other"), F.col("n").alias("m"))
+    left = materialize(placed(rest, "doc", "g"), "near-rest")
+    others = left.select("band", "key", F.col("doc").alias("other"), F.col("n").alias("m"), F.col("g").alias("h"))
+    fits = F.least("n", "m") >= threshold * F.greatest("n", "m")
+    ends = [F.least("doc", "other").alias("a"), F.greatest("doc", "other").alias("b")]
+    open_ = (near.join(close, ["r", "band", "key"]).filter(fits).select(*ends)
+             .union(left.join(others, ["band", "key"]).filter("doc < other and g <> h").filter(fits).select(*ends)).distinct())
+    found = _compared(open_, texts, threshold, 1 - threshold).filter(F.col("kind") == LINKED)
+    return links.union(found.select("a", "b"))
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD,
@@ -158,40 +261,23 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """Per row of docs: doc_id, digest, class_id (first exact copy), component_id (smallest id of
     the group), kept (the id is its group's smallest)."""
     body = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
-    src = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc"), F.md5(body.cast("binary")).alias("digest"), body.alias("text"))
+    src = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc"), F.md5(body.cast("binary")).alias("digest"),
+                      F.xxhash64(body).alias("did"), body.alias("text"))
     sketched = materialize(
-        src.filter("doc is not null").mapInArrow(_sketch(k, sketches, pick), "digest string, doc long, n int, sketch array<long>"),
+        src.filter("doc is not null").mapInArrow(_sketch(k, sketches, pick), "digest string, did long, doc long, n int, sketch array<long>"),
         "near-sketches").filter("n > 0")
     # One text per class; a document (id) with several texts stands in several classes.
-    classes = materialize(sketched.groupBy("digest").agg(F.min("doc").alias("doc"), F.first("n").alias("n"),
-                                                         F.first("sketch").alias("sketch")), "near-classes")
-    texts = src.join(classes.select("digest", "doc"), ["digest", "doc"], "left_semi").select("doc", "text")
-    entries = classes.select("doc", "n", F.posexplode("sketch").alias("band", "key"))
-
-    first = entries.groupBy("band", "key").agg(F.min("doc").alias("a"), F.max("doc").alias("last")).filter("a < last")
-    star = (entries.join(first, ["band", "key"]).filter("a < doc").select("a", F.col("doc").alias("b")).distinct())
-    links = materialize(_verified(star, texts, k, threshold).select("a", "b"), "near-links")
-    group = components(links)
-
-    # Members of one bucket in different components, apart from the pairs already tried.
-    placed = (entries.join(first, ["band", "key"]).join(group.withColumnRenamed("id", "doc"), "doc", "left")
-              .select("band", "key", "doc", "n", "a", F.coalesce("component", "doc").alias("component")))
-    placed = materialize(placed, "near-buckets")
-    mixed = (placed.groupBy("band", "key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
-             .filter("lo < hi").select("band", "key"))
-    open_ = placed.join(mixed, ["band", "key"], "left_semi")
-    # In a mixed bucket the members outside the first one's component meet all the others.
-    lead = open_.filter("doc = a").select("band", "key", F.col("component").alias("lead"))
-    open_ = open_.join(lead.distinct(), ["band", "key"])
-    x = open_.filter("component <> lead").select("band", "key", F.col("doc").alias("b"), F.col("n").alias("nb"),
-                                                 F.col("component").alias("cb"))
-    y = open_.filter("doc <> a").select("band", "key", F.col("doc").alias("c"), F.col("n").alias("nc"),
-                                        F.col("component").alias("cc"))
-    rest = (x.join(y, ["band", "key"]).filter("cb <> cc")
-            .filter(F.least("nb", "nc") >= threshold * F.greatest("nb", "nc"))
-            .select(F.least("b", "c").alias("a"), F.greatest("b", "c").alias("b")).distinct())
-    more = materialize(_verified(rest, texts, k, threshold).select("a", "b"), "near-links")
-    group = components(links.union(more)).withColumnRenamed("id", "class_id")
+    classes = materialize(sketched.groupBy("digest").agg(F.min("doc").alias("doc"), F.first("did").alias("did"),
+                                                         F.first("n").alias("n"), F.first("sketch").alias("sketch")), "near-classes")
+    entries = classes.select("did", "doc", "n", F.posexplode("sketch").alias("band", "key"))
+    first = entries.groupBy("band", "key").agg(F.min("doc").alias("a"), F.max("doc").alias("last")).filter("a < last").select("band", "key")
+    buckets = materialize(entries.join(first, ["band", "key"]), "near-buckets")
+    # Only texts that share a bucket are needed again.
+    texts = materialize(src.join(buckets.select("did", "doc").distinct(), ["did", "doc"], "left_semi")
+                        .select("doc", "text").distinct(), "near-texts")
+
+    links = bucket_links(buckets.select("band", "key", "doc", "n").distinct(), texts, threshold)
+    group = components(materialize(links, "near-links")).withColumnRenamed("id", "class_id")
 
     of_class = (classes.select("digest", F.col("doc").alias("class_id")).join(group, "class_id", "left")
                 .select("digest", "class_id", F.coalesce("component", "class_id").alias("component_id")))
