@@ -15,7 +15,8 @@ similarity, 1 - (word edits) / (words of the longer text), is at least ``thresho
    within the threshold included (see ``far_share``). Near and far ones elect the next leader, until
    all pairs of what is left are fewer than its rows, or ``ROUNDS`` times. Then the links so far
    give components, and only what they leave apart is compared: near members with the linked
-   members of their star, and the members left over with each other. So a large group of copies
+   members of their star, and the members left over with each other, where a 64-slot word count
+   does not rule the pair out already. So a large group of copies
    costs a few stars and not all its pairs, and no link between different components is lost;
 4. a pair is verified by aligning the two word sequences inside a diagonal band as wide as the
    edits that the threshold allows, so the band excludes no pair that would pass; the distance is exact
@@ -49,6 +50,7 @@ SKETCHES = 40
 PICK = 3
 THRESHOLD = 0.8
 ROUNDS = 6
+BAG = 64                     # slots of a text's word-count signature
 # Let L be a leader, y linked to it and x with d(x, L) > far_share * max(|x|, |L|). At threshold 0.8: d(y, L) <=
 # 0.2 max(|y|, |L|) <= 0.25 |L|, and x ~ y would mean d(x, y) <= 0.2 max(|x|, |y|) <= 0.25 max(|x|, |L|);
 # together d(x, L) <= 0.5 max(|x|, |L|). For a threshold t the same sum is 2 (1 - t) / t.
@@ -180,9 +182,12 @@ def _sketch(k: int, sketches: int, pick: int):
                 rows = slice(w.first, w.first + w.n_docs)
                 size = np.diff(bounds)
                 cut = (np.concatenate(([0], np.cumsum(size > 0))) * sketches).astype(np.int32)
+                bag = np.bincount(w.doc * BAG + (w.hash & np.uint64(BAG - 1)).astype(np.int64), minlength=w.n_docs * BAG)
+                bag_cut = (np.arange(w.n_docs + 1) * BAG).astype(np.int32)
                 yield pa.record_batch({
                     **{c: b.column(c)[rows] for c in ("digest", "did", "doc")}, "n": pa.array(np.diff(w.bounds()).astype(np.int32)),
-                    "sketch": pa.ListArray.from_arrays(cut, pa.array(found[size > 0].ravel()))})
+                    "sketch": pa.ListArray.from_arrays(cut, pa.array(found[size > 0].ravel())),
+                    "bag": pa.ListArray.from_arrays(bag_cut, pa.array(bag.astype(np.int32)))})
     return run
 
 
@@ -211,10 +216,11 @@ def _compared(pairs: DataFrame, texts: DataFrame, threshold: float, share: float
     return both.select("a", "b", "text_a", "text_b").mapInArrow(_verify(threshold, share), "a long, b long, kind int")
 
 
-def bucket_links(members: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+def bucket_links(members: DataFrame, texts: DataFrame, bags: DataFrame, threshold: float) -> DataFrame:
     """(a, b): enough verified links to connect every pair of similar members of a bucket.
 
-    ``members`` has band, key, doc and n (words), one row per member of a bucket."""
+    ``members`` has band, key, doc and n (words), one row per member of a bucket; ``bags`` has doc and
+    bag, the counts of its words by hash slot."""
     spark = members.sparkSession
     links = spark.createDataFrame([], "a long, b long")
     stars = spark.createDataFrame([], "r int, band int, key long, doc long, n int, leader long, kind int")
@@ -244,11 +250,15 @@ def bucket_links(members: DataFrame, texts: DataFrame, threshold: float) -> Data
         own = group.select(F.col("id").alias(doc), F.col("component").alias(name))
         return frame.join(own, doc, "left").withColumn(name, F.coalesce(name, doc))
 
-    near = placed(placed(stars.filter(F.col("kind") == NEAR), "doc", "g"), "leader", "lead").filter("g <> lead")
-    close = stars.filter(F.col("kind") == LINKED).select("r", "band", "key", F.col("doc").alias("other"), F.col("n").alias("m"))
-    left = materialize(placed(rest, "doc", "g"), "near-rest")
-    others = left.select("band", "key", F.col("doc").alias("other"), F.col("n").alias("m"), F.col("g").alias("h"))
-    fits = F.least("n", "m") >= threshold * F.greatest("n", "m")
+    near = placed(placed(stars.filter(F.col("kind") == NEAR), "doc", "g"), "leader", "lead").filter("g <> lead").join(bags, "doc")
+    close = stars.filter(F.col("kind") == LINKED).select("r", "band", "key", "doc", F.col("n").alias("m"))
+    close = close.join(bags, "doc").withColumnsRenamed({"doc": "other", "bag": "sack"})
+    left = materialize(placed(rest, "doc", "g").join(bags, "doc"), "near-rest")
+    others = left.select("band", "key", F.col("doc").alias("other"), F.col("n").alias("m"), F.col("g").alias("h"), F.col("bag").alias("sack"))
+    # Bounds that lose nothing: an edit changes the length by one at most, and two word counts by one.
+    apart = F.aggregate(F.zip_with("bag", "sack", lambda x, y: F.abs(x - y)), F.lit(0), lambda t, x: t + x)
+    fits = ((F.least("n", "m") >= threshold * F.greatest("n", "m"))
+            & (apart <= 2 * ((1 - threshold) * F.greatest("n", "m") + 1e-9)))
     ends = [F.least("doc", "other").alias("a"), F.greatest("doc", "other").alias("b")]
     open_ = (near.join(close, ["r", "band", "key"]).filter(fits).select(*ends)
              .union(left.join(others, ["band", "key"]).filter("doc < other and g <> h").filter(fits).select(*ends)).distinct())
@@ -264,11 +274,12 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     src = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc"), F.md5(body.cast("binary")).alias("digest"),
                       F.xxhash64(body).alias("did"), body.alias("text"))
     sketched = materialize(
-        src.filter("doc is not null").mapInArrow(_sketch(k, sketches, pick), "digest string, did long, doc long, n int, sketch array<long>"),
+        src.filter("doc is not null").mapInArrow(_sketch(k, sketches, pick), "digest string, did long, doc long, n int, sketch array<long>, bag array<int>"),
         "near-sketches").filter("n > 0")
     # One text per class; a document (id) with several texts stands in several classes.
     classes = materialize(sketched.groupBy("digest").agg(F.min("doc").alias("doc"), F.first("did").alias("did"),
-                                                         F.first("n").alias("n"), F.first("sketch").alias("sketch")), "near-classes")
+                                                         F.first("n").alias("n"), F.first("sketch").alias("sketch"),
+                                                         F.first("bag").alias("bag")), "near-classes")
     entries = classes.select("did", "doc", "n", F.posexplode("sketch").alias("band", "key"))
     first = entries.groupBy("band", "key").agg(F.min("doc").alias("a"), F.max("doc").alias("last")).filter("a < last").select("band", "key")
     buckets = materialize(entries.join(first, ["band", "key"]), "near-buckets")
@@ -276,7 +287,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     texts = materialize(src.join(buckets.select("did", "doc").distinct(), ["did", "doc"], "left_semi")
                         .select("doc", "text").distinct(), "near-texts")
 
-    links = bucket_links(buckets.select("band", "key", "doc", "n").distinct(), texts, threshold)
+    links = bucket_links(buckets.select("band", "key", "doc", "n").distinct(), texts,
+                         classes.select("doc", "bag"), threshold)
     group = components(materialize(links, "near-links")).withColumnRenamed("id", "class_id")
 
     of_class = (classes.select("digest", F.col("doc").alias("class_id")).join(group, "class_id", "left")
