@@ -51,6 +51,15 @@ def test_query_equals_every_pair(spark):
     assert sorted(map(tuple, QUERIES["op8_line_dedup"](spark, sf).collect())) == every_pair(rows)
 
 
+def test_block_of_lines_with_different_first_holders(spark):
+    one, two = "x" * 25, "y" * 25
+    rows = [(1, f"{one}\nfirst"), (2, f"own\n{one}\n{two}\nend"), (3, f"other\n{one}\n{two}\nlast")]
+    rows += [(10 + i, f"{i}\n{one}") for i in range(20)]
+    got = found(spark, rows)
+    assert got == every_pair(rows)
+    assert {r[0]: r[2] for r in got}[3] == 2
+
+
 def test_outcome_of_a_pair_does_not_depend_on_other_holders(spark):
     line = "this line stands in many of the documents here"
     for more in (0, 40):
@@ -62,6 +71,12 @@ def test_outcome_of_a_pair_does_not_depend_on_other_holders(spark):
         assert got[-1][2] == 1
 
 
+def test_repeated_short_lines(spark):
+    # the lines that start alike, and the lines that end alike with the empty one after them
+    rows = [(1, "a\n" * 3000), (2, "a\n" * 3001), (3, "b\n" + "a\n" * 50)]
+    assert [r[2] for r in found(spark, rows)] == [0, 3000, 51]
+
+
 def test_random_texts(spark):
     for seed in range(4):
         r = random.Random(seed)
