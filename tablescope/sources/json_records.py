@@ -8,6 +8,10 @@ Nested objects flatten into ``parent.child`` columns; lists stay arrays.
 
 from __future__ import annotations
 
+import re
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -58,24 +62,72 @@ def parse_json_column(df: DataFrame, col: str, schema: str | None = None, sep: s
     return parsed.select(*[col_of(c) for c in others], *nested)
 
 
+_STRINGS = re.compile(rb'"(?:[^"\\]|\\.)*"|\'(?:[^\'\\]|\\.)*\'')
+_STEP = np.zeros(256, dtype=np.int64)
+_STEP[[*b"[{"]], _STEP[[*b"]}"]] = 1, -1
+_SHOWS = np.ones(256, dtype=bool)       # whatever lies at its depth: values, separators and closing brackets
+_SHOWS[[*b"[{ \t\r\n"]] = False
+
+
+def _pieces(batches):
+    """Per split of a file: the change in depth, the least depth that anything lies at, how much lies there.
+
+    A JSON string holds no line break, so each line starts outside of strings and is looked at by itself.
+    """
+    now, depth, low, n, head = None, 0, None, 0, ""
+
+    def row():
+        return pa.record_batch({"file": [now[0]], "start": pa.array([now[1]], pa.int64()), "head": [head], "depth": pa.array([depth], pa.int64()),
+                                "low": pa.array([low], pa.int64()), "n": pa.array([n], pa.int64())})
+    for b in batches:
+        for file, start, line in zip(*(b.column(c) for c in ("file", "start", "line")), strict=True):
+            key, line = (file.as_py(), start.as_py()), line.as_py()
+            if key != now:
+                if now:
+                    yield row()
+                now, depth, low, n, head = key, 0, None, 0, line[0]
+            text = np.frombuffer(_STRINGS.sub(b"0", line.encode()), dtype=np.uint8)
+            at = depth + np.cumsum(_STEP[text])
+            depth = int(at[-1])
+            at = at[_SHOWS[text]]
+            if len(at):
+                least = int(at.min())
+                same = int((at == least).sum())
+                n = same + (n if low == least else 0) if low is None or least <= low else n
+                low = least if low is None else min(low, least)
+    if now:
+        yield row()
+
+
 def _top_level_kind(spark: SparkSession, path: str) -> str:
-    """"list" or "object", from the first non-blank line of one file (one kind per folder).
+    """"list" or "object": the kind of every file's one value (one kind per folder).
 
-    A file whose first line is a whole document and that goes on after it holds JSON lines, of
-    which document mode would return the first record only: that is refused.
+    Of a file that goes on after its first value (JSON lines, concatenated documents), document mode
+    would return that value only, and files of another kind would be read by the wrong rule: both are
+    refused. Every file is looked at line by line, in one distributed pass.
     """
-    lines = (spark.read.text(path).select(F.input_file_name().alias("file"), F.btrim("value", F.lit(" \t\r\ufeff")).alias("line"))
+    lines = (spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"),
+                                          F.btrim("value", F.lit(" \t\r\ufeff")).alias("line"))
              .where("line <> ''"))
-    first = lines.limit(1).collect()
-    if not first:
+    pieces = lines.mapInArrow(_pieces, "file string, start long, head string, depth long, low long, n long")
+    whole = pieces.groupBy("file").agg(F.sort_array(F.collect_list(F.struct("start", "head", "depth", "low", "n"))).alias("p"))
+    # n counts what lies at depth 0, where a single list or object has its closing bracket only
+    state = F.aggregate("p", F.expr("named_struct('depth', 0L, 'n', 0L)"), lambda s, p: F.struct(
+        (s["depth"] + p["depth"]).alias("depth"),
+        (s["n"] + F.when(s["depth"] + p["low"] == 0, p["n"]).when(s["depth"] + p["low"] < 0, F.lit(2)).otherwise(F.lit(0))).alias("n")))
+    head = F.col("p")[0]["head"]
+    kind = F.when(head == "[", "list").when(head == "{", "object").otherwise("scalar")
+    seen = (whole.select("file", kind.alias("kind"), (state["n"] > 1).alias("more"))
+            .agg(F.min("kind").alias("low"), F.max("kind").alias("high"), F.min(F.when(F.col("more"), F.col("file"))).alias("more")).first())
+    if seen["low"] is None:
         raise ValueError("JSON payload is empty")
-    text = first[0]["line"]
-    if text[0] not in "[{":
+    if seen["high"] == "scalar":
         raise ValueError("JSON payload must be a list or an object")
-    whole = spark.range(1).select(F.try_parse_json(F.lit(text)).isNotNull().alias("w")).first()["w"]
-    if whole and len(lines.where(F.col("file") == first[0]["file"]).limit(2).collect()) > 1:
-        raise ValueError("the file holds several JSON documents: read it as JSON lines (fmt='jsonl')")
-    return "list" if text[0] == "[" else "object"
+    if seen["more"] is not None:
+        raise ValueError(f"{seen['more']} holds several JSON documents: read it as JSON lines (fmt='jsonl')")
+    if seen["low"] != seen["high"]:
+        raise ValueError("the folder holds lists and objects: read them apart")
+    return seen["low"]
 
 
 def read_json_records(spark: SparkSession, path: str, multi_line: bool = True,

@@ -1,5 +1,7 @@
 """Reader dialects: what pandas' readers accept, refuse and keep."""
 
+import os
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -45,6 +47,36 @@ def test_json(spark, tmp_dir):
             S.read_table(spark, put(tmp_dir, f"bad{len(bad)}.json", bad))
 
 
+def test_json_folders(spark, tmp_dir):
+    """Every file of a folder holds one value; what document mode would leave out is refused."""
+    def folder(name, *files):
+        os.mkdir(f"{tmp_dir}/{name}")
+        for i, data in enumerate(files):
+            put(f"{tmp_dir}/{name}", f"{i}.json", data)
+        return f"{tmp_dir}/{name}"
+    whole = '{"id": 1}\n'
+    bad = [whole + '{"id": 2}\n', '{\n"id": 1\n}\n{\n"id": 2\n}\n', '{"id": 1} {"id": 2}', '{"id": 1}\n3\n', '{"a": "}", "id": 1}]', '{\n"id": 1}{"id": 2\n}']
+    for i, data in enumerate(bad):
+        for k, files in enumerate(((whole, data), (data, whole), (data,))):
+            with pytest.raises(ValueError, match="several JSON documents"):
+                S.read_table(spark, folder(f"bad{i}_{k}", *files), fmt="json")
+    with pytest.raises(ValueError, match="several JSON documents"):
+        S.read_table(spark, folder("lists", '[{"id": 1}]', '[{"id": 2}]\n[{"id": 3}]'), fmt="json")
+    with pytest.raises(ValueError, match="lists and objects"):
+        S.read_table(spark, folder("mixed", whole, '[{"id": 2}]'), fmt="json")
+    good = folder("good", '\ufeff{"id": 1, "t": "} ] \\" {"}', '{\n "id": 2,\n "t": "it\'s {"\n}\n\n', "{'id': 3, 't': '\"}{'}", "\n")
+    assert sorted(r["id"] for r in S.read_table(spark, good, fmt="json").collect()) == [1, 2, 3]
+    items = ",\n".join('{"id": %d, "t": [{"u": "]"}]}' % i for i in range(3000))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "10000")        # files in several splits
+    try:
+        assert S.read_table(spark, folder("split", f"[{items}]", f"[\n{items}\n]\n"), fmt="json").count() == 6000
+        with pytest.raises(ValueError, match="several JSON documents"):
+            S.read_table(spark, folder("split2", f"[{items}]", f"[{items}]\n[\n{items}]\n"), fmt="json")
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
 def test_parquet_nan_and_push_down(spark, tmp_dir):
     path = f"{tmp_dir}/t.parquet"
     spark.createDataFrame([(1.0, float("nan")), (20.0, 1.0), (float("nan"), 2.0)], "q double, v double").write.parquet(path)
