@@ -78,12 +78,16 @@ def format_pairs(chosen: DataFrame, rejected: DataFrame, pair: str = "pair_id")
 def last_reply_swapped(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(chosen, rejected) turns from plain conversations: the rejected side ends at the last
     assistant turn and gives the first assistant reply of the conversation there (an empty one if there is no
-    other). Both sides stop at that turn; conversations without an assistant turn have no pair."""
-    reply = F.when(F.col("role") == LEARNT, F.struct("turn", "text"))
-    ends = (conversations.filter("turn is not null").groupBy("conv_id").agg(F.max(reply).alias("last"), F.min(reply).alias("first"))
-            .filter("last is not null").withColumnRenamed("conv_id", "pair_id"))
-    turns = (conversations.filter("turn is not null").withColumnRenamed("conv_id", "pair_id").join(ends, "pair_id")
-             .filter(F.col("turn") <= F.col("last.turn")))
-    swapped = F.when((F.col("role") == LEARNT) & (F.col("turn") == F.col("last.turn")),
-                     F.when(F.col("first.turn") < F.col("last.turn"), F.col("first.text")).otherwise(F.lit(""))).otherwise(F.col("text"))
+    other). Turns are ordered as in ``format_pairs``: null turn numbers last, rows with a null id one conversation.
+
+    Left out, as they hold nothing to choose between: conversations without an assistant turn, and the turns
+    after the last assistant turn."""
+    rows = conversations.select(F.col("conv_id").alias("pair_id"), "turn", "role", "text",
+                                F.coalesce(F.col("turn").cast("long"), F.lit((1 << 63) - 1)).alias("at"))
+    reply = F.when(F.col("role") == LEARNT, F.struct("at", "text"))
+    ends = (rows.groupBy("pair_id").agg(F.max(reply).alias("last"), F.min(reply).alias("first"))
+            .filter("last is not null").withColumnRenamed("pair_id", "id"))
+    turns = rows.join(ends, F.col("pair_id").eqNullSafe(F.col("id"))).filter(F.col("at") <= F.col("last.at"))
+    swapped = F.when((F.col("role") == LEARNT) & (F.col("at") == F.col("last.at")),
+                     F.when(F.col("first.at") < F.col("last.at"), F.col("first.text")).otherwise(F.lit(""))).otherwise(F.col("text"))
     return turns.select("pair_id", "turn", "role", "text"), turns.select("pair_id", "turn", "role", swapped.alias("text"))

@@ -65,3 +65,14 @@ def test_query(spark, sf, tables):
         g = got[p]
         assert (g["n_common"], g["prompt"], g["chosen"], g["rejected"]) == (n, prompt, c, r)
         assert (g["chosen_mask"], g["rejected_mask"]) == tuple(",".join(f"{a}-{b}" for a, b in m) for m in (cm, rm))
+
+
+def test_swapped_keeps_null_turns_and_ids(spark):
+    rows = [(1, 0, "user", "q"), (1, 1, "assistant", "a"), (1, None, "assistant", "late"), (None, 0, "user", "x"), (None, 1, "assistant", "y"),
+            (None, 2, "user", "z"), (None, 3, "assistant", "w"), (None, 4, "user", "after"), (2, 0, "user", "no reply"), (3, None, "assistant", "alone")]
+    df = spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").repartition(3)
+    chosen, rejected = (sorted(map(tuple, x.collect()), key=str) for x in preference.last_reply_swapped(df))
+    kept = [r for r in rows if r[0] != 2 and r[3] != "after"]
+    assert chosen == sorted(kept, key=str)
+    other = {"late": "a", "w": "y", "alone": ""}
+    assert rejected == sorted(((*r[:3], other.get(r[3], r[3])) for r in kept), key=str)
