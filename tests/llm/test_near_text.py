@@ -98,3 +98,24 @@ def test_chain_groups_and_edges(spark):
     assert want[39] == 10 and want[50] == 10 and want[5] == 4 and want[61] == 60 and want[2] == 2
     assert [r["kept"] for r in got if r["doc_id"] is None] == [True]
     assert near_text.near_duplicates(df.limit(0)).count() == 0
+
+
+def test_no_pair_of_high_shingle_similarity_is_missed(spark):
+    """Labelled-shingle similarity 0.8 and edit similarity 0.8: one component, without exception."""
+    sf = "/root/testdata/sf0.01"
+    seqs = {r["doc_id"]: (r["text"] or "").split() for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    found = {r["doc_id"]: r["component_id"] for r in QUERIES["op5_minhash_near_dedup"](spark, sf).collect()}
+    sets, holders = {}, {}
+    for d, w in seqs.items():
+        count, sets[d] = Counter(), set()
+        for i in range(len(w) - 4):
+            g = tuple(w[i:i + 5])
+            sets[d].add((g, count[g]))
+            count[g] += 1
+        for g in sets[d]:
+            holders.setdefault(g, []).append(d)
+    pairs = {(a, b) for own in holders.values() for i, b in enumerate(own) for a in own[:i]}
+    high = [(a, b) for a, b in pairs if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    high = [(a, b) for a, b in high if plain_distance(seqs[a], seqs[b]) <= 0.2 * max(len(seqs[a]), len(seqs[b])) + 1e-9]
+    assert high and all(found[a] == found[b] for a, b in high)
+    print("pairs", len(high), "not exact copies", sum(seqs[a] != seqs[b] for a, b in high))
