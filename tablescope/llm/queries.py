@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablescope.llm import decontaminate, lines, near_text, near_vectors, packing, preference, quality, shard, substring, warc
+from tablescope.llm import (collocations, decontaminate, lines, merkle, near_text, near_vectors, packing, preference, quality,
+                            shard, substring, threshold, warc)
 from tablescope.llm.oracle_sql import ORACLES  # noqa: F401  (read by the entry module)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -101,3 +102,31 @@ def op10_benchmark_decontamination(spark, sf_dir):
         F.col("row.doc_id").alias("doc_id"), "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join(F.array_sort("items"), ","), 256).alias("items_sha256"),
         (F.col("n_hit") > 0).alias("contaminated"))
+
+
+@query
+def op11_phrase_collocations(spark, sf_dir):
+    found = collocations.collocations(_table(spark, sf_dir, "documents"))
+    return found.select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
+
+
+@query
+def op12_merkle_manifest(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents")
+
+    def leaf(text):
+        return merkle.leaf_digest([F.col(c) for c in ("doc_id", "source", "lang", "n_chars")] + [text])
+    lowered = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0
+    leaves = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("lang").alias("group"), leaf(F.col("text")).alias("leaf"),
+                         F.when(tampered, leaf(lowered)).alias("changed"))
+    found = merkle.fold(merkle.build(leaves))
+    return found.select(F.col("id").alias("doc_id"), "leaf", "subroot", "root", F.sha2("proof", 256).alias("proof_sha256"),
+                        "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+@query
+def op13_threshold_top_k(spark, sf_dir):
+    vectors = threshold.integer_vectors(_table(spark, sf_dir, "embeddings"))
+    return threshold.top_k(vectors, vectors.filter("id % 50 = 0")).select(
+        "query_id", "rank", F.col("id").alias("vec_id"), "score")
