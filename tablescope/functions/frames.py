@@ -13,18 +13,27 @@ def col_of(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
-SALTS = 16
+SALT_ROWS = 4_000_000        # rows of one group that one task of a salted join is dealt
 
 
-def join_by_group(rows: DataFrame, side: DataFrame, keys: Sequence[str], spread: Column) -> DataFrame:
+def salts_of(largest) -> int:
+    """Parts that ``join_by_group`` deals a group into: from the rows of the largest group, a number or
+    the maximum of a table's column ``n``."""
+    rows = largest.agg(F.max("n")).first()[0] if isinstance(largest, DataFrame) else largest
+    return max(1, -(-(rows or 0) // SALT_ROWS))
+
+
+def join_by_group(rows: DataFrame, side: DataFrame, keys: Sequence[str], salts: int) -> DataFrame:
     """Inner join of rows with a per-group side table that no hot group sends to one task.
 
-    Rows are salted by a hash of ``spread`` into ``SALTS`` parts and the side table, which has few
+    Rows are dealt to ``salts`` parts by their number, equal rows too, and the side table, which has few
     rows per group, is repeated for each. A following aggregate on the keys gets its own exchange
     after map-side combining. Spark still broadcasts the side when it measures it small.
     """
-    salted = side.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return (rows.withColumn("__salt", F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int"))
+    if salts == 1:
+        return rows.join(side, list(keys))
+    salted = side.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return (rows.withColumn("__salt", F.pmod(F.monotonically_increasing_id(), F.lit(salts)).cast("int"))
             .join(salted, [*keys, "__salt"]).drop("__salt"))
 
 

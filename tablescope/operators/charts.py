@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tablescope.functions.frames import col_of as _c, join_by_group, long_from_row
+from tablescope.functions.frames import col_of as _c, join_by_group, long_from_row, salts_of
 from tablescope.functions.quantiles import grouped_quantiles, scalar_stats
 from tablescope.functions.roles import is_numeric, numeric_columns
 from tablescope.operators.stats import bin_index, corr_matrix
@@ -85,7 +85,7 @@ def box(df: DataFrame, x: str, y: str, color: str | None = None) -> DataFrame:
          .withColumn("lower_fence", F.col("q1") - 1.5 * (F.col("q3") - F.col("q1")))
          .withColumn("upper_fence", F.col("q3") + 1.5 * (F.col("q3") - F.col("q1"))))
     y_ = F.col("__y")
-    whiskers = (join_by_group(base, q.select(*quoted, "lower_fence", "upper_fence"), keys, y_)
+    whiskers = (join_by_group(base, q.select(*quoted, "lower_fence", "upper_fence"), keys, salts_of(q))
                 .groupBy(*quoted)
                 .agg(F.min(F.when(y_ >= F.col("lower_fence"), y_)).alias("whisker_low"),
                      F.max(F.when(y_ <= F.col("upper_fence"), y_)).alias("whisker_high"),
@@ -130,7 +130,7 @@ def violin(df: DataFrame, x: str, y: str, color: str | None = None, grid: int =
                        / F.lit(float(grid - 1)))
     counted = base.groupBy(*quoted, "__y").agg(F.count(F.lit(1)).cast("double").alias("__w"))
     y_ = F.col("__y")
-    joined = join_by_group(counted, st.select(*quoted, "bandwidth", "grid_lo", "grid_step"), keys, y_)
+    joined = join_by_group(counted, st.select(*quoted, "bandwidth", "grid_lo", "grid_step"), keys, salts_of(st))
     sums = [F.sum(F.col("__w") * F.exp(F.lit(-0.5) * F.pow((F.col("grid_lo") + F.lit(float(i)) * F.col("grid_step") - y_)
                                            / F.col("bandwidth"), 2))).alias(f"k{i}")
             for i in range(grid)]

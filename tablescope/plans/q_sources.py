@@ -88,6 +88,16 @@ def l1_quotes(spark, sf_dir):
     return S.read_table(spark, path, fmt="csv")
 
 
+@register("L1_csv_split", """
+SELECT doc_id, text || chr(10) || chr(10) || '"' || source || '",' || chr(10) AS note, lang, n_chars FROM documents""")
+def l1_split(spark, sf_dir):
+    """documents as one CSV file with line breaks, quotes and commas in its fields, read by many tasks."""
+    path = shared_dir(spark, "l1-split-csv")
+    note = F.concat("text", F.lit('\n\n"'), "source", F.lit('",\n'))
+    S.write_csv(table(spark, sf_dir, "documents").select("doc_id", note.alias("note"), "lang", "n_chars"), path, single_file=True)
+    return S.read_table(spark, path, fmt="csv")
+
+
 @register("L7_nan", """
 SELECT l_orderkey, l_linenumber, l_quantity,
        CASE WHEN l_partkey % 5 = 0 THEN NULL ELSE l_extendedprice END AS price

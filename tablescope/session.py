@@ -70,7 +70,9 @@ def env_int(name: str, default: int) -> int:
         return default
 
 
-SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+# While a scratch table is written: shuffle files go when it ends, and Python workers get batches of few megabytes.
+WRITE_CONF = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
+              "spark.sql.execution.arrow.maxBytesPerBatch": str(16 << 20)}
 
 
 def materialize(df, name: str):
@@ -83,12 +85,17 @@ def materialize(df, name: str):
     """
     spark = df.sparkSession
     path = shared_dir(spark, name)
-    before = spark.conf.get(SHUFFLE_CLEANUP, "false")
-    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    before = {key: spark.conf.get(key, None) for key in WRITE_CONF}
+    for key, value in WRITE_CONF.items():
+        spark.conf.set(key, value)
     try:
         df.write.mode("overwrite").parquet(path)
     finally:
-        spark.conf.set(SHUFFLE_CLEANUP, before)
+        for key, value in before.items():
+            if value is None:
+                spark.conf.unset(key)
+            else:
+                spark.conf.set(key, value)
     out = spark.read.schema(df.schema).parquet(path)
     out.scratch_path = path
     return out

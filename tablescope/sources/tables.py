@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablescope.functions.frames import col_of
+from tablescope.sources import csv_records
 
 # The text that pandas' CSV reader treats as missing by default.
 NA_WORDS = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan",
@@ -29,7 +30,6 @@ _SUFFIX_FORMATS = {".csv": "csv", ".parquet": "parquet", ".json": "json", ".json
 # What counts as a number in text; Spark's own cast also takes suffixes such as 1D or 2F.
 _WHOLE = r"^\s*[+-]?[0-9]+\s*$"
 _NUMBER = r"(?i)^\s*[+-]?(([0-9]+\.?[0-9]*|\.[0-9]+)(e[+-]?[0-9]+)?|inf|infinity)\s*$"
-_EXTRA = "__extra"
 
 
 def _format_of(path: str, fmt: str | None) -> str:
@@ -87,27 +87,44 @@ def _cast_text(c: str, dtype: T.DataType):
     return v.try_cast(dtype)
 
 
-def _read_csv(spark: SparkSession, path: str, schema, na_words, header: bool, multi_line: bool) -> DataFrame:
+def _read_csv(spark: SparkSession, path: str, schema, na_words, header: bool) -> DataFrame:
     """CSV as pandas reads it: doubled quotes, line breaks inside quotes, NA words as null; short rows
-    are filled with nulls, longer rows and text that is not UTF-8 are refused when they are read."""
-    options = {"header": header, "encoding": "UTF-8", "escape": '"', "multiLine": multi_line, "inferSchema": False}
-    names = spark.read.options(**options).csv(path).columns
+    are filled with nulls; longer rows, text that is not UTF-8 and quotes that never close are refused.
+
+    One pass looks at every line. When no line ends inside quotes, lines are records and Spark's
+    reader takes them; else records are put together from the lines of all splits (``csv_records``).
+    """
+    options = {"header": header, "encoding": "UTF-8", "escape": '"', "inferSchema": False}
+    names = spark.read.options(**options, multiLine=True).csv(path).columns
     if not names:
         return spark.createDataFrame([], T.StructType([]))
     fields = None
     if schema is not None:
         fields = schema.fields if isinstance(schema, T.StructType) else T._parse_datatype_string(schema).fields
         names = [f.name for f in fields]
-    raw = T.StructType([T.StructField(n, T.StringType()) for n in (*names, _EXTRA)])
-    text = spark.read.options(**options).schema(raw).csv(path)
-    broken = F.concat_ws("", *[col_of(n) for n in names]).contains("\ufffd")
-    sound = (F.when(F.col(_EXTRA).isNotNull(), F.raise_error(F.lit("CSV row with more fields than the header")).cast("boolean"))
-             .when(broken, F.raise_error(F.lit("CSV text is not UTF-8")).cast("boolean")).otherwise(F.lit(True)))
-    text = text.where(sound).select(*[(F.when(~col_of(n).isin(*na_words), col_of(n)) if na_words else col_of(n)).alias(n) for n in names])
+    raw = T.StructType([T.StructField(n, T.StringType()) for n in names])
+    seen = csv_records.shape(spark, path)
+    if not seen.valid:
+        raise ValueError("CSV text is not UTF-8")
+    if seen.crosses:
+        record = F.col("record")
+        refuse = F.raise_error(F.lit("CSV row with more fields than the header")).cast("boolean")
+        rows = csv_records.records(spark, path, header).where(
+            F.when(csv_records.field_count(record) > len(names), refuse).otherwise(F.lit(True)))
+        text = rows.select(F.from_csv(record, _ddl(names), {"escape": '"'}).alias("r")).select("r.*")
+    else:
+        if seen.fields > len(names):
+            raise ValueError("CSV row with more fields than the header")
+        text = spark.read.options(**options).schema(raw).csv(path)
+    text = text.select(*[(F.when(~col_of(n).isin(*na_words), col_of(n)) if na_words else col_of(n)).alias(n) for n in names])
     types = {f.name: f.dataType for f in fields} if fields else _csv_types(text)
     return text.select(*[_cast_text(c, t).alias(c) for c, t in types.items()])
 
 
+def _ddl(names: list[str]) -> str:
+    return ", ".join("`" + n.replace("`", "``") + "` string" for n in names)
+
+
 def read_table(spark: SparkSession, path: str, fmt: str | None = None,
                schema: T.StructType | str | None = None, na_words=NA_WORDS,
                header: bool = True, multi_line: bool = True, filters: Mapping[str, object] | None = None) -> DataFrame:
@@ -115,8 +132,8 @@ def read_table(spark: SparkSession, path: str, fmt: str | None = None,
 
     ``filters`` (as in ``operators.filters``) are applied to the raw scan first, where Parquet can use
     them, and again after NaN became null; a filter on a float column that is written afterwards
-    can't reach the scan through that rule. ``multi_line=False`` lets Spark split large CSV files
-    that hold no line break inside quotes. ``.jsonl`` is read line by line; an empty CSV file is a
+    can't reach the scan through that rule. CSV files are read split by split, whatever lies inside quotes.
+    ``.json`` files are documents (``multi_line``), ``.jsonl`` is read line by line; an empty CSV file is a
     table without columns, which ``validate`` reports.
     """
     kind = _format_of(path, fmt)
@@ -127,7 +144,7 @@ def read_table(spark: SparkSession, path: str, fmt: str | None = None,
         from tablescope.sources.json_records import read_json_records
         raw = read_json_records(spark, path, multi_line=multi_line and kind == "json", schema=schema)
     elif kind == "csv":
-        raw = _read_csv(spark, path, schema, na_words, header, multi_line)
+        raw = _read_csv(spark, path, schema, na_words, header)
     else:
         raise ValueError(f"unsupported format: {kind}")
     if not filters:
@@ -156,7 +173,7 @@ def validate(df: DataFrame) -> DataFrame:
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite", single_file: bool = False) -> str:
     """CSV with a header row and no index column, in the dialect that ``read_table`` reads (doubled quotes). Output stays partitioned unless asked."""
     out = df.coalesce(1) if single_file else df
-    out.write.mode(mode).options(header=True, escape='"', encoding="UTF-8").csv(path)
+    out.write.mode(mode).options(header=True, escape='"', encoding="UTF-8", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
     return path
 
 

@@ -1,5 +1,6 @@
 """Reader dialects: what pandas' readers accept, refuse and keep."""
 
+import csv
 import os
 
 import pytest
@@ -85,3 +86,52 @@ def test_parquet_nan_and_push_down(spark, tmp_dir):
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert "GreaterThanOrEqual(q,0.5)" in plan
     assert S.read_table(spark, path).where(F.col("q").isNull()).count() == 1
+
+
+@pytest.fixture()
+def small_splits(spark):
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "700")
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    yield
+    for k, v in before.items():
+        spark.conf.set(k, v)
+
+
+def test_csv_split_equals_multi_line(spark, tmp_dir, small_splits):
+    """Quoted line breaks, quotes in the middle of a field, records longer than several splits."""
+    import random
+    rng = random.Random(4)
+    bits = ["a", "b c", '""', "\n", "\r\n", "\r", ",", "\n\n", "é", "12", "�", " "]
+    loose = ["x", 'five" pipe', "", "7", "a b", 'tail"']
+    os.mkdir(f"{tmp_dir}/many")
+    for f in range(4):
+        rows = ['"first\nname",n,"t"']
+        for i in range(60):
+            body = "".join(rng.choice(bits) for _ in range(rng.choice([0, 3, 10, 10, 400])))
+            rows.append(",".join([f'"{body}"', rng.choice(loose), str(i)][:rng.choice([3, 3, 3, 2])]))
+        rows += ["", "   ", '"",,"z"', '"' + "long\n" * 900 + '",,']
+        put(f"{tmp_dir}/many", f"{f}.csv", rng.choice(["\n", "\r\n"]).join(rows) + rng.choice(["", "\n"]))
+    got = S.read_table(spark, f"{tmp_dir}/many", fmt="csv", na_words=())
+    assert got.columns == ["first\nname", "n", "t"]
+    want = []
+    for f in range(4):
+        with open(f"{tmp_dir}/many/{f}.csv", encoding="utf-8", newline="") as text:
+            rows = [r for r in csv.reader(text) if len(r) > 1 or "".join(r).strip()][1:]
+        want += [tuple(x or None for x in (r + [None, None])[:3]) for r in rows]
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str) and len(want) == 4 * 62
+    from tablescope.sources import csv_records
+    assert csv_records.records(spark, f"{tmp_dir}/many", True).rdd.getNumPartitions() > 20
+
+
+def test_csv_refusals(spark, tmp_dir, small_splits):
+    good = S.read_table(spark, put(tmp_dir, "a.csv", 'a,b\n"� ok","x\ny"\n'))
+    assert good.collect() == [("� ok", "x\ny")]
+    for i, extra in enumerate(["3,4,", "5,6,,7", '"a\nb",6,']):
+        with pytest.raises(Exception, match="more fields"):
+            S.read_table(spark, put(tmp_dir, f"b{i}.csv", f'a,b\n1,2\n{extra}\n')).collect()
+    for i, body in enumerate(['1,"x\ny,2\n', '"', '1,2\n"a""\n' + "z\n" * 900]):
+        with pytest.raises(ValueError, match="inside quotes"):
+            S.read_table(spark, put(tmp_dir, f"c{i}.csv", f"a,b\n{body}")).collect()
+    with pytest.raises(Exception, match="UTF-8"):
+        S.read_table(spark, put(tmp_dir, "d.csv", b'a,b\n"x\n\xff",2\n')).collect()

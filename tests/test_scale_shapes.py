@@ -1,5 +1,7 @@
 """Skewed and sampled inputs: a hot group holding a third of the rows, forced brackets."""
 
+import math
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -124,3 +126,36 @@ def test_filter_domains_many_and_hot_values(spark):
     row = FL.filter_domains_numeric(big, ["a.b"]).first()
     assert (row["exact_max"], row["slider_max"]) == ("9007199254740993", 9007199254740993)
     assert FL.apply_filters(df, {"few": ("0", "2")}).where("few = '1'").count() == 0
+
+
+def _values(kind):
+    rng = np.random.default_rng(7)
+    if kind == "spread":
+        return 2.0 ** rng.uniform(-999, 999, 20_000) * rng.choice([-1, 1], 20_000)
+    if kind == "bits":                               # any double, subnormal ones and infinities too
+        x = rng.integers(0, 2 ** 64, 20_000, dtype=np.uint64).view(np.float64)
+        return np.concatenate((x[np.isfinite(x)], [0.0, -0.0, 5e-324, -5e-324, np.inf, -np.inf]))
+    if kind == "close":                              # neighbours in the last bit, next to an outlier
+        return np.concatenate((np.nextafter(1.0, 2) + np.arange(5000) * 2.0 ** -52, [-1e300, 1e300]))
+    return rng.exponential(1, 20_000)
+
+
+@pytest.mark.parametrize("kind", ["spread", "bits", "close", "exp"])
+def test_quantiles_take_six_passes_at_most(spark, kind, monkeypatch):
+    from tablescope.functions import frames, quantiles
+    passes, write = [], quantiles.materialize
+    monkeypatch.setattr(quantiles, "materialize", lambda df, name: passes.append(name) or write(df, name))
+    monkeypatch.setattr(frames, "SALT_ROWS", 3000)
+    x = _values(kind)
+    df = spark.createDataFrame([(float(v), int(i % 2)) for i, v in enumerate(x)], "v double, g int").repartition(4)
+    probs = [0.0, 0.25, 0.5, 0.9, 1.0]
+    got = {r.g: [r[f"q{i}"] for i in range(5)] for r in quantiles.grouped_quantiles(df, "v", probs, by=["g"]).collect()}
+    assert 1 <= passes.count("quantile-ranks") <= 6
+    for g in (0, 1):
+        s = np.sort(x[g::2])
+        for p, q in zip(probs, got[g], strict=True):
+            at = (len(s) - 1) * p
+            lo, hi = s[math.floor(at)], s[math.ceil(at)]
+            assert q == lo if lo == hi else min(lo, hi) <= q <= max(lo, hi) or not np.isfinite(hi - lo)
+            if lo != hi and np.isfinite(hi - lo):
+                assert math.isclose(q, lo + (at - math.floor(at)) * (hi - lo), rel_tol=1e-9, abs_tol=1e-320)
