@@ -48,7 +48,8 @@ BLOCK_WORDS = 1_000_000      # words of one broadcast word table (12 MB)
 BLOCK_PHRASES = 400_000      # phrases of one trie (about 20 MB)
 BUCKET_BITS = 22
 PIECE = 1 << 14              # buckets of one partial-count row
-CHUNK = 1 << 21              # text positions advanced at once
+CHUNK = 1 << 19              # text positions advanced at once
+HELD_WORDS = 200_000         # different words whose counts a task holds before it hands them on
 
 # Bytes that end a piece, and bytes between the words of a piece.
 _BREAK = np.zeros(256, dtype=bool)
@@ -72,14 +73,28 @@ def _salted(g, batch) -> tuple[np.ndarray, list, np.ndarray]:
 
 
 def _count_words(batches):
+    """Counts of the words of a task, handed on whenever ``HELD_WORDS`` different ones are held."""
+    none = np.empty(0, dtype=np.uint64), np.empty(0, dtype=np.int64), np.empty(0, dtype=object), np.empty(0, dtype=object)
+    held, count, lang, word = none
     for b in batches:
         for g in iter_words(b.column("text"), PHRASE_WORDS, ASCII_LOWER):
             key, langs, code = _salted(g, b)
-            _, at, n = np.unique(key, return_index=True, return_counts=True)
-            yield pa.record_batch({
-                "lang": pa.array([langs[i] for i in code[g.doc[at]]], pa.string()),
-                "word": pa.array([g.data[s:e].tobytes().decode() for s, e in zip(g.start[at], g.end[at], strict=True)], pa.string()),
-                "a": pa.array(n)})
+            key, at, n = np.unique(key, return_index=True, return_counts=True)
+            place = np.searchsorted(held, key)
+            known = np.flatnonzero(held[np.minimum(place, len(held) - 1)] == key) if len(held) else np.empty(0, np.int64)
+            count[place[known]] += n[known]
+            new = np.setdiff1d(np.arange(len(key)), known, assume_unique=True)
+            spelled = np.empty(len(new), dtype=object)
+            spelled[:] = [g.data[s:e].tobytes().decode() for s, e in zip(g.start[at[new]], g.end[at[new]], strict=True)]
+            own = np.empty(len(new), dtype=object)
+            own[:] = [langs[i] for i in code[g.doc[at[new]]]]
+            where = place[new]
+            held, count = np.insert(held, where, key[new]), np.insert(count, where, n[new])
+            lang, word = np.insert(lang, where, own), np.insert(word, where, spelled)
+            if len(held) >= HELD_WORDS:
+                yield pa.record_batch({"lang": pa.array(lang, pa.string()), "word": pa.array(word, pa.string()), "a": pa.array(count)})
+                held, count, lang, word = none
+    yield pa.record_batch({"lang": pa.array(lang, pa.string()), "word": pa.array(word, pa.string()), "a": pa.array(count)})
 
 
 def _word_keys(batches):
@@ -95,8 +110,9 @@ def _word_keys(batches):
             "key": pa.array([raw[i:i + 4] for i in range(0, len(raw), 4)], pa.binary())})
 
 
-def _encode(table, carry: bool):
-    """Texts as word numbers, little-endian 32 bits; a break is 0. ``carry``: numbers found by earlier blocks stay."""
+def _encode(table, carry: bool, last: bool):
+    """Texts as word numbers, little-endian 32 bits; a break is 0. ``carry``: numbers found by earlier blocks of
+    the word table stay; the last block returns no text."""
     def run(batches):
         hashes, numbers = table.value
         for b in batches:
@@ -119,7 +135,8 @@ def _encode(table, carry: bool):
                     x, y = np.frombuffer(x, "<i4"), np.frombuffer(y, "<i4")
                     joined.append(np.where(x == 0, y, x).tobytes())
                 out = joined
-            yield pa.record_batch({"lang": b.column("lang"), "text": b.column("text"), "ids": pa.array(out, pa.binary())})
+            rest = {} if last else {"lang": b.column("lang"), "text": b.column("text")}
+            yield pa.record_batch({**rest, "ids": pa.array(out, pa.binary())})
     return run
 
 
@@ -253,10 +270,10 @@ def _fill_buckets(n: int, least: int):
 
     def run(batches):
         from pyspark import TaskContext
-        total = np.zeros(1 << BUCKET_BITS, dtype=np.int32)
+        total = np.zeros(1 << BUCKET_BITS, dtype=np.int64)
         for b in batches:
             for ids, at in _live_windows(b, n):
-                total += np.bincount(_bucket(ids, at, n), minlength=len(total)).astype(np.int32)
+                total += np.bincount(_bucket(ids, at, n), minlength=len(total))
         # a count of ``cap`` in one shard decides already
         rows = np.minimum(total, cap).astype(np.uint8).reshape(-1, PIECE)
         some = np.flatnonzero(rows.any(axis=1))
@@ -373,14 +390,16 @@ def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", least:
     words = materialize(numbered.select((F.col("pos") + 1).cast("int").alias("id"), "lang", "word", "a", F.col("words").alias("n"))
                         .mapInArrow(_word_keys, "id int, hash long, lang string, word string, a long, n long, key binary"), "colloc-vocabulary")
 
-    encoded, carry = src, False
-    for part in _blocks(words, words.count(), block_words):
+    encoded, rows = src, words.count()
+    blocks = list(_blocks(words, rows, block_words))
+    for i, part in enumerate(blocks):
         own = part.select("hash", "id").toArrow()
         hashes = np.asarray(own["hash"]).view(np.uint64)
         order = np.argsort(hashes)
         table = spark.sparkContext.broadcast((hashes[order], np.asarray(own["id"])[order]))
-        encoded, carry = encoded.mapInArrow(_encode(table, carry), "lang string, text string, ids binary"), True
-    ids = materialize(encoded.select("ids"), "colloc-ids")
+        last = i == len(blocks) - 1
+        encoded = encoded.mapInArrow(_encode(table, i > 0, last), "ids binary" if last else "lang string, text string, ids binary")
+    ids = materialize(encoded, "colloc-ids")
 
     levels = frequent_phrases(ids, least, longest, block_phrases)
     if not levels:
