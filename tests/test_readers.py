@@ -92,7 +92,7 @@ def test_parquet_nan_and_push_down(spark, tmp_dir):
 def small_splits(spark):
     before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
     spark.conf.set("spark.sql.files.maxPartitionBytes", "700")
-    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    spark.conf.set("spark.sql.files.openCostInBytes", "50")
     yield
     for k, v in before.items():
         spark.conf.set(k, v)
