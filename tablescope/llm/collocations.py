@@ -248,13 +248,17 @@ def _mark(trie, carry: bool):
     return run
 
 
-def _live_windows(batch, n: int):
-    """(ids, positions) of the windows of n words whose first and last n - 1 words are frequent."""
-    marks = np.frombuffer(b"".join(batch.column("alive").to_pylist()), np.uint8) if n > 2 else None
+def _live_windows(batch, n: int, trie):
+    """(ids, positions) of the windows of n words whose first and last n - 1 words are frequent: those of ``trie``,
+    and where earlier tries of the level left a mark."""
+    marked = "alive" in batch.schema.names
+    marks = np.frombuffer(b"".join(batch.column("alive").to_pylist()), np.uint8) if marked else None
     at = 0
     for ids, count in _chunks(batch, LONGEST):
-        alive = ids != 0 if marks is None else np.append(marks[at:at + count + 1], 0)
-        yield ids, np.flatnonzero(alive[:count] & alive[1:count + 1])
+        alive = ids[:count + 1] != 0 if trie is None else trie.value.ends(ids, count + 1) >= 0
+        if marked:
+            alive[:len(marks) - at] |= marks[at:at + count + 1] != 0
+        yield ids, np.flatnonzero(alive[:count] & alive[1:])
         at += count
 
 
@@ -265,14 +269,14 @@ def _bucket(ids: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
     return (h >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
 
 
-def _fill_buckets(n: int, least: int):
+def _fill_buckets(n: int, least: int, trie):
     cap = min(least, 255)
 
     def run(batches):
         from pyspark import TaskContext
         total = np.zeros(1 << BUCKET_BITS, dtype=np.int64)
         for b in batches:
-            for ids, at in _live_windows(b, n):
+            for ids, at in _live_windows(b, n, trie):
                 total += np.bincount(_bucket(ids, at, n), minlength=len(total))
         # a count of ``cap`` in one shard decides already
         rows = np.minimum(total, cap).astype(np.uint8).reshape(-1, PIECE)
@@ -292,15 +296,15 @@ def _add_buckets(cap: int):
     return run
 
 
-def _hot_buckets(positions: DataFrame, n: int, least: int) -> np.ndarray:
+def _hot_buckets(positions: DataFrame, n: int, least: int, trie) -> np.ndarray:
     """True for every bucket that can hold a window of ``least`` occurrences."""
     cap = min(least, 255)
     schema = "piece int, salt int, counts binary"
-    rows = positions.mapInArrow(_fill_buckets(n, least), schema)
+    rows = positions.mapInArrow(_fill_buckets(n, least, trie), schema)
     for _ in range(2):           # shards are added 64 at a time, then the sums
         rows = rows.groupBy("piece", "salt").applyInArrow(_add_buckets(cap), schema)
     hot = np.zeros((1 << BUCKET_BITS) // PIECE * PIECE, dtype=np.int32).reshape(-1, PIECE)
-    for r in rows.toLocalIterator():                 # 2^22 bytes a salt, one salt per 4,096 tasks
+    for r in materialize(rows, "colloc-buckets").toLocalIterator():       # 2^22 bytes a salt, one salt per 4,096 tasks
         hot[r.piece] += np.frombuffer(r.counts, np.uint8)
     return hot.ravel() >= cap
 
@@ -312,11 +316,11 @@ def _keys(rows: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(cut), pa.py_buffer(raw)])
 
 
-def _emit(n: int, hot):
+def _emit(n: int, hot, trie):
     def run(batches):
         allowed = hot.value
         for b in batches:
-            for ids, at in _live_windows(b, n):
+            for ids, at in _live_windows(b, n, trie):
                 at = at[allowed[_bucket(ids, at, n)]]
                 rows = np.stack([ids[at + j] for j in range(n)], axis=1)
                 yield pa.record_batch({"key": _keys(np.unique(rows, axis=0))})
@@ -356,18 +360,19 @@ def frequent_phrases(ids: DataFrame, least: int, longest: int, block_phrases: in
     """Tables (key, a) of the phrases of 2, 3, ... words that occur at least ``least`` times."""
     out: list[DataFrame] = []
     for n in range(2, longest + 1):
-        positions = ids
+        positions, trie = ids, None
         if n > 2:
-            for i, trie in enumerate(_tries(out[-1], out[-1].count(), n - 1, block_phrases)):
-                positions = positions.mapInArrow(_mark(trie, i > 0), "ids binary, alive binary")
-        hot = ids.sparkSession.sparkContext.broadcast(_hot_buckets(positions, n, least))
-        found = materialize(positions.mapInArrow(_emit(n, hot), "key binary").distinct(), f"colloc-candidates-{n}")
+            *earlier, trie = _tries(out[-1], out[-1].count(), n - 1, block_phrases)
+            for i, other in enumerate(earlier):
+                positions = positions.mapInArrow(_mark(other, i > 0), "ids binary, alive binary")
+        hot = ids.sparkSession.sparkContext.broadcast(_hot_buckets(positions, n, least, trie))
+        found = materialize(positions.mapInArrow(_emit(n, hot, trie), "key binary").distinct(), f"colloc-candidates-{n}")
         counted = None
-        for trie in _tries(found, found.count(), n, block_phrases):
-            part = ids.mapInArrow(_count_phrases(trie), "key binary, a long").groupBy("key").agg(F.sum("a").alias("a"))
+        for block in _tries(found, found.count(), n, block_phrases):
+            part = ids.mapInArrow(_count_phrases(block), "key binary, a long").groupBy("key").agg(F.sum("a").alias("a"))
             part = materialize(part.filter(F.col("a") >= least), f"colloc-phrases-{n}")
             counted = part if counted is None else counted.union(part)
-            trie.destroy()
+            block.destroy()
         hot.destroy()
         if counted is None or counted.isEmpty():
             break
