@@ -48,6 +48,7 @@ BLOCK_WORDS = 1_000_000      # words of one broadcast word table (12 MB)
 BLOCK_PHRASES = 400_000      # phrases of one trie (about 20 MB)
 BUCKET_BITS = 22
 PIECE = 1 << 14              # buckets of one partial-count row
+BINS = 1 << 11               # phrases of one count row
 CHUNK = 1 << 19              # text positions advanced at once
 HELD_WORDS = 200_000         # different words whose counts a task holds before it hands them on
 
@@ -328,14 +329,40 @@ def _emit(n: int, hot, trie):
 
 
 def _count_phrases(trie):
+    """Bins of the accepting states of one shard, ``BINS`` phrases a row."""
     def run(batches):
+        from pyspark import TaskContext
         t = trie.value
         total = np.zeros(len(t.phrases) + 1, dtype=np.int64)
         for b in batches:
             for ids, count in _chunks(b, LONGEST):
                 total += np.bincount(t.ends(ids, count) + 1, minlength=len(total))
-        some = np.flatnonzero(total[1:])
-        yield pa.record_batch({"key": _keys(t.phrases[some]), "a": pa.array(total[1:][some])})
+        rows = np.concatenate((total[1:], np.zeros(-len(t.phrases) % BINS, np.int64))).reshape(-1, BINS)
+        some = np.flatnonzero(rows.any(axis=1))
+        yield pa.record_batch({"piece": pa.array(some.astype(np.int32)),
+                               "salt": pa.array(np.full(len(some), TaskContext.get().partitionId() // 64, np.int32)),
+                               "counts": pa.array([rows[i].tobytes() for i in some], pa.binary())})
+    return run
+
+
+def _add_counts(table: pa.Table) -> pa.Table:
+    total = np.zeros(BINS, dtype=np.int64)
+    for x in table["counts"]:
+        total += np.frombuffer(x.as_buffer(), np.int64)
+    return pa.table({"piece": table["piece"].slice(0, 1), "salt": pa.array([0], pa.int32()),
+                     "counts": pa.array([total.tobytes()], pa.binary())})
+
+
+def _frequent(trie, least: int):
+    """(key, a) of the phrases whose added bins reach ``least``."""
+    def run(batches):
+        phrases = trie.value.phrases
+        for b in batches:
+            for piece, counts in zip(b.column("piece").to_pylist(), b.column("counts"), strict=True):
+                own = phrases[piece * BINS:(piece + 1) * BINS]
+                a = np.frombuffer(counts.as_buffer(), np.int64)[:len(own)]
+                some = np.flatnonzero(a >= least)
+                yield pa.record_batch({"key": _keys(own[some]), "a": pa.array(a[some])})
     return run
 
 
@@ -369,8 +396,10 @@ def frequent_phrases(ids: DataFrame, least: int, longest: int, block_phrases: in
         found = materialize(positions.mapInArrow(_emit(n, hot, trie), "key binary").distinct(), f"colloc-candidates-{n}")
         counted = None
         for block in _tries(found, found.count(), n, block_phrases):
-            part = ids.mapInArrow(_count_phrases(block), "key binary, a long").groupBy("key").agg(F.sum("a").alias("a"))
-            part = materialize(part.filter(F.col("a") >= least), f"colloc-phrases-{n}")
+            schema = "piece int, salt int, counts binary"
+            added = (ids.mapInArrow(_count_phrases(block), schema).groupBy("piece", "salt").applyInArrow(_add_counts, schema)
+                     .groupBy("piece").applyInArrow(_add_counts, schema))
+            part = materialize(added.mapInArrow(_frequent(block, least), "key binary, a long"), f"colloc-phrases-{n}")
             counted = part if counted is None else counted.union(part)
             block.destroy()
         hot.destroy()

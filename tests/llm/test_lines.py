@@ -9,12 +9,18 @@ SPACE = " \t\r\f\v"
 
 def plain_patience(a, b):
     """Recursive textbook form."""
+    head = 0
+    while head < min(len(a), len(b)) and a[head] == b[head]:
+        head += 1
+    tail = 0
+    while tail < min(len(a), len(b)) - head and a[-1 - tail] == b[-1 - tail]:
+        tail += 1
+    if head or tail:
+        inner = plain_patience(a[head:len(a) - tail], b[head:len(b) - tail])
+        return ([(i, i) for i in range(head)] + [(i + head, j + head) for i, j in inner]
+                + [(len(a) - i, len(b) - i) for i in range(tail, 0, -1)])
     if not a or not b:
         return []
-    if a[0] == b[0]:
-        return [(0, 0)] + [(i + 1, j + 1) for i, j in plain_patience(a[1:], b[1:])]
-    if a[-1] == b[-1]:
-        return plain_patience(a[:-1], b[:-1]) + [(len(a) - 1, len(b) - 1)]
     ca, cb = Counter(a), Counter(b)
     pairs = [(i, b.index(x)) for i, x in enumerate(a) if ca[x] == 1 and cb[x] == 1]
     best = []
@@ -34,7 +40,8 @@ def plain_patience(a, b):
     return sorted(out)
 
 
-def brute(rows, rare=8, least=40):
+def brute(rows, least=40):
+    """doc_id, n_lines, n_removed, digest of what is kept; only pairs without a common line are left out."""
     split = [(d, t or "", (t or "").split("\n")) for d, t in rows]
     first_text = {}
     for d, t, _ in split:
@@ -42,25 +49,17 @@ def brute(rows, rare=8, least=40):
     texts = {(d, t): [x.strip(SPACE) for x in ls] for d, t, ls in split if first_text[t] == d}
     holders = defaultdict(set)
     for key, ls in texts.items():
-        for x in ls:
-            if x:
-                holders[x].add(key)
-    chars = Counter()
-    for x, own in holders.items():
-        first = min(own, key=lambda k: k[0])
-        for d in own:
-            for e in (own if len(own) <= rare else [first]):
-                if e[0] < d[0]:
-                    chars[d, e] += len(x)
+        for x in filter(None, ls):
+            holders[x].add(key)
     gone = defaultdict(set)
-    for (d, e), n in chars.items():
-        if n >= least:
+    for d, ls in texts.items():
+        for e in {e for x in set(ls) for e in holders.get(x, ()) if e[0] < d[0]}:
             run = []
-            for p in [*plain_patience(texts[d], texts[e]), (-9, -9)]:
+            for p in [*plain_patience(ls, texts[e]), (-9, -9)]:
                 if run and p == (run[-1][0] + 1, run[-1][1] + 1):
                     run.append(p)
                     continue
-                if run and sum(len(texts[d][i]) for i, _ in run) >= least:
+                if run and sum(len(ls[i]) for i, _ in run) >= least:
                     gone[d].update(i for i, _ in run)
                 run = [p]
     out = []

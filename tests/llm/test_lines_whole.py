@@ -2,41 +2,9 @@
 
 import hashlib
 import random
-from collections import defaultdict
 
 from tablescope.llm import lines
-from tablescope.llm.queries import QUERIES
-from .test_lines import SPACE, plain_patience
-
-
-def every_pair(rows, least=40):
-    """doc_id, n_lines, n_removed, digest of what is kept; only pairs without a common line are left out."""
-    split = [(d, t or "", (t or "").split("\n")) for d, t in rows]
-    first_text = {}
-    for d, t, _ in split:
-        first_text[t] = min(first_text.get(t, d), d)
-    texts = {(d, t): [x.strip(SPACE) for x in ls] for d, t, ls in split if first_text[t] == d}
-    holders = defaultdict(set)
-    for key, ls in texts.items():
-        for x in filter(None, ls):
-            holders[x].add(key)
-    gone = defaultdict(set)
-    for d, ls in texts.items():
-        for e in {e for x in set(ls) for e in holders.get(x, ()) if e[0] < d[0]}:
-            run = []
-            for p in [*plain_patience(ls, texts[e]), (-9, -9)]:
-                if run and p == (run[-1][0] + 1, run[-1][1] + 1):
-                    run.append(p)
-                    continue
-                if run and sum(len(ls[i]) for i, _ in run) >= least:
-                    gone[d].update(i for i, _ in run)
-                run = [p]
-    out = []
-    for d, t, ls in split:
-        cut = gone[d, t] if first_text[t] == d else (set(range(len(ls))) if any(x.strip(SPACE) for x in ls) else set())
-        kept = "\n".join(x for i, x in enumerate(ls) if i not in cut)
-        out.append((d, len(ls), len(cut), hashlib.sha256(kept.encode()).hexdigest()))
-    return sorted(out)
+from .test_lines import brute as every_pair
 
 
 def found(spark, rows, **options):
@@ -45,12 +13,6 @@ def found(spark, rows, **options):
     return sorted((a, b, c, hashlib.sha256(t.encode()).hexdigest()) for a, b, c, t in got)
 
 
-def test_query_equals_every_pair(spark):
-    sf = "/root/testdata/sf0.01"
-    rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
-    assert sorted(map(tuple, QUERIES["op8_line_dedup"](spark, sf).collect())) == every_pair(rows)
-
-
 def test_block_of_lines_with_different_first_holders(spark):
     one, two = "x" * 25, "y" * 25
     rows = [(1, f"{one}\nfirst"), (2, f"own\n{one}\n{two}\nend"), (3, f"other\n{one}\n{two}\nlast")]

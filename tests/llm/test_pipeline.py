@@ -52,7 +52,7 @@ def test_run_and_registration(spark, sf):
     rows = corpus_pipeline.run(spark, sf)
     assert rows.count() > 0 and {"doc_id", "sequence_id", "ids"} <= set(rows.columns)
     numbers = sorted(int(n[2:].split("_")[0]) for n in entry.queries() if n.startswith("op"))
-    assert numbers == list(range(1, 11))
+    assert numbers == list(range(1, 14))
 
 
 def test_stages_on_odd_rows(spark):
