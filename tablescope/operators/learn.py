@@ -31,6 +31,12 @@ from tablescope.session import checkpoint_root, materialize
 _INTEGRAL = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
 
 
+def _plain(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """The columns renamed f0, f1, ... (MLlib reads dots as paths) and the new name of each."""
+    names = {c: f"f{i}" for i, c in enumerate(df.columns)}
+    return df.toDF(*names.values()), names
+
+
 def _spread(df: DataFrame) -> DataFrame:
     """Rows dealt by their hash to ``spark.sql.shuffle.partitions`` partitions and ordered inside
     each: neither the layout of the input nor the number of cores changes the model."""
@@ -88,21 +94,22 @@ def forest_importance(df: DataFrame, target: str | None = None, cols: Sequence[s
         target = target_name(df, nums)
     feats = [c for c in nums if c != target]
     classify = _is_classification(df, target)
-    prepared = _prepare(df, feats, target)
+    prepared, names = _plain(_prepare(df, feats, target))
+    label = names[target]
     if not classify:
-        prepared = prepared.withColumn(target, col_of(target).cast("double"))
+        prepared = prepared.withColumn(label, F.col(label).cast("double"))
     data = _spread(prepared).persist(StorageLevel.MEMORY_AND_DISK)
     checkpoint_root(spark)
     try:
-        stages = [VectorAssembler(inputCols=feats, outputCol="__features", handleInvalid="keep")]
+        stages = [VectorAssembler(inputCols=[names[f] for f in feats], outputCol="__features", handleInvalid="keep")]
         if classify:
-            stages += [StringIndexer(inputCol=target, outputCol="__label", stringOrderType="alphabetAsc"),
+            stages += [StringIndexer(inputCol=label, outputCol="__label", stringOrderType="alphabetAsc"),
                        RandomForestClassifier(featuresCol="__features", labelCol="__label", numTrees=num_trees,
                                               maxDepth=max_depth, maxBins=max_bins, minInstancesPerNode=min_leaf,
                                               seed=seed, cacheNodeIds=True,
                                               checkpointInterval=10)]
         else:
-            stages += [RandomForestRegressor(featuresCol="__features", labelCol=target, numTrees=num_trees,
+            stages += [RandomForestRegressor(featuresCol="__features", labelCol=label, numTrees=num_trees,
                                              maxDepth=max_depth, maxBins=max_bins, minInstancesPerNode=min_leaf,
                                              seed=seed, cacheNodeIds=True,
                                              checkpointInterval=10)]
@@ -123,11 +130,12 @@ def clusters(df: DataFrame, cols: Sequence[str] | None = None, k: int = 3, seed:
     cols = list(cols) if cols is not None else numeric_columns(df, 2, exclude=key)
     if len(cols) < 2:
         raise ValueError("k-means needs two numeric columns")
-    data = fill_mean(df.select(*key, *cols), cols)
+    data = fill_mean(df.select(*[col_of(c) for c in (*key, *cols)]), cols)
+    data, names = _plain(data)
     fit_input = _spread(data).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         pipe = Pipeline(stages=[
-            VectorAssembler(inputCols=cols, outputCol="__raw"),
+            VectorAssembler(inputCols=[names[c] for c in cols], outputCol="__raw"),
             StandardScaler(inputCol="__raw", outputCol="__features", withMean=True, withStd=True),
             KMeans(k=k, seed=seed, featuresCol="__features", predictionCol="__cluster", maxIter=max_iter)])
         model = pipe.fit(fit_input)
@@ -138,18 +146,19 @@ def clusters(df: DataFrame, cols: Sequence[str] | None = None, k: int = 3, seed:
             relabel = F.when(F.col("__cluster") == old, F.lit(new)).otherwise(relabel)
     finally:
         fit_input.unpersist()
-    return model.transform(data).select(*key, *cols, relabel.alias("cluster"))
+    return model.transform(data).select(*[F.col(names[c]).alias(c) for c in (*key, *cols)], relabel.alias("cluster"))
 
 
 def _pca_fit(df: DataFrame, k: int, cols, key, min_rows: int):
     cols = list(cols) if cols is not None else numeric_columns(df, exclude=key)
     if len(cols) < 2:
         raise ValueError("PCA needs two numeric columns")
-    data = df.select(*key, *cols).dropna(subset=cols)
+    data, names = _plain(df.select(*[col_of(c) for c in (*key, *cols)]))
+    data = data.dropna(subset=[names[c] for c in cols])
     if data.limit(min_rows).count() < min_rows:
         raise ValueError(f"PCA needs {min_rows} rows without nulls")
     pipe = Pipeline(stages=[
-        VectorAssembler(inputCols=cols, outputCol="__raw"),
+        VectorAssembler(inputCols=[names[c] for c in cols], outputCol="__raw"),
         StandardScaler(inputCol="__raw", outputCol="__scaled", withMean=True, withStd=True),
         PCA(k=k, inputCol="__scaled", outputCol="__pcs")])
     fit_input = _spread(data).persist(StorageLevel.MEMORY_AND_DISK)
@@ -163,7 +172,7 @@ def _pca_fit(df: DataFrame, k: int, cols, key, min_rows: int):
         col = pc[:, j]
         top = max(range(len(col)), key=lambda i: abs(col[i]))
         signs.append(1.0 if col[top] >= 0 else -1.0)
-    return cols, data, model, signs
+    return names, data, model, signs
 
 
 def pca(df: DataFrame, k: int = 2, cols: Sequence[str] | None = None, key: Sequence[str] = (),
@@ -173,10 +182,10 @@ def pca(df: DataFrame, k: int = 2, cols: Sequence[str] | None = None, key: Seque
     Rows with any null are dropped; fewer than ``min_rows`` rows or 2 columns are refused.
     Each component's sign is fixed so that its largest loading is positive.
     """
-    cols, data, model, signs = _pca_fit(df, k, cols, key, min_rows)
+    names, data, model, signs = _pca_fit(df, k, cols, key, min_rows)
     arr = vector_to_array(F.col("__pcs"))
     return model.transform(data).select(
-        *key, *[(arr[j] * F.lit(signs[j])).alias(f"pc{j + 1}") for j in range(k)])
+        *[F.col(names[c]).alias(c) for c in key], *[(arr[j] * F.lit(signs[j])).alias(f"pc{j + 1}") for j in range(k)])
 
 
 def pca_variance(df: DataFrame, k: int = 2, cols: Sequence[str] | None = None, key: Sequence[str] = (),

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tablescope.operators import charts as CH
+from tablescope.operators import learn as LE
 from tablescope.operators import clean as C
 from tablescope.operators import filters as FL
 from tablescope.operators import groups as G
@@ -43,6 +44,21 @@ CASES = {
 }
 
 
+def test_odd_names_in_models(odd):
+    """Scores and importances equal those of the same table with plain names."""
+    twice = odd.select(F.col(f"`{X}`"), F.col(f"`{Y}`"), (F.col(f"`{X}`") * 2 + F.rand(3)).alias("z.z"), F.col(f"`{K}`"))
+    twice = twice.union(twice).union(twice)
+    plain = twice.toDF("x", "y", "z", "k")
+    a, b = LE.clusters(twice, [X, "z.z"], k=2, key=[K]), LE.clusters(plain, ["x", "z"], k=2, key=["k"])
+    assert a.columns == [K, X, "z.z", "cluster"] and sorted(map(tuple, a.collect()), key=str) == sorted(map(tuple, b.collect()), key=str)
+    a, b = (LE.pca(d, 1, c, min_rows=2) for d, c in ((twice, [X, "z.z"]), (plain, ["x", "z"])))
+    assert sorted(r[0] for r in a.collect()) == pytest.approx(sorted(r[0] for r in b.collect()))
+    assert LE.pca_variance(twice, 1, [X, "z.z"], min_rows=2).count() == 1
+    a, b = (LE.forest_importance(d, t, c, num_trees=5) for d, t, c in ((twice, "z.z", [X, Y, "z.z"]), (plain, "z", ["x", "y", "z"])))
+    assert [r.feature for r in a.orderBy("rank").collect()] in ([X, Y], [Y, X]) and a.first().target == "z.z"
+    assert [r.importance for r in a.orderBy("rank").collect()] == pytest.approx([r.importance for r in b.orderBy("rank").collect()])
+
+
 @pytest.mark.parametrize("name", CASES)
 def test_odd_names(odd, name):
     assert CASES[name](odd).count() > 0
