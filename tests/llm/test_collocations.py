@@ -43,7 +43,7 @@ def run(spark, rows, **kw):
     return sorted(tuple(r) for r in collocations.collocations(df, **kw).collect())
 
 
-@pytest.mark.parametrize("kw", [{}, {"block_words": 7, "block_phrases": 11}, {"top": 3}])
+@pytest.mark.parametrize("kw", [{}, {"block_words": 7, "block_phrases": 90}, {"top": 3}])
 def test_against_brute_force(spark, kw):
     rng = np.random.default_rng(1)
     words = ["a", "B", "c", "Den", "é", "ÉÉ", "x1", "y\x00", "long" * 30, "中文", " ", "f"]
