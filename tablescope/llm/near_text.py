@@ -15,9 +15,10 @@ similarity, 1 - (word edits) / (words of the longer text), is at least ``thresho
    within the threshold included (see ``far_share``). Near and far ones elect the next leader, until
    all pairs of what is left are fewer than its rows, or ``ROUNDS`` times. Then the links so far
    give components, and only what they leave apart is compared: near members with the linked
-   members of their star, and the members left over with each other, where a 64-slot word count
-   does not rule the pair out already. So a large group of copies
-   costs a few stars and not all its pairs, and no link between different components is lost;
+   members of their star, and the members left over with each other. They are joined by their rarest words
+   (``prefix_pairs``): similar texts share one of them, texts that merely hold the same passage don't. So a large
+   group of copies costs a few stars and not all its pairs, a common passage costs its holders' own words,
+   and no link between different components is lost;
 4. a pair is verified by aligning the two word sequences inside a diagonal band as wide as the
    edits that the threshold allows, so the band excludes no pair that would pass; the distance is exact
    up to there. The band is a bit vector, one column a step;
@@ -40,7 +41,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablescope.llm.components import components
@@ -252,20 +253,51 @@ def bucket_links(members: DataFrame, texts: DataFrame, bags: DataFrame, threshol
         own = group.select(F.col("id").alias(doc), F.col("component").alias(name))
         return frame.join(own, doc, "left").withColumn(name, F.coalesce(name, doc))
 
-    near = placed(placed(stars.filter(F.col("kind") == NEAR), "doc", "g"), "leader", "lead").filter("g <> lead").join(bags, "doc")
-    close = stars.filter(F.col("kind") == LINKED).select("r", "band", "key", "doc", F.col("n").alias("m"))
-    close = close.join(bags, "doc").withColumnsRenamed({"doc": "other", "bag": "sack"})
-    left = materialize(placed(rest, "doc", "g").join(bags, "doc"), "near-rest")
-    others = left.select("band", "key", F.col("doc").alias("other"), F.col("n").alias("m"), F.col("g").alias("h"), F.col("bag").alias("sack"))
-    # Bounds that lose nothing: an edit changes the length by one at most, and two word counts by one.
-    apart = F.aggregate(F.zip_with("bag", "sack", lambda x, y: F.abs(x - y)), F.lit(0), lambda t, x: t + x)
-    fits = ((F.least("n", "m") >= threshold * F.greatest("n", "m"))
-            & (apart <= 2 * ((1 - threshold) * F.greatest("n", "m") + 1e-9)))
-    ends = [F.least("doc", "other").alias("a"), F.greatest("doc", "other").alias("b")]
-    open_ = (near.join(close, ["r", "band", "key"]).filter(fits).select(*ends)
-             .union(left.join(others, ["band", "key"]).filter("doc < other and g <> h").filter(fits).select(*ends)).distinct())
-    found = _compared(open_, texts, threshold, 1 - threshold).filter(F.col("kind") == LINKED)
-    return links.union(found.select("a", "b"))
+    near = materialize(placed(placed(stars.filter(F.col("kind") == NEAR), "doc", "g"), "leader", "lead").filter("g <> lead")
+                       .select("r", "band", "key", "doc"), "near-open")
+    close = stars.filter(F.col("kind") == LINKED).join(near.select("r", "band", "key").distinct(), ["r", "band", "key"], "left_semi")
+    open_ = (rest.select("doc", F.lit(1).alias("active")).union(near.select("doc", F.lit(1)))
+             .union(close.select("doc", F.lit(0))).groupBy("doc").agg(F.max("active").alias("active")))
+    found = _compared(prefix_pairs(texts, placed(open_, "doc", "g"), bags, threshold), texts, threshold, 1 - threshold)
+    return links.union(found.filter(F.col("kind") == LINKED).select("a", "b"))
+
+
+def _tokens(batches):
+    """A row per word of each text: the word labelled with its occurrence, and the number of words."""
+    for b in batches:
+        for w in iter_words(b.column("text")):
+            bounds, value = labelled_shingles(w, 1)
+            size = np.diff(bounds)
+            rows = pa.array(np.repeat(np.arange(w.first, w.first + w.n_docs), size))
+            yield pa.record_batch({**{c: b.column(c).take(rows) for c in ("doc", "did", "g", "active")},
+                                   "n": pa.array(np.repeat(size, size).astype(np.int32)), "token": pa.array(value.view(np.int64))})
+
+
+def prefix_pairs(texts: DataFrame, roles: DataFrame, bags: DataFrame, threshold: float) -> DataFrame:
+    """(a, b): every pair of different groups ``g``, one side active, that can reach the threshold by its words.
+
+    ``roles`` has doc, active, g. Similar texts share all but (1 - threshold) of the longer one's labelled words, so their
+    rarest words, one more than that share of each, have one in common. A passage of many texts is made of words
+    that many hold; they come last, so texts that share nothing else don't meet.
+    """
+    tokens = materialize(texts.withColumn("did", F.xxhash64("text")).join(roles, "doc").select("doc", "did", "g", "active", "text")
+                         .mapInArrow(_tokens, "doc long, did long, g long, active int, n int, token long"), "near-tokens")
+    held = materialize(tokens.groupBy("token").agg(F.count("*").alias("df"), F.min("g").alias("lo"), F.max("g").alias("hi"),
+                                                   F.max("active").alias("any")), "near-token-counts")
+    rank = F.row_number().over(Window.partitionBy("doc", "did").orderBy("df", "token"))
+    prefix = materialize(tokens.join(held, "token").withColumn("rank", rank)
+                         .filter(F.col("rank") <= F.floor((1 - threshold) * F.col("n") + 1e-9) + 1)
+                         .filter("lo < hi and any = 1").select("doc", "g", "active", "n", "token"), "near-prefix")
+    other = prefix.select("token", *[F.col(c).alias(f"{c}2") for c in ("doc", "g", "active", "n")])
+    pairs = (prefix.filter("active = 1").join(other, "token")
+             .filter("g <> g2 and (active2 = 0 or doc < doc2)").filter(F.least("n", "n2") >= threshold * F.greatest("n", "n2"))
+             .select("doc", "doc2", F.greatest("n", "n2").alias("longer")).distinct())
+    # A bound that loses nothing: an edit changes two word counts by one.
+    apart = F.aggregate(F.zip_with("bag", "bag2", lambda x, y: F.abs(x - y)), F.lit(0), lambda t, x: t + x)
+    bags2 = bags.withColumnsRenamed({"doc": "doc2", "bag": "bag2"})
+    fits = (pairs.join(bags, "doc").join(bags2, "doc2").filter(apart <= 2 * ((1 - threshold) * F.col("longer") + 1e-9)))
+    out = fits.select(F.least("doc", "doc2").alias("a"), F.greatest("doc", "doc2").alias("b")).distinct()
+    return out
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD,
