@@ -8,8 +8,8 @@ cheapest cut. Steps:
    dense numbers, common words first, one range for all languages, so a number implies its language;
 2. texts are written once as those numbers, 0 for a rare word, the end of a piece and the end of a document;
 3. for n = 2 to 5: a window of n words can only be frequent when its first and its last n - 1 words are
-   (Apriori). Such windows are counted in 2^22 hash buckets; the distinct windows in buckets of
-   ``least`` and more are the candidates. They are counted exactly: a block of at most ``BLOCK_PHRASES``
+   (Apriori). Such windows are counted in 2^22 hash buckets, those in buckets of ``least`` and more again by another
+   hash, three times in all; the distinct windows that pass are the candidates. They are counted exactly: a block of at most ``BLOCK_PHRASES``
    becomes a double-array trie, numpy moves the states of all text positions through it together, one word a
    level, the accepting states are binned and the counts of the shards are added;
 4. scores, the rule against parts of longer candidates and the first ``top`` of each language are joins and
@@ -47,6 +47,7 @@ TOP = 2000
 BLOCK_WORDS = 1_000_000      # words of one broadcast word table (12 MB)
 BLOCK_PHRASES = 400_000      # phrases of one trie (about 20 MB)
 BUCKET_BITS = 22
+FILTERS = 3                  # bucket counts, each with a hash of its own over the windows that pass the ones before
 PIECE = 1 << 14              # buckets of one partial-count row
 BINS = 1 << 11               # phrases of one count row
 CHUNK = 1 << 19              # text positions advanced at once
@@ -263,14 +264,21 @@ def _live_windows(batch, n: int, trie):
         at += count
 
 
-def _bucket(ids: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
-    h = np.zeros(len(at), dtype=np.uint64)
+def _bucket(ids: np.ndarray, at: np.ndarray, n: int, seed: int = 0) -> np.ndarray:
+    h = np.full(len(at), seed, dtype=np.uint64)
     for j in range(n):
         h = mix(h + ids[at + j].astype(np.uint64) + np.uint64(j + 1))
     return (h >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
 
 
-def _fill_buckets(n: int, least: int, trie):
+def _passing(ids: np.ndarray, at: np.ndarray, n: int, filters: list) -> np.ndarray:
+    """The positions whose windows lie in a hot bucket of every filter so far; filter i hashes with seed i."""
+    for i, hot in enumerate(filters):
+        at = at[hot.value[_bucket(ids, at, n, i)]]
+    return at
+
+
+def _fill_buckets(n: int, least: int, trie, filters: list):
     cap = min(least, 255)
 
     def run(batches):
@@ -278,7 +286,8 @@ def _fill_buckets(n: int, least: int, trie):
         total = np.zeros(1 << BUCKET_BITS, dtype=np.int64)
         for b in batches:
             for ids, at in _live_windows(b, n, trie):
-                total += np.bincount(_bucket(ids, at, n), minlength=len(total))
+                at = _passing(ids, at, n, filters)
+                total += np.bincount(_bucket(ids, at, n, len(filters)), minlength=len(total))
         # a count of ``cap`` in one shard decides already
         rows = np.minimum(total, cap).astype(np.uint8).reshape(-1, PIECE)
         some = np.flatnonzero(rows.any(axis=1))
@@ -297,11 +306,11 @@ def _add_buckets(cap: int):
     return run
 
 
-def _hot_buckets(positions: DataFrame, n: int, least: int, trie) -> np.ndarray:
-    """True for every bucket that can hold a window of ``least`` occurrences."""
+def _hot_buckets(positions: DataFrame, n: int, least: int, trie, filters: list) -> np.ndarray:
+    """True for every bucket that can hold a window of ``least`` occurrences, among those that pass ``filters``."""
     cap = min(least, 255)
     schema = "piece int, salt int, counts binary"
-    rows = positions.mapInArrow(_fill_buckets(n, least, trie), schema)
+    rows = positions.mapInArrow(_fill_buckets(n, least, trie, filters), schema)
     for _ in range(2):           # shards are added 64 at a time, then the sums
         rows = rows.groupBy("piece", "salt").applyInArrow(_add_buckets(cap), schema)
     hot = np.zeros((1 << BUCKET_BITS) // PIECE * PIECE, dtype=np.int32).reshape(-1, PIECE)
@@ -317,12 +326,11 @@ def _keys(rows: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(cut), pa.py_buffer(raw)])
 
 
-def _emit(n: int, hot, trie):
+def _emit(n: int, filters: list, trie):
     def run(batches):
-        allowed = hot.value
         for b in batches:
             for ids, at in _live_windows(b, n, trie):
-                at = at[allowed[_bucket(ids, at, n)]]
+                at = _passing(ids, at, n, filters)
                 rows = np.stack([ids[at + j] for j in range(n)], axis=1)
                 yield pa.record_batch({"key": _keys(np.unique(rows, axis=0))})
     return run
@@ -392,8 +400,10 @@ def frequent_phrases(ids: DataFrame, least: int, longest: int, block_phrases: in
             *earlier, trie = _tries(out[-1], out[-1].count(), n - 1, block_phrases)
             for i, other in enumerate(earlier):
                 positions = positions.mapInArrow(_mark(other, i > 0), "ids binary, alive binary")
-        hot = ids.sparkSession.sparkContext.broadcast(_hot_buckets(positions, n, least, trie))
-        found = materialize(positions.mapInArrow(_emit(n, hot, trie), "key binary").distinct(), f"colloc-candidates-{n}")
+        filters: list = []
+        for _ in range(FILTERS):
+            filters.append(ids.sparkSession.sparkContext.broadcast(_hot_buckets(positions, n, least, trie, filters)))
+        found = materialize(positions.mapInArrow(_emit(n, filters, trie), "key binary").distinct(), f"colloc-candidates-{n}")
         counted = None
         for block in _tries(found, found.count(), n, block_phrases):
             schema = "piece int, salt int, counts binary"
@@ -402,7 +412,8 @@ def frequent_phrases(ids: DataFrame, least: int, longest: int, block_phrases: in
             part = materialize(added.mapInArrow(_frequent(block, least), "key binary, a long"), f"colloc-phrases-{n}")
             counted = part if counted is None else counted.union(part)
             block.destroy()
-        hot.destroy()
+        for hot in filters:
+            hot.destroy()
         if counted is None or counted.isEmpty():
             break
         out.append(counted)
