@@ -12,8 +12,9 @@ similarity, 1 - (word edits) / (words of the longer text), is at least ``thresho
    edits, at most half of the longer text) or *far* (more than half);
 3. linked members are in the leader's component and leave the bucket. A far member can't be
    similar to a linked one: word edits are a metric, so it is more than half minus a fifth away, lengths
-   within the threshold included (see ``far_share``). Near and far ones elect the next leader, until
-   all pairs of what is left are fewer than its rows, or ``ROUNDS`` times. Then the links so far
+   within the threshold included (see ``far_share``). Near and far ones elect the next leader as long as
+   leaders link at least a quarter of their bucket, until all pairs of what is left are fewer than its rows, or
+   ``ROUNDS`` times. Then the links so far
    give components, and only what they leave apart is compared: near members with the linked
    members of their star, and the members left over with each other. They are joined by their rarest words
    (``prefix_pairs``): similar texts share one of them, texts that merely hold the same passage don't. So a large
@@ -46,13 +47,14 @@ from pyspark.sql import functions as F
 
 from tablescope.llm.components import components
 from tablescope.llm.text import iter_words, mix, shingle_hash
-from tablescope.session import materialize
+from tablescope.session import discard, materialize
 
 SHINGLE = 5
 SKETCHES = 40
 PICK = 3
 THRESHOLD = 0.8
 ROUNDS = 6
+USEFUL = 0.25                # a bucket whose leader links a smaller share of its members elects no further one
 BAG = 64                     # slots of a text's word-count signature
 # Let L be a leader, y linked to it and x with d(x, L) > far_share * max(|x|, |L|). At threshold 0.8: d(y, L) <=
 # 0.2 max(|y|, |L|) <= 0.25 |L|, and x ~ y would mean d(x, y) <= 0.2 max(|x|, |y|) <= 0.25 max(|x|, |L|);
@@ -227,7 +229,7 @@ def bucket_links(members: DataFrame, texts: DataFrame, bags: DataFrame, threshol
     spark = members.sparkSession
     links = spark.createDataFrame([], "a long, b long")
     stars = spark.createDataFrame([], "r int, band int, key long, doc long, n int, leader long, kind int")
-    rest = members
+    rest, done = members, members.limit(0)
     for r in range(ROUNDS):
         sizes = rest.groupBy("band", "key").agg(F.count("*").alias("c"))
         pairs, rows = sizes.agg(F.sum(F.expr("c * (c - 1) / 2")), F.sum("c")).first()
@@ -243,7 +245,12 @@ def bucket_links(members: DataFrame, texts: DataFrame, bags: DataFrame, threshol
         links = links.union(kinds.filter(F.col("kind") == LINKED).select("a", "b"))
         star = materialize(star.join(kinds, ["a", "b"]).select(F.lit(r).alias("r"), *stars.columns[1:]), "near-star")
         stars = stars.union(star)
-        rest = star.filter(F.col("kind") != LINKED).select("band", "key", "doc", "n")
+        unlinked = star.filter(F.col("kind") != LINKED).select("band", "key", "doc", "n")
+        useful = (star.groupBy("band", "key").agg(F.avg((F.col("kind") == LINKED).cast("int")).alias("share"))
+                  .filter(F.col("share") >= USEFUL).select("band", "key"))
+        rest = unlinked.join(useful, ["band", "key"], "left_semi")
+        done = done.union(unlinked.join(useful, ["band", "key"], "left_anti"))
+    rest = rest.union(done)
 
     # What is still to be compared: near members with linked ones, and the remaining members with each
     # other, as far as the links found so far have not put them into one component.
@@ -288,6 +295,7 @@ def prefix_pairs(texts: DataFrame, roles: DataFrame, bags: DataFrame, threshold:
     prefix = materialize(tokens.join(held, "token").withColumn("rank", rank)
                          .filter(F.col("rank") <= F.floor((1 - threshold) * F.col("n") + 1e-9) + 1)
                          .filter("lo < hi and any = 1").select("doc", "g", "active", "n", "token"), "near-prefix")
+    discard(tokens, held)
     other = prefix.select("token", *[F.col(c).alias(f"{c}2") for c in ("doc", "g", "active", "n")])
     pairs = (prefix.filter("active = 1").join(other, "token")
              .filter("g <> g2 and (active2 = 0 or doc < doc2)").filter(F.least("n", "n2") >= threshold * F.greatest("n", "n2"))
