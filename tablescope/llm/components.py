@@ -4,8 +4,8 @@ Every round points neighbours at the smallest id seen next to them (large star,
 star) until nothing moves; the number of rounds grows with the logarithm of the longest path.
 Edges stay distributed. Each round is written to the shared checkpoint folder, so lineage
 stays short and a lost executor costs one round at most. The minimum per node is aggregated
-map-side; the join back to the edges is an ordinary shuffle join whose skewed partitions (the
-neighbours of one hot node) Spark can split.
+map-side; the join back to the edges is a shuffle join in the stage of that aggregate, so the
+neighbours of one hot node are one task, which streams them.
 """
 
 from __future__ import annotations

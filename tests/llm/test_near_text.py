@@ -2,6 +2,7 @@ import random
 from collections import Counter
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from tablescope.llm import near_text
 from tablescope.llm.queries import QUERIES
@@ -100,6 +101,31 @@ def test_chain_groups_and_edges(spark):
     assert near_text.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_common_passage_and_large_groups(spark):
+    """Texts that share little but a passage, groups of near copies among them: what elections leave is found by rare words."""
+    rng = random.Random(11)
+    passage = [f"p{i}" for i in range(60)]
+    docs = []
+    for i in range(120):
+        own = [f"w{rng.randrange(4000)}" for _ in range(70)]
+        docs.append((i, [*own[:35], *passage, *own[35:]]))
+    for i in range(200, 260):                   # copies of five of them, two words changed
+        t = list(docs[i % 5 * 7][1])
+        for _ in range(2):
+            t[rng.randrange(len(t))] = f"x{rng.randrange(9)}"
+        docs.append((i, t))
+    docs = [(d, " ".join(t)) for d, t in docs]
+    want = brute_groups(docs)
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: r["component_id"] for r in near_text.near_duplicates(df).collect()}
+    assert got == want and len(set(want.values())) == 120
+    body = spark.createDataFrame([d for d in docs if d[0] < 200] + [(d, t) for d, t in docs if d in (200, 201)], "doc long, text string")
+    roles = body.select("doc", F.lit(1).alias("active"), F.col("doc").alias("g"))
+    bags = body.select("doc", F.array_repeat(F.lit(0), near_text.BAG).alias("bag"))
+    pairs = {tuple(r) for r in near_text.prefix_pairs(body, roles, bags, 0.8).collect()}
+    assert {(0, 200), (7, 201)} <= pairs and len(pairs) < 120 * 119 / 8       # not all pairs of the passage's holders
+
+
 def test_no_pair_of_high_shingle_similarity_is_missed(spark):
     """Labelled-shingle similarity 0.8 and edit similarity 0.8: one component, without exception."""
     sf = "/root/testdata/sf0.01"
