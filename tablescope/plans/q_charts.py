@@ -59,22 +59,27 @@ def c4(spark, sf_dir):
                    {"value": 2, "share": 6})
 
 
+def _all_present(cols: str) -> str:
+    return " AND ".join(f"{c.strip()} IS NOT NULL" for c in cols.split(","))
+
+
 def box_sql(src: str, x: str, y: str, digits: int | None = 4) -> str:
+    """``x``: one key or several, separated by commas."""
     def rnd(e):
         return f"round({e}, {digits})" if digits is not None else e
     return f"""
-WITH b AS (SELECT {x}, CAST({y} AS DOUBLE) AS y FROM {src} WHERE {x} IS NOT NULL AND {y} IS NOT NULL),
+WITH b AS (SELECT {x}, CAST({y} AS DOUBLE) AS y FROM {src} WHERE {_all_present(x)} AND {y} IS NOT NULL),
 q AS (SELECT {x}, count(y) AS n, avg(y) AS mean, quantile_cont(y, 0.25) AS q1,
              quantile_cont(y, 0.5) AS median, quantile_cont(y, 0.75) AS q3 FROM b GROUP BY {x}),
 f AS (SELECT *, q1 - 1.5 * (q3 - q1) AS lower_fence, q3 + 1.5 * (q3 - q1) AS upper_fence FROM q),
-w AS (SELECT b.{x}, min(CASE WHEN y >= lower_fence THEN y END) AS whisker_low,
+w AS (SELECT {x}, min(CASE WHEN y >= lower_fence THEN y END) AS whisker_low,
              max(CASE WHEN y <= upper_fence THEN y END) AS whisker_high,
              count(*) FILTER (WHERE y < lower_fence OR y > upper_fence) AS outliers
-      FROM b JOIN f ON b.{x} = f.{x} GROUP BY b.{x})
-SELECT f.{x}, n, {rnd('mean')} AS mean, {rnd('q1')} AS q1, {rnd('median')} AS median,
+      FROM b JOIN f USING ({x}) GROUP BY {x})
+SELECT {x}, n, {rnd('mean')} AS mean, {rnd('q1')} AS q1, {rnd('median')} AS median,
        {rnd('q3')} AS q3, {rnd('lower_fence')} AS lower_fence, {rnd('upper_fence')} AS upper_fence,
        whisker_low, whisker_high, outliers
-FROM f JOIN w ON f.{x} = w.{x}"""
+FROM f JOIN w USING ({x})"""
 
 
 _BOX_SQL = box_sql("lineitem", "l_returnflag", "l_extendedprice")
@@ -103,15 +108,15 @@ def violin_sql(src: str, x: str, y: str, grid: int = 50, digits: bool = True) ->
         f"{rnd(f'k{i} / (n * bandwidth * {CH.SQRT_2PI!r})', 9)} AS density FROM full_"
         for i in range(grid))
     return f"""
-WITH b AS (SELECT {x}, CAST({y} AS DOUBLE) AS y FROM {src} WHERE {x} IS NOT NULL AND {y} IS NOT NULL),
+WITH b AS (SELECT {x}, CAST({y} AS DOUBLE) AS y FROM {src} WHERE {_all_present(x)} AND {y} IS NOT NULL),
 s0 AS (SELECT {x}, count(y) AS n, stddev_samp(y) AS std, min(y) AS y_min, max(y) AS y_max,
               quantile_cont(y, 0.25) AS q1, quantile_cont(y, 0.5) AS median, quantile_cont(y, 0.75) AS q3
        FROM b GROUP BY {x}),
 s1 AS (SELECT *, 1.059 * least(std, (q3 - q1) / 1.349) * pow(CAST(n AS DOUBLE), -0.2) AS raw_bw FROM s0),
 s2 AS (SELECT *, CASE WHEN raw_bw > 0 THEN raw_bw WHEN std > 0 THEN std ELSE 1.0 END AS bandwidth FROM s1),
 st AS (SELECT *, y_min - 2 * bandwidth AS grid_lo, (y_max - y_min + 4 * bandwidth) / {float(grid - 1)} AS grid_step FROM s2),
-d AS (SELECT b.{x}, {sums} FROM b JOIN st ON b.{x} = st.{x} GROUP BY b.{x}),
-full_ AS (SELECT st.*, d.* EXCLUDE ({x}) FROM st JOIN d ON st.{x} = d.{x})
+d AS (SELECT {x}, {sums} FROM b JOIN st USING ({x}) GROUP BY {x}),
+full_ AS (SELECT st.*, d.* EXCLUDE ({x}) FROM st JOIN d USING ({x}))
 {points}"""
 
 
@@ -183,3 +188,16 @@ def c12(spark, sf_dir):
 def c5_events(spark, sf_dir):
     out = CH.box(table(spark, sf_dir, "events"), "event_type", "value")
     return rounded(out, {c: 4 for c in ("mean", "q1", "median", "q3", "lower_fence", "upper_fence")})
+
+
+@register("C5_box_color", box_sql("lineitem", "l_returnflag, l_linestatus", "l_extendedprice"))
+def c5_color(spark, sf_dir):
+    out = CH.box(table(spark, sf_dir, "lineitem"), "l_returnflag", "l_extendedprice", color="l_linestatus")
+    return rounded(out, {c: 4 for c in ("mean", "q1", "median", "q3", "lower_fence", "upper_fence")})
+
+
+@register("C7_violin_color", violin_sql("lineitem", "l_returnflag, l_linestatus", "l_extendedprice"))
+def c7_color(spark, sf_dir):
+    """Nearly every price is different: the binned density against the plain kernel sum."""
+    out = CH.violin(table(spark, sf_dir, "lineitem"), "l_returnflag", "l_extendedprice", color="l_linestatus")
+    return rounded(out, {"bandwidth": 9, "q1": 6, "median": 6, "q3": 6, "y_value": 6, "density": 9})

@@ -185,3 +185,21 @@ def test_violin_density_integrates_to_one(spark):
     pts = CH.violin(df, "x", "y", grid=200).orderBy("point").collect()
     step = pts[1]["y_value"] - pts[0]["y_value"]
     assert sum(p["density"] for p in pts) * step == pytest.approx(1.0, abs=0.02)
+
+
+def test_binned_density_is_the_kernel_sum(spark):
+    """Within the stated bound: normal values, a far outlier, one value only, few values, a group beyond MAX_SPAN."""
+    rng = np.random.default_rng(5)
+    rows = [("n", float(v)) for v in rng.normal(50, 9, 3000)] + [("n", 4000.0), ("one", 3.0)]
+    rows += [("few", float(v)) for v in rng.integers(0, 4, 200)] + [("same", 7.5)] * 9 + [("n", None), (None, 1.0)]
+    cols = ["x", "point", "y_value", "density", "bandwidth", "n"]
+
+    def check(data):
+        df = spark.createDataFrame(data, "x string, y double")
+        a, b = (CH.violin(df, "x", "y", exact=e).select(*cols).orderBy("x", "point").collect() for e in (False, True))
+        assert len(a) == len(b) == 50 * len({x for x, y in data if x is not None and y is not None})
+        for p, q in zip(a, b):
+            assert (p.x, p.point, p.y_value, p.n) == (q.x, q.point, q.y_value, q.n)
+            assert abs(p.density - q.density) <= 1e-12 / q.bandwidth
+    check(rows)
+    check([*rows, *[("wide", float(v)) for v in range(20)], ("wide", 1e40)])
