@@ -70,6 +70,10 @@ def pie(df: DataFrame, x: str, y: str | None = None) -> DataFrame:
         "share", F.try_divide(F.col("value").cast("double"), total))
 
 
+QUARTILES, QUARTILE_NAMES = [0.25, 0.5, 0.75], ["q1", "median", "q3"]
+SPREAD = {"std": F.stddev_samp, "y_min": F.min, "y_max": F.max}
+
+
 def box(df: DataFrame, x: str, y: str, color: str | None = None) -> DataFrame:
     """Per group: n, mean, q1, median, q3, fences, whiskers (furthest points inside the
     fences) and the outlier count. Quartiles interpolate linearly, as the IQR outlier panel.
@@ -79,7 +83,11 @@ def box(df: DataFrame, x: str, y: str, color: str | None = None) -> DataFrame:
     """
     keys = _keys(x, color)
     base = _present(df, [*keys, y]).select(*[_c(k) for k in keys], _c(y).cast("double").alias("__y"))
-    q = grouped_quantiles(base, "__y", [0.25, 0.5, 0.75], by=keys, names=["q1", "median", "q3"], extra={"mean": F.avg})
+    return box_of(base, grouped_quantiles(base, "__y", QUARTILES, by=keys, names=QUARTILE_NAMES, extra={"mean": F.avg}), keys)
+
+
+def box_of(base: DataFrame, q: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The box table of rows (keys, __y), given n, mean and quartiles per group."""
     quoted = [_c(k) for k in keys]
     q = (q.select(*quoted, "n", "mean", "q1", "median", "q3")
          .withColumn("lower_fence", F.col("q1") - 1.5 * (F.col("q3") - F.col("q1")))
@@ -120,18 +128,18 @@ def _hermite(terms: int) -> list[list[int]]:
 
 
 def _exact_density(base: DataFrame, st: DataFrame, keys: Sequence[str], grid: int) -> DataFrame:
-    """(keys, point, k): the kernel sum at every grid point, an exponential per different value and point."""
+    """(keys, __point, __sum): the kernel sum at every grid point, an exponential per different value and point."""
     quoted = [_c(k) for k in keys]
     counted = base.groupBy(*quoted, "__y").agg(F.count(F.lit(1)).cast("double").alias("__w"))
     joined = join_by_group(counted, st.select(*quoted, "bandwidth", "grid_lo", "grid_step"), keys, salts_of(st))
     sums = [F.sum(F.col("__w") * F.exp(F.lit(-0.5) * F.pow((F.col("grid_lo") + F.lit(float(i)) * F.col("grid_step") - F.col("__y"))
                                                            / F.col("bandwidth"), 2))).alias(f"k{i}") for i in range(grid)]
     wide = joined.groupBy(*quoted).agg(*sums)
-    return wide.select(*quoted, F.posexplode(F.array(*[f"k{i}" for i in range(grid)])).alias("point", "k"))
+    return wide.select(*quoted, F.posexplode(F.array(*[f"k{i}" for i in range(grid)])).alias("__point", "__sum"))
 
 
 def _binned_density(base: DataFrame, st: DataFrame, keys: Sequence[str], grid: int) -> DataFrame:
-    """(keys, point, k): the kernel sum by cells of an eighth of a bandwidth.
+    """(keys, __point, __sum): the kernel sum by cells of an eighth of a bandwidth.
 
     A cell keeps the sums of the powers 0..7 of its values' distances to its centre. A value d bandwidths off the
     centre adds exp(-(z - d)^2 / 2) = exp(-z^2 / 2) * sum of He_j(z) d^j / j! at a grid point z bandwidths away; cut
@@ -150,22 +158,22 @@ def _binned_density(base: DataFrame, st: DataFrame, keys: Sequence[str], grid: i
     power = [F.lit(1.0)]
     for _ in range(TERMS - 1):
         power.append(power[-1] * F.col("__d"))
-    cells = rows.groupBy(*quoted, "__cell").agg(F.max("__gap").alias("__gap"), *[F.sum(x).alias(f"m{j}") for j, x in enumerate(power)])
+    cells = rows.groupBy(*quoted, "__cell").agg(F.max("__gap").alias("__gap"), *[F.sum(x).alias(f"__m{j}") for j, x in enumerate(power)])
     # the sum over j as one polynomial in z
     he = _hermite(TERMS)
-    coef = [sum((F.col(f"m{j}") * (he[j][p] / math.factorial(j)) for j in range(p + 1, TERMS) if he[j][p]),
-                F.col(f"m{p}") / math.factorial(p)) for p in range(TERMS)]
+    coef = [sum((F.col(f"__m{j}") * (he[j][p] / math.factorial(j)) for j in range(p + 1, TERMS) if he[j][p]),
+                F.col(f"__m{p}") / math.factorial(p)) for p in range(TERMS)]
     centre = (F.col("__cell") + 0.5) / CELLS
     first = F.greatest(F.lit(0), F.ceil((centre - REACH - 1) / gap).cast("int"))
     last = F.least(F.lit(grid - 1), F.floor((centre + REACH + 1) / gap).cast("int"))
-    cells = cells.select(*quoted, gap, centre.alias("__c"), *[c.alias(f"c{p}") for p, c in enumerate(coef)],
+    cells = cells.select(*quoted, gap, centre.alias("__c"), *[c.alias(f"__c{p}") for p, c in enumerate(coef)],
                          first.alias("__first"), last.alias("__last")).where("__first <= __last")
-    points = cells.withColumn("point", F.explode(F.sequence("__first", "__last")))
-    points = points.withColumn("__z", F.col("point") * gap - F.col("__c"))
-    value = F.col(f"c{TERMS - 1}")
+    points = cells.withColumn("__point", F.explode(F.sequence("__first", "__last")))
+    points = points.withColumn("__z", F.col("__point") * gap - F.col("__c"))
+    value = F.col(f"__c{TERMS - 1}")
     for p in reversed(range(TERMS - 1)):
-        value = value * F.col("__z") + F.col(f"c{p}")
-    return points.groupBy(*quoted, "point").agg(F.sum(value * F.exp(F.col("__z") * F.col("__z") * -0.5)).alias("k"))
+        value = value * F.col("__z") + F.col(f"__c{p}")
+    return points.groupBy(*quoted, "__point").agg(F.sum(value * F.exp(F.col("__z") * F.col("__z") * -0.5)).alias("__sum"))
 
 
 def violin(df: DataFrame, x: str, y: str, color: str | None = None, grid: int = 50, exact: bool = False) -> DataFrame:
@@ -178,10 +186,13 @@ def violin(df: DataFrame, x: str, y: str, color: str | None = None, grid: int =
     instead, as does a table with a group that spans more than ``MAX_SPAN`` bandwidths, whose cells would not be exact numbers.
     """
     keys = _keys(x, color)
+    base = _present(df, [*keys, y]).select(*[_c(k) for k in keys], _c(y).cast("double").alias("__y"))
+    return violin_of(base, grouped_quantiles(base, "__y", QUARTILES, by=keys, names=QUARTILE_NAMES, extra=SPREAD), keys, grid, exact)
+
+
+def violin_of(base: DataFrame, st: DataFrame, keys: Sequence[str], grid: int = 50, exact: bool = False) -> DataFrame:
+    """The violin table of rows (keys, __y), given n, quartiles and the ``SPREAD`` per group."""
     quoted = [_c(k) for k in keys]
-    base = _present(df, [*keys, y]).select(*quoted, _c(y).cast("double").alias("__y"))
-    st = grouped_quantiles(base, "__y", [0.25, 0.5, 0.75], by=keys, names=["q1", "median", "q3"],
-                           extra={"std": F.stddev_samp, "y_min": F.min, "y_max": F.max})
     st = st.select(*quoted, "n", "std", "y_min", "y_max", "q1", "median", "q3")
     raw_bw = F.lit(1.059) * F.least(F.col("std"), (F.col("q3") - F.col("q1")) / F.lit(1.349)) \
         * F.pow(F.col("n").cast("double"), F.lit(-0.2))
@@ -194,10 +205,10 @@ def violin(df: DataFrame, x: str, y: str, color: str | None = None, grid: int =
         span = st.agg(F.max((F.col("y_max") - F.col("y_min")) / F.col("bandwidth"))).first()[0]
         exact = span is not None and not span <= MAX_SPAN
     dens = (_exact_density if exact else _binned_density)(base, st, keys, grid)
-    full = st.withColumn("point", F.explode(F.sequence(F.lit(0), F.lit(grid - 1)))).join(dens, [*keys, "point"], "left")
-    return full.select(*quoted, "n", "bandwidth", "q1", "median", "q3", "point",
-                       (F.col("grid_lo") + F.col("point") * F.col("grid_step")).alias("y_value"),
-                       (F.coalesce("k", F.lit(0.0)) / (F.col("n") * F.col("bandwidth") * F.lit(SQRT_2PI))).alias("density"))
+    full = st.withColumn("__point", F.explode(F.sequence(F.lit(0), F.lit(grid - 1)))).join(dens, [*keys, "__point"], "left")
+    return full.select(*quoted, "n", "bandwidth", "q1", "median", "q3", F.col("__point").alias("point"),
+                       (F.col("grid_lo") + F.col("__point") * F.col("grid_step")).alias("y_value"),
+                       (F.coalesce("__sum", F.lit(0.0)) / (F.col("n") * F.col("bandwidth") * F.lit(SQRT_2PI))).alias("density"))
 
 
 def line(df: DataFrame, x: str, y: str, color: str | None = None, agg: str | None = None,

@@ -1,8 +1,9 @@
 """Dashboard templates: named lists of chart specs turned into chart-data tables.
 
 ``chart_data(df, spec)`` dispatches one spec to its chart operator; ``run_template`` gives
-{title: DataFrame}; ``template_long`` unions all charts of a template into one long table
-(chart_index, title, chart_type, key, measure, value) so a whole dashboard is one plan.
+{title: DataFrame}; ``template_long`` puts all charts of a template into one long table
+(chart_index, title, chart_type, key, measure, value): bars, pies and histograms by one aggregate over one scan,
+the quartiles of boxes and violins by the same passes.
 Specs naming a column the table lacks are skipped. Bar and pie specs without y count rows.
 """
 
@@ -10,11 +11,15 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
+from tablescope.functions.frames import col_of
+from tablescope.functions.quantiles import grouped_quantiles
 from tablescope.functions.roles import is_numeric, numeric_columns
 from tablescope.operators import charts as CH
+from tablescope.operators.stats import bin_index
+from tablescope.session import materialize
 
 # The three dashboard templates (titles, chart types and columns).
 TEMPLATES = {
@@ -145,18 +150,128 @@ def run_template(df: DataFrame, name: str, key: Sequence[str] = ()) -> dict[str,
     return {s.get("title", s["type"]): chart_data(df, s, key) for _, s in usable_specs(df, name)}
 
 
+HIST_BINS = 20
+COUNTED, QUARTILED = ("bar", "pie", "histogram"), ("box", "violin")
+
+
+def _dims(spec: Mapping) -> list[str]:
+    """The group columns of a bar, pie, histogram, box or violin."""
+    color = [spec["color"]] if spec.get("color") and spec["color"] != spec["x"] and spec["type"] != "pie" else []
+    return [spec["x"], *color]
+
+
+def _key(df: DataFrame, cols: Sequence[str]) -> list[Column]:
+    """Group columns as text, one text per group: both zeros of a float are one."""
+    floats = {f.name for f in df.schema.fields if f.dataType.typeName() in ("float", "double")}
+    return [(col_of(c) + F.lit(0.0) if c in floats else col_of(c)).cast("string") for c in cols]
+
+
+def _unpivot(df: DataFrame, items: Sequence[tuple[int, list[Column], Column, Column]]) -> DataFrame:
+    """(__chart, __key, __y): a row per chart that the input row takes part in."""
+    rows = [F.when(there, F.struct(F.lit(i).alias("__chart"), F.array(*key).alias("__key"), y.cast("double").alias("__y")))
+            for i, key, y, there in items]
+    return df.select(F.inline(F.array_compact(F.array(*rows))))
+
+
+def _there(cols: Sequence[str]) -> Column:
+    out = F.lit(True)
+    for c in cols:
+        out = out & col_of(c).isNotNull()
+    return out
+
+
+def _named(rows: DataFrame, specs: Mapping[int, Mapping], measures: Mapping[int, Sequence[tuple[str, Column]]]) -> DataFrame:
+    """The long table of rows (__chart, __key, ...): per chart its title, its type and its measures."""
+    def per_chart(values):
+        out = F.lit(None)
+        for i, v in values.items():
+            out = F.when(F.col("__chart") == i, v).otherwise(out)
+        return out
+    pairs = {i: F.array(*[F.struct(F.lit(m).alias("measure"), v.cast("double").alias("value")) for m, v in ms]) for i, ms in measures.items()}
+    return rows.select(F.col("__chart").alias("chart_index"),
+                       per_chart({i: F.lit(s.get("title", f"{s['type'].title()} Chart")) for i, s in specs.items()}).alias("title"),
+                       per_chart({i: F.lit(s["type"]) for i, s in specs.items()}).alias("chart_type"),
+                       F.concat_ws("|", "__key").alias("key"), F.inline(per_chart(pairs)))
+
+
+def _is_binned(df: DataFrame, spec: Mapping) -> bool:
+    return spec["type"] == "histogram" and is_numeric(df.schema[spec["x"]].dataType)
+
+
+def _ranges(df: DataFrame, specs: Mapping[int, Mapping]) -> list[Column]:
+    return [fn(col_of(s["x"]).cast("double")).alias(f"{name}{i}") for i, s in specs.items() if _is_binned(df, s)
+            for name, fn in (("lo", F.min), ("hi", F.max))]
+
+
+def counted_long(df: DataFrame, specs: Mapping[int, Mapping], ranges: Mapping[str, float]) -> DataFrame:
+    """The long rows of all bars, pies and histograms: every row is dealt to its (chart, group), and one
+    aggregate, combined map-side, sums y or counts. ``ranges`` holds lo<i> and hi<i> of the histograms' columns."""
+    items, measures, one = [], {}, F.lit(1.0)
+    value, bin_ = F.col("value"), F.element_at("__key", -1).cast("int")
+    for i, s in specs.items():
+        dims = _dims(s)
+        if _is_binned(df, s):
+            lo, hi = (F.lit(ranges.get(f"{end}{i}")).cast("double") for end in ("lo", "hi"))
+            width, color = (hi - lo) / F.lit(float(HIST_BINS)), [c for c in [s.get("color")] if c]
+            x = col_of(s["x"]).cast("double")
+            items.append((i, [*_key(df, color), bin_index(x, lo, hi, HIST_BINS).cast("string")], one, _there([s["x"], *color])))
+            measures[i] = [("bin_lo", lo + bin_ * width), ("bin_hi", lo + (bin_ + 1) * width), ("count", value)]
+        elif s["type"] == "histogram":
+            items.append((i, _key(df, dims), one, _there(dims)))
+            measures[i] = [("count", value)]
+        else:
+            items.append((i, _key(df, dims), col_of(s["y"]) if s.get("y") else one, _there(dims)))
+            measures[i] = [("value", value), *([("share", F.try_divide(value, F.col("total")))] if s["type"] == "pie" else [])]
+    counts = materialize(_unpivot(df, items).groupBy("__chart", "__key").agg(F.sum("__y").alias("value")), "template-counts")
+    totals = counts.groupBy("__chart").agg(F.sum("value").alias("total"))
+    return _named(counts.join(totals, "__chart"), specs, measures)
+
+
+def quartiled_long(df: DataFrame, specs: Mapping[int, Mapping]) -> list[DataFrame]:
+    """The long rows of all boxes and violins; their quartiles are narrowed in the same passes."""
+    def rows(kinds):
+        return _unpivot(df, [(i, _key(df, _dims(s)), col_of(s["y"]), _there([*_dims(s), s["y"]]))
+                             for i, s in specs.items() if s["type"] in kinds])
+    keys, out = ["__chart", "__key"], []
+    q = grouped_quantiles(rows(QUARTILED), "__y", CH.QUARTILES, by=keys, names=CH.QUARTILE_NAMES, extra={"mean": F.avg, **CH.SPREAD})
+    for kind, build in (("box", CH.box_of), ("violin", CH.violin_of)):
+        own = {i: s for i, s in specs.items() if s["type"] == kind}
+        if own:
+            table = build(rows([kind]), q.where(F.col("__chart").isin(*own)), keys)
+            if kind == "violin":
+                table = table.withColumn("__key", F.concat("__key", F.array(F.col("point").cast("string"))))
+            names = _shape(df, next(iter(own.values())), ())[1]
+            out.append(_named(table, own, {i: [(m, F.col(m)) for m in names] for i in own}))
+    return out
+
+
 def template_long(df: DataFrame, name: str, key: Sequence[str] = (),
                   materialize_input: bool = True) -> DataFrame:
-    """All charts of a template as one long table. With several charts the input is written
-    once to the shared folder (``materialize``) so each chart scans it instead of re-running
-    its lineage."""
-    specs = usable_specs(df, name)
-    if materialize_input and len(specs) > 1:
-        from tablescope.session import materialize
-        df = materialize(df, f"template-{name}")
-    parts = [chart_long(df, s, i, key) for i, s in specs]
-    if not parts:
+    """All charts of a template as one long table.
+
+    With several charts the input is written once to the shared folder (``materialize``), the ranges of the
+    histograms being observed on the way; all bars, pies and histograms are then one scan and one aggregate
+    (``counted_long``), all boxes and violins share their quantile passes (``quartiled_long``), and other charts read
+    their columns of the copy. Sums are of doubles.
+    """
+    specs = dict(usable_specs(df, name))
+    if not specs:
         raise ValueError(f"no chart of template {name} fits this table")
+    counted = {i: s for i, s in specs.items() if s["type"] in COUNTED}
+    quartiled = {i: s for i, s in specs.items() if s["type"] in QUARTILED}
+    ends = _ranges(df, counted)
+    if materialize_input and len(specs) > 1:
+        # the least and the largest value: seen twice, in a task that runs again, they stay the same
+        seen = Observation(f"template-{name}")
+        df = materialize(df.observe(seen, *ends) if ends else df, f"template-{name}")
+        ranges = seen.get if ends else {}
+    else:
+        ranges = df.agg(*ends).first().asDict() if ends else {}
+    parts = [chart_long(df, s, i, key) for i, s in specs.items() if i not in counted and i not in quartiled]
+    if counted:
+        parts.append(counted_long(df, counted, ranges))
+    if quartiled:
+        parts += quartiled_long(df, quartiled)
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

@@ -1,0 +1,40 @@
+"""Fused templates give the rows of their charts one by one."""
+
+import pytest
+from pyspark.sql import functions as F
+
+from tablescope.plans import templates as TP
+
+
+SPECS = [
+    {"type": "bar", "x": "g", "y": "v", "color": "h", "title": "a"}, {"type": "bar", "x": "h"},
+    {"type": "pie", "x": "g", "y": "v"}, {"type": "pie", "x": "h"}, {"type": "bar", "x": "z", "y": "n"},
+    {"type": "histogram", "x": "v"}, {"type": "histogram", "x": "n", "color": "g"}, {"type": "histogram", "x": "g"},
+    {"type": "histogram", "x": "none"}, {"type": "box", "x": "g", "y": "v"}, {"type": "box", "x": "h", "y": "n", "color": "g"},
+    {"type": "violin", "x": "g", "y": "v", "color": "h"}, {"type": "scatter", "x": "v", "y": "n"},
+    {"type": "bar", "x": "not there"},
+]
+
+
+def table(spark, n):
+    df = spark.range(n).select(
+        F.col("id").alias("k"), F.when(F.col("id") % 7 > 0, F.concat(F.lit("g|"), F.col("id") % 3)).alias("g"), (F.col("id") % 4).alias("h"),
+        F.when(F.col("id") % 11 > 0, F.sin("id") * 10).alias("v"), (F.col("id") % 50).cast("int").alias("n"),
+        F.when(F.col("id") % 2 == 0, F.lit(-0.0)).otherwise(F.lit(0.0)).alias("z"), F.lit(None).cast("double").alias("none"))
+    return df
+
+
+def rows_of(df):
+    return sorted((r.chart_index, r.title, r.chart_type, r.key, r.measure, None if r.value is None else round(r.value, 8)) for r in df.collect())
+
+
+@pytest.mark.parametrize("n", [400, 0])
+@pytest.mark.parametrize("write", [True, False])
+def test_fused_template_equals_single_charts(spark, monkeypatch, n, write):
+    monkeypatch.setitem(TP.TEMPLATES, "t", {"charts": SPECS})
+    df = table(spark, n)
+    got = rows_of(TP.template_long(df, "t", key=["k"], materialize_input=write))
+    want = [r for i, s in TP.usable_specs(df, "t") for r in rows_of(TP.chart_long(df, s, i, ["k"]))]
+    zero = {"-0.0": "0.0"}                     # both zeros are one group, shown under either name
+    assert got == sorted((*r[:3], zero.get(r[3], r[3]), *r[4:]) for r in want)
+    assert len(TP.usable_specs(df, "t")) == len(SPECS) - 1
