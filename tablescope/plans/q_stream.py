@@ -9,7 +9,7 @@ from tablescope.operators.profile import missing_profile, table_metrics
 from tablescope.plans.catalog import table
 from tablescope.plans.registry import register, rounded
 from tablescope.session import shared_dir
-from tablescope.streaming.refresh import file_stream, latest, refresh, run_until_caught_up
+from tablescope.streaming.refresh import binned_values, file_stream, latest, quantiles_of_bins, refresh, run_until_caught_up
 
 
 def _events_stream(spark, sf_dir):
@@ -66,9 +66,9 @@ def _several_files(spark, sf_dir, parts=4):
     return file_stream(spark, path, spark.read.parquet(path).schema, max_files_per_trigger=1)
 
 
-def _run_over_batches(spark, sf_dir, build, name):
+def _run_over_batches(spark, sf_dir, build, name, **options):
     sink, ckpt = shared_dir(spark, f"{name}-sink"), shared_dir(spark, f"{name}-ckpt")
-    run_until_caught_up(refresh(_several_files(spark, sf_dir), build, sink, ckpt, available_now=True))
+    run_until_caught_up(refresh(_several_files(spark, sf_dir), build, sink, ckpt, available_now=True, **options))
     return latest(spark, sink)
 
 
@@ -94,3 +94,19 @@ FROM e WHERE event_type IS NOT NULL GROUP BY event_type""")
 def r1_outcome(spark, sf_dir):
     out = _run_over_batches(spark, sf_dir, lambda s: outcome_rate(s, "event_type", "high"), "r1-outcome")
     return rounded(out, {"rate": 6})
+
+
+@register("R1_refresh_quantiles", f"""
+WITH q AS (SELECT event_type, 'value' AS "column", count(value) AS n, quantile_cont(value, 0.25) AS q1,
+                  quantile_cont(value, 0.5) AS median, quantile_cont(value, 0.75) AS q3
+           FROM {_EV} WHERE event_type IS NOT NULL AND value IS NOT NULL GROUP BY event_type)
+SELECT event_type, "column", n, round(q1, 4) AS q1, round(median, 4) AS median, round(q3, 4) AS q3,
+       round(q1 - 1.5 * (q3 - q1), 4) AS lower_fence, round(q3 + 1.5 * (q3 - q1), 4) AS upper_fence, true AS within FROM q""")
+def r1_quantiles(spark, sf_dir):
+    """Medians and outlier fences per group, refreshed over one file per trigger."""
+    names = ["q1", "median", "q3"]
+    out = _run_over_batches(spark, sf_dir, lambda s: binned_values(s, ["value"], ["event_type"]), "r1-quantiles", keep=2,
+                            finish=lambda bins: quantiles_of_bins(bins, [0.25, 0.5, 0.75], names, ["event_type"]))
+    iqr = F.col("q3") - F.col("q1")
+    out = out.withColumns({"lower_fence": F.col("q1") - 1.5 * iqr, "upper_fence": F.col("q3") + 1.5 * iqr, "within": F.col("error") <= 1e-6})
+    return rounded(out.drop("error"), {c: 4 for c in (*names, "lower_fence", "upper_fence")})
