@@ -201,7 +201,8 @@ def pca_variance(df: DataFrame, k: int = 2, cols: Sequence[str] | None = None, k
 
 
 def forest_metrics(df: DataFrame, target: str, key: Sequence[str], cols: Sequence[str] | None = None,
-                   train_pct: int = 80, num_trees: int = 100, max_depth: int = 5, seed: int = 42) -> DataFrame:
+                   train_pct: int = 80, num_trees: int = 100, max_depth: int = 5, seed: int = 42,
+                   max_bins: int = 32, min_leaf: int = 1) -> DataFrame:
     """(metric, value) of a classification forest on a keyed split: a row is in the test
     set when pmod(xxhash64(key), 100) >= train_pct, so the split is repeatable and needs no
     random sampling state.
@@ -226,7 +227,8 @@ def forest_metrics(df: DataFrame, target: str, key: Sequence[str], cols: Sequenc
     pipe = Pipeline(stages=[
         VectorAssembler(inputCols=names, outputCol="features", handleInvalid="keep"), indexer,
         RandomForestClassifier(featuresCol="features", labelCol="index", numTrees=num_trees,
-                               maxDepth=max_depth, seed=seed, cacheNodeIds=True, checkpointInterval=10)])
+                               maxDepth=max_depth, maxBins=max_bins, minInstancesPerNode=min_leaf, seed=seed,
+                               cacheNodeIds=True, checkpointInterval=10)])
     model = pipe.fit(data.where(F.col("bucket") < train_pct))
     pred = materialize(model.transform(data.where(F.col("bucket") >= train_pct))
                        .select("index", "prediction", vector_to_array("probability").alias("p")), "forest-scores")

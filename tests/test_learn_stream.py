@@ -54,3 +54,14 @@ def test_refresh_stream_equals_batch(spark, tmp_dir):
     assert got == want
     stamped = latest(spark, f"{tmp_dir}/sink", with_stamp=True)
     assert {"batch_id", "refreshed_at"} <= set(stamped.columns)
+
+
+def test_forest_metrics_takes_bins_and_leaf_size(spark):
+    """A label of three bands of one feature: trees with small leaves learn it, a leaf of half the rows allows no split."""
+    df = spark.range(4000).selectExpr("id AS k", "CAST(id % 64 AS double) AS x", "CAST(id % 7 AS double) AS noise", "id % 64 >= 16 AND id % 64 < 40 AS label")
+
+    def accuracy(**options):
+        out = L.forest_metrics(df, "label", ["k"], cols=["x", "noise"], num_trees=5, max_depth=6, **options).collect()
+        return {r["metric"]: r["value"] for r in out}["accuracy"]
+    assert accuracy(max_bins=64) > 0.95
+    assert accuracy(max_bins=64, min_leaf=2000) < 0.7
