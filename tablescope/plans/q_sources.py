@@ -91,10 +91,11 @@ def l1_quotes(spark, sf_dir):
 @register("L1_csv_split", """
 SELECT doc_id, text || chr(10) || chr(10) || '"' || source || '",' || chr(10) AS note, lang, n_chars FROM documents""")
 def l1_split(spark, sf_dir):
-    """documents as one CSV file with line breaks, quotes and commas in its fields, read by many tasks."""
+    """documents as large CSV files (one, if the table is four partitions or fewer) with line breaks, quotes and commas in
+    their fields, each file read by many tasks."""
     path = shared_dir(spark, "l1-split-csv")
     note = F.concat("text", F.lit('\n\n"'), "source", F.lit('",\n'))
-    S.write_csv(table(spark, sf_dir, "documents").select("doc_id", note.alias("note"), "lang", "n_chars"), path, single_file=True)
+    S.write_csv(table(spark, sf_dir, "documents").select("doc_id", note.alias("note"), "lang", "n_chars"), path, partitions_per_file=4)
     return S.read_table(spark, path, fmt="csv")
 
 

@@ -170,9 +170,17 @@ def validate(df: DataFrame) -> DataFrame:
     )))
 
 
-def write_csv(df: DataFrame, path: str, mode: str = "overwrite", single_file: bool = False) -> str:
-    """CSV with a header row and no index column, in the dialect that ``read_table`` reads (doubled quotes). Output stays partitioned unless asked."""
-    out = df.coalesce(1) if single_file else df
+def write_csv(df: DataFrame, path: str, mode: str = "overwrite", single_file: bool = False, partitions_per_file: int = 1) -> str:
+    """CSV with a header row and no index column, in the dialect that ``read_table`` reads (doubled quotes). Output stays partitioned unless asked.
+
+    ``single_file`` sends everything through one task and is for small tables. ``partitions_per_file`` gives large files
+    at any size: a task reads and writes that many partitions of ``df``, so the files grow in number and not in size.
+    """
+    out = df
+    if single_file:
+        out = df.coalesce(1)
+    elif partitions_per_file > 1:
+        out = df.coalesce(-(-df.rdd.getNumPartitions() // partitions_per_file))
     out.write.mode(mode).options(header=True, escape='"', encoding="UTF-8", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
     return path
 

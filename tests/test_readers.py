@@ -135,3 +135,24 @@ def test_csv_refusals(spark, tmp_dir, small_splits):
             S.read_table(spark, put(tmp_dir, f"c{i}.csv", f"a,b\n{body}")).collect()
     with pytest.raises(Exception, match="UTF-8"):
         S.read_table(spark, put(tmp_dir, "d.csv", b'a,b\n"x\n\xff",2\n')).collect()
+
+
+def test_large_csv_files_have_a_bounded_part_of_the_table(spark, tmp_dir):
+    """A task writes four partitions whatever the size of the table, and the rows come back whole."""
+    from tablescope.plans.registry import QUERIES
+    rows = [(i, f'line {i}\nof "text", here', "en", i * 3, "web") for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, n_chars long, source string")
+    df.repartition(16).write.parquet(f"{tmp_dir}/documents.parquet")
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        for k in before:
+            spark.conf.set(k, "1000")
+        assert spark.read.parquet(f"{tmp_dir}/documents.parquet").rdd.getNumPartitions() >= 16
+        out = QUERIES["L1_csv_split"](spark, tmp_dir)
+        files = out.inputFiles()
+        got = sorted(map(tuple, out.collect()))
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert len(set(files)) >= 4
+    assert got == [(d, f'{t}\n\n"{s}",\n', lang, n) for d, t, lang, n, s in rows]
