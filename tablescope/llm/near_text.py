@@ -56,6 +56,7 @@ THRESHOLD = 0.8
 ROUNDS = 6
 USEFUL = 0.25                # a bucket whose leader links a smaller share of its members elects no further one
 BAG = 64                     # slots of a text's word-count signature
+BEFORE = 16                  # rarer words of its text that a word of a prefix brings along
 # Let L be a leader, y linked to it and x with d(x, L) > far_share * max(|x|, |L|). At threshold 0.8: d(y, L) <=
 # 0.2 max(|y|, |L|) <= 0.25 |L|, and x ~ y would mean d(x, y) <= 0.2 max(|x|, |y|) <= 0.25 max(|x|, |L|);
 # together d(x, L) <= 0.5 max(|x|, |L|). For a threshold t the same sum is 2 (1 - t) / t.
@@ -80,13 +81,20 @@ def labelled_shingles(words, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
         value, doc = np.concatenate((value, whole)), np.concatenate((doc, owner))
         order = np.argsort(doc, kind="stable")
         value, doc = value[order], doc[order]
-    order = np.lexsort((value, doc))                  # stable: equal shingles stay in text order
-    same = np.concatenate(([False], (value[order][1:] == value[order][:-1]) & (doc[order][1:] == doc[order][:-1])))
+    label, _ = _occurrences(doc, value)
+    return np.searchsorted(doc, np.arange(words.n_docs + 1)), mix(value + label.astype(np.uint64) * _LABEL)
+
+
+def _occurrences(doc: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """How often each value came before, and comes after, in its own text; ``doc`` ascends."""
+    order = np.lexsort((value, doc))                  # stable: equal values stay in text order
+    same = np.concatenate(([False], (value[order][1:] == value[order][:-1]) & (doc[order][1:] == doc[order][:-1])))[:len(order)]
     run = np.arange(len(order))
     label = run - np.maximum.accumulate(np.where(same, 0, run))
-    out = np.empty_like(value)
-    out[order] = mix(value[order] + label.astype(np.uint64) * _LABEL)
-    return np.searchsorted(doc, np.arange(words.n_docs + 1)), out
+    group = np.cumsum(~same) - 1
+    before, after = np.empty_like(run), np.empty_like(run)
+    before[order], after[order] = label, np.bincount(group)[group] - 1 - label
+    return before, after
 
 
 def order_sketches(bounds: np.ndarray, value: np.ndarray, sketches: int, pick: int) -> np.ndarray:
@@ -270,14 +278,35 @@ def bucket_links(members: DataFrame, texts: DataFrame, bags: DataFrame, threshol
 
 
 def _tokens(batches):
-    """A row per word of each text: the word labelled with its occurrence, and the number of words."""
+    """A row per word of each text: the word labelled with its occurrence, how often it came before (``nth``) and comes
+    after (``left``), and the number of words."""
     for b in batches:
         for w in iter_words(b.column("text")):
-            bounds, value = labelled_shingles(w, 1)
-            size = np.diff(bounds)
+            at, value = w.shingles(1)
+            nth, left = _occurrences(w.doc[at], value)
+            size = np.diff(w.bounds())
             rows = pa.array(np.repeat(np.arange(w.first, w.first + w.n_docs), size))
             yield pa.record_batch({**{c: b.column(c).take(rows) for c in ("doc", "did", "g", "active")},
-                                   "n": pa.array(np.repeat(size, size).astype(np.int32)), "token": pa.array(value.view(np.int64))})
+                                   "n": pa.array(np.repeat(size, size).astype(np.int32)), "nth": pa.array(nth.astype(np.int32)),
+                                   "left": pa.array(left.astype(np.int32)),
+                                   "token": pa.array(mix(value + nth.astype(np.uint64) * _LABEL).view(np.int64))})
+
+
+def first_shared(prefix: DataFrame, threshold: float) -> DataFrame:
+    """(doc, doc2, longer): a row for the first word that two prefixes share, and few for further ones.
+
+    The first one is the last occurrence of its word in one of the texts, as later occurrences are rarer and come first;
+    what is left of both texts behind it holds the shared words that the threshold asks for; and none of the ``BEFORE``
+    words in front of it is shared. So a word that many texts repeat many times doesn't bring the same pairs once for
+    each occurrence, and pairs that it alone can't make similar don't come at all.
+    """
+    other = prefix.select("token", *[F.col(c).alias(f"{c}2") for c in ("doc", "g", "active", "n", "left", "rank", "before")])
+    longer = F.greatest("n", "n2")
+    return (prefix.filter("active = 1").join(other, "token")
+            .filter("g <> g2 and (active2 = 0 or doc < doc2) and (left = 0 or left2 = 0)")
+            .filter(1 + F.least(F.col("n") - F.col("rank"), F.col("n2") - F.col("rank2")) >= longer - F.floor((1 - threshold) * longer + 1e-9))
+            .filter(~F.arrays_overlap("before", "before2"))
+            .select("doc", "doc2", longer.alias("longer")))
 
 
 def prefix_pairs(texts: DataFrame, roles: DataFrame, bags: DataFrame, threshold: float) -> DataFrame:
@@ -288,18 +317,17 @@ def prefix_pairs(texts: DataFrame, roles: DataFrame, bags: DataFrame, threshold:
     that many hold; they come last, so texts that share nothing else don't meet.
     """
     tokens = materialize(texts.withColumn("did", F.xxhash64("text")).join(roles, "doc").select("doc", "did", "g", "active", "text")
-                         .mapInArrow(_tokens, "doc long, did long, g long, active int, n int, token long"), "near-tokens")
+                         .mapInArrow(_tokens, "doc long, did long, g long, active int, n int, nth int, left int, token long"), "near-tokens")
     held = materialize(tokens.groupBy("token").agg(F.count("*").alias("df"), F.min("g").alias("lo"), F.max("g").alias("hi"),
                                                    F.max("active").alias("any")), "near-token-counts")
-    rank = F.row_number().over(Window.partitionBy("doc", "did").orderBy("df", "token"))
-    prefix = materialize(tokens.join(held, "token").withColumn("rank", rank)
+    own = Window.partitionBy("doc", "did")
+    prefix = materialize(tokens.join(held, "token").withColumn("rank", F.row_number().over(own.orderBy("df", F.col("nth").desc(), "token")))
                          .filter(F.col("rank") <= F.floor((1 - threshold) * F.col("n") + 1e-9) + 1)
-                         .filter("lo < hi and any = 1").select("doc", "g", "active", "n", "token"), "near-prefix")
+                         .filter("lo < hi and any = 1")
+                         .withColumn("before", F.collect_list("token").over(own.orderBy("rank").rowsBetween(-BEFORE, -1)))
+                         .select("doc", "g", "active", "n", "left", "rank", "before", "token"), "near-prefix")
     discard(tokens, held)
-    other = prefix.select("token", *[F.col(c).alias(f"{c}2") for c in ("doc", "g", "active", "n")])
-    pairs = (prefix.filter("active = 1").join(other, "token")
-             .filter("g <> g2 and (active2 = 0 or doc < doc2)").filter(F.least("n", "n2") >= threshold * F.greatest("n", "n2"))
-             .select("doc", "doc2", F.greatest("n", "n2").alias("longer")).distinct())
+    pairs = first_shared(prefix, threshold).distinct()
     # A bound that loses nothing: an edit changes two word counts by one.
     apart = F.aggregate(F.zip_with("bag", "bag2", lambda x, y: F.abs(x - y)), F.lit(0), lambda t, x: t + x)
     bags2 = bags.withColumnsRenamed({"doc": "doc2", "bag": "bag2"})

@@ -145,3 +145,29 @@ def test_no_pair_of_high_shingle_similarity_is_missed(spark):
     high = [(a, b) for a, b in high if plain_distance(seqs[a], seqs[b]) <= 0.2 * max(len(seqs[a]), len(seqs[b])) + 1e-9]
     assert high and all(found[a] == found[b] for a, b in high)
     print("pairs", len(high), "not exact copies", sum(seqs[a] != seqs[b] for a, b in high))
+
+
+def test_words_repeated_in_many_texts_do_not_join_once_an_occurrence(spark, monkeypatch):
+    """Texts made of one word pair, over and over, and words of their own: few rows of the join, and no similar pair lost."""
+    rng = random.Random(17)
+    docs = []
+    for i in range(80):
+        own = [f"w{rng.randrange(3000)}" for _ in range(rng.randrange(25, 36))]
+        docs.append((i, [*own, *["is", "on"] * rng.randrange(40, 60)]))
+    for i in range(100, 130):                   # copies with a few words changed, repeated pairs dropped
+        t = list(docs[i % 80][1])[:-2 * rng.randrange(6) or None]
+        for _ in range(rng.randrange(12)):
+            t[rng.randrange(len(t))] = f"x{rng.randrange(9)}"
+        docs.append((i, t))
+    body = spark.createDataFrame([(d, " ".join(t)) for d, t in docs], "doc long, text string")
+    roles = body.select("doc", F.lit(1).alias("active"), F.col("doc").alias("g"))
+    bags = body.select("doc", F.array_repeat(F.lit(0), near_text.BAG).alias("bag"))
+    made, first = [], near_text.first_shared
+    monkeypatch.setattr(near_text, "first_shared", lambda prefix, t: made.append((prefix, first(prefix, t))) or made[-1][1])
+    pairs = {tuple(r) for r in near_text.prefix_pairs(body, roles, bags, 0.8).collect()}
+    similar = {(a, b) for a, x in docs for b, y in docs if a < b and len(set(x) & set(y)) > 2
+               and plain_distance(x, y) <= 0.2 * max(len(x), len(y)) + 1e-9}
+    assert similar <= pairs and len(similar) >= 20
+    (prefix, rows), = made
+    every = sum(m * (m - 1) // 2 for m, in prefix.groupBy("token").count().select("count").collect())
+    assert len(pairs) <= rows.count() <= 2 * len(pairs) + 50 and rows.count() < every / 2
