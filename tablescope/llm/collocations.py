@@ -9,7 +9,7 @@ cheapest cut. Steps:
 2. texts are written once as those numbers, 0 for a rare word, the end of a piece and the end of a document;
 3. for n = 2 to 5: a window of n words can only be frequent when its first and its last n - 1 words are
    (Apriori). Such windows are counted in 2^22 hash buckets, those in buckets of ``least`` and more again by another
-   hash, three times in all; the distinct windows that pass are the candidates. They are counted exactly: a block of at most ``BLOCK_PHRASES``
+   hash, three times in all; the distinct windows that pass are the candidates (``_candidates``). They are counted exactly: a block of at most ``BLOCK_PHRASES``
    becomes a double-array trie, numpy moves the states of all text positions through it together, one word a
    level, the accepting states are binned and the counts of the shards are added;
 4. scores, the rule against parts of longer candidates and the first ``top`` of each language are joins and
@@ -28,6 +28,7 @@ table gives no rows; extra columns are not read.
 
 from __future__ import annotations
 
+import itertools
 import zlib
 from dataclasses import dataclass
 
@@ -52,6 +53,9 @@ PIECE = 1 << 14              # buckets of one partial-count row
 BINS = 1 << 11               # phrases of one count row
 CHUNK = 1 << 19              # text positions advanced at once
 HELD_WORDS = 200_000         # different words whose counts a task holds before it hands them on
+HELD_WINDOWS = 500_000       # different windows that a task holds before it hands them on
+FIRST_SHARE = 16             # the texts that name their windows before all others are one part in so many
+KNOWN_TRIES = 4              # tries of windows already named that a task holds; what further ones hold is named again
 
 # Bytes that end a piece, and bytes between the words of a piece.
 _BREAK = np.zeros(256, dtype=bool)
@@ -164,6 +168,14 @@ class Trie:
             state = self.advance(state, ids[j:j + count])
         return self.accept[state]
 
+    def holds(self, rows: np.ndarray) -> np.ndarray:
+        """Whether each row of words (m, n) is a phrase of the trie."""
+        state = np.ones(len(rows), dtype=np.int32)
+        rows = np.where(rows <= int(self.phrases.max()), rows, 0)
+        for j in range(rows.shape[1]):
+            state = self.advance(state, rows[:, j])
+        return self.accept[state] >= 0
+
 
 def double_array(phrases: np.ndarray) -> Trie:
     """Trie of distinct phrases (m, n), sorted by rows, with numbers from 1.
@@ -326,16 +338,52 @@ def _keys(rows: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(cut), pa.py_buffer(raw)])
 
 
-def _emit(n: int, filters: list, trie):
+def _packed(keys: np.ndarray) -> pa.Array:
+    """Keys of one width as binary values."""
+    cut = (np.arange(len(keys) + 1) * keys.dtype.itemsize).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(keys), [None, pa.py_buffer(cut), pa.py_buffer(np.frombuffer(keys.tobytes(), np.uint8))])
+
+
+def _emit(n: int, filters: list, trie, known: list):
+    """The windows that pass, each once a task unless it holds very many; those of the tries in ``known`` are left out."""
     def run(batches):
+        held = np.empty(0, dtype=f"V{4 * n}")
         for b in batches:
             for ids, at in _live_windows(b, n, trie):
                 at = _passing(ids, at, n, filters)
                 rows = np.stack([ids[at + j] for j in range(n)], axis=1)
-                yield pa.record_batch({"key": _keys(np.unique(rows, axis=0))})
+                for other in known:
+                    rows = rows[~other.value.holds(rows)]
+                if not len(rows):
+                    continue
+                own = np.unique(np.ascontiguousarray(rows.astype(">i4")).view(held.dtype).ravel())
+                held = np.union1d(held, own)
+                if len(held) >= HELD_WINDOWS:
+                    yield pa.record_batch({"key": _packed(held)})
+                    held = held[:0]
+        yield pa.record_batch({"key": _packed(held)})
     return run
 
 
+def _candidates(ids: DataFrame, positions, n: int, filters: list, trie, block_phrases: int) -> DataFrame:
+    """The distinct windows that pass the filters (column key); ``positions`` marks texts for them.
+
+    A window that is frequent stands in nearly every task, so naming it in each would cost windows times tasks. The texts are
+    taken in two parts by their hash: a ``FIRST_SHARE``-th of them, dealt to as large a part of the tasks, names nearly all of
+    them, and the others name only what the first part lacks. Every window of every text is in one of the two.
+    """
+    part = F.pmod(F.xxhash64("ids"), F.lit(FIRST_SHARE))
+    tasks = -(-ids.rdd.getNumPartitions() // FIRST_SHARE)
+    first = positions(ids.filter(part == 0).repartition(tasks)).mapInArrow(_emit(n, filters, trie, []), "key binary")
+    first = materialize(first.distinct(), f"colloc-first-{n}")
+    known = list(itertools.islice(_tries(first, first.count(), n, block_phrases), KNOWN_TRIES))
+    others = positions(ids.filter(part != 0)).mapInArrow(_emit(n, filters, trie, known), "key binary")
+    out = materialize(first.union(others).distinct(), f"colloc-candidates-{n}")
+    for other in known:
+        other.destroy()
+    return out
+
+
 def _count_phrases(trie):
     """Bins of the accepting states of one shard, ``BINS`` phrases a row."""
     def run(batches):
@@ -395,15 +443,18 @@ def frequent_phrases(ids: DataFrame, least: int, longest: int, block_phrases: in
     """Tables (key, a) of the phrases of 2, 3, ... words that occur at least ``least`` times."""
     out: list[DataFrame] = []
     for n in range(2, longest + 1):
-        positions, trie = ids, None
+        trie, earlier = None, []
         if n > 2:
             *earlier, trie = _tries(out[-1], out[-1].count(), n - 1, block_phrases)
+
+        def positions(texts, earlier=earlier):
             for i, other in enumerate(earlier):
-                positions = positions.mapInArrow(_mark(other, i > 0), "ids binary, alive binary")
+                texts = texts.mapInArrow(_mark(other, i > 0), "ids binary, alive binary")
+            return texts
         filters: list = []
         for _ in range(FILTERS):
-            filters.append(ids.sparkSession.sparkContext.broadcast(_hot_buckets(positions, n, least, trie, filters)))
-        found = materialize(positions.mapInArrow(_emit(n, filters, trie), "key binary").distinct(), f"colloc-candidates-{n}")
+            filters.append(ids.sparkSession.sparkContext.broadcast(_hot_buckets(positions(ids), n, least, trie, filters)))
+        found = _candidates(ids, positions, n, filters, trie, block_phrases)
         counted = None
         for block in _tries(found, found.count(), n, block_phrases):
             schema = "piece int, salt int, counts binary"

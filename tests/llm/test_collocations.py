@@ -83,3 +83,38 @@ def test_double_array(symbols):
         flat = np.concatenate((rows.ravel(), np.zeros(5, np.int32)))
         got = trie.ends(flat, len(flat) - 5)
         assert got.tolist() == [at.get(tuple(flat[i:i + n].tolist()), -1) for i in range(len(flat) - 5)]
+
+
+def test_tasks_name_no_window_that_others_have_named(spark, monkeypatch):
+    """Frequent windows stand in every task; the rows that name them are about as many as the different ones."""
+    rng = np.random.default_rng(5)
+    rows = [(" ".join(f"w{x}" for x in rng.integers(0, 12, 40)), "en") for _ in range(1500)]
+    named, emit = spark.sparkContext.accumulator(0), collocations._emit
+
+    def counted(*args):
+        run = emit(*args)
+
+        def count(batches):
+            for b in run(batches):
+                named.add(b.num_rows)
+                yield b
+        return count
+    monkeypatch.setattr(collocations, "_emit", counted)
+    df = spark.createDataFrame(rows, "text string, lang string").repartition(30)
+    plain = spark.conf.get("spark.sql.files.openCostInBytes")
+    spark.conf.set("spark.sql.files.openCostInBytes", str(64 << 20))         # a task a file
+    try:
+        got = sorted(tuple(r) for r in collocations.collocations(df, least=20, longest=3).collect())
+    finally:
+        spark.conf.set("spark.sql.files.openCostInBytes", plain)
+    different = 12 * 12 + 12 ** 3
+    assert [r for r in got if r[2].count(" ") < 2] and different <= named.value < 4 * different
+
+
+@pytest.mark.parametrize("limits", [{"HELD_WINDOWS": 5}, {"FIRST_SHARE": 1}, {"FIRST_SHARE": 1 << 20}, {"KNOWN_TRIES": 0}])
+def test_candidates_are_whole_at_any_limit(spark, monkeypatch, limits):
+    for k, v in limits.items():
+        monkeypatch.setattr(collocations, k, v)
+    rng = np.random.default_rng(6)
+    rows = [(" ".join(f"w{x}" for x in rng.integers(0, 4, 20)), ["en", "de"][i % 2]) for i in range(60)]
+    assert run(spark, rows, least=6) == brute(rows, 6)
