@@ -17,8 +17,10 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tablescope.llm.text import iter_words
 
@@ -118,12 +120,14 @@ def score(docs: DataFrame, weights: np.ndarray, text: str = "text") -> DataFrame
     """(row struct<all columns of docs>, score double): the row order of docs is kept."""
     dims = len(weights) - 1
     model = docs.sparkSession.sparkContext.broadcast(weights.astype(np.float32))
+    # A text column is read from the row, so the text goes to the Python worker once.
+    place = docs.columns.index(text) if docs.schema[text].dataType == T.StringType() else None
 
     def run(batches):
         w = model.value.astype(np.float64)
         for b in batches:
             out = np.empty(b.num_rows)
-            for g in iter_words(b.column("text")):
+            for g in iter_words(pc.struct_field(b.column("row"), [place]) if place is not None else b.column("text")):
                 doc, slot = _slots(g, dims)
                 n = np.bincount(doc, minlength=g.n_docs)
                 dot = np.bincount(doc, weights=w[slot], minlength=g.n_docs) * SCALE / np.maximum(n, 1)
@@ -131,7 +135,7 @@ def score(docs: DataFrame, weights: np.ndarray, text: str = "text") -> DataFrame
             yield pa.record_batch({"row": b.column("row"), "score": pa.array(out)})
 
     src = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
-                      F.col(f"`{text}`").cast("string").alias("text"))
+                      *([] if place is not None else [F.col(f"`{text}`").cast("string").alias("text")]))
     return src.mapInArrow(run, f"row {src.schema['row'].dataType.simpleString()}, score double")
 
 

@@ -72,7 +72,7 @@ def env_int(name: str, default: int) -> int:
 
 # While a scratch table is written: shuffle files go when it ends, and Python workers get batches of few megabytes.
 WRITE_CONF = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
-              "spark.sql.execution.arrow.maxBytesPerBatch": str(16 << 20)}
+              "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20)}
 
 
 def materialize(df, name: str):
