@@ -30,6 +30,9 @@ from tablescope.session import checkpoint_root, materialize
 
 _INTEGRAL = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
 
+TASK_BYTES = 256 << 20       # a forest's training rows of one task, as MLlib holds them
+WALK_DEPTH = 10              # up to here walking a tree costs less than keeping every row's node in every tree
+
 
 def _plain(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
     """The columns renamed f0, f1, ... (MLlib reads dots as paths) and the new name of each."""
@@ -37,14 +40,20 @@ def _plain(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
     return df.toDF(*names.values()), names
 
 
-def _spread(df: DataFrame) -> DataFrame:
-    """Rows dealt by their hash to ``spark.sql.shuffle.partitions`` partitions and ordered inside
-    each: neither the layout of the input nor the number of cores changes the model."""
-    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+def _spread(df: DataFrame, partitions: int = 0) -> DataFrame:
+    """Rows dealt by their hash to ``spark.sql.shuffle.partitions`` partitions (or more, if asked) and
+    ordered inside each: neither the layout of the input nor the number of cores changes the model."""
+    partitions = max(partitions, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     key = F.xxhash64(*[col_of(c) for c in df.columns])
     return df.withColumn("__h", key).repartition(partitions, "__h").sortWithinPartitions("__h").drop("__h")
 
 
+def _forest_partitions(rows: int, num_trees: int, features: int) -> int:
+    """Partitions that hold at most ``TASK_BYTES`` of MLlib's own copy of ``rows`` training rows: a row carries its
+    bins and one weight per tree, four bytes each, and object headers."""
+    return -(-rows * (4 * (num_trees + features) + 160) // TASK_BYTES)
+
+
 def choose_target(df: DataFrame, cols: Sequence[str] | None = None, exclude=()) -> DataFrame:
     """(target, rule, n_distinct): the first numeric column with exactly 2 distinct values,
     else the last numeric column.
@@ -84,7 +93,9 @@ def forest_importance(df: DataFrame, target: str | None = None, cols: Sequence[s
 
     Features are mean-filled, the target mode-filled. A whole-number, text or boolean target is
     classified; a fractional one gets a regression forest. Depth, bins and leaf size are the
-    caller's: MLlib grows level by level, so its cost doubles with each level (at most 30).
+    caller's: MLlib grows level by level, so its cost doubles with each level (at most 30). Where
+    each row stands in each tree is kept between levels for deep trees only; for shallow ones that copy is larger
+    than the rows and the walk from the root is short. The model is the same.
     """
     spark = df.sparkSession
     nums = list(cols) if cols is not None else numeric_columns(df, exclude=exclude)
@@ -98,7 +109,7 @@ def forest_importance(df: DataFrame, target: str | None = None, cols: Sequence[s
     label = names[target]
     if not classify:
         prepared = prepared.withColumn(label, F.col(label).cast("double"))
-    data = _spread(prepared).persist(StorageLevel.MEMORY_AND_DISK)
+    data = _spread(prepared, _forest_partitions(df.count(), num_trees, len(feats))).persist(StorageLevel.MEMORY_AND_DISK)
     checkpoint_root(spark)
     try:
         stages = [VectorAssembler(inputCols=[names[f] for f in feats], outputCol="__features", handleInvalid="keep")]
@@ -229,7 +240,12 @@ def forest_metrics(df: DataFrame, target: str, key: Sequence[str], cols: Sequenc
         RandomForestClassifier(featuresCol="features", labelCol="index", numTrees=num_trees,
                                maxDepth=max_depth, maxBins=max_bins, minInstancesPerNode=min_leaf, seed=seed,
                                cacheNodeIds=True, checkpointInterval=10)])
-    model = pipe.fit(data.where(F.col("bucket") < train_pct))
+    train = data.where(F.col("bucket") < train_pct)
+    # The rows above are narrow, so Spark reads many of them in one task; the forest's copy of a row is much wider.
+    partitions = _forest_partitions(train.count(), num_trees, len(names))
+    if train.rdd.getNumPartitions() < partitions:
+        train = _spread(train, partitions)
+    model = pipe.fit(train)
     pred = materialize(model.transform(data.where(F.col("bucket") >= train_pct))
                        .select("index", "prediction", vector_to_array("probability").alias("p")), "forest-scores")
     # labels x labels counts: bounded by the number of classes

@@ -65,3 +65,22 @@ def test_forest_metrics_takes_bins_and_leaf_size(spark):
         return {r["metric"]: r["value"] for r in out}["accuracy"]
     assert accuracy(max_bins=64) > 0.95
     assert accuracy(max_bins=64, min_leaf=2000) < 0.7
+
+
+def test_forest_tasks_hold_a_bounded_number_of_rows(spark, monkeypatch):
+    """The training rows are dealt to as many partitions as their number asks for; few rows keep the layout they had."""
+    from pyspark.ml import Pipeline
+    df = spark.range(6000).selectExpr("id AS k", "CAST(id % 64 AS double) AS x", "CAST(id % 7 AS double) AS noise", "CAST(id % 64 >= 16 AS int) AS label")
+    seen, fit = [], Pipeline.fit
+    monkeypatch.setattr(Pipeline, "fit", lambda self, data: seen.append(data.rdd.getNumPartitions()) or fit(self, data))
+
+    def run():
+        seen.clear()
+        L.forest_metrics(df, "label", ["k"], cols=["x", "noise"], num_trees=5)
+        L.forest_importance(df, "label", cols=["x", "noise"], num_trees=5)
+        return seen[0], seen[1]
+    few = run()
+    assert few[1] == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    monkeypatch.setattr(L, "TASK_BYTES", 20_000)
+    metrics, importance = run()
+    assert metrics >= 40 and importance >= 50
