@@ -117,12 +117,12 @@ def forest_importance(df: DataFrame, target: str | None = None, cols: Sequence[s
             stages += [StringIndexer(inputCol=label, outputCol="__label", stringOrderType="alphabetAsc"),
                        RandomForestClassifier(featuresCol="__features", labelCol="__label", numTrees=num_trees,
                                               maxDepth=max_depth, maxBins=max_bins, minInstancesPerNode=min_leaf,
-                                              seed=seed, cacheNodeIds=True,
+                                              seed=seed, cacheNodeIds=max_depth > WALK_DEPTH,
                                               checkpointInterval=10)]
         else:
             stages += [RandomForestRegressor(featuresCol="__features", labelCol=label, numTrees=num_trees,
                                              maxDepth=max_depth, maxBins=max_bins, minInstancesPerNode=min_leaf,
-                                             seed=seed, cacheNodeIds=True,
+                                             seed=seed, cacheNodeIds=max_depth > WALK_DEPTH,
                                              checkpointInterval=10)]
         model = Pipeline(stages=stages).fit(data)
     finally:
@@ -239,7 +239,7 @@ def forest_metrics(df: DataFrame, target: str, key: Sequence[str], cols: Sequenc
         VectorAssembler(inputCols=names, outputCol="features", handleInvalid="keep"), indexer,
         RandomForestClassifier(featuresCol="features", labelCol="index", numTrees=num_trees,
                                maxDepth=max_depth, maxBins=max_bins, minInstancesPerNode=min_leaf, seed=seed,
-                               cacheNodeIds=True, checkpointInterval=10)])
+                               cacheNodeIds=max_depth > WALK_DEPTH, checkpointInterval=10)])
     train = data.where(F.col("bucket") < train_pct)
     # The rows above are narrow, so Spark reads many of them in one task; the forest's copy of a row is much wider.
     partitions = _forest_partitions(train.count(), num_trees, len(names))

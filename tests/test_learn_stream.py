@@ -84,3 +84,14 @@ def test_forest_tasks_hold_a_bounded_number_of_rows(spark, monkeypatch):
     monkeypatch.setattr(L, "TASK_BYTES", 20_000)
     metrics, importance = run()
     assert metrics >= 40 and importance >= 50
+
+
+def test_shallow_forests_keep_no_node_table(spark, monkeypatch):
+    """The copy of every row's node in every tree is for deep trees only; the model is the same with and without it."""
+    df = spark.range(3000).selectExpr("CAST(id % 64 AS double) AS x", "CAST(id % 7 AS double) AS noise", "CAST(id % 5 AS double) AS more", "CAST(id % 64 >= 16 AND id % 7 < 5 AS int) AS label")
+    kept, build = [], L.RandomForestClassifier
+    monkeypatch.setattr(L, "RandomForestClassifier", lambda **o: kept.append(o["cacheNodeIds"]) or build(**o))
+    shallow = L.forest_importance(df, "label", num_trees=8).collect()
+    monkeypatch.setattr(L, "WALK_DEPTH", 0)
+    assert L.forest_importance(df, "label", num_trees=8).collect() == shallow
+    assert kept == [False, True]
