@@ -8,16 +8,19 @@ cheapest cut. Steps:
    dense numbers, common words first, one range for all languages, so a number implies its language;
 2. texts are written once as those numbers, 0 for a rare word, the end of a piece and the end of a document;
 3. for n = 2 to 5: a window of n words can only be frequent when its first and its last n - 1 words are
-   (Apriori). Such windows are counted in 2^22 hash buckets, those in buckets of ``least`` and more again by another
-   hash, three times in all; the distinct windows that pass are the candidates (``_candidates``). They are counted exactly: a block of at most ``BLOCK_PHRASES``
+   (Apriori). Such windows are counted in hash buckets, ``SPARE`` / ``least`` of them or more to a window;
+   their counts are added by pieces of 2^16 buckets. The distinct windows in buckets of ``least`` and more are the candidates
+   (``_candidates``). They are counted exactly: a block of at most ``BLOCK_PHRASES``
    becomes a double-array trie, numpy moves the states of all text positions through it together, one word a
    level, the accepting states are binned and the counts of the shards are added;
 4. scores, the rule against parts of longer candidates and the first ``top`` of each language are joins and
    aggregates over the frequent phrases.
 
 Tries and the word table are broadcast in blocks of a fixed size, one block after another, however many phrases
-there are; the bucket filter is 512 KB. It only ever drops windows that can't reach ``least``, and on very large
-corpora, where every bucket fills up, it drops fewer. Words are found by 64-bit hash.
+there are. A task hands on the buckets of its windows, at most three bytes a window, and gets back the hot ones, about as
+many as there are frequent windows; the filter only ever drops windows that can't reach ``least``. With 2^32 buckets, at 8
+thousand million windows of a level and the usual ``least``, their number stops growing, so beyond that it drops fewer.
+Words are found by 64-bit hash.
 
 The rule against parts needs only candidates one word longer: if a phrase lies in a longer candidate with the same count, all
 phrases between the two have that count and are candidates too.
@@ -47,9 +50,12 @@ LONGEST = 5
 TOP = 2000
 BLOCK_WORDS = 1_000_000      # words of one broadcast word table (12 MB)
 BLOCK_PHRASES = 400_000      # phrases of one trie (about 20 MB)
-BUCKET_BITS = 22
-FILTERS = 3                  # bucket counts, each with a hash of its own over the windows that pass the ones before
-PIECE = 1 << 14              # buckets of one partial-count row
+SPARE = 50                   # the windows of a level divided by its buckets are a 50th of ``least`` at most
+BUCKET_BITS = 20, 32         # fewest and most bits of a bucket's number
+PIECE_BITS = 16              # buckets 2^16 to one partial-count row
+HELD_BUCKETS = 1 << 23       # windows whose buckets a task holds before it hands on their counts (32 MB)
+MAP_BITS = 20, 27            # fewest and most bits of the map of hot buckets (at most 16 MB)
+SEEN_BITS = 12, 21           # fewest and most bits of a place among the windows that a task has named (at most 16 MB)
 BINS = 1 << 11               # phrases of one count row
 CHUNK = 1 << 19              # text positions advanced at once
 HELD_WORDS = 200_000         # different words whose counts a task holds before it hands them on
@@ -149,29 +155,52 @@ def _encode(table, carry: bool, last: bool):
 @dataclass
 class Trie:
     """A double-array trie over word numbers: the child of state s by word c is base[s] + c if check there is s.
-    State 0 is dead, state 1 the root; accept is the phrase that ends in a state, or -1."""
+    State 0 is dead, state 1 the root; accept is the phrase that ends in a state, or -1. ``first``: phrases of the tries
+    before it."""
 
     base: np.ndarray
     check: np.ndarray
     accept: np.ndarray
     phrases: np.ndarray
+    first: int = 0
+
+    def __post_init__(self):
+        self.top = int(self.phrases.max())
 
     def advance(self, state: np.ndarray, word: np.ndarray) -> np.ndarray:
         to = self.base[state] + word
         return np.where(self.check[to] == state, to, 0)
 
+    def _reached(self, ids: np.ndarray, count: int) -> tuple[np.ndarray, np.ndarray]:
+        """Those of the first ``count`` positions where a phrase starts, and the phrases."""
+        ids = np.where(ids <= self.top, ids, 0)                      # words of no phrase
+        to = self.base[1] + ids[:count]
+        at = np.flatnonzero(self.check[to] == 1)
+        state = to[at]
+        for j in range(1, self.phrases.shape[1]):                    # only positions that are alive go on
+            to = self.base[state] + ids[at + j]
+            alive = self.check[to] == state
+            at, state = at[alive], to[alive]
+        return at, self.accept[state]
+
     def ends(self, ids: np.ndarray, count: int) -> np.ndarray:
         """For the first ``count`` positions, the phrase of the trie that starts there, or -1."""
-        state = np.ones(count, dtype=np.int32)
-        ids = np.where(ids <= int(self.phrases.max()), ids, 0)       # words of no phrase
-        for j in range(self.phrases.shape[1]):
-            state = self.advance(state, ids[j:j + count])
-        return self.accept[state]
+        out = np.full(count, -1, dtype=np.int32)
+        at, phrase = self._reached(ids, count)
+        out[at] = phrase
+        return out
+
+    def numbers(self, ids: np.ndarray, count: int) -> np.ndarray:
+        """As ``ends``, with the numbers that phrases have among all tries of their level, from 1, and 0 for none."""
+        out = np.zeros(count, dtype=np.int32)
+        at, phrase = self._reached(ids, count)
+        out[at] = phrase + np.int32(self.first + 1)
+        return out
 
     def holds(self, rows: np.ndarray) -> np.ndarray:
         """Whether each row of words (m, n) is a phrase of the trie."""
         state = np.ones(len(rows), dtype=np.int32)
-        rows = np.where(rows <= int(self.phrases.max()), rows, 0)
+        rows = np.where(rows <= self.top, rows, 0)
         for j in range(rows.shape[1]):
             state = self.advance(state, rows[:, j])
         return self.accept[state] >= 0
@@ -231,16 +260,25 @@ def double_array(phrases: np.ndarray) -> Trie:
     return Trie(base, check, accept, phrases)
 
 
-def _chunks(batch, longest: int):
-    """(ids with ``longest`` zeros or following words behind, positions to look at) over the texts of a batch."""
-    column = batch.column("ids")
+def _values(column) -> np.ndarray:
+    """The bytes of a binary column, one value behind the other."""
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     _, offsets, data = column.buffers()
     if not len(column) or data is None:
-        return
+        return np.empty(0, np.uint8)
     offsets = np.frombuffer(offsets, np.int32)
-    lo, hi = int(offsets[column.offset]), int(offsets[column.offset + len(column)])
-    ids = np.frombuffer(data, np.uint8)[lo:hi].view("<i4")
+    return np.frombuffer(data, np.uint8)[int(offsets[column.offset]):int(offsets[column.offset + len(column)])]
+
+
+def _binary(values: np.ndarray, cut: np.ndarray) -> pa.Array:
+    """Binary values, value i the items cut[i] to cut[i + 1] of ``values``."""
+    cut = (cut * values.dtype.itemsize).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(cut) - 1, [None, pa.py_buffer(cut), pa.py_buffer(np.ascontiguousarray(values).view(np.uint8))])
+
+
+def _chunks(batch, longest: int):
+    """(ids with ``longest`` zeros or following words behind, positions to look at) over the texts of a batch."""
+    ids = _values(batch.column("ids")).view("<i4")
     for i in range(0, len(ids), CHUNK):
         part = ids[i:i + CHUNK + longest]
         count = min(CHUNK, len(ids) - i)
@@ -248,87 +286,112 @@ def _chunks(batch, longest: int):
 
 
 def _mark(trie, carry: bool):
-    """Adds ``alive``: one byte a position, 1 where a phrase of the trie starts."""
+    """Adds ``number``: four bytes a position, the number of the phrase of the trie that starts there, or 0."""
     def run(batches):
         t = trie.value
         for b in batches:
-            alive = [(t.ends(x, n) >= 0).astype(np.uint8) for x, n in _chunks(b, LONGEST)]
-            alive = np.concatenate(alive) if alive else np.empty(0, np.uint8)
-            cut = np.concatenate(([0], np.cumsum(np.asarray(pa.compute.binary_length(b.column("ids"))) // 4))).astype(np.int32)
+            number = [t.numbers(x, n) for x, n in _chunks(b, LONGEST)]
+            number = np.concatenate(number) if number else np.empty(0, np.int32)
             if carry:
-                alive |= np.frombuffer(b"".join(b.column("alive").to_pylist()), np.uint8)
-            column = pa.Array.from_buffers(pa.binary(), b.num_rows, [None, pa.py_buffer(cut), pa.py_buffer(alive)])
-            yield pa.record_batch({"ids": b.column("ids"), "alive": column})
+                number = np.maximum(number, _values(b.column("number")).view("<i4"))      # a phrase is in one trie
+            cut = np.concatenate(([0], np.cumsum(np.asarray(pa.compute.binary_length(b.column("ids"))) // 4)))
+            yield pa.record_batch({"ids": b.column("ids"), "number": _binary(number, cut)})
     return run
 
 
 def _live_windows(batch, n: int, trie):
-    """(ids, positions) of the windows of n words whose first and last n - 1 words are frequent: those of ``trie``,
-    and where earlier tries of the level left a mark."""
-    marked = "alive" in batch.schema.names
-    marks = np.frombuffer(b"".join(batch.column("alive").to_pylist()), np.uint8) if marked else None
+    """(ids, positions, hashes) of the windows of n words whose first and last n - 1 words are frequent: those of ``trie``,
+    and those that earlier tries of the level have numbered. The hash of a window is its identity: a bijection of the
+    number of its first n - 1 words and its last word, and never 0."""
+    marks = _values(batch.column("number")).view("<i4") if "number" in batch.schema.names else np.empty(0, np.int32)
     at = 0
     for ids, count in _chunks(batch, LONGEST):
-        alive = ids[:count + 1] != 0 if trie is None else trie.value.ends(ids, count + 1) >= 0
-        if marked:
-            alive[:len(marks) - at] |= marks[at:at + count + 1] != 0
-        yield ids, np.flatnonzero(alive[:count] & alive[1:])
+        number = ids[:count + 1] if trie is None else trie.value.numbers(ids, count + 1)
+        own = marks[at:at + count + 1]
+        if len(own):
+            number[:len(own)] = np.maximum(number[:len(own)], own)
+        alive = number != 0
+        where = np.flatnonzero(alive[:-1] & alive[1:])
+        yield ids, where, mix(number[where].astype(np.uint64) << np.uint64(32) | ids[where + n - 1].astype(np.uint64))
         at += count
 
 
-def _bucket(ids: np.ndarray, at: np.ndarray, n: int, seed: int = 0) -> np.ndarray:
-    h = np.full(len(at), seed, dtype=np.uint64)
-    for j in range(n):
-        h = mix(h + ids[at + j].astype(np.uint64) + np.uint64(j + 1))
-    return (h >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
-
-
-def _passing(ids: np.ndarray, at: np.ndarray, n: int, filters: list) -> np.ndarray:
-    """The positions whose windows lie in a hot bucket of every filter so far; filter i hashes with seed i."""
-    for i, hot in enumerate(filters):
-        at = at[hot.value[_bucket(ids, at, n, i)]]
-    return at
-
-
-def _fill_buckets(n: int, least: int, trie, filters: list):
+@dataclass
+class HotBuckets:
+    """Buckets that can hold a frequent window: their numbers, sorted, and a bit map of the lowest bits of the numbers.
+    The bucket of a window is the first ``bits`` bits of its hash."""
+
+    bits: int
+    buckets: np.ndarray
+
+    def __post_init__(self):
+        fold = min(max(len(self.buckets).bit_length() + 5, MAP_BITS[0]), MAP_BITS[1], self.bits)
+        self.mask = np.uint64((1 << fold) - 1)
+        self.map = np.zeros(1 << (fold - 3), dtype=np.uint8)
+        low = self.buckets.astype(np.uint64) & self.mask
+        np.bitwise_or.at(self.map, (low >> np.uint64(3)).astype(np.int64), np.uint8(1) << (low & np.uint64(7)).astype(np.uint8))
+
+    def may_hold(self, h: np.ndarray) -> np.ndarray:
+        """False only for windows of no hot bucket."""
+        low = (h >> np.uint64(64 - self.bits)) & self.mask
+        return (self.map[(low >> np.uint64(3)).astype(np.int64)] >> (low & np.uint64(7)).astype(np.uint8) & np.uint8(1)).astype(bool)
+
+    def hold(self, h: np.ndarray) -> np.ndarray:
+        if not len(self.buckets):
+            return np.zeros(len(h), dtype=bool)
+        own = (h >> np.uint64(64 - self.bits)).astype(np.uint32)
+        return self.buckets[np.minimum(np.searchsorted(self.buckets, own), len(self.buckets) - 1)] == own
+
+
+def _bucket_rows(bucket: np.ndarray, cap: int) -> pa.RecordBatch:
+    """(piece, at, counts): how often each bucket occurs, a row for every piece of 2^PIECE_BITS buckets that has any."""
+    bucket.sort()
+    first = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1])))
+    counts = np.minimum(np.diff(first, append=len(bucket)), cap).astype(np.uint8)     # ``cap`` in one shard decides already
+    bucket = bucket[first]
+    piece = (bucket >> np.uint32(PIECE_BITS)).astype(np.int32)
+    start = np.flatnonzero(np.concatenate(([True], piece[1:] != piece[:-1])))
+    cut = np.append(start, len(bucket))
+    at = (bucket & np.uint32((1 << PIECE_BITS) - 1)).astype("<u2")
+    return pa.record_batch({"piece": pa.array(piece[start]), "at": _binary(at, cut), "counts": _binary(counts, cut)})
+
+
+def _fill_buckets(n: int, least: int, trie, bits: int):
     cap = min(least, 255)
 
     def run(batches):
-        from pyspark import TaskContext
-        total = np.zeros(1 << BUCKET_BITS, dtype=np.int64)
+        held, size = [], 0
         for b in batches:
-            for ids, at in _live_windows(b, n, trie):
-                at = _passing(ids, at, n, filters)
-                total += np.bincount(_bucket(ids, at, n, len(filters)), minlength=len(total))
-        # a count of ``cap`` in one shard decides already
-        rows = np.minimum(total, cap).astype(np.uint8).reshape(-1, PIECE)
-        some = np.flatnonzero(rows.any(axis=1))
-        yield pa.record_batch({"piece": pa.array(some.astype(np.int32)), "salt": pa.array(np.full(len(some), TaskContext.get().partitionId() // 64, np.int32)),
-                               "counts": pa.array([rows[i].tobytes() for i in some], pa.binary())})
+            for _, _, h in _live_windows(b, n, trie):
+                held.append((h >> np.uint64(64 - bits)).astype(np.uint32))
+                size += len(h)
+                if size >= HELD_BUCKETS:
+                    yield _bucket_rows(np.concatenate(held), cap)
+                    held, size = [], 0
+        if size:
+            yield _bucket_rows(np.concatenate(held), cap)
     return run
 
 
 def _add_buckets(cap: int):
+    """(piece, at) of the buckets of a piece whose counts add up to ``cap``."""
     def run(table: pa.Table) -> pa.Table:
-        total = np.zeros(PIECE, dtype=np.int32)
-        for x in table["counts"]:
-            total += np.frombuffer(x.as_buffer(), np.uint8)
-        return pa.table({"piece": table["piece"].slice(0, 1), "salt": pa.array([table["salt"][0].as_py() // 64], pa.int32()),
-                         "counts": pa.array([np.minimum(total, cap).astype(np.uint8).tobytes()], pa.binary())})
+        total = np.bincount(_values(table["at"]).view("<u2"), weights=_values(table["counts"]), minlength=1 << PIECE_BITS)
+        hot = np.flatnonzero(total >= cap).astype("<u2")
+        return pa.table({"piece": table["piece"].slice(0, 1), "at": pa.array([hot.tobytes()], pa.binary())})
     return run
 
 
-def _hot_buckets(positions: DataFrame, n: int, least: int, trie, filters: list) -> np.ndarray:
-    """True for every bucket that can hold a window of ``least`` occurrences, among those that pass ``filters``."""
+def _hot_buckets(positions: DataFrame, n: int, least: int, trie, windows: int) -> HotBuckets:
+    """The buckets that hold ``least`` windows or more. Their number follows ``windows``, which is no fewer than there are;
+    every task adds up the buckets of some pieces."""
+    bits = min(max((windows * SPARE // least).bit_length(), BUCKET_BITS[0]), BUCKET_BITS[1])
     cap = min(least, 255)
-    schema = "piece int, salt int, counts binary"
-    rows = positions.mapInArrow(_fill_buckets(n, least, trie, filters), schema)
-    for _ in range(2):           # shards are added 64 at a time, then the sums
-        rows = rows.groupBy("piece", "salt").applyInArrow(_add_buckets(cap), schema)
-    hot = np.zeros((1 << BUCKET_BITS) // PIECE * PIECE, dtype=np.int32).reshape(-1, PIECE)
-    for r in materialize(rows, "colloc-buckets").toLocalIterator():       # 2^22 bytes a salt, one salt per 4,096 tasks
-        hot[r.piece] += np.frombuffer(r.counts, np.uint8)
-    return hot.ravel() >= cap
+    rows = positions.mapInArrow(_fill_buckets(n, least, trie, bits), "piece int, at binary, counts binary")
+    hot = materialize(rows.groupBy("piece").applyInArrow(_add_buckets(cap), "piece int, at binary"), "colloc-buckets").toArrow()
+    size = np.asarray(pa.compute.binary_length(hot["at"])) // 2
+    buckets = np.repeat(np.asarray(hot["piece"]).astype(np.uint32) << np.uint32(PIECE_BITS), size) | _values(hot["at"]).view("<u2")
+    return HotBuckets(bits, np.sort(buckets))
 
 
 def _keys(rows: np.ndarray) -> pa.Array:
@@ -338,35 +401,42 @@ def _keys(rows: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(cut), pa.py_buffer(raw)])
 
 
-def _packed(keys: np.ndarray) -> pa.Array:
-    """Keys of one width as binary values."""
-    cut = (np.arange(len(keys) + 1) * keys.dtype.itemsize).astype(np.int32)
-    return pa.Array.from_buffers(pa.binary(), len(keys), [None, pa.py_buffer(cut), pa.py_buffer(np.frombuffer(keys.tobytes(), np.uint8))])
-
-
-def _emit(n: int, filters: list, trie, known: list):
+def _emit(n: int, hot, trie, known: list):
     """The windows that pass, each once a task unless it holds very many; those of the tries in ``known`` are left out."""
     def run(batches):
-        held = np.empty(0, dtype=f"V{4 * n}")
+        buckets = hot.value
+        bits = min(max(len(buckets.buckets).bit_length() + 1, SEEN_BITS[0]), SEEN_BITS[1])
+        seen = np.zeros(1 << bits, dtype=np.uint64)      # at the last bits of a hash, the window seen last that has them
+        held, size = [(np.empty(0, np.uint64), np.empty((0, n), np.int32))], 0
+
+        def rows():
+            h, words = (np.concatenate(x) for x in zip(*held, strict=True))
+            return pa.record_batch({"key": _keys(words[np.unique(h, return_index=True)[1]])})
         for b in batches:
-            for ids, at in _live_windows(b, n, trie):
-                at = _passing(ids, at, n, filters)
-                rows = np.stack([ids[at + j] for j in range(n)], axis=1)
+            for ids, at, h in _live_windows(b, n, trie):
+                some = np.flatnonzero(buckets.may_hold(h))
+                place = h[some] & np.uint64((1 << bits) - 1)
+                new = np.flatnonzero(seen[place] != h[some])
+                seen[place[new]] = h[some[new]]
+                h, first = np.unique(h[some[new]], return_index=True)
+                at = at[some[new[first]]]
+                passed = buckets.hold(h)
+                h, at = h[passed], at[passed]
+                words = np.stack([ids[at + j] for j in range(n)], axis=1)
                 for other in known:
-                    rows = rows[~other.value.holds(rows)]
-                if not len(rows):
-                    continue
-                own = np.unique(np.ascontiguousarray(rows.astype(">i4")).view(held.dtype).ravel())
-                held = np.union1d(held, own)
-                if len(held) >= HELD_WINDOWS:
-                    yield pa.record_batch({"key": _packed(held)})
-                    held = held[:0]
-        yield pa.record_batch({"key": _packed(held)})
+                    lacking = ~other.value.holds(words)
+                    h, words = h[lacking], words[lacking]
+                held.append((h, words))
+                size += len(h)
+                if size >= HELD_WINDOWS:
+                    yield rows()
+                    held, size = held[:1], 0
+        yield rows()
     return run
 
 
-def _candidates(ids: DataFrame, positions, n: int, filters: list, trie, block_phrases: int) -> DataFrame:
-    """The distinct windows that pass the filters (column key); ``positions`` marks texts for them.
+def _candidates(ids: DataFrame, positions, n: int, hot, trie, block_phrases: int) -> DataFrame:
+    """The distinct windows of hot buckets (column key); ``positions`` marks texts for them.
 
     A window that is frequent stands in nearly every task, so naming it in each would cost windows times tasks. The texts are
     taken in two parts by their hash: a ``FIRST_SHARE``-th of them, dealt to as large a part of the tasks, names nearly all of
@@ -374,16 +444,28 @@ def _candidates(ids: DataFrame, positions, n: int, filters: list, trie, block_ph
     """
     part = F.pmod(F.xxhash64("ids"), F.lit(FIRST_SHARE))
     tasks = -(-ids.rdd.getNumPartitions() // FIRST_SHARE)
-    first = positions(ids.filter(part == 0).repartition(tasks)).mapInArrow(_emit(n, filters, trie, []), "key binary")
+    first = positions(ids.filter(part == 0).repartition(tasks)).mapInArrow(_emit(n, hot, trie, []), "key binary")
     first = materialize(first.distinct(), f"colloc-first-{n}")
     known = list(itertools.islice(_tries(first, first.count(), n, block_phrases), KNOWN_TRIES))
-    others = positions(ids.filter(part != 0)).mapInArrow(_emit(n, filters, trie, known), "key binary")
+    others = positions(ids.filter(part != 0)).mapInArrow(_emit(n, hot, trie, known), "key binary")
     out = materialize(first.union(others).distinct(), f"colloc-candidates-{n}")
     for other in known:
         other.destroy()
     return out
 
 
+def _count_rows(total: np.ndarray, salt: int, first: int = 0) -> pa.RecordBatch:
+    """(piece, salt, at, counts): the counts that are not 0, a row for every ``BINS`` phrases that have any."""
+    some = np.flatnonzero(total)
+    piece = some // BINS
+    start = np.flatnonzero(np.concatenate(([True], piece[1:] != piece[:-1]))) if len(some) else some
+    cut = np.append(start, len(some))
+    counts = total[some]
+    counts = counts.astype(np.min_scalar_type(int(counts.max()))) if len(some) else counts
+    return pa.record_batch({"piece": pa.array((piece[start] + first).astype(np.int32)), "salt": pa.array(np.full(len(start), salt, np.int32)),
+                            "at": _binary((some % BINS).astype("<u2"), cut), "counts": _binary(counts, cut)})
+
+
 def _count_phrases(trie):
     """Bins of the accepting states of one shard, ``BINS`` phrases a row."""
     def run(batches):
@@ -393,20 +475,23 @@ def _count_phrases(trie):
         for b in batches:
             for ids, count in _chunks(b, LONGEST):
                 total += np.bincount(t.ends(ids, count) + 1, minlength=len(total))
-        rows = np.concatenate((total[1:], np.zeros(-len(t.phrases) % BINS, np.int64))).reshape(-1, BINS)
-        some = np.flatnonzero(rows.any(axis=1))
-        yield pa.record_batch({"piece": pa.array(some.astype(np.int32)),
-                               "salt": pa.array(np.full(len(some), TaskContext.get().partitionId() // 64, np.int32)),
-                               "counts": pa.array([rows[i].tobytes() for i in some], pa.binary())})
+        yield _count_rows(total[1:], TaskContext.get().partitionId() // 64)
     return run
 
 
+def _counts(at, counts) -> tuple[np.ndarray, np.ndarray]:
+    """The places in a piece and the counts of a row of ``_count_rows``."""
+    at = np.frombuffer(at.as_buffer(), "<u2")
+    counts = counts.as_buffer()
+    return at, np.frombuffer(counts, f"<u{counts.size // len(at)}")
+
+
 def _add_counts(table: pa.Table) -> pa.Table:
     total = np.zeros(BINS, dtype=np.int64)
-    for x in table["counts"]:
-        total += np.frombuffer(x.as_buffer(), np.int64)
-    return pa.table({"piece": table["piece"].slice(0, 1), "salt": pa.array([0], pa.int32()),
-                     "counts": pa.array([total.tobytes()], pa.binary())})
+    for x, y in zip(table["at"], table["counts"], strict=True):
+        at, counts = _counts(x, y)
+        total[at] += counts.astype(np.int64)
+    return pa.Table.from_batches([_count_rows(total, 0, table["piece"][0].as_py())])
 
 
 def _frequent(trie, least: int):
@@ -414,11 +499,10 @@ def _frequent(trie, least: int):
     def run(batches):
         phrases = trie.value.phrases
         for b in batches:
-            for piece, counts in zip(b.column("piece").to_pylist(), b.column("counts"), strict=True):
-                own = phrases[piece * BINS:(piece + 1) * BINS]
-                a = np.frombuffer(counts.as_buffer(), np.int64)[:len(own)]
+            for piece, x, y in zip(b.column("piece").to_pylist(), b.column("at"), b.column("counts"), strict=True):
+                at, a = _counts(x, y)
                 some = np.flatnonzero(a >= least)
-                yield pa.record_batch({"key": _keys(own[some]), "a": pa.array(a[some])})
+                yield pa.record_batch({"key": _keys(phrases[piece * BINS + at[some].astype(np.int64)]), "a": pa.array(a[some].astype(np.int64))})
     return run
 
 
@@ -431,17 +515,23 @@ def _blocks(table: DataFrame, rows: int, limit: int):
 
 def _tries(phrases: DataFrame, rows: int, n: int, limit: int):
     """Broadcast tries over the blocks of a phrase table (column key)."""
+    first = 0
     for part in _blocks(phrases, rows, limit):
         keys = b"".join(part.select("key").toArrow()["key"].to_pylist())
         if keys:
             ids = np.frombuffer(keys, ">i4").astype(np.int32).reshape(-1, n)
             ids = ids[np.lexsort(ids.T[::-1])]
-            yield phrases.sparkSession.sparkContext.broadcast(double_array(ids))
+            trie = double_array(ids)
+            trie.first = first
+            first += len(ids)
+            yield phrases.sparkSession.sparkContext.broadcast(trie)
 
 
-def frequent_phrases(ids: DataFrame, least: int, longest: int, block_phrases: int) -> list[DataFrame]:
-    """Tables (key, a) of the phrases of 2, 3, ... words that occur at least ``least`` times."""
+def frequent_phrases(ids: DataFrame, words: int, least: int, longest: int, block_phrases: int) -> list[DataFrame]:
+    """Tables (key, a) of the phrases of 2, 3, ... words that occur at least ``least`` times; ``words``: how many words of
+    ``ids`` are not 0."""
     out: list[DataFrame] = []
+    windows = words
     for n in range(2, longest + 1):
         trie, earlier = None, []
         if n > 2:
@@ -449,25 +539,25 @@ def frequent_phrases(ids: DataFrame, least: int, longest: int, block_phrases: in
 
         def positions(texts, earlier=earlier):
             for i, other in enumerate(earlier):
-                texts = texts.mapInArrow(_mark(other, i > 0), "ids binary, alive binary")
+                texts = texts.mapInArrow(_mark(other, i > 0), "ids binary, number binary")
             return texts
-        filters: list = []
-        for _ in range(FILTERS):
-            filters.append(ids.sparkSession.sparkContext.broadcast(_hot_buckets(positions(ids), n, least, trie, filters)))
-        found = _candidates(ids, positions, n, filters, trie, block_phrases)
+        hot = ids.sparkSession.sparkContext.broadcast(_hot_buckets(positions(ids), n, least, trie, windows))
+        found = _candidates(ids, positions, n, hot, trie, block_phrases)
         counted = None
         for block in _tries(found, found.count(), n, block_phrases):
-            schema = "piece int, salt int, counts binary"
+            schema = "piece int, salt int, at binary, counts binary"
             added = (ids.mapInArrow(_count_phrases(block), schema).groupBy("piece", "salt").applyInArrow(_add_counts, schema)
                      .groupBy("piece").applyInArrow(_add_counts, schema))
             part = materialize(added.mapInArrow(_frequent(block, least), "key binary, a long"), f"colloc-phrases-{n}")
             counted = part if counted is None else counted.union(part)
             block.destroy()
-        for hot in filters:
-            hot.destroy()
+        hot.destroy()
+        for other in [*earlier, trie] if trie else []:
+            other.destroy()
         if counted is None or counted.isEmpty():
             break
         out.append(counted)
+        windows = counted.agg(F.sum("a")).first()[0]
     return out
 
 
@@ -497,7 +587,7 @@ def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", least:
         encoded = encoded.mapInArrow(_encode(table, i > 0, last), "ids binary" if last else "lang string, text string, ids binary")
     ids = materialize(encoded, "colloc-ids")
 
-    levels = frequent_phrases(ids, least, longest, block_phrases)
+    levels = frequent_phrases(ids, words.agg(F.sum("a")).first()[0] or 0, least, longest, block_phrases)
     if not levels:
         return spark.createDataFrame([], "lang string, rank int, phrase string, a long, l long, r long, n long, score long")
     phrases = levels[0]

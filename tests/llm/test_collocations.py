@@ -118,3 +118,27 @@ def test_candidates_are_whole_at_any_limit(spark, monkeypatch, limits):
     rng = np.random.default_rng(6)
     rows = [(" ".join(f"w{x}" for x in rng.integers(0, 4, 20)), ["en", "de"][i % 2]) for i in range(60)]
     assert run(spark, rows, least=6) == brute(rows, 6)
+
+
+def test_filter_grows_with_the_windows(spark, monkeypatch):
+    """More windows than a filter of 2^22 buckets can tell apart: those named stay few, the counts are exact."""
+    rng = np.random.default_rng(7)
+    words, ids = 60_000, rng.integers(0, 60_000, (600, 10_000))
+    named, emit = spark.sparkContext.accumulator(0), collocations._emit
+
+    def counted(*args):
+        run = emit(*args)
+
+        def count(batches):
+            for b in run(batches):
+                named.add(b.num_rows)
+                yield b
+        return count
+    monkeypatch.setattr(collocations, "_emit", counted)
+    spell = np.array([f"w{i}" for i in range(words)], dtype=object)
+    df = spark.createDataFrame([(" ".join(spell[x]), "en") for x in ids], "text string, lang string").repartition(8)
+    got = {r["phrase"]: r["a"] for r in collocations.collocations(df, least=2, longest=2, top=ids.size).collect()}
+    pair, a = np.unique(ids[:, :-1] * words + ids[:, 1:], return_counts=True)
+    want = {f"w{p // words} w{p % words}": int(n) for p, n in zip(pair[a > 1], a[a > 1])}
+    assert got == want and len(want) > 1000
+    assert named.value < ids.size // 20
