@@ -49,11 +49,11 @@ LEAST = 100
 LONGEST = 5
 TOP = 2000
 BLOCK_WORDS = 1_000_000      # words of one broadcast word table (12 MB)
-BLOCK_PHRASES = 400_000      # phrases of one trie (about 20 MB)
+BLOCK_PHRASES = 400_000      # phrases of one trie (about 40 MB with 250,000 words)
 SPARE = 50                   # the windows of a level divided by its buckets are a 50th of ``least`` at most
 BUCKET_BITS = 20, 32         # fewest and most bits of a bucket's number
 PIECE_BITS = 16              # buckets 2^16 to one partial-count row
-HELD_BUCKETS = 1 << 23       # windows whose buckets a task holds before it hands on their counts (32 MB)
+HELD_BUCKETS = 1 << 22       # windows whose buckets a task holds before it hands on their counts (16 MB)
 MAP_BITS = 20, 27            # fewest and most bits of the map of hot buckets (at most 16 MB)
 SEEN_BITS = 12, 21           # fewest and most bits of a place among the windows that a task has named (at most 16 MB)
 BINS = 1 << 11               # phrases of one count row
@@ -61,7 +61,8 @@ CHUNK = 1 << 19              # text positions advanced at once
 HELD_WORDS = 200_000         # different words whose counts a task holds before it hands them on
 HELD_WINDOWS = 500_000       # different windows that a task holds before it hands them on
 FIRST_SHARE = 16             # the texts that name their windows before all others are one part in so many
-KNOWN_TRIES = 4              # tries of windows already named that a task holds; what further ones hold is named again
+KNOWN_TRIES = 4              # blocks of windows already named that a task holds; what further ones hold is named again
+KNOWN_WINDOWS = 1_000_000    # windows of such a block (8 MB)
 
 # Bytes that end a piece, and bytes between the words of a piece.
 _BREAK = np.zeros(256, dtype=bool)
@@ -84,6 +85,15 @@ def _salted(g, batch) -> tuple[np.ndarray, list, np.ndarray]:
     return mix(g.hash ^ salt[code[g.doc]]), langs, code
 
 
+def _spelled(g, at: np.ndarray) -> np.ndarray:
+    """The words ``at`` of a group of texts, as strings."""
+    size = g.end[at] - g.start[at]
+    cut = np.concatenate(([0], np.cumsum(size)))
+    body = g.data[np.repeat(g.start[at] - cut[:-1], size) + np.arange(cut[-1])]
+    column = pa.Array.from_buffers(pa.string(), len(at), [None, pa.py_buffer(cut.astype(np.int32)), pa.py_buffer(body)])
+    return column.to_numpy(zero_copy_only=False)
+
+
 def _count_words(batches):
     """Counts of the words of a task, handed on whenever ``HELD_WORDS`` different ones are held."""
     none = np.empty(0, dtype=np.uint64), np.empty(0, dtype=np.int64), np.empty(0, dtype=object), np.empty(0, dtype=object)
@@ -96,10 +106,7 @@ def _count_words(batches):
             known = np.flatnonzero(held[np.minimum(place, len(held) - 1)] == key) if len(held) else np.empty(0, np.int64)
             count[place[known]] += n[known]
             new = np.setdiff1d(np.arange(len(key)), known, assume_unique=True)
-            spelled = np.empty(len(new), dtype=object)
-            spelled[:] = [g.data[s:e].tobytes().decode() for s, e in zip(g.start[at[new]], g.end[at[new]], strict=True)]
-            own = np.empty(len(new), dtype=object)
-            own[:] = [langs[i] for i in code[g.doc[at[new]]]]
+            spelled, own = _spelled(g, at[new]), np.array(langs, dtype=object)[code[g.doc[at[new]]]]
             where = place[new]
             held, count = np.insert(held, where, key[new]), np.insert(count, where, n[new])
             lang, word = np.insert(lang, where, own), np.insert(word, where, spelled)
@@ -155,12 +162,10 @@ def _encode(table, carry: bool, last: bool):
 @dataclass
 class Trie:
     """A double-array trie over word numbers: the child of state s by word c is base[s] + c if check there is s.
-    State 0 is dead, state 1 the root; accept is the phrase that ends in a state, or -1. ``first``: phrases of the tries
-    before it."""
+    State 0 is dead, state 1 the root; where a phrase ends, base is its row. ``first``: phrases of the tries before it."""
 
     base: np.ndarray
     check: np.ndarray
-    accept: np.ndarray
     phrases: np.ndarray
     first: int = 0
 
@@ -181,7 +186,7 @@ class Trie:
             to = self.base[state] + ids[at + j]
             alive = self.check[to] == state
             at, state = at[alive], to[alive]
-        return at, self.accept[state]
+        return at, self.base[state]
 
     def ends(self, ids: np.ndarray, count: int) -> np.ndarray:
         """For the first ``count`` positions, the phrase of the trie that starts there, or -1."""
@@ -203,7 +208,7 @@ class Trie:
         rows = np.where(rows <= self.top, rows, 0)
         for j in range(rows.shape[1]):
             state = self.advance(state, rows[:, j])
-        return self.accept[state] >= 0
+        return state > 0
 
 
 def double_array(phrases: np.ndarray) -> Trie:
@@ -251,13 +256,13 @@ def double_array(phrases: np.ndarray) -> Trie:
                 own[at[won]] = slot[won]
                 check[slot[won]] = state[open_][who[won]]
                 base[state[open_[ok]]] = draw[ok]
-                if ok.mean() < 0.2:
-                    high += high // 4 + symbols // 8 + 1
+                if ok.mean() < 0.05:
+                    high += high // 64 + symbols // 64 + 1
                 open_ = open_[~ok]
         first, state = rows, own
-    accept = np.full(len(check), -1, dtype=np.int32)
-    accept[state] = np.arange(m)
-    return Trie(base, check, accept, phrases)
+    size = int(base.max()) + symbols
+    base[state] = np.arange(m)
+    return Trie(base[:size].copy(), check[:size].copy(), phrases)
 
 
 def _values(column) -> np.ndarray:
@@ -316,6 +321,12 @@ def _live_windows(batch, n: int, trie):
         at += count
 
 
+def _among(sorted_: np.ndarray, x: np.ndarray) -> np.ndarray:
+    if not len(sorted_):
+        return np.zeros(len(x), dtype=bool)
+    return sorted_[np.minimum(np.searchsorted(sorted_, x), len(sorted_) - 1)] == x
+
+
 @dataclass
 class HotBuckets:
     """Buckets that can hold a frequent window: their numbers, sorted, and a bit map of the lowest bits of the numbers.
@@ -337,10 +348,7 @@ class HotBuckets:
         return (self.map[(low >> np.uint64(3)).astype(np.int64)] >> (low & np.uint64(7)).astype(np.uint8) & np.uint8(1)).astype(bool)
 
     def hold(self, h: np.ndarray) -> np.ndarray:
-        if not len(self.buckets):
-            return np.zeros(len(h), dtype=bool)
-        own = (h >> np.uint64(64 - self.bits)).astype(np.uint32)
-        return self.buckets[np.minimum(np.searchsorted(self.buckets, own), len(self.buckets) - 1)] == own
+        return _among(self.buckets, (h >> np.uint64(64 - self.bits)).astype(np.uint32))
 
 
 def _bucket_rows(bucket: np.ndarray, cap: int) -> pa.RecordBatch:
@@ -402,7 +410,8 @@ def _keys(rows: np.ndarray) -> pa.Array:
 
 
 def _emit(n: int, hot, trie, known: list):
-    """The windows that pass, each once a task unless it holds very many; those of the tries in ``known`` are left out."""
+    """(key, hash) of the windows that pass, each once a task unless it holds very many; those whose hashes are in ``known``
+    are left out."""
     def run(batches):
         buckets = hot.value
         bits = min(max(len(buckets.buckets).bit_length() + 1, SEEN_BITS[0]), SEEN_BITS[1])
@@ -411,7 +420,8 @@ def _emit(n: int, hot, trie, known: list):
 
         def rows():
             h, words = (np.concatenate(x) for x in zip(*held, strict=True))
-            return pa.record_batch({"key": _keys(words[np.unique(h, return_index=True)[1]])})
+            h, first = np.unique(h, return_index=True)
+            return pa.record_batch({"key": _keys(words[first]), "hash": pa.array(h.view(np.int64))})
         for b in batches:
             for ids, at, h in _live_windows(b, n, trie):
                 some = np.flatnonzero(buckets.may_hold(h))
@@ -421,12 +431,10 @@ def _emit(n: int, hot, trie, known: list):
                 h, first = np.unique(h[some[new]], return_index=True)
                 at = at[some[new[first]]]
                 passed = buckets.hold(h)
-                h, at = h[passed], at[passed]
-                words = np.stack([ids[at + j] for j in range(n)], axis=1)
                 for other in known:
-                    lacking = ~other.value.holds(words)
-                    h, words = h[lacking], words[lacking]
-                held.append((h, words))
+                    passed &= ~_among(other.value, h)
+                h, at = h[passed], at[passed]
+                held.append((h, np.stack([ids[at + j] for j in range(n)], axis=1)))
                 size += len(h)
                 if size >= HELD_WINDOWS:
                     yield rows()
@@ -435,20 +443,21 @@ def _emit(n: int, hot, trie, known: list):
     return run
 
 
-def _candidates(ids: DataFrame, positions, n: int, hot, trie, block_phrases: int) -> DataFrame:
+def _candidates(ids: DataFrame, positions, n: int, hot, trie) -> DataFrame:
     """The distinct windows of hot buckets (column key); ``positions`` marks texts for them.
 
     A window that is frequent stands in nearly every task, so naming it in each would cost windows times tasks. The texts are
     taken in two parts by their hash: a ``FIRST_SHARE``-th of them, dealt to as large a part of the tasks, names nearly all of
     them, and the others name only what the first part lacks. Every window of every text is in one of the two.
     """
-    part = F.pmod(F.xxhash64("ids"), F.lit(FIRST_SHARE))
+    part, schema = F.pmod(F.xxhash64("ids"), F.lit(FIRST_SHARE)), "key binary, hash long"
     tasks = -(-ids.rdd.getNumPartitions() // FIRST_SHARE)
-    first = positions(ids.filter(part == 0).repartition(tasks)).mapInArrow(_emit(n, hot, trie, []), "key binary")
+    first = positions(ids.filter(part == 0).repartition(tasks)).mapInArrow(_emit(n, hot, trie, []), schema)
     first = materialize(first.distinct(), f"colloc-first-{n}")
-    known = list(itertools.islice(_tries(first, first.count(), n, block_phrases), KNOWN_TRIES))
-    others = positions(ids.filter(part != 0)).mapInArrow(_emit(n, hot, trie, known), "key binary")
-    out = materialize(first.union(others).distinct(), f"colloc-candidates-{n}")
+    known = [ids.sparkSession.sparkContext.broadcast(np.sort(np.asarray(block.select("hash").toArrow()["hash"]).view(np.uint64)))
+             for block in itertools.islice(_blocks(first, first.count(), KNOWN_WINDOWS), KNOWN_TRIES)]
+    others = positions(ids.filter(part != 0)).mapInArrow(_emit(n, hot, trie, known), schema)
+    out = materialize(first.union(others).select("key").distinct(), f"colloc-candidates-{n}")
     for other in known:
         other.destroy()
     return out
@@ -542,7 +551,7 @@ def frequent_phrases(ids: DataFrame, words: int, least: int, longest: int, block
                 texts = texts.mapInArrow(_mark(other, i > 0), "ids binary, number binary")
             return texts
         hot = ids.sparkSession.sparkContext.broadcast(_hot_buckets(positions(ids), n, least, trie, windows))
-        found = _candidates(ids, positions, n, hot, trie, block_phrases)
+        found = _candidates(ids, positions, n, hot, trie)
         counted = None
         for block in _tries(found, found.count(), n, block_phrases):
             schema = "piece int, salt int, at binary, counts binary"
